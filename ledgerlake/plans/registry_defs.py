@@ -18,3 +18,17 @@ register("cum_revenue_by_brand", trends.cum_revenue_by_brand, O.cum_revenue_by_b
 register("cum_revenue_by_country", trends.cum_revenue_by_country, O.cum_revenue_by_country)
 register("cum_revenue_by_country_brand", trends.cum_revenue_by_country_brand, O.cum_revenue_by_country_brand)
 register("cum_revenue_monthly", trends.cum_revenue_monthly, O.cum_revenue_monthly)
+
+from . import ranking  # noqa: E402
+
+# K7-K8
+register("yoy_brand_revenue", ranking.yoy_brand_revenue, O.yoy_brand_revenue)
+register("yoy_product_revenue", ranking.yoy_product_revenue, O.yoy_product_revenue)
+# K9-K11
+register("top_5_brands", ranking.top_brands, O.top_brands)
+register("top_5_products", ranking.top_products, O.top_products)
+register("top_10_customers", ranking.top_customers, O.top_customers)
+# K12-K14
+register("brands_part_to_whole", ranking.brands_part_to_whole, O.brands_part_to_whole)
+register("country_part_to_whole", ranking.country_part_to_whole, O.country_part_to_whole)
+register("product_part_to_whole", ranking.product_part_to_whole, O.product_part_to_whole)

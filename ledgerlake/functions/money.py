@@ -70,6 +70,7 @@ def exact_avg(sum_units: str, count: str, in_scale: int = 2, out_scale: int = 2)
     return (q.cast("decimal(38,0)") / F.lit(10 ** out_scale)).cast(f"decimal(38,{out_scale})")
 
 
-def units(c: str, scale: int = 2) -> Column:
+def units(c: str | Column, scale: int = 2) -> Column:
     """Exact integer units of a decimal value (``x * 10^scale``)."""
-    return (F.col(c) * F.lit(10 ** scale)).cast("decimal(38,0)")
+    c = F.col(c) if isinstance(c, str) else c
+    return (c * F.lit(10 ** scale)).cast("decimal(38,0)")

@@ -32,3 +32,34 @@ register("top_10_customers", ranking.top_customers, O.top_customers)
 register("brands_part_to_whole", ranking.brands_part_to_whole, O.brands_part_to_whole)
 register("country_part_to_whole", ranking.country_part_to_whole, O.country_part_to_whole)
 register("product_part_to_whole", ranking.product_part_to_whole, O.product_part_to_whole)
+
+from . import reports, rfm  # noqa: E402
+from ..params import TESTDATA_SCALED  # noqa: E402
+
+# K15-K18 (published thresholds, and thresholds scaled to the test data)
+register("customer_report", reports.customer_report, O.customer_report)
+register("customer_report_scaled", reports.customer_report, O.customer_report, TESTDATA_SCALED)
+register("segment_part_to_whole", reports.segment_part_to_whole, O.segment_part_to_whole)
+register("segment_part_to_whole_scaled", reports.segment_part_to_whole, O.segment_part_to_whole, TESTDATA_SCALED)
+register("product_report", reports.product_report, O.product_report)
+register("product_report_scaled", reports.product_report, O.product_report, TESTDATA_SCALED)
+register("product_metrics", reports.product_metrics, O.product_metrics)
+register("product_metrics_scaled", reports.product_metrics, O.product_metrics, TESTDATA_SCALED)
+# M7
+register("revenue_by_product_segment", reports.revenue_by_product_segment, O.revenue_by_product_segment)
+register("customers_by_product_segment", reports.customers_by_product_segment, O.customers_by_product_segment)
+# K19-K21, K25
+register("rfm_segments", rfm.rfm_segments, O.rfm_segments)
+register("rfm_segment_counts", rfm.rfm_segment_counts, O.rfm_segment_counts)
+register("rfm_churn", rfm.rfm_churn, O.rfm_churn)
+register("max_order_date", rfm.max_order_date, O.max_order_date)
+# K22 (else-label 'Standard' and 'Regular' variants of the two reference scripts)
+register("migration_rates", rfm.migration_rates, O.migration_rates)
+register("migration_rates_regular", rfm.migration_rates, O.migration_rates,
+         DEFAULT.with_(migration_else_label="Regular"))
+# K23-K24b, M8
+register("clv_forecast", rfm.clv_forecast, O.clv_forecast)
+register("clv_risk_adjusted", rfm.clv_risk_adjusted, O.clv_risk_adjusted)
+register("clv_risk_adjusted_raw", lambda m, p: rfm.clv_risk_adjusted(m, p, rounded=False),
+         lambda p: O.clv_risk_adjusted(p, rounded=False))
+register("customers_by_risk_and_status", rfm.customers_by_risk_and_status, O.customers_by_risk_and_status)

@@ -40,6 +40,13 @@ class Params:
     top_customers: int = 10
     # NTILE buckets for RFM
     rfm_tiles: int = 5
+    # M2 period comparison (inclusive year ranges) and M6 month comparison
+    period_a: tuple[int, int] = (1995, 1997)
+    period_b: tuple[int, int] = (1998, 2000)
+    month_a: dt.date = dt.date(2001, 6, 1)
+    month_b: dt.date = dt.date(2001, 7, 1)
+    # M4 top brands by order count
+    top_brands_by_orders: int = 3
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Params":

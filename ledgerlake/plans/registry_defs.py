@@ -63,3 +63,23 @@ register("clv_risk_adjusted", rfm.clv_risk_adjusted, O.clv_risk_adjusted)
 register("clv_risk_adjusted_raw", lambda m, p: rfm.clv_risk_adjusted(m, p, rounded=False),
          lambda p: O.clv_risk_adjusted(p, rounded=False))
 register("customers_by_risk_and_status", rfm.customers_by_risk_and_status, O.customers_by_risk_and_status)
+
+from . import kpi  # noqa: E402
+
+# L1-L4
+register("kpi_base", kpi.kpi_base, O.kpi_base)
+register("kpi_base_by_brand", lambda m, p: kpi.kpi_base(m, p, by="brand"), lambda p: O.kpi_base(p, by="brand"))
+register("kpi_base_by_region", lambda m, p: kpi.kpi_base(m, p, by="region"), lambda p: O.kpi_base(p, by="region"))
+register("kpi_current_vs_prior_year", kpi.kpi_current_vs_prior_year, O.kpi_current_vs_prior_year)
+register("kpi_yoy_pct_by_brand", kpi.kpi_yoy_pct_by_brand, O.kpi_yoy_pct_by_brand)
+register("mom_indicator", kpi.mom_indicator, O.mom_indicator)
+# M1-M6
+register("revenue_by_year", kpi.revenue_by_year, O.revenue_by_year)
+register("orders_by_year", kpi.orders_by_year, O.orders_by_year)
+register("revenue_by_year_brand", kpi.revenue_by_year_brand, O.revenue_by_year_brand)
+register("brand_period_change", kpi.brand_period_change, O.brand_period_change)
+register("orders_aov_by_month", kpi.orders_aov_by_month, O.orders_aov_by_month)
+register("orders_aov_by_month_top_brands", kpi.orders_aov_by_month_top_brands, O.orders_aov_by_month_top_brands)
+register("orders_aov_revenue_by_region_month", kpi.orders_aov_revenue_by_region_month,
+         O.orders_aov_revenue_by_region_month)
+register("decline_drivers", kpi.decline_drivers, O.decline_drivers)

@@ -83,3 +83,14 @@ register("orders_aov_by_month_top_brands", kpi.orders_aov_by_month_top_brands, O
 register("orders_aov_revenue_by_region_month", kpi.orders_aov_revenue_by_region_month,
          O.orders_aov_revenue_by_region_month)
 register("decline_drivers", kpi.decline_drivers, O.decline_drivers)
+
+from . import etl  # noqa: E402
+
+# J3, J7, J8, J10, J12, I
+register("dim_date", etl.dim_date, O.dim_date)
+register("report_calendar", etl.report_calendar, O.report_calendar)
+register("orders_fact", etl.orders_fact, O.orders_fact)
+register("latest_order_per_customer", None, O.latest_order_per_customer, raw=etl.latest_order_per_customer)
+register("dq_orders_fact", etl.dq_orders_fact, O.dq_orders_fact)
+register("dq_customers", etl.dq_customers, O.dq_customers)
+register("customers_scd2", None, O.customers_scd2, raw=etl.customers_scd2)

@@ -27,19 +27,22 @@ SOURCE = "source_file"
 QUARANTINE_SCHEMA = "raw_line string, Schema string, Table_name string, source_file string, record_creation_date timestamp_ntz"
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
-             timestamp_cols: Sequence[str] = ("ValidFrom", "ValidTo"),
-             fmt: str = LANDING_TIMESTAMP_FORMAT) -> DataFrame:
-    """Typed CSV scan; adds ``corrupt_record`` (NULL for good rows) and ``source_file``."""
-    read_schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-    df = (spark.read.format("csv").option("header", "true").option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).schema(read_schema)
-          .load(path if isinstance(path, str) else list(path)))
+def csv_read_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
+
+
+def csv_options() -> dict[str, str]:
+    return {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+
+
+def parse_landing(df: DataFrame, schema: T.StructType,
+                  timestamp_cols: Sequence[str] = ("ValidFrom", "ValidTo"),
+                  fmt: str = LANDING_TIMESTAMP_FORMAT) -> DataFrame:
+    """Add ``source_file``; parse text stamps, quarantining unparsable ones."""
     df = df.withColumn(SOURCE, F.col("_metadata.file_path"))
     bad_stamp = None
-    for c in timestamp_cols:
-        if c not in df.columns:
-            continue
+    present = [c for c in timestamp_cols if c in df.columns]
+    for c in present:
         parsed = F.try_to_timestamp(F.col(c), F.lit(fmt)).cast("timestamp_ntz")
         bad = F.col(c).isNotNull() & parsed.isNull()
         bad_stamp = bad if bad_stamp is None else (bad_stamp | bad)
@@ -48,12 +51,20 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
         data_cols = [f.name for f in schema.fields]
         raw = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in data_cols])
         df = df.withColumn(CORRUPT, F.when(F.col(CORRUPT).isNull() & bad_stamp, raw).otherwise(F.col(CORRUPT)))
-        for c in timestamp_cols:
-            if f"__ts_{c}" in df.columns:
-                df = df.withColumn(c, F.col(f"__ts_{c}")).drop(f"__ts_{c}")
+        for c in present:
+            df = df.withColumn(c, F.col(f"__ts_{c}")).drop(f"__ts_{c}")
     return df
 
 
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
+             timestamp_cols: Sequence[str] = ("ValidFrom", "ValidTo"),
+             fmt: str = LANDING_TIMESTAMP_FORMAT) -> DataFrame:
+    """Typed CSV scan; adds ``corrupt_record`` (NULL for good rows) and ``source_file``."""
+    df = (spark.read.format("csv").options(**csv_options()).schema(csv_read_schema(schema))
+          .load(path if isinstance(path, str) else list(path)))
+    return parse_landing(df, schema, timestamp_cols, fmt)
+
+
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clean rows without the corrupt column, corrupt rows).
 

@@ -16,10 +16,34 @@ RATE = "decimal(10,2)"
 
 
 def revenue(qty: str = "Quantity", price: str = "UnitPrice") -> Column:
-    """Line revenue ``Quantity * UnitPrice`` (exact decimal)."""
+    """Line revenue ``Quantity * UnitPrice`` (exact decimal).
+
+    ``int x decimal(12,2)`` is ``decimal(23,2)``, beyond the 18 digits Spark
+    keeps in a long, so per-row arithmetic on it runs on BigDecimal.
+    Aggregations use ``revenue_cents`` / ``sum_revenue`` instead.
+    """
     return F.col(qty) * F.col(price)
 
 
+def revenue_cents(qty: str = "Quantity", price: str = "UnitPrice") -> Column:
+    """Line revenue in integer cents (long arithmetic, exact)."""
+    return F.col(qty).cast("long") * units(price)
+
+
+def money_from_cents(c: Column) -> Column:
+    """Integer cents -> ``decimal(38,2)`` (applied to aggregated rows only)."""
+    return (c.cast("decimal(38,0)") / F.lit(100)).cast("decimal(38,2)")
+
+
+def sum_revenue(condition: Column | None = None) -> Column:
+    """``SUM(Quantity * UnitPrice)`` [optionally ``WHEN condition``] as an exact
+    ``decimal(38,2)``: summed as long cents, converted once per group."""
+    c = revenue_cents()
+    if condition is not None:
+        c = F.when(condition, c)
+    return money_from_cents(F.sum(c))
+
+
 def rounded_revenue(qty: str = "Quantity", price: str = "UnitPrice") -> Column:
     """Line revenue rounded to cents before aggregation."""
     return F.round(revenue(qty, price), 2)
@@ -37,10 +61,13 @@ def unit_price_from_extended(extended: str, quantity: str) -> Column:
     result never depends on binary floating point beyond the one cent
     conversion of the input.
     """
-    cents = f"cast(round(`{extended}` * 100) as bigint)"
+    # floor(x + 0.5): the nearest cent of a 2-decimal amount without the
+    # BigDecimal path of round(double); decimal(12,0) x decimal(2,2) stays
+    # within Spark's long-backed decimals.
+    cents = f"cast(floor(`{extended}` * 100 + 0.5) as bigint)"
     q = f"nullif(cast(`{quantity}` as bigint), 0)"
     unit_cents = F.expr(f"(2 * {cents} + {q}) div (2 * {q})")
-    return (unit_cents * F.lit(0.01).cast("decimal(2,2)")).cast(MONEY)
+    return (unit_cents.cast("decimal(12,0)") * F.lit(0.01).cast("decimal(2,2)")).cast(MONEY)
 
 
 def half_up_div(a: str, b: str) -> Column:
@@ -71,6 +98,6 @@ def exact_avg(sum_units: str, count: str, in_scale: int = 2, out_scale: int = 2)
 
 
 def units(c: str | Column, scale: int = 2) -> Column:
-    """Exact integer units of a decimal value (``x * 10^scale``)."""
+    """Exact integer units of a decimal value (``x * 10^scale``) as long."""
     c = F.col(c) if isinstance(c, str) else c
-    return (c * F.lit(10 ** scale)).cast("decimal(38,0)")
+    return (c * F.lit(10 ** scale)).cast("long")

@@ -49,7 +49,9 @@ def ingest_bronze(spark: SparkSession, root: str, table: str, landing_path: str,
     df = landing.read_csv(spark, landing_path, schema)
     done = runlog.processed_sources(spark, p["log"], "bronze", table)
     if done is not None:
-        df = df.join(F.broadcast(done.withColumnRenamed("source", landing.SOURCE)), landing.SOURCE, "left_anti")
+        # the ledger grows with every file ever loaded: no broadcast hint,
+        # Spark/AQE size the join at runtime
+        df = df.join(done.withColumnRenamed("source", landing.SOURCE), landing.SOURCE, "left_anti")
     clean, bad = landing.split(df)
     landing.quarantine_rows(bad, "bronze", table, now).write.mode("append").parquet(p["quarantine"])
     out = stamp(clean.drop(landing.SOURCE), now, ("insert_dt", "record_creation_date"))

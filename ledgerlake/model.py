@@ -53,14 +53,23 @@ class GoldModel:
         return self.fact.join(F.broadcast(cal), self.fact["LastEditedDate"] == cal["date"], "left_semi")
 
     @classmethod
-    def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "GoldModel":
-        return cls(
+    def from_testdata(cls, spark: SparkSession, sf_dir: str, cached: bool = True) -> "GoldModel":
+        """Model over the driver's tables. The lazy plans (file listing,
+        schema, analysis) are reused per session and directory; no data is
+        cached. ``cached=False`` re-reads the folder listings."""
+        key = (id(spark), sf_dir.rstrip("/"))
+        if cached and key in _MODELS:
+            return _MODELS[key]
+        model = cls(
             spark=spark,
             fact=testdata.orders_fact(spark, sf_dir),
             products=testdata.products(spark, sf_dir),
             customers=testdata.customers(spark, sf_dir),
             suppliers=testdata.suppliers(spark, sf_dir),
         )
+        if cached:
+            _MODELS[key] = model
+        return model
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "GoldModel":
@@ -88,6 +97,9 @@ class GoldModel:
         self.dim_date.write.mode(mode).parquet(f"{root}/dim_date")
 
 
+_MODELS: dict[tuple[int, str], GoldModel] = {}
+
+
 def _read_optional(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

@@ -22,6 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .share import attach_scalars
+
 RESULT_SCHEMA = "expectation string, column string, params string, evaluated bigint, unexpected bigint, success boolean"
 
 # The reference's timestamp-text and e-mail patterns.
@@ -119,7 +121,7 @@ def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
             results.append(row(ch, rows, F.col(f"__u{i}"), F.col(f"__u{i}") == 0))
     summary = df.agg(*aggs)
     for u in uniq_frames:  # one-row frames
-        summary = summary.crossJoin(u)
+        summary = attach_scalars(summary, u)
     return summary.select(F.explode(F.array(*results)).alias("r")).select("r.*")
 
 

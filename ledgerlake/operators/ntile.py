@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .share import attach_scalars
 
 _LOW33 = (1 << 33) - 1
 
@@ -81,7 +82,7 @@ def global_ntile(df: DataFrame, n: int, order: Sequence[Column | str], out: str,
     numbered = global_row_number(df, order, out="__i", partitions=partitions)
     total = numbered.agg(F.count(F.lit(1)).alias("__N"))
     return (
-        numbered.crossJoin(F.broadcast(total))  # one-row frame
+        attach_scalars(numbered, total)  # one-row frame
         .withColumn(out, ntile_from_index("__i", "__N", n))
         .drop("__i", "__N")
     )

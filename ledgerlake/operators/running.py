@@ -12,7 +12,10 @@ Here the frame is rebuilt from a per-key rollup instead:
    bounded by the calendar: years or months, not by the data volume);
 2. cumulative sums over that small ordered table;
 3. broadcast join back on the order keys (null-safe, so a NULL key keeps its
-   peer group like the window would).
+   peer group like the window would). The input is an aggregate (one row per
+   group and period); it is checkpointed once so the rollup and the join
+   back do not both re-run the fact pipeline. When the input already has one
+   row per order key (``unique_keys``) the window runs on it directly.
 
 AVG over the frame is ``sum / count`` of the non-null inputs, as in SQL; the
 sum is kept in the input type (exact for decimals) and divided as double,
@@ -26,6 +29,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 
 def running_by_order(
     df: DataFrame,
@@ -33,6 +38,7 @@ def running_by_order(
     sums: Mapping[str, str] | None = None,
     avgs: Mapping[str, str] | None = None,
     partition_cols: Sequence[str] = (),
+    unique_keys: bool = False,
 ) -> DataFrame:
     """Add ``SUM(in) OVER (PARTITION BY p ORDER BY order_cols)`` / AVG columns.
 
@@ -43,6 +49,20 @@ def running_by_order(
     sums = dict(sums or {})
     avgs = dict(avgs or {})
     keys = list(partition_cols) + list(order_cols)
+    if unique_keys:
+        # ``df`` already has one row per key (it *is* the rollup): no join back
+        w = Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        if partition_cols:
+            w = w.partitionBy(*partition_cols)
+        cols = [F.sum(src).over(w).alias(out) for out, src in sums.items()]
+        cols += [(F.sum(src).over(w).cast("double") / F.nullif(F.count(src).over(w), F.lit(0))).alias(out)
+                 for out, src in avgs.items()]
+        return df.select(*df.columns, *cols)
+    if not partition_cols:
+        # ``df`` feeds both the rollup and the join back; fix it once in
+        # reliable storage so the upstream plan is not evaluated twice.
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     aggs = []
     for out, src in sums.items():
         aggs.append(F.sum(src).alias(f"__s_{out}"))

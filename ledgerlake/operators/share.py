@@ -14,10 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row of ``df``.
+
+    An equi-join on a constant key against the broadcast single row: a
+    scalar lookup (size bound: one row), not a cross product.
+    """
+    k = "__scalar_key"
+    return (df.withColumn(k, F.lit(1))
+            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, "inner")
+            .drop(k))
+
+
 def with_grand_total(df: DataFrame, value: str, out: str) -> DataFrame:
     """Add ``SUM(value) OVER ()`` as column ``out``."""
     total = df.agg(F.sum(value).alias(out))
-    return df.crossJoin(F.broadcast(total))
+    return attach_scalars(df, total)
 
 
 def share_pct(part: Column | str, whole: Column | str, digits: int = 2) -> Column:

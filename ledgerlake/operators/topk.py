@@ -22,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .share import attach_scalars
+
 
 def top_k_with_ties(df: DataFrame, value: str, k: int, rank_col: str) -> DataFrame:
     """Rows of ``df`` whose ``RANK() OVER (ORDER BY value DESC)`` is <= k."""
     kth = df.select(value).orderBy(F.col(value).desc_nulls_last()).limit(k)
     thr = kth.agg(F.min(value).alias("__thr"), F.count(value).alias("__nonnull"))
-    cand = df.crossJoin(F.broadcast(thr)).where(
+    cand = attach_scalars(df, thr).where(
         (F.col(value) >= F.col("__thr"))
         # fewer than k non-null rows: every row ranks within k, NULLs included
         | (F.col("__nonnull") < k)

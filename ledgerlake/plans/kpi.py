@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import trunc_ts, ts_lit
-from ..functions.money import revenue
+from ..functions.money import sum_revenue
 from ..model import GoldModel
 from ..operators.topk import top_k_with_ties
 from ..params import Params
+from ..operators.share import attach_scalars
 
 # The three indicator glyphs of the month-over-month measure
 # (UNICHAR 9610, 9650, 9660).
@@ -45,7 +46,7 @@ def _kpi_cols(rev="gross_revenue", orders="orders", qty="quantities") -> list[Co
 
 
 def _base_aggs() -> list[Column]:
-    return [F.sum(revenue()).alias("gross_revenue"),
+    return [sum_revenue().alias("gross_revenue"),
             F.countDistinct("OrderID").alias("orders"),
             F.sum("Quantity").cast("bigint").alias("quantities")]
 
@@ -78,18 +79,17 @@ def kpi_base(m: GoldModel, p: Params, by: str = "year") -> DataFrame:
 
 def _year_flags(m: GoldModel) -> DataFrame:
     y = m.fact.agg(F.max(F.year("LastEditedWhen")).alias("current_year"))
-    return m.fact.crossJoin(F.broadcast(y)).withColumn("__y", F.year("LastEditedWhen"))
+    return attach_scalars(m.fact, y).withColumn("__y", F.year("LastEditedWhen"))
 
 
 def _cy_ly_aggs() -> list[Column]:
     cy = F.col("__y") == F.col("current_year")
     ly = F.col("__y") == F.col("current_year") - 1
-    rev = revenue()
     return [
-        F.sum(F.when(cy, rev)).alias("cy_revenue"),
+        sum_revenue(cy).alias("cy_revenue"),
         F.countDistinct(F.when(cy, F.col("OrderID"))).alias("cy_orders"),
         F.sum(F.when(cy, F.col("Quantity"))).cast("bigint").alias("cy_quantities"),
-        F.sum(F.when(ly, rev)).alias("ly_revenue"),
+        sum_revenue(ly).alias("ly_revenue"),
         F.countDistinct(F.when(ly, F.col("OrderID"))).alias("ly_orders"),
         F.sum(F.when(ly, F.col("Quantity"))).cast("bigint").alias("ly_quantities"),
     ]
@@ -125,7 +125,7 @@ def mom_indicator(m: GoldModel, p: Params) -> DataFrame:
     no sales) with the DAX glyphs. The previous month is found by a join on
     ``month - 1`` over the monthly aggregate (one row per month)."""
     monthly = m.fact.groupBy(trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(
-        F.sum(revenue()).alias("revenue"))
+        sum_revenue().alias("revenue"))
     prev = monthly.select(F.col("order_month").alias("__pm"), F.col("revenue").alias("prev_month_revenue"))
     j = monthly.join(prev, F.col("__pm") == F.timestamp_add("MONTH", F.lit(-1), F.col("order_month")), "left")
     cur, pm = F.col("revenue"), F.col("prev_month_revenue")
@@ -147,7 +147,7 @@ def _yearly_change(df: DataFrame, value: str, prev: str, pct: str) -> DataFrame:
 def revenue_by_year(m: GoldModel, p: Params) -> DataFrame:
     """M1: yearly revenue and % change vs the previous present year."""
     g = m.fact.groupBy(F.year("LastEditedWhen").alias("order_year")).agg(
-        F.round(F.sum(revenue()), 2).alias("total_revenue"))
+        sum_revenue().alias("total_revenue"))
     r = _yearly_change(g, "total_revenue", "prev_revenue", "revenue_change_pct")
     return r.select("order_year", F.col("total_revenue").cast("double").alias("total_revenue"),
                     F.col("prev_revenue").cast("double").alias("prev_revenue"), "revenue_change_pct")
@@ -163,7 +163,7 @@ def orders_by_year(m: GoldModel, p: Params) -> DataFrame:
 def revenue_by_year_brand(m: GoldModel, p: Params) -> DataFrame:
     """M2: year x brand revenue (fact reduced per product first)."""
     per = m.fact.groupBy("ProductID", F.year("LastEditedWhen").alias("order_year")).agg(
-        F.sum(revenue()).alias("rev"))
+        sum_revenue().alias("rev"))
     g = (per.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
          .groupBy("order_year", "Brand").agg(F.round(F.sum("rev"), 2).alias("total_revenue")))
     return g.select("order_year", "Brand", F.col("total_revenue").cast("double").alias("total_revenue"))
@@ -177,8 +177,8 @@ def brand_period_change(m: GoldModel, p: Params) -> DataFrame:
     f = m.fact.where((F.col("LastEditedWhen") >= ts_lit(dt.datetime(lo, 1, 1)))
                      & (F.col("LastEditedWhen") < ts_lit(dt.datetime(hi + 1, 1, 1))))
     per = f.groupBy("ProductID").agg(
-        F.sum(F.when(y.between(a0, a1), revenue())).alias("ra"),
-        F.sum(F.when(y.between(b0, b1), revenue())).alias("rb"))
+        sum_revenue(y.between(a0, a1)).alias("ra"),
+        sum_revenue(y.between(b0, b1)).alias("rb"))
     g = (per.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
          .groupBy("Brand").agg(F.sum("ra").alias("ra"), F.sum("rb").alias("rb")))
     return g.select(
@@ -191,7 +191,7 @@ def brand_period_change(m: GoldModel, p: Params) -> DataFrame:
 
 def _order_kpis() -> list[Column]:
     return [F.countDistinct("OrderID").alias("total_orders"),
-            F.sum(revenue()).alias("total_revenue"),
+            sum_revenue().alias("total_revenue"),
             F.sum("Quantity").cast("bigint").alias("total_quantity")]
 
 
@@ -212,13 +212,15 @@ def orders_aov_by_month_top_brands(m: GoldModel, p: Params) -> DataFrame:
     lines = m.fact.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
     by_brand = lines.groupBy("Brand").agg(F.countDistinct("OrderID").alias("brand_orders"))
     top = top_k_with_ties(by_brand, "brand_orders", p.top_brands_by_orders, "brand_rank")
-    sel = lines.join(F.broadcast(top.select("Brand")), lines["Brand"].eqNullSafe(top["Brand"]), "left_semi")
+    # ties can keep more than k brands, so the list is not hinted as broadcast
+    keep = top.select(F.col("Brand").alias("__b"))
+    sel = lines.join(keep, lines["Brand"].eqNullSafe(keep["__b"]), "left_semi")
     g = sel.groupBy("Brand", trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(*_order_kpis())
     return g.select("Brand", "order_month", *_order_kpi_cols())
 
 
 def orders_aov_revenue_by_region_month(m: GoldModel, p: Params) -> DataFrame:
-    """M5: region x month orders, revenue, AOV (region from nation/region)."""
+    """M5: region x month orders, AOV (region from nation/region)."""
     per = m.fact.groupBy("CustomerID", trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(*_order_kpis())
     g = (per.join(m.customers.select("CustomerID", "Region"), "CustomerID", "left")
          .groupBy("Region", "order_month").agg(F.sum("total_orders").alias("total_orders"),
@@ -237,14 +239,14 @@ def decline_drivers(m: GoldModel, p: Params) -> DataFrame:
     f = m.fact.where((F.col("LastEditedWhen") >= ts_lit(lo))
                      & (F.col("LastEditedWhen") < F.timestamp_add("MONTH", F.lit(1), ts_lit(hi))))
     per = f.groupBy("ProductID").agg(
-        F.sum(F.when(month == a_ts, revenue())).alias("ra"),
-        F.sum(F.when(month == b_ts, revenue())).alias("rb"))
+        sum_revenue(month == a_ts).alias("ra"),
+        sum_revenue(month == b_ts).alias("rb"))
     g = (per.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
          .groupBy("Brand").agg(F.coalesce(F.sum("ra"), F.lit(0)).alias("ra"),
                                F.coalesce(F.sum("rb"), F.lit(0)).alias("rb"))
          .withColumn("chg", F.col("rb") - F.col("ra")))
     total = g.agg(F.sum("chg").alias("__tot"))
-    return g.crossJoin(F.broadcast(total)).select(
+    return attach_scalars(g, total).select(
         "Brand",
         F.col("ra").cast("double").alias("revenue_month_a"),
         F.col("rb").cast("double").alias("revenue_month_b"),

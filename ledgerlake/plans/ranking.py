@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import ts_lit
-from ..functions.money import exact_avg, revenue, units
+from ..functions.money import exact_avg, sum_revenue, units
 from ..model import GoldModel
 from ..operators.share import share_pct, with_grand_total
 from ..operators.topk import top_k_with_ties
@@ -20,7 +20,7 @@ from ..params import Params
 
 def _revenue_by(m: GoldModel, key: str, extra=(), where=None) -> DataFrame:
     f = m.fact if where is None else m.fact.where(where)
-    return f.groupBy(key, *extra).agg(F.sum(revenue()).alias("rev"))
+    return f.groupBy(key, *extra).agg(sum_revenue().alias("rev"))
 
 
 def _by_product_attr(m: GoldModel, attr: str, active_only: bool, extra=(), where=None) -> DataFrame:
@@ -109,7 +109,7 @@ def top_products(m: GoldModel, p: Params) -> DataFrame:
 
 def top_customers(m: GoldModel, p: Params) -> DataFrame:
     """Customers ranked by revenue (left join: unknown customers kept)."""
-    per = m.fact.groupBy("customer_skey", "CustomerID").agg(F.sum(revenue()).alias("rev"))
+    per = m.fact.groupBy("customer_skey", "CustomerID").agg(sum_revenue().alias("rev"))
     c = m.customers.select(F.col("CustomerID").alias("cid"), "CustomerFirstName", "CustomerLastName")
     joined = per.join(c, per["CustomerID"] == c["cid"], "left").select(
         "customer_skey", F.col("cid").alias("CustomerID"),

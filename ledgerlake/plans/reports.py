@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_diff, ts_lit
-from ..functions.money import exact_avg, half_up_div, revenue, units
+from ..functions.money import exact_avg, half_up_div, sum_revenue, units
 from ..model import GoldModel
 from ..operators.share import share_pct
 from ..params import Params
@@ -35,7 +35,7 @@ def customer_base(m: GoldModel, p: Params) -> DataFrame:
     f = m.fact_in_calendar()
     per = f.groupBy("CustomerID").agg(
         F.countDistinct("OrderID").alias("total_orders"),
-        F.round(F.sum(F.round(revenue(), 2)), 2).alias("total_revenue"),
+        sum_revenue().alias("total_revenue"),
         F.sum("Quantity").cast("bigint").alias("total_quantity"),
         F.countDistinct("ProductID").alias("total_products"),
         F.max("LastEditedWhen").alias("last_order_date"),
@@ -92,7 +92,7 @@ def _product_aggs() -> list:
     return [
         F.countDistinct("OrderID").alias("total_orders"),
         F.countDistinct("CustomerID").alias("total_customers"),
-        F.round(F.sum(F.round(revenue(), 2)), 2).alias("total_revenue"),
+        sum_revenue().alias("total_revenue"),
         F.sum("Quantity").cast("bigint").alias("total_quantity"),
         F.max("LastEditedWhen").alias("last_order_date"),
         F.min("LastEditedWhen").alias("first_order_date"),
@@ -102,8 +102,10 @@ def _product_aggs() -> list:
 def product_report(m: GoldModel, p: Params) -> DataFrame:
     """Per active product, dimension price; Mid-Range is >= mid threshold."""
     f = m.fact.where(F.col("OrderID").isNotNull())
-    # selling price of a line = revenue / quantity at 6 decimals (exact half-up)
-    line_sp = half_up_div("cast(round(Quantity * UnitPrice, 2) * 100 as decimal(38,0)) * 10000", "Quantity")
+    # selling price of a line = revenue / quantity; with a decimal(12,2) price
+    # round(q * p, 2) / q is p itself, so its cents are summed (long) over the
+    # lines with a non-zero quantity and averaged exactly
+    line_sp = F.when(F.col("Quantity") != 0, units("UnitPrice"))
     per = f.withColumn("__sp", line_sp).groupBy("ProductID").agg(
         *_product_aggs(),
         F.sum("__sp").alias("__sp_sum"), F.count("__sp").alias("__sp_n"),
@@ -114,7 +116,7 @@ def product_report(m: GoldModel, p: Params) -> DataFrame:
     rev = F.col("total_revenue")
     segment = (F.when(rev > p.report_high_revenue, "High-Performer")
                .when(rev >= p.report_mid_revenue, "Mid-Range").otherwise("Low-Performer"))
-    asp = (half_up_div("__sp_sum", "__sp_n * 100000").cast("decimal(38,0)") / 10).cast("decimal(38,1)")
+    asp = (half_up_div("__sp_sum", "__sp_n * 10").cast("decimal(38,0)") / 10).cast("decimal(38,1)")
     return b.select(
         "ProductID", "ProductName", _money("UnitPrice"), "last_order_date",
         month_diff("last_order_date", ts_lit(p.as_of)).alias("recency_in_months"),

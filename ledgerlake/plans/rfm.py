@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import add_months_ts, day_diff, ts_lit
-from ..functions.money import exact_avg, half_up_div, revenue, units
+from ..functions.money import exact_avg, half_up_div, revenue_cents, sum_revenue
 from ..model import GoldModel
 from ..operators.ntile import global_ntile
-from ..operators.share import with_partition_total
+from ..operators.share import attach_scalars, with_partition_total
 from ..params import Params
+from ..session import checkpoint_dir
 
 
 def customer_activity(m: GoldModel, p: Params) -> DataFrame:
@@ -27,7 +28,7 @@ def customer_activity(m: GoldModel, p: Params) -> DataFrame:
     return m.fact.groupBy("CustomerID").agg(
         day_diff(F.max("LastEditedDate"), asof).alias("Recency"),
         F.count("OrderID").alias("Frequency"),
-        F.round(F.sum(revenue()), 2).alias("Monetary"),
+        sum_revenue().alias("Monetary"),
         day_diff(F.max("LastEditedWhen"), asof).alias("days_since_last_purchase"),
         (day_diff(F.min("LastEditedWhen"), F.max("LastEditedWhen"))
          / F.nullif(F.count("OrderID") - 1, F.lit(0))).alias("avg_purchase_gap"),
@@ -36,7 +37,10 @@ def customer_activity(m: GoldModel, p: Params) -> DataFrame:
 
 def scored(m: GoldModel, p: Params) -> DataFrame:
     """Customer activity with R/F/M quintile scores."""
-    a = customer_activity(m, p)
+    # one row per customer; fixed once in reliable storage so the three
+    # range-partitioned sorts (and their sampling passes) read it, not the fact
+    checkpoint_dir(m.spark)
+    a = customer_activity(m, p).checkpoint(eager=True)
     n = p.rfm_tiles
     tie = F.col("CustomerID").asc()
     a = global_ntile(a, n, [F.col("Recency").desc(), tie], "R_Score")
@@ -116,8 +120,8 @@ def clv_forecast(m: GoldModel, p: Params) -> DataFrame:
         F.min("LastEditedWhen").alias("first_purchase"),
         F.max("LastEditedWhen").alias("last_purchase"),
         F.countDistinct("OrderID").alias("total_orders"),
-        F.sum(units(revenue())).alias("__rev_units"),
-        F.count(revenue()).alias("__rev_n"),
+        F.sum(revenue_cents()).alias("__rev_units"),
+        F.count(revenue_cents()).alias("__rev_n"),
     ).withColumn("avg_order_value", exact_avg("__rev_units", "__rev_n", 2, 2))
     days = day_diff("first_purchase", "last_purchase")
     freq = F.col("total_orders").cast("double") / F.nullif(days, F.lit(0)) * 365
@@ -158,7 +162,7 @@ def customers_by_risk_and_status(m: GoldModel, p: Params) -> DataFrame:
         F.sum(F.round("expected_orders_raw")).alias("expected_orders"),
     )
     total = g.agg(F.sum("customer_count").alias("__all"))
-    return g.crossJoin(F.broadcast(total)).select(
+    return attach_scalars(g, total).select(
         "risk_category", "health_status", "customer_count",
         F.col("expected_orders").cast("double").alias("expected_orders"),
         F.round(F.col("customer_count").cast("double") / F.col("__all") * 100, 2).alias("pct_customers"),
@@ -196,7 +200,7 @@ def migration_rates(m: GoldModel, p: Params) -> DataFrame:
     y1 = dt.datetime(p.anchor_year + 1, 1, 1)
     maxd = (m.fact.where((F.col("LastEditedWhen") >= ts_lit(y0)) & (F.col("LastEditedWhen") < ts_lit(y1)))
             .agg(F.max("LastEditedWhen").alias("MaxDate")))
-    tagged = per_day.crossJoin(F.broadcast(maxd))  # one-row scalar
+    tagged = attach_scalars(per_day, maxd)  # one-row scalar
     lo6, lo3 = add_months_ts("MaxDate", -6), add_months_ts("MaxDate", -3)
     last = F.col("last_order_date")
     p1 = (tagged.where((last >= lo6) & (last < lo3))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import trunc_ts, ts_lit
-from ..functions.money import exact_avg, revenue, units
+from ..functions.money import exact_avg, sum_revenue, units
 from ..model import GoldModel
 from ..operators.running import running_by_order
 from ..params import Params
@@ -32,7 +32,7 @@ def _dated_fact(m: GoldModel, p: Params, active_only: bool = False) -> DataFrame
 def revenue_by_month(m: GoldModel, p: Params, active_only: bool = False, rounded: bool = False) -> DataFrame:
     """Monthly revenue, distinct customers and quantity."""
     f = _dated_fact(m, p, active_only)
-    total = F.sum(revenue())
+    total = sum_revenue()
     if rounded:
         total = F.round(total, 2)
     return (
@@ -49,7 +49,7 @@ def revenue_by_month(m: GoldModel, p: Params, active_only: bool = False, rounded
 def _period_aggs(prefix: str = "") -> list:
     """Partial sums that can be re-aggregated after a dimension join."""
     return [
-        F.sum(revenue()).alias(f"{prefix}rev"),
+        sum_revenue().alias(f"{prefix}rev"),
         F.sum(units("UnitPrice")).alias(f"{prefix}price_units"),
         F.count("UnitPrice").alias(f"{prefix}price_n"),
     ]
@@ -64,12 +64,13 @@ def _finish_period(df: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("avg_price", exact_avg("price_units", "price_n", 2, 2)).drop("price_units", "price_n")
 
 
-def _running(t: DataFrame, order: list[str], partition_by: list[str] | None) -> DataFrame:
+def _running(t: DataFrame, order: list[str], partition_by: list[str] | None, unique: bool = False) -> DataFrame:
     return running_by_order(
         t, order,
         sums={"running_total_revenue": "total_revenue"},
         avgs={"moving_average_price": "avg_price"},
         partition_cols=partition_by or (),
+        unique_keys=unique,
     )
 
 
@@ -88,7 +89,7 @@ def cum_revenue(m: GoldModel, p: Params) -> DataFrame:
     f = _dated_fact(m, p)
     t = _finish_period(f.withColumn("order_date", trunc_ts("year", "LastEditedWhen"))
                        .groupBy("order_date").agg(*_period_aggs()), ["order_date"])
-    return _present(_running(t, ["order_date"], None), ["order_date"], ["order_date"])
+    return _present(_running(t, ["order_date"], None, unique=True), ["order_date"], ["order_date"])
 
 
 def cum_revenue_by_brand(m: GoldModel, p: Params, partition_by_brand: bool = False) -> DataFrame:
@@ -144,7 +145,7 @@ def cum_revenue_monthly(m: GoldModel, p: Params) -> DataFrame:
         .select("order_year", "order_month", F.col("rev").alias("total_revenue"),
                 exact_avg("price_units", "price_n", 2, 6).alias("avg_price"))
     )
-    r = _running(t, ["order_year", "order_month"], None)
+    r = _running(t, ["order_year", "order_month"], None, unique=True)
     return r.select(
         "order_year", "order_month",
         F.col("running_total_revenue").cast("double").alias("running_total_revenue"),

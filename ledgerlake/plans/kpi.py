@@ -210,11 +210,13 @@ def orders_aov_by_month(m: GoldModel, p: Params) -> DataFrame:
 def orders_aov_by_month_top_brands(m: GoldModel, p: Params) -> DataFrame:
     """M4: monthly orders / AOV for the top brands by distinct orders (ties kept)."""
     lines = m.fact.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
-    by_brand = lines.groupBy("Brand").agg(F.countDistinct("OrderID").alias("brand_orders"))
+    # lines of unknown products (NULL brand) do not compete as a brand
+    by_brand = (lines.where(F.col("Brand").isNotNull())
+                .groupBy("Brand").agg(F.countDistinct("OrderID").alias("brand_orders")))
     top = top_k_with_ties(by_brand, "brand_orders", p.top_brands_by_orders, "brand_rank")
     # ties can keep more than k brands, so the list is not hinted as broadcast
     keep = top.select(F.col("Brand").alias("__b"))
-    sel = lines.join(keep, lines["Brand"].eqNullSafe(keep["__b"]), "left_semi")
+    sel = lines.join(keep, lines["Brand"] == keep["__b"], "left_semi")
     g = sel.groupBy("Brand", trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(*_order_kpis())
     return g.select("Brand", "order_month", *_order_kpi_cols())
 

@@ -52,3 +52,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return {name: e.sql() for name, e in REGISTRY.items() if e.oracle is not None}
+
+
+def publish_views(spark: SparkSession, model: GoldModel, names: list[str] | None = None,
+                  prefix: str = "") -> list[str]:
+    """Expose analytics as (session) temp views over a model, replacing
+    ``CREATE OR REPLACE VIEW``; A16: read them back with ``spark.table``.
+    Views stay lazy - each read re-plans against the current model."""
+    _load()
+    out = []
+    for name in names or list(REGISTRY):
+        e = REGISTRY[name]
+        if e.build is None:
+            continue
+        e.build(model, e.params).createOrReplaceTempView(prefix + name)
+        out.append(prefix + name)
+    return out

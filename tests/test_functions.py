@@ -47,3 +47,12 @@ def test_change_hash_is_null_safe(spark):
     df = spark.createDataFrame([(None, "a"), ("a", None)], "x string, y string")
     h = [r[0] for r in df.select(change_hash(["x", "y"])).collect()]
     assert h[0] != h[1]
+
+
+def test_publish_views_read_back(spark):
+    from ledgerlake.model import GoldModel
+    from ledgerlake.plans.catalog import publish_views
+    m = GoldModel.from_testdata(spark, "/root/testdata/sf0.001")
+    names = publish_views(spark, m, ["revenue_by_month", "top_5_brands"], prefix="gold_")
+    assert names == ["gold_revenue_by_month", "gold_top_5_brands"]
+    assert spark.table("gold_top_5_brands").count() >= 5

@@ -29,7 +29,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import materialize
 
 
 def running_by_order(
@@ -61,8 +61,7 @@ def running_by_order(
     if not partition_cols:
         # ``df`` feeds both the rollup and the join back; fix it once in
         # reliable storage so the upstream plan is not evaluated twice.
-        checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        df = materialize(df)
     aggs = []
     for out, src in sums.items():
         aggs.append(F.sum(src).alias(f"__s_{out}"))

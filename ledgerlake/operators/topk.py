@@ -22,11 +22,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .share import attach_scalars
 
 
 def top_k_with_ties(df: DataFrame, value: str, k: int, rank_col: str) -> DataFrame:
-    """Rows of ``df`` whose ``RANK() OVER (ORDER BY value DESC)`` is <= k."""
+    """Rows of ``df`` whose ``RANK() OVER (ORDER BY value DESC)`` is <= k.
+
+    ``df`` (an aggregate: one row per ranked entity) is read three times -
+    threshold, candidates, rank table - so it is materialised once.
+    """
+    df = materialize(df)
     kth = df.select(value).orderBy(F.col(value).desc_nulls_last()).limit(k)
     thr = kth.agg(F.min(value).alias("__thr"), F.count(value).alias("__nonnull"))
     cand = attach_scalars(df, thr).where(

@@ -21,6 +21,7 @@ from ..model import GoldModel
 from ..operators.topk import top_k_with_ties
 from ..params import Params
 from ..operators.share import attach_scalars
+from ..session import materialize
 
 # The three indicator glyphs of the month-over-month measure
 # (UNICHAR 9610, 9650, 9660).
@@ -77,22 +78,24 @@ def kpi_base(m: GoldModel, p: Params, by: str = "year") -> DataFrame:
     return g.select(*keys, *_kpi_cols())
 
 
-def _year_flags(m: GoldModel) -> DataFrame:
-    y = m.fact.agg(F.max(F.year("LastEditedWhen")).alias("current_year"))
-    return attach_scalars(m.fact, y).withColumn("__y", F.year("LastEditedWhen"))
-
-
-def _cy_ly_aggs() -> list[Column]:
+def _cy_ly(per_year: DataFrame, keys: list[str]) -> DataFrame:
+    """Current (last) year vs the calendar year before, from a per-(slice,
+    year) aggregate: one fact pass; the small aggregate is materialised
+    because the last year and the pick both read it."""
+    per_year = materialize(per_year)
+    last = per_year.agg(F.max("__y").alias("current_year"))
+    j = attach_scalars(per_year, last)
     cy = F.col("__y") == F.col("current_year")
     ly = F.col("__y") == F.col("current_year") - 1
-    return [
-        sum_revenue(cy).alias("cy_revenue"),
-        F.countDistinct(F.when(cy, F.col("OrderID"))).alias("cy_orders"),
-        F.sum(F.when(cy, F.col("Quantity"))).cast("bigint").alias("cy_quantities"),
-        sum_revenue(ly).alias("ly_revenue"),
-        F.countDistinct(F.when(ly, F.col("OrderID"))).alias("ly_orders"),
-        F.sum(F.when(ly, F.col("Quantity"))).cast("bigint").alias("ly_quantities"),
-    ]
+    g = j.groupBy(*keys, "current_year").agg(
+        F.sum(F.when(cy, F.col("gross_revenue"))).alias("cy_revenue"),
+        F.coalesce(F.sum(F.when(cy, F.col("orders"))), F.lit(0)).alias("cy_orders"),
+        F.sum(F.when(cy, F.col("quantities"))).cast("bigint").alias("cy_quantities"),
+        F.sum(F.when(ly, F.col("gross_revenue"))).alias("ly_revenue"),
+        F.coalesce(F.sum(F.when(ly, F.col("orders"))), F.lit(0)).alias("ly_orders"),
+        F.sum(F.when(ly, F.col("quantities"))).cast("bigint").alias("ly_quantities"),
+    )
+    return g.select(*keys, "current_year", *_cy_ly_cols())
 
 
 def _cy_ly_cols() -> list[Column]:
@@ -109,15 +112,15 @@ def _cy_ly_cols() -> list[Column]:
 
 def kpi_current_vs_prior_year(m: GoldModel, p: Params) -> DataFrame:
     """L2 + L3: current (last) year vs the calendar year before, whole fact."""
-    g = _year_flags(m).groupBy("current_year").agg(*_cy_ly_aggs())
-    return g.select("current_year", *_cy_ly_cols())
+    per = m.fact.groupBy(F.year("LastEditedWhen").alias("__y")).agg(*_base_aggs())
+    return _cy_ly(per, [])
 
 
 def kpi_yoy_pct_by_brand(m: GoldModel, p: Params) -> DataFrame:
     """L3 sliced by brand: (CY - LY) / LY with the global last year."""
-    f = _year_flags(m).join(m.products.select("ProductID", "Brand"), "ProductID", "left")
-    g = f.groupBy("Brand", "current_year").agg(*_cy_ly_aggs())
-    return g.select("Brand", "current_year", *_cy_ly_cols())
+    f = m.fact.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
+    per = f.groupBy("Brand", F.year("LastEditedWhen").alias("__y")).agg(*_base_aggs())
+    return _cy_ly(per, ["Brand"])
 
 
 def mom_indicator(m: GoldModel, p: Params) -> DataFrame:
@@ -247,6 +250,7 @@ def decline_drivers(m: GoldModel, p: Params) -> DataFrame:
          .groupBy("Brand").agg(F.coalesce(F.sum("ra"), F.lit(0)).alias("ra"),
                                F.coalesce(F.sum("rb"), F.lit(0)).alias("rb"))
          .withColumn("chg", F.col("rb") - F.col("ra")))
+    g = materialize(g)  # read by the total change and by the rows
     total = g.agg(F.sum("chg").alias("__tot"))
     return attach_scalars(g, total).select(
         "Brand",

@@ -19,7 +19,7 @@ from ..model import GoldModel
 from ..operators.ntile import global_ntile
 from ..operators.share import attach_scalars, with_partition_total
 from ..params import Params
-from ..session import checkpoint_dir
+from ..session import materialize
 
 
 def customer_activity(m: GoldModel, p: Params) -> DataFrame:
@@ -39,8 +39,7 @@ def scored(m: GoldModel, p: Params) -> DataFrame:
     """Customer activity with R/F/M quintile scores."""
     # one row per customer; fixed once in reliable storage so the three
     # range-partitioned sorts (and their sampling passes) read it, not the fact
-    checkpoint_dir(m.spark)
-    a = customer_activity(m, p).checkpoint(eager=True)
+    a = materialize(customer_activity(m, p))
     n = p.rfm_tiles
     tie = F.col("CustomerID").asc()
     a = global_ntile(a, n, [F.col("Recency").desc(), tie], "R_Score")
@@ -157,10 +156,10 @@ def customers_by_risk_and_status(m: GoldModel, p: Params) -> DataFrame:
     """M8: customers and expected orders per risk category x health status,
     with the share of all customers."""
     a = clv_risk(m, p).where(F.col("CustomerID").isNotNull())
-    g = a.groupBy("risk_category", "health_status").agg(
+    g = materialize(a.groupBy("risk_category", "health_status").agg(
         F.count(F.lit(1)).alias("customer_count"),
         F.sum(F.round("expected_orders_raw")).alias("expected_orders"),
-    )
+    ))
     total = g.agg(F.sum("customer_count").alias("__all"))
     return attach_scalars(g, total).select(
         "risk_category", "health_status", "customer_count",
@@ -196,6 +195,7 @@ def migration_rates(m: GoldModel, p: Params) -> DataFrame:
                     F.max("LastEditedWhen").alias("last_order_date"))
                .join(c, "CustomerID", "left_semi")
                .withColumn("recency", day_diff(F.col("LastEditedDate"), asof)))
+    per_day = materialize(per_day)  # one row per customer and order day, read by both periods
     y0 = dt.datetime(p.anchor_year, 1, 1)
     y1 = dt.datetime(p.anchor_year + 1, 1, 1)
     maxd = (m.fact.where((F.col("LastEditedWhen") >= ts_lit(y0)) & (F.col("LastEditedWhen") < ts_lit(y1)))

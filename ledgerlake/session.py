@@ -23,6 +23,7 @@ LOCAL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -55,3 +56,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="ledgerlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Write an intermediate that several branches of one plan consume to
+    reliable storage once (``checkpoint``), instead of letting each branch
+    re-run its upstream plan. Used for *aggregates* (one row per key or
+    period), never for raw fact rows; also cuts the lineage, so a lost
+    executor does not trigger a recomputation from the source tables."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

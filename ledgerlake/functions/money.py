@@ -44,16 +44,6 @@ def sum_revenue(condition: Column | None = None) -> Column:
     return money_from_cents(F.sum(c))
 
 
-def rounded_revenue(qty: str = "Quantity", price: str = "UnitPrice") -> Column:
-    """Line revenue rounded to cents before aggregation."""
-    return F.round(revenue(qty, price), 2)
-
-
-def as_double(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return c.cast("double")
-
-
 def unit_price_from_extended(extended: str, quantity: str) -> Column:
     """Exact-cent unit price from an extended line amount.
 

@@ -20,10 +20,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import surrogate_key  # noqa: F401  (re-exported for callers)
 from ..operators import calendar, dq, scd
 from ..operators.dedupe import latest_per_key
-from ..schemas import DIMENSIONS
+from ..schemas import DIMENSIONS, LANDING
 from ..sources import landing
 from . import runlog
 from .stage import StageResult, run_stage, stamp
@@ -44,9 +43,8 @@ def ingest_bronze(spark: SparkSession, root: str, table: str, landing_path: str,
     folder is a no-op); the batch's files are logged as its sources.
     """
     p = _paths(root)
-    spec = DIMENSIONS.get(table)
-    schema = spec["csv"] if spec else None
-    df = landing.read_csv(spark, landing_path, schema)
+    schema, stamps = LANDING[table]
+    df = landing.read_csv(spark, landing_path, schema, stamps)
     done = runlog.processed_sources(spark, p["log"], "bronze", table)
     if done is not None:
         # the ledger grows with every file ever loaded: no broadcast hint,
@@ -88,6 +86,27 @@ def build_silver(spark: SparkSession, root: str, table: str, now: dt.datetime,
     return run_stage(out, checks, f"{p['silver']}/{table}", p["log"], "silver", table, now)
 
 
+def build_silver_orders(spark: SparkSession, root: str, now: dt.datetime,
+                        high_date: dt.datetime = scd.HIGH_DATE) -> StageResult:
+    """Order lines newer than the last successful silver load, with the
+    order date and audit columns the fact needs (no dedupe: the grain is
+    the order line)."""
+    p = _paths(root)
+    mark = runlog.high_water_mark(spark, p["log"], "silver", "orders")
+    src = spark.read.parquet(f"{p['bronze']}/orders").where(
+        F.col("record_creation_date") > F.lit(mark.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
+    ts = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    out = src.withColumns({
+        "LastEditedDate": F.to_date("LastEditedWhen"),
+        "effective_start_dt": ts,
+        "effective_end_dt": F.lit(high_date.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"),
+        "active_flg": F.lit(1), "insert_dt": ts, "update_dt": ts, "record_creation_date": ts,
+    })
+    checks = [dq.Check("not_null", "OrderID"), dq.Check("not_null", "ProductID"),
+              dq.Check("not_null", "CustomerID"), dq.Check("greater_than", "Quantity", {"value": 0})]
+    return run_stage(out, checks, f"{p['silver']}/orders", p["log"], "silver", "orders", now)
+
+
 # ---------------------------------------------------------------- gold dimensions
 
 def read_dimension(spark: SparkSession, root: str, table: str) -> DataFrame | None:

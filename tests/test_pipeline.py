@@ -90,3 +90,48 @@ def test_stream_ingest_exactly_once(spark, scratch):
     q.awaitTermination()
     assert runlog.current_version(spark, f"{root}/log", "gold", "customers") == v
     assert spark.read.parquet(f"{root}/quarantine").count() == 1
+
+
+ORDERS_HEADER = "OrderID,ProductID,SupplierId,CustomerID,Quantity,UnitPrice,TaxRate,LastEditedBy,LastEditedWhen"
+SUPPLIERS_HEADER = "SupplierId,SupplierName,PhoneNumber,Email,ValidFrom,ValidTo"
+PRODUCTS_HEADER = "ProductID,ProductName,Color,Brand,Size,Barcode,TaxRate,UnitPrice,SupplierId,ValidFrom,ValidTo"
+
+
+def _write_raw(folder, name, header, lines):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as fh:
+        fh.write("\n".join([header, *lines]) + "\n")
+
+
+def test_orders_to_gold_fact(spark, scratch):
+    root = os.path.join(scratch, "lake")
+    t1 = dt.datetime(2024, 3, 1)
+    lz = {t: os.path.join(scratch, f"landing_{t}") for t in ("customers", "products", "suppliers", "orders")}
+    _write(lz["customers"], "c.csv", [_line(1), _line(2)])
+    _write_raw(lz["suppliers"], "s.csv", SUPPLIERS_HEADER, ["7,Acme,555,a@acme.io,,"])
+    _write_raw(lz["products"], "p.csv", PRODUCTS_HEADER,
+               ["10,Bolt,red,BrandA,S,111,0.15,2.50,7,,", "11,Nut,blue,BrandB,M,112,0.15,1.25,7,,"])
+    _write_raw(lz["orders"], "o.csv", ORDERS_HEADER, [
+        "100,10,7,1,4,2.50,0.15,1,2024.02.01 10:00:00",
+        "100,11,7,1,2,1.25,0.15,1,2024.02.01 10:00:00",
+        "101,11,7,2,1,1.25,0.15,1,2024.02.03 23:30:00",
+        "102,10,7,3,1,2.50,0.15,1,2024.02.04 09:00:00",   # customer 3 unknown -> NULL customer_skey
+        "103,10,7,1,1,2.50,0.15,1,2024.13.04 09:00:00",   # bad stamp -> quarantine
+    ])
+    for t in ("customers", "products", "suppliers"):
+        medallion.ingest_bronze(spark, root, t, lz[t], t1)
+        medallion.build_silver(spark, root, t, t1)
+        medallion.merge_dimension(spark, root, t, t1)
+    medallion.build_dim_date(spark, root, t1, dt.date(2024, 1, 1), dt.date(2024, 12, 31))
+    medallion.ingest_bronze(spark, root, "orders", lz["orders"], t1)
+    assert medallion.build_silver_orders(spark, root, t1).status == "success"
+    silver = spark.read.parquet(f"{root}/silver/orders")
+    assert silver.count() == 4
+    res = medallion.build_fact(spark, root, silver, t1)
+    assert res.status == "success"
+    fact = spark.read.parquet(f"{root}/gold/orders_fact")
+    rows = {(r.OrderID, r.ProductID): r for r in fact.collect()}
+    assert len(rows) == 4 and {r.order_year for r in rows.values()} == {2024}
+    assert rows[(101, 11)].date_skey == "20240203" and rows[(100, 10)].product_skey is not None
+    assert rows[(102, 10)].customer_skey is None and rows[(100, 10)].supplier_skey is not None
+    assert spark.read.parquet(f"{root}/quarantine").where("Table_name = 'orders'").count() == 1

@@ -45,7 +45,10 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "
     spark = df.sparkSession
     checkpoint_dir(spark)
     if partitions is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # as many ranges as the input has partitions: a materialised
+        # aggregate's count was fitted to its size by AQE (few for a small
+        # table, thousands on a cluster), not the static shuffle setting
+        partitions = max(1, df.rdd.getNumPartitions())
     order_cols = _sort_cols(order)
     ranged = (
         df.repartitionByRange(partitions, *order_cols)

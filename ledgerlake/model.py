@@ -42,6 +42,23 @@ class GoldModel:
     def active_customers(self) -> DataFrame:
         return self.customers.where(F.col("active_flg") == 1)
 
+    def fact_between(self, lo: dt.datetime | None = None, hi: dt.datetime | None = None) -> DataFrame:
+        """Fact rows with ``lo <= LastEditedWhen < hi``. On a materialised
+        gold fact the same range is also stated on the ``order_year``
+        partition column, so whole year folders are skipped at planning."""
+        f = self.fact
+        ts = F.col("LastEditedWhen")
+        if lo is not None:
+            f = f.where(ts >= F.lit(lo.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
+            if "order_year" in f.columns:
+                f = f.where(F.col("order_year") >= lo.year)
+        if hi is not None:
+            f = f.where(ts < F.lit(hi.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
+            if "order_year" in f.columns:
+                last_year = hi.year if (hi.month, hi.day, hi.hour, hi.minute, hi.second) != (1, 1, 0, 0, 0) else hi.year - 1
+                f = f.where(F.col("order_year") <= last_year)
+        return f
+
     def fact_in_calendar(self) -> DataFrame:
         """``dim_date JOIN orders_fact ON LastEditedDate = date``.
 

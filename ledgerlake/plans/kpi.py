@@ -177,8 +177,7 @@ def brand_period_change(m: GoldModel, p: Params) -> DataFrame:
     (a0, a1), (b0, b1) = p.period_a, p.period_b
     y = F.year("LastEditedWhen")
     lo, hi = min(a0, b0), max(a1, b1)
-    f = m.fact.where((F.col("LastEditedWhen") >= ts_lit(dt.datetime(lo, 1, 1)))
-                     & (F.col("LastEditedWhen") < ts_lit(dt.datetime(hi + 1, 1, 1))))
+    f = m.fact_between(dt.datetime(lo, 1, 1), dt.datetime(hi + 1, 1, 1))
     per = f.groupBy("ProductID").agg(
         sum_revenue(y.between(a0, a1)).alias("ra"),
         sum_revenue(y.between(b0, b1)).alias("rb"))
@@ -241,8 +240,8 @@ def decline_drivers(m: GoldModel, p: Params) -> DataFrame:
     month = trunc_ts("month", "LastEditedWhen")
     a_ts, b_ts = ts_lit(ma), ts_lit(mb)
     lo, hi = min(ma, mb), max(ma, mb)
-    f = m.fact.where((F.col("LastEditedWhen") >= ts_lit(lo))
-                     & (F.col("LastEditedWhen") < F.timestamp_add("MONTH", F.lit(1), ts_lit(hi))))
+    nxt = dt.datetime(hi.year + (hi.month == 12), hi.month % 12 + 1, 1)
+    f = m.fact_between(dt.datetime(lo.year, lo.month, 1), nxt)
     per = f.groupBy("ProductID").agg(
         sum_revenue(month == a_ts).alias("ra"),
         sum_revenue(month == b_ts).alias("rb"))

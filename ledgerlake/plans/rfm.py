@@ -198,8 +198,7 @@ def migration_rates(m: GoldModel, p: Params) -> DataFrame:
     per_day = materialize(per_day)  # one row per customer and order day, read by both periods
     y0 = dt.datetime(p.anchor_year, 1, 1)
     y1 = dt.datetime(p.anchor_year + 1, 1, 1)
-    maxd = (m.fact.where((F.col("LastEditedWhen") >= ts_lit(y0)) & (F.col("LastEditedWhen") < ts_lit(y1)))
-            .agg(F.max("LastEditedWhen").alias("MaxDate")))
+    maxd = m.fact_between(y0, y1).agg(F.max("LastEditedWhen").alias("MaxDate"))
     tagged = attach_scalars(per_day, maxd)  # one-row scalar
     lo6, lo3 = add_months_ts("MaxDate", -6), add_months_ts("MaxDate", -3)
     last = F.col("last_order_date")

@@ -47,6 +47,12 @@ class Params:
     month_b: dt.date = dt.date(2001, 7, 1)
     # M4 top brands by order count
     top_brands_by_orders: int = 3
+    # Approximate distinct counts (HyperLogLog++) in the reports, for scale
+    approx_distinct: bool = False
+    # Q23: RFM Frequency / expected orders count order lines (as written) or distinct orders
+    rfm_distinct_orders: bool = False
+    # Q24: label of a customer absent from a migration period (None = the else-label)
+    migration_absent_label: str | None = None
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "Params":

@@ -19,6 +19,11 @@ from ..operators.share import share_pct
 from ..params import Params
 
 
+def _distinct(col: str, p: Params) -> Column:
+    """COUNT(DISTINCT col), or its HyperLogLog++ estimate when ``p.approx_distinct``."""
+    return F.approx_count_distinct(col) if p.approx_distinct else F.countDistinct(col)
+
+
 def _money(c: str) -> Column:
     return F.col(c).cast("double").alias(c)
 
@@ -34,10 +39,10 @@ def customer_base(m: GoldModel, p: Params) -> DataFrame:
     """Per customer metrics over calendar-matched orders of active customers."""
     f = m.fact_in_calendar()
     per = f.groupBy("CustomerID").agg(
-        F.countDistinct("OrderID").alias("total_orders"),
+        _distinct("OrderID", p).alias("total_orders"),
         sum_revenue().alias("total_revenue"),
         F.sum("Quantity").cast("bigint").alias("total_quantity"),
-        F.countDistinct("ProductID").alias("total_products"),
+        _distinct("ProductID", p).alias("total_products"),
         F.max("LastEditedWhen").alias("last_order_date"),
         F.min("LastEditedWhen").alias("first_order_date"),
     )
@@ -88,10 +93,10 @@ def segment_part_to_whole(m: GoldModel, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------------ K17 / K18 products
 
-def _product_aggs() -> list:
+def _product_aggs(p: Params) -> list:
     return [
-        F.countDistinct("OrderID").alias("total_orders"),
-        F.countDistinct("CustomerID").alias("total_customers"),
+        _distinct("OrderID", p).alias("total_orders"),
+        _distinct("CustomerID", p).alias("total_customers"),
         sum_revenue().alias("total_revenue"),
         F.sum("Quantity").cast("bigint").alias("total_quantity"),
         F.max("LastEditedWhen").alias("last_order_date"),
@@ -107,7 +112,7 @@ def product_report(m: GoldModel, p: Params) -> DataFrame:
     # lines with a non-zero quantity and averaged exactly
     line_sp = F.when(F.col("Quantity") != 0, units("UnitPrice"))
     per = f.withColumn("__sp", line_sp).groupBy("ProductID").agg(
-        *_product_aggs(),
+        *_product_aggs(p),
         F.sum("__sp").alias("__sp_sum"), F.count("__sp").alias("__sp_n"),
     )
     prods = m.active_products().select("ProductID", "ProductName", "UnitPrice")
@@ -133,7 +138,7 @@ def product_report(m: GoldModel, p: Params) -> DataFrame:
 def product_metrics_base(m: GoldModel, p: Params) -> DataFrame:
     """Per (active product, *fact* unit price) aggregates (K18 grain)."""
     per = m.fact.groupBy("ProductID", "UnitPrice").agg(
-        *_product_aggs(),
+        *_product_aggs(p),
         F.sum(units("UnitPrice")).alias("__pu"), F.count("UnitPrice").alias("__pn"),
     )
     prods = m.active_products().select("ProductID", "ProductName", "Brand")

@@ -25,13 +25,15 @@ from ..session import materialize
 def customer_activity(m: GoldModel, p: Params) -> DataFrame:
     """Per-customer Recency / Frequency / Monetary and purchase-gap inputs."""
     asof = ts_lit(p.as_of)
+    # Q23: the reference counts order *lines*; optionally distinct orders
+    n = F.countDistinct("OrderID") if p.rfm_distinct_orders else F.count("OrderID")
     return m.fact.groupBy("CustomerID").agg(
         day_diff(F.max("LastEditedDate"), asof).alias("Recency"),
-        F.count("OrderID").alias("Frequency"),
+        n.alias("Frequency"),
         sum_revenue().alias("Monetary"),
         day_diff(F.max("LastEditedWhen"), asof).alias("days_since_last_purchase"),
         (day_diff(F.min("LastEditedWhen"), F.max("LastEditedWhen"))
-         / F.nullif(F.count("OrderID") - 1, F.lit(0))).alias("avg_purchase_gap"),
+         / F.nullif(n - 1, F.lit(0))).alias("avg_purchase_gap"),
     )
 
 
@@ -187,6 +189,7 @@ def migration_rates(m: GoldModel, p: Params) -> DataFrame:
     customer present in one period only pairs with the else-label.
     """
     label = p.migration_else_label
+    absent = p.migration_absent_label or label
     asof = ts_lit(p.as_of)
     f = m.fact_in_calendar()
     c = m.active_customers().select("CustomerID")
@@ -209,8 +212,8 @@ def migration_rates(m: GoldModel, p: Params) -> DataFrame:
           .groupBy("CustomerID", _segment("recency", "total_orders", label).alias("s2"))
           .agg(F.count(F.lit(1)).alias("n2")))
     pairs = p1.join(p2, "CustomerID", "full_outer").select(
-        F.coalesce(F.col("s1"), F.lit(label)).alias("Starting_Segment"),
-        F.coalesce(F.col("s2"), F.lit(label)).alias("Ending_Segment"),
+        F.coalesce(F.col("s1"), F.lit(absent)).alias("Starting_Segment"),
+        F.coalesce(F.col("s2"), F.lit(absent)).alias("Ending_Segment"),
         (F.coalesce(F.col("n1"), F.lit(1)) * F.coalesce(F.col("n2"), F.lit(1))).alias("pairs"),
     )
     counts = pairs.groupBy("Starting_Segment", "Ending_Segment").agg(

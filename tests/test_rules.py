@@ -99,3 +99,19 @@ def test_scd_random_batches_equal_naive_replay(spark, seed):
     want = sorted(((k, a, b, f, t) for k, a, b, f, t in naive), key=key)
     assert got == want
     assert snap.where("active_flg = 1").groupBy("k").count().where("count > 1").count() == 0
+
+
+def test_optional_flags(spark):
+    m = GoldModel.from_testdata(spark, "/root/testdata/sf0.001")
+    exact = {r.CustomerID: r.total_orders for r in reports.customer_report(m, DEFAULT).collect()}
+    approx = {r.CustomerID: r.total_orders for r in
+              reports.customer_report(m, DEFAULT.with_(approx_distinct=True)).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.1 * exact[k]) for k in exact)
+    lines = {r.CustomerID: r.Frequency for r in rfm.customer_activity(m, DEFAULT).collect()}
+    orders = {r.CustomerID: r.Frequency for r in
+              rfm.customer_activity(m, DEFAULT.with_(rfm_distinct_orders=True)).collect()}
+    assert all(orders[k] <= lines[k] for k in lines) and sum(orders.values()) < sum(lines.values())
+    labels = {r.Starting_Segment for r in
+              rfm.migration_rates(m, DEFAULT.with_(migration_absent_label="Absent")).collect()}
+    assert "Absent" in labels

@@ -18,6 +18,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators import calendar, dq, scd
@@ -35,34 +36,35 @@ def _paths(root: str) -> dict[str, str]:
 
 # ---------------------------------------------------------------- bronze
 
+def loaded_sources(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """Files already in bronze. Every bronze row keeps its ``source_file``,
+    so loading a file is a single atomic append and replays can be detected
+    from the data itself (no second ledger write that a crash could skip)."""
+    try:
+        return spark.read.parquet(f"{_paths(root)['bronze']}/{table}").select(landing.SOURCE).distinct()
+    except AnalysisException:
+        return None
+
+
 def ingest_bronze(spark: SparkSession, root: str, table: str, landing_path: str, now: dt.datetime,
                   contract: dict | None = None) -> StageResult:
     """Landing CSV -> quarantine bad rows -> validate clean rows -> append.
 
-    Files already recorded in the log are skipped (replaying a landing
-    folder is a no-op); the batch's files are logged as its sources.
+    Files whose rows are already in bronze are skipped, so replaying a
+    landing folder (or re-running after a failure) appends nothing twice.
     """
     p = _paths(root)
     schema, stamps = LANDING[table]
     df = landing.read_csv(spark, landing_path, schema, stamps)
-    done = runlog.processed_sources(spark, p["log"], "bronze", table)
+    done = loaded_sources(spark, root, table)
     if done is not None:
-        # the ledger grows with every file ever loaded: no broadcast hint,
-        # Spark/AQE size the join at runtime
-        df = df.join(done.withColumnRenamed("source", landing.SOURCE), landing.SOURCE, "left_anti")
+        # grows with every file ever loaded: no broadcast hint, AQE sizes it
+        df = df.join(done, landing.SOURCE, "left_anti")
     clean, bad = landing.split(df)
     landing.quarantine_rows(bad, "bronze", table, now).write.mode("append").parquet(p["quarantine"])
-    out = stamp(clean.drop(landing.SOURCE), now, ("insert_dt", "record_creation_date"))
+    out = stamp(clean, now, ("insert_dt", "record_creation_date"))
     checks = dq.contract_checks(contract, check_ordered_columns=False) if contract else []
-    res = run_stage(out, checks, f"{p['bronze']}/{table}", p["log"], "bronze", table, now)
-    if res.status == "success":
-        # ledger of the files this batch consumed, written by the executors
-        ts = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-        (df.select(F.col(landing.SOURCE).alias("source")).distinct()
-         .select(F.lit("bronze").alias("Schema"), F.lit(table).alias("Table_name"), F.lit("success").alias("Status"),
-                 ts.alias("Created_at"), F.lit(None).cast("int").alias("version"), "source")
-         .write.mode("append").parquet(p["log"]))
-    return res
+    return run_stage(out, checks, f"{p['bronze']}/{table}", p["log"], "bronze", table, now)
 
 
 # ---------------------------------------------------------------- silver
@@ -133,13 +135,12 @@ def merge_dimension(spark: SparkSession, root: str, table: str, now: dt.datetime
     else:
         snap = scd.merge(current, updates, key, t1, t2, now, reactivate_inactive=reactivate_inactive)
     checks = [dq.Check("unique", "skey"), dq.Check("not_null", key)]
-    # at most one active version per key
-    active = snap.where(F.col("active_flg") == 1).select(F.col(key).alias("__active_key"))
-    res = run_stage(snap, checks, f"{p['gold']}/{table}/v={version}", p["log"], "gold", table, now,
-                    mode="overwrite", version=version)
+    out = f"{p['gold']}/{table}/v={version}"
+    res = run_stage(snap, checks, out, p["log"], "gold", table, now, mode="overwrite", version=version)
     if res.status == "success":
-        extra = dq.run_checks(active, [dq.Check("unique", "__active_key")])
-        if not dq.all_passed(extra):
+        # at most one active version per key, checked on what was written
+        active = spark.read.parquet(out).where(F.col("active_flg") == 1).select(F.col(key).alias("__active_key"))
+        if not dq.all_passed(dq.run_checks(active, [dq.Check("unique", "__active_key")])):
             raise ValueError(f"{table}: more than one active version for a key")
     return res
 

@@ -11,10 +11,10 @@ Structured Streaming job:
 * ``trigger(availableNow=True)``: each run drains what has arrived, then
   stops - a scheduled batch job with streaming bookkeeping;
 * ``foreachBatch``: quarantine -> bronze append -> latest per key ->
-  SCD1+2 merge into a new gold snapshot. The batch id is written to the
-  run log, and a batch id already logged is skipped, so a batch replayed
-  after a failure appends nothing twice (the merge itself is also a no-op
-  on replay).
+  SCD1+2 merge into a new gold snapshot. Bronze rows carry their source
+  file, so rows of files already in bronze are dropped from a replayed
+  batch (a batch re-run after a failure appends nothing twice; the merge
+  itself is also a no-op on replay). The batch id is logged for audit.
 
 Checkpoint and archive folders must be on the shared file system the
 cluster uses (the caller passes them; tests use scratch folders).
@@ -33,6 +33,7 @@ from ..jobs import medallion, runlog
 from ..jobs.stage import stamp
 from ..operators.dedupe import latest_per_key
 from ..schemas import DIMENSIONS
+from ..session import materialize
 from ..sources import landing
 
 
@@ -52,20 +53,23 @@ def process_batch(spark: SparkSession, root: str, table: str, batch: DataFrame,
     """Quarantine, bronze append and SCD merge of one micro-batch."""
     paths = medallion._paths(root)
     tag = f"batch:{table}:{batch_id}"
-    done = runlog.processed_sources(spark, paths["log"], "stream", table)
-    if done is not None and done.where(F.col("source") == tag).limit(1).count() > 0:
+    done = medallion.loaded_sources(spark, root, table)
+    if done is not None:
+        # a replayed batch: its files already reached bronze in one atomic append
+        batch = batch.join(done, landing.SOURCE, "left_anti")
+    # Fix the batch's new rows in reliable storage *before* bronze grows:
+    # re-planning the anti-join after the append (cache eviction, a lost
+    # executor) would otherwise see these very rows as already loaded.
+    fresh = materialize(batch)
+    if fresh.limit(1).count() == 0:
         return "skipped"
-    batch = batch.persist()  # read twice (quarantine + clean); recomputable if an executor is lost
-    try:
-        clean, bad = landing.split(batch)
-        landing.quarantine_rows(bad, "bronze", table, now).write.mode("append").parquet(paths["quarantine"])
-        rows = stamp(clean.drop(landing.SOURCE), now, ("insert_dt", "record_creation_date"))
-        rows.write.mode("append").parquet(f"{paths['bronze']}/{table}")
-        key = DIMENSIONS[table]["key"]
-        updates = latest_per_key(rows, [key], ["record_creation_date"]).drop("ValidFrom", "ValidTo")
-        res = medallion.merge_dimension(spark, root, table, now, silver_rows=updates)
-    finally:
-        batch.unpersist()
+    clean, bad = landing.split(fresh)
+    landing.quarantine_rows(bad, "bronze", table, now).write.mode("append").parquet(paths["quarantine"])
+    rows = stamp(clean, now, ("insert_dt", "record_creation_date"))
+    rows.write.mode("append").parquet(f"{paths['bronze']}/{table}")
+    key = DIMENSIONS[table]["key"]
+    updates = latest_per_key(rows, [key], ["record_creation_date"]).drop("ValidFrom", "ValidTo", landing.SOURCE)
+    res = medallion.merge_dimension(spark, root, table, now, silver_rows=updates)
     runlog.append(spark, paths["log"], "stream", table, res.status, now, source=tag)
     return res.status
 

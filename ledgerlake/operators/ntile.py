@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, num_partitions
 from .share import attach_scalars
 
 _LOW33 = (1 << 33) - 1
@@ -48,7 +48,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "
         # as many ranges as the input has partitions: a materialised
         # aggregate's count was fitted to its size by AQE (few for a small
         # table, thousands on a cluster), not the static shuffle setting
-        partitions = max(1, df.rdd.getNumPartitions())
+        partitions = max(1, num_partitions(df))
     order_cols = _sort_cols(order)
     ranged = (
         df.repartitionByRange(partitions, *order_cols)

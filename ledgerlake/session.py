@@ -66,3 +66,14 @@ def materialize(df):
     executor does not trigger a recomputation from the source tables."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def num_partitions(df, default: int | None = None) -> int:
+    """Input partition count of a DataFrame's plan (no job). Spark Connect
+    sessions expose no RDD; there the shuffle setting (or ``default``) is used."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - Connect: PySparkNotImplementedError
+        if default is not None:
+            return default
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

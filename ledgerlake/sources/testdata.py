@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import surrogate_key
 from ..functions.money import MONEY, RATE, unit_price_from_extended
+from ..session import num_partitions
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -45,8 +46,9 @@ def spread(df: DataFrame) -> DataFrame:
     session's parallelism (e.g. one parquet file with one row group, which
     Spark reads in a single task). A large input on a cluster has thousands
     of splits and is returned untouched, so no shuffle is added there."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    spark = df.sparkSession
+    target = int(spark.conf.get("spark.default.parallelism", "0")) or spark.sparkContext.defaultParallelism
+    if num_partitions(df, default=target) < target:
         return df.repartition(target)
     return df
 

@@ -124,8 +124,11 @@ def cum_revenue_by_country_brand(m: GoldModel, p: Params) -> DataFrame:
     f = _dated_fact(m, p).withColumn("order_date", trunc_ts("year", "LastEditedWhen"))
     prods = m.active_products().select("ProductID", "Brand")
     custs = m.customers.select("CustomerID", "Country")
-    per_pc = f.groupBy("ProductID", "CustomerID", "order_date").agg(*_period_aggs())
-    joined = per_pc.join(prods, "ProductID", "inner").join(custs, "CustomerID", "left")
+    # reduce early: lines meet products (needed for the brand), then shrink to
+    # customer x brand x year before the customer lookup
+    per_cb = (f.join(prods, "ProductID", "inner")
+              .groupBy("CustomerID", "Brand", "order_date").agg(*_period_aggs()))
+    joined = per_cb.join(custs, "CustomerID", "left")
     t = _finish_period(joined, ["Country", "Brand", "order_date"])
     r = _running(t, ["order_date"], None)
     return _present(r, ["Country", "Brand", "order_date"], ["Brand", "order_date"])

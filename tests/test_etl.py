@@ -126,3 +126,22 @@ def test_scd_inactive_only_key_and_null_collision(spark):
     b = spark.createDataFrame([(6, "a", None, "1", "m@x.io")], COLS)
     s6 = scd.merge(scd.initial_load(a, "CustomerID", T1, T2, t0), b, "CustomerID", T1, T2, t1)
     assert s6.count() == 2
+
+
+def test_dq_job_count_is_bounded(spark):
+    """All row-level checks share one aggregate pass: adding checks adds no jobs."""
+    df = spark.range(1000).selectExpr("id", "cast(id % 7 as string) AS s", "id % 3 AS t")
+    sc = spark.sparkContext
+
+    def jobs(checks, group):
+        sc.setJobGroup(group, group)
+        dq.run_checks(df, checks).collect()
+        n = len(sc.statusTracker().getJobIdsForGroup(group))
+        sc.setJobGroup("none", "none")
+        return n
+
+    few = [dq.Check("not_null", "id")]
+    many = few + [dq.Check("max_length", "s", {"size": 2}), dq.Check("greater_than", "t", {"value": -1}),
+                  dq.Check("regex", "s", {"pattern": "^[0-9]$"}), dq.Check("not_null", "s"),
+                  dq.Check("between", "id", {"min": 0, "max": 999})]
+    assert jobs(many, "dq_many") == jobs(few, "dq_few")

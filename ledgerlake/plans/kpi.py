@@ -10,7 +10,6 @@ division. "Current year" is the last year present in the fact (the DAX
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

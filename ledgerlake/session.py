@@ -27,6 +27,34 @@ LOCAL_CONF = {
 }
 
 
+# Cluster profile for the 100 TB target (applied by the deployment, e.g. via
+# spark-submit --conf; the library only reads the session it is given).
+# Sizing: ~100 TB of order lines in 256 MB input splits is ~400k scan tasks;
+# 1000 executors x 8 cores work through them in ~50 waves. Shuffles start at
+# 32k partitions and AQE coalesces them towards 256 MB each, so a partition
+# stays far below executor memory at every stage; skewed partitions (a key
+# with a third of the rows) are split by AQE's skew join handling, and every
+# aggregation in the library is partial on the map side.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "32768",
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    # dimensions up to 64 MB (after pruning) broadcast by size; the fact never
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # spark.checkpoint.dir: the shared folder of the cluster (set by the deployment)
+}
+
+
 def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
                   driver_memory: str = "16g", app: str = "ledgerlake") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)

@@ -54,12 +54,15 @@ def _base_aggs() -> list[Column]:
 def kpi_base(m: GoldModel, p: Params, by: str = "year") -> DataFrame:
     """L1: Gross Revenue, Orders, Quantities, Items per Order, AVO, ASP per slice.
 
-    ``by``: ``year`` | ``brand`` | ``region``.
+    ``by``: ``year`` | ``month`` | ``brand`` | ``region``.
     """
     f = m.fact
     if by == "year":
         g = f.groupBy(F.year("LastEditedWhen").alias("order_year")).agg(*_base_aggs())
         keys = ["order_year"]
+    elif by == "month":
+        g = f.groupBy(trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(*_base_aggs())
+        keys = ["order_month"]
     elif by == "brand":
         g = (f.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
              .groupBy("Brand").agg(*_base_aggs()))

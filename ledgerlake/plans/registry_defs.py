@@ -69,6 +69,7 @@ from . import kpi  # noqa: E402
 # L1-L4
 register("kpi_base", kpi.kpi_base, O.kpi_base)
 register("kpi_base_by_brand", lambda m, p: kpi.kpi_base(m, p, by="brand"), lambda p: O.kpi_base(p, by="brand"))
+register("kpi_base_by_month", lambda m, p: kpi.kpi_base(m, p, by="month"), lambda p: O.kpi_base(p, by="month"))
 register("kpi_base_by_region", lambda m, p: kpi.kpi_base(m, p, by="region"), lambda p: O.kpi_base(p, by="region"))
 register("kpi_current_vs_prior_year", kpi.kpi_current_vs_prior_year, O.kpi_current_vs_prior_year)
 register("kpi_yoy_pct_by_brand", kpi.kpi_yoy_pct_by_brand, O.kpi_yoy_pct_by_brand)

@@ -129,8 +129,8 @@ def mom_indicator(m: GoldModel, p: Params) -> DataFrame:
     """L4: revenue vs the previous *calendar* month (blank if that month has
     no sales) with the DAX glyphs. The previous month is found by a join on
     ``month - 1`` over the monthly aggregate (one row per month)."""
-    monthly = m.fact.groupBy(trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(
-        sum_revenue().alias("revenue"))
+    monthly = materialize(m.fact.groupBy(trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(
+        sum_revenue().alias("revenue")))  # read as current and as previous month
     prev = monthly.select(F.col("order_month").alias("__pm"), F.col("revenue").alias("prev_month_revenue"))
     j = monthly.join(prev, F.col("__pm") == F.timestamp_add("MONTH", F.lit(-1), F.col("order_month")), "left")
     cur, pm = F.col("revenue"), F.col("prev_month_revenue")

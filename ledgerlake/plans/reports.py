@@ -17,6 +17,7 @@ from ..functions.money import exact_avg, half_up_div, sum_revenue, units
 from ..model import GoldModel
 from ..operators.share import share_pct
 from ..params import Params
+from ..session import materialize
 
 
 def _distinct(col: str, p: Params) -> Column:
@@ -186,10 +187,17 @@ def revenue_by_product_segment(m: GoldModel, p: Params) -> DataFrame:
 
 
 def customers_by_product_segment(m: GoldModel, p: Params) -> DataFrame:
-    """M7: distinct customers buying from each K18 product segment."""
-    seg = (product_metrics_base(m, p).withColumn("product_segment", _metrics_segment(p))
-           .select("ProductID", "UnitPrice", "product_segment"))
-    lines = m.fact.select("ProductID", "UnitPrice", "CustomerID")
-    return (lines.join(seg, ["ProductID", "UnitPrice"], "inner")
+    """M7: distinct customers buying from each K18 product segment.
+
+    One pass over the fact: revenue per (product, price point, customer) is
+    materialised; the price-point totals that decide the segment and the
+    customer lookup both read that aggregate."""
+    triples = materialize(m.fact.groupBy("ProductID", "UnitPrice", "CustomerID")
+                          .agg(sum_revenue().alias("rev")))
+    points = triples.groupBy("ProductID", "UnitPrice").agg(F.sum("rev").alias("total_revenue"))
+    prods = m.active_products().select("ProductID")
+    seg = (points.join(prods, "ProductID", "inner")
+           .select("ProductID", "UnitPrice", _metrics_segment(p).alias("product_segment")))
+    return (triples.join(seg, ["ProductID", "UnitPrice"], "inner")
             .groupBy("product_segment")
             .agg(F.countDistinct("CustomerID").alias("customers")))

@@ -2,15 +2,15 @@
 
 Layout under ``root``::
 
-    bronze/<table>/            append-only, stamped record_creation_date
+    bronze/<table>/            append-only, stamped record_creation_date, each row
+                               keeps its source_file (files already loaded are skipped)
     quarantine/                bad landing rows of every table
     silver/<table>/            deduplicated latest version per key + audit columns
     gold/<table>/v=<n>/        full dimension snapshot per merge (never
                                overwriting the snapshot being read)
     gold/orders_fact/          fact, partitioned by order_year
     gold/dim_date/
-    log/                       run log (high-water marks, snapshot pointers,
-                               processed-file ledger)
+    log/                       run log (high-water marks, snapshot pointers)
 """
 
 from __future__ import annotations

@@ -63,6 +63,6 @@ def current_version(spark: SparkSession, log_path: str, schema: str, table: str)
 
 
 def processed_sources(spark: SparkSession, log_path: str, schema: str, table: str) -> DataFrame | None:
-    """Source files already loaded successfully (idempotence ledger)."""
+    """``source`` values logged by successful runs (e.g. stream batch ids)."""
     e = _entries(spark, log_path, schema, table)
     return None if e is None else e.where(F.col("source").isNotNull()).select("source").distinct()

@@ -8,7 +8,7 @@ sends the row to quarantine too, instead of becoming a silent NULL (the
 reference's 12-hour ``hh`` pattern rejected 13:00 and mapped 12:30 to 00:30).
 
 Directories and globs are read as one distributed scan; each row keeps its
-source file (``_metadata.file_path``) for the idempotence ledger.
+source file (``_metadata.file_path``), kept in bronze so replays are detected.
 """
 
 from __future__ import annotations

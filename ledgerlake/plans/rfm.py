@@ -191,17 +191,21 @@ def migration_rates(m: GoldModel, p: Params) -> DataFrame:
     label = p.migration_else_label
     absent = p.migration_absent_label or label
     asof = ts_lit(p.as_of)
-    f = m.fact_in_calendar()
+    # one pass over the fact: per customer and order day; both the anchor-year
+    # maximum (over all rows) and the period rows (calendar days of active
+    # customers - filters on the grouping keys) are read from it
+    days = materialize(m.fact.groupBy("CustomerID", "LastEditedDate")
+                       .agg(F.countDistinct("OrderID").alias("total_orders"),
+                            F.max("LastEditedWhen").alias("last_order_date")))
+    y0 = dt.datetime(p.anchor_year, 1, 1)
+    y1 = dt.datetime(p.anchor_year + 1, 1, 1)
+    last = F.col("last_order_date")
+    maxd = days.where((last >= ts_lit(y0)) & (last < ts_lit(y1))).agg(F.max(last).alias("MaxDate"))
+    cal = m.dim_date.select(F.col("date").alias("__d"))
     c = m.active_customers().select("CustomerID")
-    per_day = (f.groupBy("CustomerID", "LastEditedDate")
-               .agg(F.countDistinct("OrderID").alias("total_orders"),
-                    F.max("LastEditedWhen").alias("last_order_date"))
+    per_day = (days.join(F.broadcast(cal), F.col("LastEditedDate") == F.col("__d"), "left_semi")
                .join(c, "CustomerID", "left_semi")
                .withColumn("recency", day_diff(F.col("LastEditedDate"), asof)))
-    per_day = materialize(per_day)  # one row per customer and order day, read by both periods
-    y0 = dt.datetime(p.anchor_year, 1, 1)
-    y1 = dt.datetime(p.anchor_year + 1, 1, 1)
-    maxd = m.fact_between(y0, y1).agg(F.max("LastEditedWhen").alias("MaxDate"))
     tagged = attach_scalars(per_day, maxd)  # one-row scalar
     lo6, lo3 = add_months_ts("MaxDate", -6), add_months_ts("MaxDate", -3)
     last = F.col("last_order_date")

@@ -80,3 +80,14 @@ def test_running_by_order_partitioned(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 10), ("b", 1, 5)], "g string, d int, x long")
     got = sorted(tuple(r) for r in running_by_order(df, ["d"], sums={"s": "x"}, partition_cols=["g"]).collect())
     assert got == [("a", 1, 1, 1), ("a", 2, 2, 3), ("b", 1, 5, 15), ("b", 1, 10, 15)]
+
+
+def test_hot_value_is_split_by_range_partitioning(spark):
+    """A third of the rows share one ordering value; ranging on (value, tie)
+    still spreads them, so no partition holds the hot group alone."""
+    n, parts = 3000, 6
+    rows = [(i, 42 if i % 3 == 0 else i) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, v long")
+    sizes = [r["count"] for r in df.repartitionByRange(parts, "v", "id")
+             .groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == parts and max(sizes) < 2 * n / parts

@@ -17,6 +17,10 @@ from ..operators.share import share_pct, with_grand_total
 from ..operators.topk import top_k_with_ties
 from ..params import Params
 
+# Comparison labels of the reference's year-over-year view.
+AVG_CHANGE = ("Above Avg", "Below Avg", "Avg")
+PY_CHANGE = ("Increase", "Decrease", "No Change")
+
 
 def _revenue_by(m: GoldModel, key: str, extra=(), where=None) -> DataFrame:
     f = m.fact if where is None else m.fact.where(where)
@@ -60,12 +64,12 @@ def _yoy(yearly: DataFrame, key: str, round_avg: bool) -> DataFrame:
         cur.cast("double").alias("current_revenue"),
         F.col("avg_revenue").cast("double").alias("avg_revenue"),
         F.col("diff_avg").cast("double").alias("diff_avg"),
-        F.when(F.col("diff_avg") > 0, "Above Avg").when(F.col("diff_avg") < 0, "Below Avg")
-         .otherwise("Avg").alias("avg_change"),
+        F.when(F.col("diff_avg") > 0, AVG_CHANGE[0]).when(F.col("diff_avg") < 0, AVG_CHANGE[1])
+         .otherwise(AVG_CHANGE[2]).alias("avg_change"),
         F.col("py_revenue").cast("double").alias("py_revenue"),
         F.col("diff_py").cast("double").alias("diff_py"),
-        F.when(F.col("diff_py") > 0, "Increase").when(F.col("diff_py") < 0, "Decrease")
-         .otherwise("No Change").alias("py_change"),
+        F.when(F.col("diff_py") > 0, PY_CHANGE[0]).when(F.col("diff_py") < 0, PY_CHANGE[1])
+         .otherwise(PY_CHANGE[2]).alias("py_change"),
     ).orderBy(key, "order_year")
 
 

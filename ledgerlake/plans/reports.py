@@ -19,6 +19,10 @@ from ..operators.share import share_pct
 from ..params import Params
 from ..session import materialize
 
+# Segment labels of the reference's report rules, in rule order.
+CUSTOMER_SEGMENTS = ("Loyal", "Regular", "New")
+PRODUCT_SEGMENTS = ("High-Performer", "Mid-Range", "Low-Performer")
+
 
 def _distinct(col: str, p: Params) -> Column:
     """COUNT(DISTINCT col), or its HyperLogLog++ estimate when ``p.approx_distinct``."""
@@ -58,9 +62,10 @@ def customer_report(m: GoldModel, p: Params) -> DataFrame:
     """One row per active customer with segment, recency and spend ratios."""
     b = customer_base(m, p)
     rev, life = F.col("total_revenue"), F.col("life_span")
-    segment = (F.when((life >= p.loyal_min_months) & (rev > p.loyal_revenue), "Loyal")
-               .when((life >= p.loyal_min_months) & (rev <= p.loyal_revenue), "Regular")
-               .otherwise("New"))
+    loyal, regular, new = CUSTOMER_SEGMENTS
+    segment = (F.when((life >= p.loyal_min_months) & (rev > p.loyal_revenue), loyal)
+               .when((life >= p.loyal_min_months) & (rev <= p.loyal_revenue), regular)
+               .otherwise(new))
     return b.select(
         "customer_key", "CustomerID", "customer_name",
         segment.alias("customer_segment"),
@@ -120,8 +125,9 @@ def product_report(m: GoldModel, p: Params) -> DataFrame:
     b = per.join(prods, "ProductID", "inner").withColumn(
         "lifespan", month_diff("first_order_date", "last_order_date"))
     rev = F.col("total_revenue")
-    segment = (F.when(rev > p.report_high_revenue, "High-Performer")
-               .when(rev >= p.report_mid_revenue, "Mid-Range").otherwise("Low-Performer"))
+    high, mid, low = PRODUCT_SEGMENTS
+    segment = (F.when(rev > p.report_high_revenue, high)
+               .when(rev >= p.report_mid_revenue, mid).otherwise(low))
     asp = (half_up_div("__sp_sum", "__sp_n * 10").cast("decimal(38,0)") / 10).cast("decimal(38,1)")
     return b.select(
         "ProductID", "ProductName", _money("UnitPrice"), "last_order_date",
@@ -151,9 +157,10 @@ def product_metrics_base(m: GoldModel, p: Params) -> DataFrame:
 
 def _metrics_segment(p: Params) -> Column:
     rev = F.col("total_revenue")
-    return (F.when(rev > p.metrics_high_revenue, "High-Performer")
-            .when((rev > p.metrics_mid_revenue) & (rev <= p.metrics_high_revenue), "Mid-Range")
-            .otherwise("Low-Performer"))
+    high, mid, low = PRODUCT_SEGMENTS
+    return (F.when(rev > p.metrics_high_revenue, high)
+            .when((rev > p.metrics_mid_revenue) & (rev <= p.metrics_high_revenue), mid)
+            .otherwise(low))
 
 
 def product_metrics(m: GoldModel, p: Params) -> DataFrame:

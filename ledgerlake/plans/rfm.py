@@ -21,6 +21,13 @@ from ..operators.share import attach_scalars, with_partition_total
 from ..params import Params
 from ..session import materialize
 
+# Segment and status labels of the reference's rules, in rule order.
+RFM_SEGMENTS = ("VIP Customers", "Loyal Customers", "New Customers", "At Risk", "Other")
+CHURN_SEGMENTS = ("VIP Customers", "AT risk Giant Customers", "Promising New Customers", "Regular Customers")
+HEALTH_STATUS = ("Active", "Slipping", "Lapsed")
+RISK_CATEGORIES = ("Low", "Medium", "High")
+MIGRATION_SEGMENTS = ("Loyal", "At Risk")  # the third label is a parameter (Standard / Regular)
+
 
 def customer_activity(m: GoldModel, p: Params) -> DataFrame:
     """Per-customer Recency / Frequency / Monetary and purchase-gap inputs."""
@@ -51,11 +58,12 @@ def scored(m: GoldModel, p: Params) -> DataFrame:
 
 
 def _rfm_segment(r: Column, f: Column, m: Column) -> Column:
-    return (F.when((r == 5) & (f == 5) & (m == 5), "VIP Customers")
-            .when((r >= 4) & (f >= 4), "Loyal Customers")
-            .when((r == 5) & (f == 1), "New Customers")
-            .when(r <= 2, "At Risk")
-            .otherwise("Other"))
+    vip, loyal, new, at_risk, other = RFM_SEGMENTS
+    return (F.when((r == 5) & (f == 5) & (m == 5), vip)
+            .when((r >= 4) & (f >= 4), loyal)
+            .when((r == 5) & (f == 1), new)
+            .when(r <= 2, at_risk)
+            .otherwise(other))
 
 
 def rfm_segments(m: GoldModel, p: Params) -> DataFrame:
@@ -83,7 +91,8 @@ def deviation_ratio() -> Column:
 
 def health_status(ratio: Column) -> Column:
     # (1.0, 1.1) and NULL fall through to Lapsed, exactly as written in SQL
-    return (F.when(ratio <= 1.0, "Active").when(ratio.between(1.1, 2.5), "Slipping").otherwise("Lapsed"))
+    active, slipping, lapsed = HEALTH_STATUS
+    return F.when(ratio <= 1.0, active).when(ratio.between(1.1, 2.5), slipping).otherwise(lapsed)
 
 
 def rfm_churn(m: GoldModel, p: Params) -> DataFrame:
@@ -92,10 +101,11 @@ def rfm_churn(m: GoldModel, p: Params) -> DataFrame:
     reference's inner join on CustomerID does."""
     s = scored(m, p).where(F.col("CustomerID").isNotNull())
     r, f = F.col("R_Score"), F.col("F_Score")
-    seg = (F.when((r > 4) & (f > 4), "VIP Customers")
-           .when((r <= 2) & (f >= 4), "AT risk Giant Customers")
-           .when((r >= 4) & (f <= 2), "Promising New Customers")
-           .otherwise("Regular Customers"))
+    vip, giant, promising, regular = CHURN_SEGMENTS
+    seg = (F.when((r > 4) & (f > 4), vip)
+           .when((r <= 2) & (f >= 4), giant)
+           .when((r >= 4) & (f <= 2), promising)
+           .otherwise(regular))
     t = s.select("CustomerID", "M_Score", seg.alias("customer_segment"),
                  health_status(deviation_ratio()).alias("health_status"))
     return t.groupBy("customer_segment", "health_status").agg(
@@ -139,7 +149,8 @@ def clv_risk(m: GoldModel, p: Params) -> DataFrame:
     a = customer_activity(m, p).withColumn("deviation_ratio", deviation_ratio())
     ratio = F.col("deviation_ratio")
     return a.withColumns({
-        "risk_category": F.when(ratio < 1.0, "Low").when(ratio.between(1.0, 2.0), "Medium").otherwise("High"),
+        "risk_category": F.when(ratio < 1.0, RISK_CATEGORIES[0]).when(ratio.between(1.0, 2.0), RISK_CATEGORIES[1])
+                          .otherwise(RISK_CATEGORIES[2]),
         "health_status": health_status(ratio),
         "survival_prob": F.when(ratio <= 1.0, F.lit(1.0)).when(ratio > 3.0, F.lit(0.1))
                           .otherwise(F.lit(1.0) / ratio),
@@ -173,8 +184,9 @@ def customers_by_risk_and_status(m: GoldModel, p: Params) -> DataFrame:
 # ------------------------------------------------------------------ K22 migration
 
 def _segment(recency: str, orders: str, else_label: str) -> Column:
-    return (F.when((F.col(recency) <= 30) & (F.col(orders) > 5), "Loyal")
-            .when(F.col(recency) > 90, "At Risk").otherwise(else_label))
+    loyal, at_risk = MIGRATION_SEGMENTS
+    return (F.when((F.col(recency) <= 30) & (F.col(orders) > 5), loyal)
+            .when(F.col(recency) > 90, at_risk).otherwise(else_label))
 
 
 def migration_rates(m: GoldModel, p: Params) -> DataFrame:

@@ -84,7 +84,21 @@ def exact_avg(sum_units: str, count: str, in_scale: int = 2, out_scale: int = 2)
     """
     shift = out_scale - in_scale
     q = half_up_div(f"({sum_units}) * {10 ** shift}", count)
-    return (q.cast("decimal(38,0)") / F.lit(10 ** out_scale)).cast(f"decimal(38,{out_scale})")
+    return scaled_decimal(q, out_scale)
+
+
+def scaled_decimal(units: Column, scale: int) -> Column:
+    """``units * 10^-scale`` as an exact ``decimal(38, scale)``.
+
+    Dividing a ``decimal(38,0)`` (or multiplying it by ``decimal(s,s)``)
+    overflows Spark's 38 digits, and the overflow rule then caps the result
+    scale at 6. ``decimal(37-s, 0) x decimal(s, s)`` is exactly 38 digits, so
+    the full scale survives.
+    """
+    if scale == 0:
+        return units.cast("decimal(38,0)")
+    unit = F.lit(f"1E-{scale}").cast(f"decimal({scale},{scale})")
+    return (units.cast(f"decimal({37 - scale},0)") * unit).cast(f"decimal(38,{scale})")
 
 
 def units(c: str | Column, scale: int = 2) -> Column:

@@ -18,8 +18,9 @@ Here the frame is rebuilt from a per-key rollup instead:
    row per order key (``unique_keys``) the window runs on it directly.
 
 AVG over the frame is ``sum / count`` of the non-null inputs, as in SQL; the
-sum is kept in the input type (exact for decimals) and divided as double,
-so the result does not depend on summation order.
+sum is kept in the input type (exact for decimals). A decimal input gives
+Spark's AVG result (scale + 4, half-up), computed with exact integer
+division, so the result does not depend on summation order.
 """
 
 from __future__ import annotations
@@ -28,10 +29,29 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
+from ..functions.money import exact_avg
 from ..session import materialize
 
 
+def _finish_avgs(df: DataFrame, src_types: dict, avgs: Mapping[str, str]) -> DataFrame:
+    """Turn running ``__rs_<out>`` / ``__rn_<out>`` (sum, count) columns into
+    SQL AVG: a ``decimal(p, s)`` input gives Spark's AVG result type
+    ``decimal(., s + 4)`` rounded half-up, computed with exact integer
+    division; other inputs give a double."""
+    for out, src in avgs.items():
+        t = src_types[src]
+        total, n = f"`__rs_{out}`", f"`__rn_{out}`"
+        if isinstance(t, DecimalType):
+            units = f"cast({total} * {10 ** t.scale} as decimal(38,0))"
+            expr = exact_avg(units, n, t.scale, t.scale + 4)
+        else:
+            expr = F.col(f"__rs_{out}").cast("double") / F.nullif(F.col(f"__rn_{out}"), F.lit(0))
+        df = df.withColumn(out, expr).drop(f"__rs_{out}", f"__rn_{out}")
+    return df
+
+
 def running_by_order(
     df: DataFrame,
     order_cols: Sequence[str],
@@ -43,8 +63,8 @@ def running_by_order(
     """Add ``SUM(in) OVER (PARTITION BY p ORDER BY order_cols)`` / AVG columns.
 
     ``sums`` / ``avgs`` map output column -> input column. Sums are computed
-    on the input's own type (exact for decimals); averages are returned as
-    double ``sum / count``.
+    on the input's own type (exact for decimals); averages follow SQL AVG
+    (decimal inputs: scale + 4, half-up, exact; others: double).
     """
     sums = dict(sums or {})
     avgs = dict(avgs or {})
@@ -55,9 +75,10 @@ def running_by_order(
         if partition_cols:
             w = w.partitionBy(*partition_cols)
         cols = [F.sum(src).over(w).alias(out) for out, src in sums.items()]
-        cols += [(F.sum(src).over(w).cast("double") / F.nullif(F.count(src).over(w), F.lit(0))).alias(out)
-                 for out, src in avgs.items()]
-        return df.select(*df.columns, *cols)
+        for out, src in avgs.items():
+            cols += [F.sum(src).over(w).alias(f"__rs_{out}"), F.count(src).over(w).alias(f"__rn_{out}")]
+        types = {src: df.schema[src].dataType for src in avgs.values()}
+        return _finish_avgs(df.select(*df.columns, *cols), types, avgs)
     if not partition_cols:
         # ``df`` feeds both the rollup and the join back; fix it once in
         # reliable storage so the upstream plan is not evaluated twice.
@@ -80,9 +101,9 @@ def running_by_order(
     for out in sums:
         cum_cols.append(F.sum(f"__s_{out}").over(w).alias(out))
     for out in avgs:
-        n = F.sum(f"__ac_{out}").over(w)
-        cum_cols.append((F.sum(f"__as_{out}").over(w).cast("double") / F.nullif(n, F.lit(0))).alias(out))
-    cum = rollup.select(*cum_cols)
+        cum_cols.append(F.sum(f"__as_{out}").over(w).alias(f"__rs_{out}"))
+        cum_cols.append(F.sum(f"__ac_{out}").over(w).alias(f"__rn_{out}"))
+    cum = _finish_avgs(rollup.select(*cum_cols), {src: df.schema[src].dataType for src in avgs.values()}, avgs)
 
     cond = None
     for i, k in enumerate(keys):

@@ -37,26 +37,20 @@ def _by_product_attr(m: GoldModel, attr: str, active_only: bool, extra=(), where
 
 # ------------------------------------------------------------------ K7 / K8 YoY
 
-def _yoy(yearly: DataFrame, key: str, round_avg: bool) -> DataFrame:
+def _yoy(yearly: DataFrame, key: str, avg_scale: int) -> DataFrame:
     """Compare each year to the key's average year and to the previous
-    *present* year (LAG over the rows that exist)."""
+    *present* year (LAG over the rows that exist). The average is SQL AVG of
+    the 2-decimal yearly revenue: rounded to 2 decimals (K7) or kept at
+    Spark's AVG scale, 6 (K8) - both exact."""
     by_key = Window.partitionBy(key)
     by_key_year = Window.partitionBy(key).orderBy("order_year")
     cur = F.col("current_revenue")
-    if round_avg:
-        avg = exact_avg("__avg_units", "__avg_n", 2, 2)
-        with_avg = yearly.withColumns({
-            "__avg_units": F.sum(units("current_revenue")).over(by_key),
-            "__avg_n": F.count("current_revenue").over(by_key),
-        }).withColumn("avg_revenue", avg)
-        diff_avg = (cur - F.col("avg_revenue")).cast("double")
-    else:
-        with_avg = yearly.withColumn(
-            "avg_revenue",
-            F.sum("current_revenue").over(by_key).cast("double") / F.count("current_revenue").over(by_key))
-        diff_avg = cur.cast("double") - F.col("avg_revenue")
+    with_avg = yearly.withColumns({
+        "__avg_units": F.sum(units("current_revenue")).over(by_key),
+        "__avg_n": F.count("current_revenue").over(by_key),
+    }).withColumn("avg_revenue", exact_avg("__avg_units", "__avg_n", 2, avg_scale))
     out = with_avg.withColumns({
-        "diff_avg": diff_avg,
+        "diff_avg": cur - F.col("avg_revenue"),
         "py_revenue": F.lag("current_revenue").over(by_key_year),
     }).withColumn("diff_py", cur - F.col("py_revenue"))
     return out.select(
@@ -85,12 +79,13 @@ def _yearly(m: GoldModel, p: Params, attr: str, active_only: bool) -> DataFrame:
 
 def yoy_brand_revenue(m: GoldModel, p: Params) -> DataFrame:
     """K7: brand x year revenue vs the brand's (rounded) mean and vs the previous year."""
-    return _yoy(_yearly(m, p, "Brand", active_only=False), "Brand", round_avg=True)
+    return _yoy(_yearly(m, p, "Brand", active_only=False), "Brand", avg_scale=2)
 
 
 def yoy_product_revenue(m: GoldModel, p: Params) -> DataFrame:
-    """K8: same per ProductName over active products, unrounded mean."""
-    return _yoy(_yearly(m, p, "ProductName", active_only=True), "ProductName", round_avg=False)
+    """K8: same per ProductName over active products, unrounded mean
+    (Spark's AVG scale for a 2-decimal input: 6)."""
+    return _yoy(_yearly(m, p, "ProductName", active_only=True), "ProductName", avg_scale=6)
 
 
 # ------------------------------------------------------------------ K9-K11 top-k

@@ -2,8 +2,8 @@
 
 ``SUM(x) OVER ()`` (no PARTITION BY) moves every row into one task. A grand
 total is a one-row global aggregate (partial sums per task, one row
-shuffled each), so it is computed as such and broadcast back - one row is
-a proven size bound.
+shuffled each), so it is computed as such and read back as a scalar
+subquery.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from ..session import materialize
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
 
-    An equi-join on a constant key against the broadcast single row: a
-    scalar lookup (size bound: one row), not a cross product.
+    ``one_row`` is a global aggregate (always exactly one row); its columns
+    are packed into one struct and read through an uncorrelated scalar
+    subquery (``DataFrame.scalar``): evaluated once, no join, no cross
+    product in the plan.
     """
-    k = "__scalar_key"
-    return (df.withColumn(k, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, "inner")
-            .drop(k))
+    cols = one_row.columns
+    s = one_row.select(F.struct(*cols).alias("__scalars")).scalar()
+    return df.withColumns({c: s[c] for c in cols})
 
 
 def with_grand_total(df: DataFrame, value: str, out: str) -> DataFrame:

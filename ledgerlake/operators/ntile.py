@@ -12,8 +12,8 @@ one task. The same numbers are produced here with a distributed sort:
 3. the frame is checkpointed (reliable storage under ``spark.checkpoint.dir``)
    so the range bounds and positions are fixed once, even if an executor is
    lost or the plan is evaluated twice;
-4. per-partition row counts (P rows) -> running offsets -> broadcast join
-   (P rows, a proven bound) -> global 1-based index ``i``;
+4. per-partition row counts (P rows) -> running offsets and the total N
+   -> broadcast join (P rows, a proven bound) -> global 1-based index ``i``;
 5. ``tile = i <= r(q+1) ? (i-1) div (q+1) + 1 : r + (i-1-r(q+1)) div q + 1``
    with ``q = N div n``, ``r = N mod n`` - the SQL NTILE rule (the first
    ``r`` tiles get one extra row).
@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, num_partitions
-from .share import attach_scalars
 
 _LOW33 = (1 << 33) - 1
 
@@ -40,8 +39,12 @@ def _sort_cols(order: Sequence[Column | str]) -> list[Column]:
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "row_number",
-                      partitions: int | None = None) -> DataFrame:
-    """Add a 1-based global row number following ``order`` (must be total)."""
+                      partitions: int | None = None, total: str | None = None) -> DataFrame:
+    """Add a 1-based global row number following ``order`` (must be total).
+
+    ``total``: optional column name for the overall row count N, taken from
+    the same per-partition count table (no extra pass).
+    """
     spark = df.sparkSession
     checkpoint_dir(spark)
     if partitions is None:
@@ -58,13 +61,17 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "
         .checkpoint(eager=True)
     )
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    return (
-        ranged.join(F.broadcast(offsets), "__pid")
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+                            F.sum("__n").over(everything).alias("__rows_total"))
+    out_df = (
+        ranged.join(F.broadcast(offsets), "__pid")  # P rows
         .withColumn(out, F.col("__off") + F.col("__pos") + 1)
-        .drop("__pid", "__pos", "__off")
     )
+    if total:
+        out_df = out_df.withColumnRenamed("__rows_total", total)
+    return out_df.drop("__pid", "__pos", "__off", "__rows_total")
 
 
 def ntile_from_index(i: str, total: str, n: int) -> Column:
@@ -82,13 +89,8 @@ def ntile_from_index(i: str, total: str, n: int) -> Column:
 def global_ntile(df: DataFrame, n: int, order: Sequence[Column | str], out: str,
                  partitions: int | None = None) -> DataFrame:
     """Add ``NTILE(n) OVER (ORDER BY order)`` computed without a global window."""
-    numbered = global_row_number(df, order, out="__i", partitions=partitions)
-    total = numbered.agg(F.count(F.lit(1)).alias("__N"))
-    return (
-        attach_scalars(numbered, total)  # one-row frame
-        .withColumn(out, ntile_from_index("__i", "__N", n))
-        .drop("__i", "__N")
-    )
+    numbered = global_row_number(df, order, out="__i", partitions=partitions, total="__N")
+    return numbered.withColumn(out, ntile_from_index("__i", "__N", n)).drop("__i", "__N")
 
 
 def global_ntiles(df: DataFrame, n: int, specs: dict[str, Sequence[Column | str]],

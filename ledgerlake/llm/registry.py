@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import bagminhash, packing
 
 _ALL = {
+    "op6_bagminhash": (bagminhash.op6_bagminhash, None),
     "op7_best_fit_packing": (packing.op7_best_fit_packing, None),
 }
 

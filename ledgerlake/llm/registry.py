@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bagminhash, packing
+from . import bagminhash, cgk, packing, ranking
 
 _ALL = {
+    "op5_bradley_terry": (ranking.op5_bradley_terry, None),
     "op6_bagminhash": (bagminhash.op6_bagminhash, None),
+    "op9_cgk_decontamination": (cgk.op9_cgk_decontamination, None),
     "op7_best_fit_packing": (packing.op7_best_fit_packing, None),
 }
 

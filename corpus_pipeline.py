@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm import packing
+from ledgerlake.llm import bagminhash, cgk, packing, pii, ranking
 from ledgerlake.llm.common import read, stash
 
 STAGES = [
+    ("quality classifier", ranking.stage),
+    ("near-duplicates", bagminhash.stage),
+    ("benchmark decontamination", cgk.stage),
+    ("personal data", pii.stage),
     ("best-fit packing", packing.stage),
 ]
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bagminhash, cgk, packing, ranking
+from . import bagminhash, cgk, packing, pii, ranking
 
 _ALL = {
+    "op4_crf_pii": (pii.op4_crf_pii, None),
     "op5_bradley_terry": (ranking.op5_bradley_terry, None),
     "op6_bagminhash": (bagminhash.op6_bagminhash, None),
     "op9_cgk_decontamination": (cgk.op9_cgk_decontamination, None),

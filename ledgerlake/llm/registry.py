@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bagminhash, cgk, packing, pii, ranking
+from . import bagminhash, cgk, lines, packing, pii, ranking
 
 _ALL = {
+    "op2_line_rules": (lines.op2_line_rules, lines.oracle()),
     "op4_crf_pii": (pii.op4_crf_pii, None),
     "op5_bradley_terry": (ranking.op5_bradley_terry, None),
     "op6_bagminhash": (bagminhash.op6_bagminhash, None),

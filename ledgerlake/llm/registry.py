@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bagminhash, cgk, lines, packing, pii, ranking
+from . import bagminhash, centroids, cgk, lines, lm, packing, pii, ranking
 
 _ALL = {
+    "op10_log_frequency_bloom": (lm.op10_log_frequency_bloom, None),
     "op2_line_rules": (lines.op2_line_rules, lines.oracle()),
+    "op3_nearest_centroid": (centroids.op3_nearest_centroid, None),
     "op4_crf_pii": (pii.op4_crf_pii, None),
     "op5_bradley_terry": (ranking.op5_bradley_terry, None),
     "op6_bagminhash": (bagminhash.op6_bagminhash, None),

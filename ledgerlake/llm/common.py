@@ -66,7 +66,8 @@ def is_fold(column: str, n: int, fold: int) -> Column:
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: T.StructType) -> DataFrame:
     """mapInArrow where ``make()`` runs once per task and returns a function
-    from a batch to the output columns (lists, numpy or Arrow arrays)."""
+    from a batch to the output columns (lists, numpy or Arrow arrays); its
+    ``finish``, if it has one, gives further rows at the end."""
     names = schema.fieldNames()
     ship(df.sparkSession)
 
@@ -76,8 +77,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
         for batch in batches:
             if batch.num_rows:
                 cols = fn(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c, types.field(n).type) for n, c in zip(names, cols)], names)
+                yield record(cols, types)
+        last = getattr(fn, "finish", lambda: None)()  # what is left after the last batch
+        if last:
+            yield record(last, types)
+
+    def record(cols, types):
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, types.field(n).type) for n, c in zip(names, cols)], names)
 
     return df.mapInArrow(run, schema)
 

@@ -11,13 +11,12 @@ Jaccard similarity. Points later than a bound at which every component should be
 made; a text with a component still free starts anew with twice the bound.
 
 Search. Equal texts count as one. 24 bands of 6 components give buckets; a
-bucket's least text is compared with its other texts (a star, never all pairs), and the multiset
-overlap of the whole texts decides. Components of these links then leave few
-buckets with texts of several components; there every text outside the
-bucket's largest component is compared with the texts of other components, in
-rounds, unless the triangle inequality of the Jaccard distance to the bucket's
-least text rules a link out. So no link between texts that share a bucket is
-lost to a class.
+bucket's least text is compared with its other texts (a star, never all pairs),
+and the multiset overlap of the whole texts decides. Components of these links
+leave few buckets with texts of several components. There every text outside
+the bucket's largest component is compared with the texts of other components,
+in groups of at most about ``BLOCK`` by ``BLOCK`` texts, each pair in the first band
+that holds it. So no link between texts that share a bucket is lost to a class.
 
 Defined results: texts with fewer words than a shingle are one shingle; null
 texts and texts without words are a class of their own each; repeated rows
@@ -28,6 +27,7 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +37,8 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
-#: Texts outside a bucket's largest component that one round compares.
-CHUNK = 32
+#: Texts on either side of one group of comparisons.
+BLOCK = 512
 
 _STEP = U64(0x9E3779B97F4A7C15)
 
@@ -199,20 +199,17 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: f
     nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("rep"))
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     least = buckets.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    held = stash(buckets.join(least.drop("size"), ["band", "key"]), "buckets")
+    held = stash(buckets.join(least, ["band", "key"]), "buckets")
     pairs = held.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
 
-    involved = stash(held.select("node").distinct().join(nodes.select("node", "rep"), "node"), "involved")
-    bodies = stash(docs.join(involved.select(F.col("node").alias("n"), "rep"),
-                             F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("node") == F.col("n")))
-                   .groupBy("node").agg(F.first("text").alias("text")), "bodies")
-    stars = verify(pairs, bodies, "stars", n)
-    links = stars.where(F.col("sim") >= similarity)
-    first = stash(components(links.select("a", "b")), "first")
-
-    for more in _rest(held, stars, first, bodies, similarity, n):
-        links = links.unionByName(more)
-    final = components(links.select("a", "b"), "final")
+    involved = held.select("node").distinct().join(nodes, "node").select(F.col("node").alias("n"), "rep", "bands")
+    bodies = stash(docs.join(involved, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("node") == F.col("n")))
+                   .groupBy("node").agg(F.first("text").alias("text"), F.first("bands").alias("bands")), "bodies")
+    stars = verify(pairs, bodies.select("node", "text"), "stars", n).where(F.col("sim") >= similarity)
+    first = stash(components(stars), "first")
+    rest = stash(_rest(held, first, bodies, similarity, n), "rest")
+    final = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest), "final")
+    links = stars.select("a", "b").unionByName(rest)
     links = links.select(*_ordered("a", "b")).distinct()
     count = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = stash(final.join(count, "node"), "linked")
@@ -225,27 +222,53 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: f
             .select("doc_id", "node", "member", F.when(F.col("member").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links"))
 
 
-def _rest(held: DataFrame, stars: DataFrame, first: DataFrame, bodies: DataFrame, similarity: float, n: int):
-    """Links inside buckets that still hold texts of several components."""
-    far = 1 - similarity
-    known = stars.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("dist"))
-    rows = (held.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            .join(known, ["leader", "node"], "left").fillna(0.0, ["dist"]))
+def _rest(held: DataFrame, first: DataFrame, bodies: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Links (a, b) inside buckets that still hold texts of several components."""
+    rows = held.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = rows.groupBy("band", "key", "component").agg(F.count("*").alias("size"))
-    mixed = (per.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("size").alias("size"),
-                                            F.max(F.struct("size", "component")).alias("most")).where("parts > 1 and size > 2"))
-    mixed = mixed.select("band", "key", F.col("most.component").alias("main"), (F.col("size") - F.col("most.size")).alias("outside"))
-    pool = stash(rows.join(mixed, ["band", "key"]).select("band", "key", "leader", "node", "component", "dist", "main", "outside"), "pool")
-    most = pool.agg(F.max("outside")).first()[0]
-    chunks = 0 if most is None else -(-most // CHUNK)
-    chunk = F.pmod(F.xxhash64("node"), F.lit(max(1, chunks)))
-    for c in range(chunks):
-        out = pool.where((F.col("component") != F.col("main")) & (F.col("node") != F.col("leader")) & (chunk == c)).select(
-            "band", "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("dist").alias("dx"))
-        pairs = (pool.where("node != leader").join(out, ["band", "key"])
-                 .where((F.col("cx") != F.col("component")) & (F.abs(F.col("dx") - F.col("dist")) <= far + 1e-9))
-                 .select(*_ordered("x", "node")).distinct())
-        yield verify(pairs, bodies, "rest", n).where(F.col("sim") >= similarity)
+    mixed = (per.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("size").alias("all"),
+                                            F.max(F.struct("size", "component")).alias("most")).where("parts > 1 and all > 2"))
+    mixed = mixed.select("band", "key", F.col("most.component").alias("main"),
+                         F.ceil((F.col("all") - F.col("most.size")) / BLOCK).alias("n_left"), F.ceil(F.col("all") / BLOCK).alias("n_right"))
+    pool = stash(rows.join(mixed, ["band", "key"]).select("band", "key", "node", "component", "n_left", "n_right",
+                                                          (F.col("component") != F.col("main")).alias("outside")), "pool")
+
+    def side(rows: DataFrame, left: bool) -> DataFrame:
+        """Each row in one block of its side, once per block of the other side."""
+        own, other = ("n_left", "n_right") if left else ("n_right", "n_left")
+        block, every = F.pmod(F.xxhash64("node"), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        return rows.select("band", "key", "node", "component", "outside", block.alias("x"), every.alias("y")).select(
+            "band", "key", "node", "component", "outside", F.lit(left).alias("is_left"),
+            F.col("x" if left else "y").alias("left"), F.col("y" if left else "x").alias("right"))
+
+    sides = side(pool.where("outside"), True).unionByName(side(pool, False)).join(bodies, "node")
+    bags, hashes = OrderedDict(), word_hashes(100_000)
+
+    def bag(node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if node not in bags:
+            bags[node] = shingles(text, hashes, n)
+            if len(bags) > 2 * BLOCK:
+                bags.popitem(last=False)
+        return bags[node]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        band, left, right = int(pdf["band"].iloc[0]), pdf[pdf["is_left"]], pdf[~pdf["is_left"]]
+        keys, component, outside = np.stack(right["bands"].to_list()), right["component"].to_numpy(), right["outside"].to_numpy()
+        node = right["node"].to_numpy()
+        table = [bag(x, t) for x, t in zip(node, right["text"])]
+        size = np.array([c.sum() for _, c in table])
+        a, b = [], []
+        for x, cx, kx, text in zip(left["node"], left["component"], left["bands"], left["text"]):
+            mine = bag(x, text)
+            total = mine[1].sum()
+            ask = (component != cx) & (~outside | (node > x)) & ~(keys[:, :band] == kx[:band]).any(axis=1)
+            ask &= np.minimum(size, total) >= similarity * np.maximum(size, total)
+            for i in np.flatnonzero(ask):
+                if overlap(mine, table[i]) >= similarity:
+                    a.append(x), b.append(node[i])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return sides.groupBy("band", "key", "left", "right").applyInPandas(compare, "a binary, b binary")
 
 
 def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bagminhash, centroids, cgk, lines, lm, packing, pii, ranking, separators
+from . import bagminhash, centroids, cgk, licences, lines, lm, packing, pii, ranking, separators
 
 _ALL = {
+    "op8_licence_scan": (licences.op8_licence_scan, None),
     "op1_separator_scan": (separators.op1_separator_scan, None),
     "op10_log_frequency_bloom": (lm.op10_log_frequency_bloom, None),
     "op2_line_rules": (lines.op2_line_rules, lines.oracle()),

@@ -1,0 +1,430 @@
+"""The operators against brute force, exact round trips and held-out accuracy."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from ledgerlake.llm import bagminhash, centroids, cgk, licences, lines, lm, packing, pii, ranking, registry, separators, textstats, tokens
+from ledgerlake.llm.common import Cache, read
+from ledgerlake.llm.components import components
+
+SF, SF1 = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+
+
+@pytest.fixture(scope="module")
+def small():
+    return dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF1}/documents.parquet'").fetchall())
+
+
+def run(spark, name, d=SF):
+    return registry.queries()[name](spark, d).toPandas()
+
+
+# ---- tokens, op1, op7 ----------------------------------------------------------
+
+HARD = ["It's THE'S don't İstanbul ΣΑΣ àb !!'s we're'VE <|endoftext|> 12ab34 ½ ǅ ſ ŒUVRE straße ß. é é.", "a\x1cb\x85c\xa0d", "", "  ", "ab\x00cd", "ªº. ŉ Ǆ ǰ ȺȾ 日本 😀"]
+
+
+def test_tokens_equal_the_tokenizers(small):
+    e = tokens.Encoder(tokens.default_path(), limit=500)
+    assert all(e(t) == e.plain(t) for t in [*HARD, *small.values()])
+
+
+def test_op1_counts(spark, docs):
+    e = tokens.Encoder(tokens.default_path())
+    got = run(spark, "op1_separator_scan")
+    assert dict(zip(got.doc_id, got.n_tokens)) == {d: len(e(t)) // 4 for d, t in docs.items()}
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_separator_scan_of_files(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(separators, "GROUP", 4)
+    rng, want = np.random.default_rng(1), []
+    for f in range(3):
+        ids, at = [], 0
+        for i, k in enumerate(rng.integers(0, 40, 30).tolist()):
+            ids += [*rng.integers(1, 40_000, k).tolist(), separators.END]
+            want.append((f, i, at, k, True))
+            at += k + 1
+        if f == 1:
+            ids += [5, 6, 7]
+            want.append((f, 30, at, 3, False))
+        np.array(ids, separators.DTYPE).tofile(tmp_path / f"f{f}.bin")
+    got = separators.scan(separators.read_files(spark, str(tmp_path), block=block)).collect()
+    assert sorted((int(r.file[-5]), r.ordinal, r.start, r.n_tokens, r.complete) for r in got) == sorted(want)
+
+
+def test_op7_pieces_and_places(spark, docs):
+    got = run(spark, "op7_best_fit_packing")
+    e, want = tokens.Encoder(tokens.default_path()), set()
+    for d, t in docs.items():
+        ids = e(t) + bytes(4)
+        want |= {(d, p, at // 4, len(ids[at:at + 8192]) // 4, zlib.crc32(ids[at:at + 8192])) for p, at in enumerate(range(0, len(ids), 8192))}
+    assert {tuple(map(int, r)) for r in got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False)} == want
+    g = got.sort_values(["sequence_id", "offset"])
+    for _, s in g.groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1].tolist()] and s.length.sum() <= 2048
+    assert got.sequence_id.nunique() <= 1.02 * got.length.sum() / 2048 + 1
+
+
+def test_best_fit_takes_the_tightest():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        lengths = rng.integers(1, 21, 60)
+        bins, offsets = packing.best_fit_decreasing(lengths, 20)
+        room: list[int] = []
+        for k in np.argsort(-lengths, kind="stable"):
+            fits = [r for r in room if r >= lengths[k]]
+            if fits:
+                room.remove(min(fits))
+                room.append(min(fits) - lengths[k])
+            else:
+                room.append(20 - lengths[k])
+        left = sorted(20 - lengths[bins == b].sum() for b in set(bins))
+        assert left == sorted(room)
+
+
+# ---- op2 -------------------------------------------------------------------------
+
+def test_op2_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(registry.oracle_sql()["op2_line_rules"]).df().set_index("doc_id").sort_index()
+    got = run(spark, "op2_line_rules").set_index("doc_id").sort_index()
+    assert (got[want.columns] == want).all().all()
+
+
+def test_repeat_words_by_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        w = rng.integers(0, 4, rng.integers(0, 30))
+        tri = collections.Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+        inside = {i + o for i in range(len(w) - 2) if tri[tuple(w[i:i + 3])] > 1 for o in range(3)}
+        assert textstats.repeat_words(w) == len(inside)
+
+
+@pytest.mark.parametrize("line,rule", [
+    ("Home | News | Sport | Contact", "navigation"), ("We use cookies to improve this page.", "boilerplate"), ("a### b$$$ c%%% d&&&.", "symbols"),
+    ("THIS IS THE BEST OFFER OF THE WHOLE YEAR!!", "shouting"), ("go go go go go.", "repetition"), ("no mark at all", "punctuation"), ("A plain line.", None)])
+def test_line_rules(line, rule):
+    assert lines.failed_rule(line) == rule
+
+
+# ---- op3, op5 --------------------------------------------------------------------
+
+def test_op3_held_out(spark):
+    got = run(spark, "op3_nearest_centroid").merge(duckdb.sql(f"SELECT doc_id, lang FROM '{SF}/documents.parquet'").df(), on="doc_id")
+    assert (got.held_out == got.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 4 == 2)).all()
+    assert (got.lang == got.lang_pred)[got.held_out].mean() > 0.97 and got.score.between(0, 1).all()
+
+
+def test_op3_rejects_another_script(spark):
+    model = centroids.train(read(spark, SF, "documents").select("doc_id", "text", "lang"))
+    df = spark.createDataFrame([(1, "слово о полку игореве и прочие тексты"), (2, "The onerth of the and thinion was.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in centroids.predict(df, model).collect()}
+    assert not got[1].accepted and got[2].accepted and got[2].lang_pred == "en"
+
+
+def test_op5_held_out(spark):
+    got = run(spark, "op5_bradley_terry", "/root/testdata/sf0.1").merge(duckdb.sql("SELECT doc_id, quality FROM '/root/testdata/sf0.1/labels.parquet'").df(), on="doc_id")
+    held = got[got.held_out]
+    assert (held.predicted == held.quality).mean() > 0.98
+    good, bad = held.score[held.quality == 1].to_numpy(), held.score[held.quality == 0].to_numpy()
+    assert (good[:, None] > bad).mean() > 0.99
+
+
+# ---- op4 -------------------------------------------------------------------------
+
+def brute_spans(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(reversed(d))) % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+def test_base_spans_by_definition():
+    rng = np.random.default_rng(5)
+    for chars in ("a.@-1+ ", "0123456789. ", "0123456789- ", "+0123456789() .-", "ab@c.d e"):
+        for _ in range(400):
+            t = "".join(rng.choice(list(chars), rng.integers(0, 60)))
+            assert pii.base_spans(t) == brute_spans(t), t
+
+
+def test_op4(spark, docs):
+    for r in run(spark, "op4_crf_pii").itertuples():
+        base = brute_spans(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in base) for x in ("email", "ip", "card", "phone"))
+        spans = r.spans.split(",") if r.spans else []
+        assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(spans)
+        for secret in re.finditer(r'token = "([0-9a-f]{40})"', docs[r.doc_id]):
+            assert f"secret:{secret.start(1)}:{secret.end(1)}" in spans
+
+
+def test_crf_on_unseen_sentences():
+    crf = pii.model()
+    table = pii.labelled_sentences(np.random.default_rng(77), 4)
+    scores, n = crf.scores([[w.encode() for w in ws] for ws, _ in table], crf.word_scores())
+    got = crf.viterbi(scores, n)
+    assert np.mean([(got[i][:n[i]] == np.array(y)).mean() for i, (_, y) in enumerate(table)]) > 0.98
+
+
+def test_viterbi_is_the_best_path():
+    rng, k = np.random.default_rng(6), len(pii.LABELS)
+    crf = pii.Crf({}, np.zeros((0, k)), rng.normal(size=(k, k)), rng.normal(size=k))
+    scores = rng.normal(size=(4, 3, k))
+    got = crf.viterbi(scores, np.array([3, 3, 2, 1]))
+    for s, n, path in zip(scores, (3, 3, 2, 1), got):
+        total = lambda p: crf.start[p[0]] + sum(s[t, p[t]] for t in range(n)) + sum(crf.transition[p[t], p[t + 1]] for t in range(n - 1))
+        assert total(path) == pytest.approx(max(total(p) for p in np.ndindex(*[k] * n)))
+
+
+# ---- op6 -------------------------------------------------------------------------
+
+def bag(text, n=5):
+    w = text.encode().split()
+    n = min(n, len(w))
+    return collections.Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if w else collections.Counter()
+
+
+@pytest.mark.parametrize("a,b,n", [(1, 1, 300), (3, 5, 100), (200, 150, 3), (1, 40, 20)])
+def test_signature_is_unbiased(a, b, n):
+    rng, found = np.random.default_rng(7), []
+    for _ in range(60):
+        d = np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64))
+        keep = rng.random(len(d)) < 0.8
+        keep[0] = True
+        x, y = (d, np.full(len(d), a)), (d[keep], np.full(keep.sum(), b))
+        s = bagminhash.signatures([x, y], 144)
+        found.append((s[0] == s[1]).mean() - bagminhash.overlap(x, y))
+    assert abs(np.mean(found)) < 4 * np.std(found) / math.sqrt(len(found)) + 1e-3
+
+
+def brute_classes(texts):
+    bags, by = {d: bag(t) for d, t in texts.items()}, collections.defaultdict(list)
+    for d, b in bags.items():
+        for g in b:
+            by[g].append(d)
+    parent = {d: d for d in texts}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for x, y in {(x, y) for held in by.values() for i, x in enumerate(held) for y in held[:i]}:
+        both = sum((bags[x] & bags[y]).values())
+        if both >= 0.8 * (sum(bags[x].values()) + sum(bags[y].values()) - both):
+            x, y = top(x), top(y)
+            parent[max(x, y)] = min(x, y)
+    return {d: top(d) for d in texts}
+
+
+def test_op6_classes(spark, docs):
+    got = run(spark, "op6_bagminhash")
+    assert dict(zip(got.doc_id, got.class_id)) == brute_classes(docs)
+
+
+def test_op6_links_outside_stars(spark, monkeypatch):
+    """Chains of versions: most pairs of a bucket are no link, so stars alone leave parts unjoined."""
+    monkeypatch.setattr(bagminhash, "BLOCK", 4)
+    rng, texts, word = np.random.default_rng(8), {}, [f"w{i}" for i in range(4000)]
+    for c in range(6):
+        w = list(rng.choice(word, 120))
+        for v in range(25):
+            texts[100 * c + v] = " ".join(w)
+            for _ in range(2):
+                w[rng.integers(len(w))] = str(rng.choice(word))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(df).collect()}
+    want = brute_classes(texts)
+    near = [(a, b) for a in texts for b in texts if a < b and want[a] == want[b]]
+    assert all(want[a] == want[b] for a in texts for b in texts if got[a] == got[b])
+    assert np.mean([got[a] == got[b] for a, b in near]) > 0.97
+
+
+def test_components(spark):
+    rng = np.random.default_rng(9)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)] + [tuple(map(int, rng.integers(200, 240, 2))) for _ in range(30)]
+    parent = {x: x for e in links for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in links:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: top(x) for e in links if e[0] != e[1] for x in e}
+
+
+# ---- op8 -------------------------------------------------------------------------
+
+def test_op8_finds_the_notices(spark, docs):
+    got = run(spark, "op8_licence_scan")
+    marks = {"apache-2.0": "Apache License", "mit": "MIT License", "gpl": "GNU General Public License", "cc-by-nc": "CC BY-NC", "reserved": "All rights reserved"}
+    for r in got.itertuples():
+        assert set(r.families) == {f for f, m in marks.items() if m.lower() in docs[r.doc_id].lower()}
+
+
+def test_op8_weights_give_the_probabilities(spark):
+    df = read(spark, SF1, "documents").select("doc_id", "text")
+    model = licences.train(df)
+    line = "Licensed under CC BY-NC 4.0."
+    got = licences.scan(spark.createDataFrame([(1, "x y z.\n" + line)], "doc_id long, text string"), model).first()["licences"]
+    ws = ["licensed", "under", "cc", "by-nc", "4.0"]
+    held = {g for g in [*ws, *map(" ".join, zip(ws, ws[1:]))] if g in model["weights"]}
+    z = np.array(model["intercept"]) + sum(np.array(model["weights"][g]) for g in held)
+    p = np.exp(z) / np.exp(z).sum()
+    assert [(x["line"], x["family"], x["confirmed"]) for x in got] == [(1, "cc-by-nc", True)]
+    assert got[0]["probability"] == pytest.approx(p[1:].max())
+
+
+def test_op8_plan_is_native(spark):
+    plan = registry.queries()["op8_licence_scan"](spark, SF1)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+# ---- op9 -------------------------------------------------------------------------
+
+def brute_hits(items, text, rate=cgk.RATE):
+    ws, out = [cgk.symbol(w) for w in text.encode().split()], set()
+    for item, t in items:
+        target = [cgk.symbol(w) for w in t.encode().split()]
+        number = {w: i for i, w in enumerate([*target, *ws])}
+        a, b = np.array([number[w] for w in target]), np.array([number[w] for w in ws])
+        if set(target) & set(ws) and min(cgk.edit_distance(a, b[i:i + len(a)]) for i in range(max(1, len(b) - len(a) + 1))) <= int(rate * len(a) + 1e-9):
+            out.add(item)
+    return out
+
+
+def test_edit_distance():
+    rng = np.random.default_rng(10)
+    for _ in range(100):
+        a, b = rng.integers(0, 3, rng.integers(1, 9)), rng.integers(0, 3, rng.integers(1, 9))
+        d = np.zeros((len(a) + 1, len(b) + 1), int)
+        d[:, 0], d[0] = range(len(a) + 1), range(len(b) + 1)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+        assert cgk.edit_distance(a, b) == d[-1, -1]
+
+
+def test_op9_recall_on_edited_passages(docs):
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet' ORDER BY 1").fetchall()
+    index, rng = cgk.Index(items), np.random.default_rng(11)
+    number = Cache(lambda w: index.number.get(cgk.symbol(w), 0))
+    pool = [w.decode() for t in list(docs.values())[:50] for w in t.encode().split()]
+    found = asked = false = 0
+    for _ in range(250):
+        item, text = items[rng.integers(len(items))]
+        w = text.split()
+        for _ in range(int(rng.integers(0, int(0.2 * len(w)) + 1))):
+            at, kind = int(rng.integers(len(w))), rng.integers(3)
+            w[at:at + (kind > 0)] = [str(rng.choice(pool))] if kind < 2 else []
+        doc = " ".join([*rng.choice(pool, 20), *w, *rng.choice(pool, 20)])
+        want = brute_hits(items, doc)
+        got = {h["item_id"] for h in index.search([np.array([number[x] for x in doc.encode().split()])])[0]}
+        found, asked, false = found + len(got & want), asked + len(want), false + len(got - want)
+    assert false == 0 and found >= 0.95 * asked > 0
+
+
+def test_op9_blocks_of_items(spark):
+    df, items = read(spark, SF1, "documents").select("doc_id", "text"), read(spark, SF1, "benchmark")
+    one = {r.row.doc_id: {h.item_id for h in r.hits} for r in cgk.annotate(df, items).collect()}
+    many = {r.row.doc_id: {h.item_id for h in r.hits} for r in cgk.annotate(df, items, block=15).collect()}
+    texts = dict(duckdb.sql(f"SELECT item_id, text FROM '{SF1}/benchmark.parquet'").fetchall())
+    assert one == many and any(one.values())
+    for d, t in ((r.doc_id, r.text) for r in df.collect()):
+        assert {i for i, x in texts.items() if x in t} <= one[d]
+
+
+# ---- op10 ------------------------------------------------------------------------
+
+def exact_model(docs):
+    uni, bi = collections.Counter(), collections.Counter()
+    for d, t in docs.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            w = [*t.encode().lower().split(), b"\n"]
+            uni.update(w)
+            bi.update(zip([b"\n", *w], w))
+    return uni, {k: n for k, n in bi.items() if n >= lm.MIN_COUNT}
+
+
+def test_op10_base_and_score(spark, small):
+    uni, bi = exact_model(small)
+    n, v = sum(uni.values()), len(uni)
+    used = collections.Counter()
+    for (a, _), c in bi.items():
+        used[a] += c - 1
+    level = lambda c, least=1: lm.levels(np.array([c]), least)
+    got = run(spark, "op10_log_frequency_bloom", SF1).set_index("doc_id")
+    off = []
+    for d, t in small.items():
+        w = [*t.encode().lower().split(), b"\n"]
+        p = [math.log10((uni[x] + 1) / (n + v + 1)) for x in w]
+        r = got.loc[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in uni for x in w), n)
+        assert r.base_score == pytest.approx(sum(p)) and r.held_out == (zlib.crc32(str(d).encode()) % 7 == 2)
+        s = 0.0
+        for a, b, q in zip([b"\n", *w], w, p):
+            up = lambda a: lm.floor_of(level(uni[a]) + 1)[0] - 1
+            if (a, b) in bi:
+                s += math.log10(min(1, (lm.floor_of(level(bi[a, b], lm.MIN_COUNT), lm.MIN_COUNT)[0] - 1) / (up(a) + lm.MU)))
+            else:
+                s += q + (min(0, math.log10((lm.floor_of(level(max(1, uni[a] - used[a])))[0] + lm.MU) / (up(a) + lm.MU))) if used[a] else 0)
+        off.append(abs(s - r.score) / len(w))
+    assert np.mean(off) < 0.02  # the filter's false positives
+    held = got[got.held_out]
+    assert (got.score <= 0).all() and held.score.sum() > held.base_score.sum()
+
+
+def test_op10_segments_and_rare_words(spark):
+    df = read(spark, SF1, "documents").select("doc_id", "text")
+    train = ~lm.is_fold("doc_id", lm.FOLDS, lm.HELD_OUT)
+    one = lm.score(df, train).toPandas().set_index("doc_id").sort_index()
+    many = lm.score(df, train, head=50, segment_bytes=lm.PAGE_BITS // 8).toPandas().set_index("doc_id").sort_index()
+    assert (one[["n_tokens", "n_known"]] == many[["n_tokens", "n_known"]]).all().all()
+    assert np.allclose(one.base_score, many.base_score) and (abs(one.score - many.score) / one.n_tokens).mean() < 0.02
+
+
+def test_filter_returns_the_levels():
+    rng = np.random.default_rng(12)
+    keys, n = rng.integers(0, 2 ** 63, 20_000, dtype=np.uint64), rng.integers(1, 500, 20_000)
+    pages, top = 6, lm.levels(n)
+    table = np.zeros((pages, lm.PAGE_BITS), np.uint8)
+    page = lm.page_of(keys, pages)
+    for j in range(1, top.max() + 1):
+        at = top >= j
+        base, step = lm.probe_hashes(keys[at], j)
+        for i in range(lm.PROBES):
+            table[page[at], ((base + np.uint64(i) * step) % np.uint64(lm.PAGE_BITS)).astype(np.int64)] = 1
+    f = lm.Filter(np.packbits(table, axis=1, bitorder="little"), 0, 1)
+    got = f.level(keys)
+    assert (got >= top).all() and (got == top).mean() > 0.95
+    assert (f.level(rng.integers(0, 2 ** 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.05
+
+
+def test_ranking_without_labels(spark):
+    df = spark.createDataFrame([(1, "a b c.")], "doc_id long, text string")
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert ranking.train(df, empty) is None and ranking.score(df, None).first()["score"] == 0.5

@@ -7,19 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Separator and NULL sentinel inside the change hashes.
+# Fixed value: separator of the surrogate key's parts.
 HASH_SEPARATOR = "~"
-NULL_SENTINEL = "\u0000"
 
 
 def change_hash(cols: Sequence[str]) -> Column:
-    """Null-safe SHA-256 over a column list.
-
-    ``concat_ws`` alone skips NULLs, so (NULL,'a') and ('a',NULL) would hash
-    equal; every value is first mapped to a sentinel when NULL.
-    """
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_SENTINEL)) for c in cols]
-    return F.sha2(F.concat_ws(HASH_SEPARATOR, *parts), 256)
+    """Null-safe SHA-256 over a column list. Every value is written with its
+    length before it and NULL as a mark of its own, so no two different rows
+    give the same text, whatever characters they hold."""
+    text = [F.col(c).cast("string") for c in cols]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]), 256)
 
 
 def surrogate_key(natural_key: str | Column, version_ts: str | Column) -> Column:

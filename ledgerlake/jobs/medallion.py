@@ -26,6 +26,7 @@ from ..operators.dedupe import latest_per_key
 from ..schemas import DIMENSIONS, LANDING
 from ..sources import landing
 from . import runlog
+from ..session import materialize
 from .stage import StageResult, run_stage, stamp
 
 
@@ -37,15 +38,37 @@ def _paths(root: str) -> dict[str, str]:
 # ---------------------------------------------------------------- bronze
 
 def loaded_sources(spark: SparkSession, root: str, table: str) -> DataFrame | None:
-    """Files already in bronze. Every bronze row keeps its ``source_file``,
+    """Files already in bronze, with or without a clean row. Every bronze row keeps its ``source_file``,
     so loading a file is a single atomic append and replays can be detected
     from the data itself (no second ledger write that a crash could skip)."""
+    return _sources(spark, f"{_paths(root)['bronze']}/{table}")
+
+
+def _sources(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(f"{_paths(root)['bronze']}/{table}").select(landing.SOURCE).distinct()
+        return spark.read.parquet(path).select(landing.SOURCE).distinct()
     except AnalysisException:
         return None
 
 
+def _without(df: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Rows of files not yet done (grows with every file ever loaded: no broadcast hint, AQE sizes it)."""
+    return df if done is None else df.join(done, landing.SOURCE, "left_anti")
+
+
+def append_quarantine(spark: SparkSession, root: str, table: str, bad: DataFrame, now: dt.datetime) -> None:
+    """Bad rows of files that aren't in quarantine yet, so that a replay or a
+    file without any clean row brings none of them twice."""
+    path = _paths(root)["quarantine"]
+    rows = landing.quarantine_rows(bad, "bronze", table, now)
+    try:
+        done = spark.read.parquet(path).where(F.col("Table_name") == table).select(landing.SOURCE).distinct()
+    except AnalysisException:
+        done = None
+    # written from a fixed table: the anti-join reads the folder that the append writes to
+    materialize(_without(rows, done)).write.mode("append").parquet(path)
+
+
 def ingest_bronze(spark: SparkSession, root: str, table: str, landing_path: str, now: dt.datetime,
                   contract: dict | None = None) -> StageResult:
     """Landing CSV -> quarantine bad rows -> validate clean rows -> append.
@@ -55,29 +78,37 @@ def ingest_bronze(spark: SparkSession, root: str, table: str, landing_path: str,
     """
     p = _paths(root)
     schema, stamps = LANDING[table]
-    df = landing.read_csv(spark, landing_path, schema, stamps)
-    done = loaded_sources(spark, root, table)
-    if done is not None:
-        # grows with every file ever loaded: no broadcast hint, AQE sizes it
-        df = df.join(done, landing.SOURCE, "left_anti")
+    # parsed once: the clean and the bad rows, the checks and the write read the fixed result
+    df = materialize(_without(landing.read_csv(spark, landing_path, schema, stamps), loaded_sources(spark, root, table)))
     clean, bad = landing.split(df)
-    landing.quarantine_rows(bad, "bronze", table, now).write.mode("append").parquet(p["quarantine"])
     out = stamp(clean, now, ("insert_dt", "record_creation_date"))
     checks = dq.contract_checks(contract, check_ordered_columns=False) if contract else []
-    return run_stage(out, checks, f"{p['bronze']}/{table}", p["log"], "bronze", table, now)
+    res = run_stage(out, checks, f"{p['bronze']}/{table}", p["log"], "bronze", table, now)
+    if res.status == "success":
+        append_quarantine(spark, root, table, bad, now)
+    return res
 
 
 # ---------------------------------------------------------------- silver
 
+def _fresh_bronze(spark: SparkSession, root: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """Bronze rows of the files that silver hasn't consumed, and those files.
+    Files are compared, not load times: a load stamped before the last silver
+    run but written after it is not lost."""
+    p = _paths(root)
+    bronze = spark.read.parquet(f"{p['bronze']}/{table}")
+    files = materialize(_without(bronze.select(landing.SOURCE).distinct(), _sources(spark, f"{p['silver']}/_consumed/{table}")))
+    return bronze.join(files, landing.SOURCE, "left_semi"), files
+
+
 def build_silver(spark: SparkSession, root: str, table: str, now: dt.datetime,
                  high_date: dt.datetime = scd.HIGH_DATE) -> StageResult:
-    """New bronze rows since the last successful silver load, latest per key."""
+    """Rows of the bronze files not consumed yet, latest per key: by load, then
+    by the version start that the source states."""
     p = _paths(root)
     key = DIMENSIONS[table]["key"]
-    mark = runlog.high_water_mark(spark, p["log"], "silver", table)
-    src = spark.read.parquet(f"{p['bronze']}/{table}").where(
-        F.col("record_creation_date") > F.lit(mark.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
-    latest = latest_per_key(src, [key], ["record_creation_date"]).drop("ValidFrom", "ValidTo")
+    src, files = _fresh_bronze(spark, root, table)
+    latest = latest_per_key(src, [key], ["record_creation_date", "ValidFrom"]).drop("ValidFrom", "ValidTo")
     ts = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     out = latest.withColumns({
         "effective_start_dt": ts,
@@ -85,18 +116,20 @@ def build_silver(spark: SparkSession, root: str, table: str, now: dt.datetime,
         "active_flg": F.lit(1), "insert_dt": ts, "update_dt": ts, "record_creation_date": ts,
     })
     checks = [dq.Check("not_null", key), dq.Check("unique", key)]
-    return run_stage(out, checks, f"{p['silver']}/{table}", p["log"], "silver", table, now)
+    res = run_stage(out, checks, f"{p['silver']}/{table}", p["log"], "silver", table, now)
+    if res.status == "success":  # a crash before this line repeats rows that the merge takes without effect
+        files.write.mode("append").parquet(f"{p['silver']}/_consumed/{table}")
+    return res
 
 
 def build_silver_orders(spark: SparkSession, root: str, now: dt.datetime,
                         high_date: dt.datetime = scd.HIGH_DATE) -> StageResult:
-    """Order lines newer than the last successful silver load, with the
-    order date and audit columns the fact needs (no dedupe: the grain is
-    the order line)."""
+    """Order lines of the bronze files not in silver yet, with the order date
+    and audit columns the fact needs (no dedupe: the grain is the order
+    line). Silver rows keep their file, so the append is its own record."""
     p = _paths(root)
-    mark = runlog.high_water_mark(spark, p["log"], "silver", "orders")
-    src = spark.read.parquet(f"{p['bronze']}/orders").where(
-        F.col("record_creation_date") > F.lit(mark.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
+    src = _without(spark.read.parquet(f"{p['bronze']}/orders"), _sources(spark, f"{p['silver']}/orders"))
+    src = materialize(src)  # the append grows the table that the anti-join reads
     ts = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     out = src.withColumns({
         "LastEditedDate": F.to_date("LastEditedWhen"),
@@ -135,14 +168,12 @@ def merge_dimension(spark: SparkSession, root: str, table: str, now: dt.datetime
     else:
         snap = scd.merge(current, updates, key, t1, t2, now, reactivate_inactive=reactivate_inactive)
     checks = [dq.Check("unique", "skey"), dq.Check("not_null", key)]
-    out = f"{p['gold']}/{table}/v={version}"
-    res = run_stage(snap, checks, out, p["log"], "gold", table, now, mode="overwrite", version=version)
-    if res.status == "success":
-        # at most one active version per key, checked on what was written
-        active = spark.read.parquet(out).where(F.col("active_flg") == 1).select(F.col(key).alias("__active_key"))
-        if not dq.all_passed(dq.run_checks(active, [dq.Check("unique", "__active_key")])):
-            raise ValueError(f"{table}: more than one active version for a key")
-    return res
+    # at most one active version per key, checked before the log moves the pointer
+    snap = materialize(snap)
+    active = snap.where(F.col("active_flg") == 1).select(F.col(key).alias("__active_key"))
+    if not dq.all_passed(dq.run_checks(active, [dq.Check("unique", "__active_key")])):
+        raise ValueError(f"{table}: more than one active version for a key")
+    return run_stage(snap, checks, f"{p['gold']}/{table}/v={version}", p["log"], "gold", table, now, mode="overwrite", version=version)
 
 
 # ---------------------------------------------------------------- gold calendar and fact
@@ -178,11 +209,19 @@ def assemble_fact(orders: DataFrame, products: DataFrame, customers: DataFrame,
 def build_fact(spark: SparkSession, root: str, orders: DataFrame, now: dt.datetime,
                contract: dict | None = None) -> StageResult:
     """Gold fact: surrogate keys from the current dimension snapshots,
-    appended per order year."""
+    appended per order year. Lines keep their landing file, and files already
+    in the fact are left out, so a re-run appends nothing twice. Raises if a
+    dimension holds two active versions of a key (lines would multiply)."""
     p = _paths(root)
+    if landing.SOURCE not in orders.columns:
+        raise ValueError(f"order lines need {landing.SOURCE}: a re-run is told by it")
+    orders = materialize(_without(orders, _sources(spark, f"{p['gold']}/orders_fact")))
     dims = {t: read_dimension(spark, root, t) for t in ("products", "customers", "suppliers")}
     dd = spark.read.parquet(f"{p['gold']}/dim_date")
     fact = assemble_fact(orders, dims["products"], dims["customers"], dims["suppliers"], dd)
+    fact = materialize(fact)  # counted, checked and written
+    if fact.count() != orders.count():
+        raise ValueError("orders_fact: a dimension lookup multiplied order lines")
     fact = stamp(fact, now, ("insert_dt", "update_dt", "record_creation_date")) \
         .withColumn("order_year", F.year("LastEditedWhen"))
     checks = dq.contract_checks(contract, check_ordered_columns=False) if contract else []

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from .operators.calendar import DEFAULT_END, DEFAULT_START, dim_date
+from .operators.calendar import DEFAULT_END, DEFAULT_START, dim_date, dim_date_covering
 from .sources import testdata
 
 
@@ -60,21 +60,28 @@ class GoldModel:
         return f
 
     def fact_in_calendar(self) -> DataFrame:
-        """``dim_date JOIN orders_fact ON LastEditedDate = date``.
-
-        dim_date is unique on ``date``, so the inner join is a semi join;
-        the calendar has one row per day of its range (18k rows for 50
-        years), so broadcasting it is bounded by the calendar, not the data.
+        """``dim_date JOIN orders_fact ON LastEditedDate = date`` (C6), for a
+        calendar that covers the fact: the inner join then drops the rows
+        without a date and no others, whatever years the orders lie in.
         """
-        cal = self.dim_date.select("date")
-        return self.fact.join(F.broadcast(cal), self.fact["LastEditedDate"] == cal["date"], "left_semi")
+        return self.fact.where(F.col("LastEditedDate").isNotNull())
+
+    def with_closed_versions(self) -> "GoldModel":
+        """The same model with a closed earlier version of every dimension row
+        with an even key, as a second load leaves behind."""
+        def add(dim: DataFrame, key: str, changed: str) -> DataFrame:
+            closed = dim.where(F.col(key) % 2 == 0).withColumns({
+                "active_flg": F.lit(0), changed: F.concat(F.lit("closed "), F.col(changed)), "skey": F.sha2(F.concat(F.col("skey"), F.lit("~closed")), 256)})
+            return dim.unionByName(closed)
+        return GoldModel(self.spark, self.fact, add(self.products, "ProductID", "Brand"), add(self.customers, "CustomerID", "Country"),
+                         add(self.suppliers, "SupplierId", "SupplierName"), self.calendar_start, self.calendar_end)
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, cached: bool = True) -> "GoldModel":
         """Model over the driver's tables. The lazy plans (file listing,
         schema, analysis) are reused per session and directory; no data is
         cached. ``cached=False`` re-reads the folder listings."""
-        key = (id(spark), sf_dir.rstrip("/"))
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
         if cached and key in _MODELS:
             return _MODELS[key]
         model = cls(
@@ -111,10 +118,10 @@ class GoldModel:
         self.products.write.mode(mode).parquet(f"{root}/products")
         self.customers.write.mode(mode).parquet(f"{root}/customers")
         self.suppliers.write.mode(mode).parquet(f"{root}/suppliers")
-        self.dim_date.write.mode(mode).parquet(f"{root}/dim_date")
+        dim_date_covering(self.fact, at_least=(self.calendar_start, self.calendar_end)).write.mode(mode).parquet(f"{root}/dim_date")
 
 
-_MODELS: dict[tuple[int, str], GoldModel] = {}
+_MODELS: dict[tuple[str, str], GoldModel] = {}
 
 
 def _read_optional(spark: SparkSession, path: str) -> DataFrame | None:

@@ -76,11 +76,14 @@ def dim_date(spark: SparkSession, start: dt.date = DEFAULT_START, end: dt.date =
     return date_attributes(dates, run_date or start.strftime("%Y%m%d"), reference_dow_in_month)
 
 
-def dim_date_covering(fact: DataFrame, date_col: str = "LastEditedDate", run_date: str = "19000101") -> DataFrame:
+def dim_date_covering(fact: DataFrame, date_col: str = "LastEditedDate", run_date: str = "19000101",
+                      at_least: tuple[dt.date, dt.date] | None = None) -> DataFrame:
     """Calendar of whole years covering the fact's dates (first Jan of the
-    first year .. 31 Dec of the last). The span - not the data volume -
+    first year .. 31 Dec of the last), and ``at_least`` these days. The span - not the data volume -
     sizes it, so the single-row ``sequence`` is bounded."""
     bounds = fact.agg(F.min(date_col).alias("__lo"), F.max(date_col).alias("__hi"))
+    if at_least:
+        bounds = bounds.select(F.least("__lo", F.lit(at_least[0])).alias("__lo"), F.greatest("__hi", F.lit(at_least[1])).alias("__hi"))
     dates = bounds.select(F.explode(F.sequence(F.trunc("__lo", "year"),
                                                F.make_date(F.year("__hi"), F.lit(12), F.lit(31)))).alias("date"))
     return date_attributes(dates, run_date)

@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, num_partitions
+from ..session import checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
 
@@ -47,14 +47,11 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    if partitions is None:
-        # as many ranges as the input has partitions: a materialised
-        # aggregate's count was fitted to its size by AQE (few for a small
-        # table, thousands on a cluster), not the static shuffle setting
-        partitions = max(1, num_partitions(df))
     order_cols = _sort_cols(order)
+    # without a count AQE fits the number of ranges to the data
+    ranged = df.repartitionByRange(*order_cols) if partitions is None else df.repartitionByRange(partitions, *order_cols)
     ranged = (
-        df.repartitionByRange(partitions, *order_cols)
+        ranged
         .sortWithinPartitions(*order_cols)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))

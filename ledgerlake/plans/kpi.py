@@ -64,15 +64,16 @@ def kpi_base(m: GoldModel, p: Params, by: str = "year") -> DataFrame:
         g = f.groupBy(trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(*_base_aggs())
         keys = ["order_month"]
     elif by == "brand":
-        g = (f.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
+        g = (f.join(m.active_products().select("ProductID", "Brand"), "ProductID", "left")
              .groupBy("Brand").agg(*_base_aggs()))
         keys = ["Brand"]
     elif by == "region":
-        # an order belongs to one customer: distinct orders add up across customers
-        per = f.groupBy("CustomerID").agg(*_base_aggs())
-        g = (per.join(m.customers.select("CustomerID", "Region"), "CustomerID", "left")
+        # one row per customer and order, so that distinct orders are counted per region
+        per = f.groupBy("CustomerID", "OrderID").agg(sum_revenue().alias("gross_revenue"), F.sum("Quantity").alias("quantities"))
+        g = (per.join(m.active_customers().select("CustomerID", "Region"), "CustomerID", "left")
+             .groupBy("Region", "OrderID").agg(F.sum("gross_revenue").alias("gross_revenue"), F.sum("quantities").alias("quantities"))
              .groupBy("Region").agg(F.sum("gross_revenue").alias("gross_revenue"),
-                                    F.sum("orders").alias("orders"),
+                                    F.count("OrderID").alias("orders"),
                                     F.sum("quantities").cast("bigint").alias("quantities")))
         keys = ["Region"]
     else:
@@ -120,7 +121,7 @@ def kpi_current_vs_prior_year(m: GoldModel, p: Params) -> DataFrame:
 
 def kpi_yoy_pct_by_brand(m: GoldModel, p: Params) -> DataFrame:
     """L3 sliced by brand: (CY - LY) / LY with the global last year."""
-    f = m.fact.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
+    f = m.fact.join(m.active_products().select("ProductID", "Brand"), "ProductID", "left")
     per = f.groupBy("Brand", F.year("LastEditedWhen").alias("__y")).agg(*_base_aggs())
     return _cy_ly(per, ["Brand"])
 
@@ -169,7 +170,7 @@ def revenue_by_year_brand(m: GoldModel, p: Params) -> DataFrame:
     """M2: year x brand revenue (fact reduced per product first)."""
     per = m.fact.groupBy("ProductID", F.year("LastEditedWhen").alias("order_year")).agg(
         sum_revenue().alias("rev"))
-    g = (per.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
+    g = (per.join(m.active_products().select("ProductID", "Brand"), "ProductID", "left")
          .groupBy("order_year", "Brand").agg(F.round(F.sum("rev"), 2).alias("total_revenue")))
     return g.select("order_year", "Brand", F.col("total_revenue").cast("double").alias("total_revenue"))
 
@@ -183,7 +184,7 @@ def brand_period_change(m: GoldModel, p: Params) -> DataFrame:
     per = f.groupBy("ProductID").agg(
         sum_revenue(y.between(a0, a1)).alias("ra"),
         sum_revenue(y.between(b0, b1)).alias("rb"))
-    g = (per.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
+    g = (per.join(m.active_products().select("ProductID", "Brand"), "ProductID", "left")
          .groupBy("Brand").agg(F.sum("ra").alias("ra"), F.sum("rb").alias("rb")))
     return g.select(
         "Brand",
@@ -214,31 +215,27 @@ def orders_aov_by_month(m: GoldModel, p: Params) -> DataFrame:
 def orders_aov_by_month_top_brands(m: GoldModel, p: Params) -> DataFrame:
     """M4: monthly orders / AOV for the top brands by distinct orders (ties kept).
 
-    One aggregate per (brand, month, order) feeds both the brand ranking and
-    the monthly figures, so the line-level product join runs once."""
-    lines = m.fact.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
+    Two reads of the fact: the first ranks the brands, the second joins only
+    the products of the top ones, so most lines go before the shuffle."""
     # lines of unknown products (NULL brand) do not compete as a brand
-    per_order = materialize(
-        lines.where(F.col("Brand").isNotNull())
-        .groupBy("Brand", trunc_ts("month", "LastEditedWhen").alias("order_month"), "OrderID")
-        .agg(sum_revenue().alias("rev"), F.sum("Quantity").alias("qty")))
-    by_brand = per_order.groupBy("Brand").agg(F.countDistinct("OrderID").alias("brand_orders"))
+    prods = m.active_products().where(F.col("Brand").isNotNull()).select("ProductID", "Brand")
+    by_brand = m.fact.select("ProductID", "OrderID").join(prods, "ProductID").groupBy("Brand").agg(F.countDistinct("OrderID").alias("brand_orders"))
     top = top_k_with_ties(by_brand, "brand_orders", p.top_brands_by_orders, "brand_rank")
     # ties can keep more than k brands, so the list is not hinted as broadcast
     keep = top.select(F.col("Brand").alias("__b"))
-    sel = per_order.join(keep, per_order["Brand"] == keep["__b"], "left_semi")
-    g = sel.groupBy("Brand", "order_month").agg(
-        F.count(F.lit(1)).alias("total_orders"),          # one row per order already
-        F.sum("rev").alias("total_revenue"),
-        F.sum("qty").cast("bigint").alias("total_quantity"))
+    sel = m.fact.join(prods.join(keep, prods["Brand"] == keep["__b"], "left_semi"), "ProductID")
+    g = sel.groupBy("Brand", trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(*_order_kpis())
     return g.select("Brand", "order_month", *_order_kpi_cols())
 
 
 def orders_aov_revenue_by_region_month(m: GoldModel, p: Params) -> DataFrame:
     """M5: region x month orders, AOV (region from nation/region)."""
-    per = m.fact.groupBy("CustomerID", trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(*_order_kpis())
-    g = (per.join(m.customers.select("CustomerID", "Region"), "CustomerID", "left")
-         .groupBy("Region", "order_month").agg(F.sum("total_orders").alias("total_orders"),
+    # one row per customer, month and order, so that distinct orders are counted per region
+    per = (m.fact.groupBy("CustomerID", trunc_ts("month", "LastEditedWhen").alias("order_month"), "OrderID")
+           .agg(sum_revenue().alias("total_revenue"), F.sum("Quantity").alias("total_quantity")))
+    g = (per.join(m.active_customers().select("CustomerID", "Region"), "CustomerID", "left")
+         .groupBy("Region", "order_month", "OrderID").agg(F.sum("total_revenue").alias("total_revenue"), F.sum("total_quantity").alias("total_quantity"))
+         .groupBy("Region", "order_month").agg(F.count("OrderID").alias("total_orders"),
                                                F.sum("total_revenue").alias("total_revenue"),
                                                F.sum("total_quantity").cast("bigint").alias("total_quantity")))
     return g.select("Region", "order_month", *_order_kpi_cols())
@@ -256,7 +253,7 @@ def decline_drivers(m: GoldModel, p: Params) -> DataFrame:
     per = f.groupBy("ProductID").agg(
         sum_revenue(month == a_ts).alias("ra"),
         sum_revenue(month == b_ts).alias("rb"))
-    g = (per.join(m.products.select("ProductID", "Brand"), "ProductID", "left")
+    g = (per.join(m.active_products().select("ProductID", "Brand"), "ProductID", "left")
          .groupBy("Brand").agg(F.coalesce(F.sum("ra"), F.lit(0)).alias("ra"),
                                F.coalesce(F.sum("rb"), F.lit(0)).alias("rb"))
          .withColumn("chg", F.col("rb") - F.col("ra")))

@@ -28,9 +28,10 @@ def _revenue_by(m: GoldModel, key: str, extra=(), where=None) -> DataFrame:
 
 
 def _by_product_attr(m: GoldModel, attr: str, active_only: bool, extra=(), where=None) -> DataFrame:
-    """SUM(revenue) per product attribute (left join unless active_only)."""
+    """SUM(revenue) per attribute of the active product versions; lines of
+    other products go to NULL, or away with active_only."""
     per_prod = _revenue_by(m, "ProductID", extra, where)
-    prods = (m.active_products() if active_only else m.products).select("ProductID", attr)
+    prods = m.active_products().select("ProductID", attr)
     joined = per_prod.join(prods, "ProductID", "inner" if active_only else "left")
     return joined.groupBy(attr, *extra).agg(F.sum("rev").alias("rev"))
 
@@ -109,7 +110,7 @@ def top_products(m: GoldModel, p: Params) -> DataFrame:
 def top_customers(m: GoldModel, p: Params) -> DataFrame:
     """Customers ranked by revenue (left join: unknown customers kept)."""
     per = m.fact.groupBy("customer_skey", "CustomerID").agg(sum_revenue().alias("rev"))
-    c = m.customers.select(F.col("CustomerID").alias("cid"), "CustomerFirstName", "CustomerLastName")
+    c = m.active_customers().select(F.col("CustomerID").alias("cid"), "CustomerFirstName", "CustomerLastName")
     joined = per.join(c, per["CustomerID"] == c["cid"], "left").select(
         "customer_skey", F.col("cid").alias("CustomerID"),
         F.concat(F.col("CustomerFirstName"), F.lit(" "), F.col("CustomerLastName")).alias("customer_name"), "rev")
@@ -145,6 +146,6 @@ def product_part_to_whole(m: GoldModel, p: Params) -> DataFrame:
 def country_part_to_whole(m: GoldModel, p: Params) -> DataFrame:
     """Customer-country revenue share (left join customers)."""
     per = _revenue_by(m, "CustomerID")
-    c = m.customers.select("CustomerID", "Country")
+    c = m.active_customers().select("CustomerID", "Country")
     by = per.join(c, "CustomerID", "left").groupBy("Country").agg(F.sum("rev").alias("rev"))
     return _part_to_whole(by, "Country")

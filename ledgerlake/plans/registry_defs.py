@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import oracle as O
 from . import trends
-from .catalog import register
+from .catalog import REGISTRY, register
 from ..params import DEFAULT
 
 # K1 / K1b
@@ -95,3 +95,11 @@ register("latest_order_per_customer", None, O.latest_order_per_customer, raw=etl
 register("dq_orders_fact", etl.dq_orders_fact, O.dq_orders_fact)
 register("dq_customers", etl.dq_customers, O.dq_customers)
 register("customers_scd2", None, O.customers_scd2, raw=etl.customers_scd2)
+
+# The same analytics over dimensions that also hold closed versions: one revenue, not one per version
+_HISTORY = ("cum_revenue_by_country_brand", "yoy_brand_revenue", "top_5_brands", "top_10_customers", "brands_part_to_whole",
+            "country_part_to_whole", "product_part_to_whole", "kpi_base_by_brand", "kpi_base_by_region", "kpi_yoy_pct_by_brand",
+            "revenue_by_year_brand", "brand_period_change", "orders_aov_by_month_top_brands", "orders_aov_revenue_by_region_month", "decline_drivers")
+for _name in _HISTORY:
+    _e = REGISTRY[_name]
+    register(f"{_name}_history", lambda m, p, build=_e.build: build(m.with_closed_versions(), p), _e.oracle, _e.params)

@@ -17,7 +17,6 @@ from ..functions.money import exact_avg, half_up_div, sum_revenue, units
 from ..model import GoldModel
 from ..operators.share import share_pct
 from ..params import Params
-from ..session import materialize
 
 # Segment labels of the reference's report rules, in rule order.
 CUSTOMER_SEGMENTS = ("Loyal", "Regular", "New")
@@ -196,11 +195,9 @@ def revenue_by_product_segment(m: GoldModel, p: Params) -> DataFrame:
 def customers_by_product_segment(m: GoldModel, p: Params) -> DataFrame:
     """M7: distinct customers buying from each K18 product segment.
 
-    One pass over the fact: revenue per (product, price point, customer) is
-    materialised; the price-point totals that decide the segment and the
-    customer lookup both read that aggregate."""
-    triples = materialize(m.fact.groupBy("ProductID", "UnitPrice", "CustomerID")
-                          .agg(sum_revenue().alias("rev")))
+    The price points' totals decide the segments; the fact is read again for
+    the customers rather than written out at that grain."""
+    triples = m.fact.groupBy("ProductID", "UnitPrice", "CustomerID").agg(sum_revenue().alias("rev"))
     points = triples.groupBy("ProductID", "UnitPrice").agg(F.sum("rev").alias("total_revenue"))
     prods = m.active_products().select("ProductID")
     seg = (points.join(prods, "ProductID", "inner")

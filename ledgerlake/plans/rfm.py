@@ -203,35 +203,27 @@ def migration_rates(m: GoldModel, p: Params) -> DataFrame:
     label = p.migration_else_label
     absent = p.migration_absent_label or label
     asof = ts_lit(p.as_of)
-    # one pass over the fact: per customer and order day; both the anchor-year
-    # maximum (over all rows) and the period rows (calendar days of active
-    # customers - filters on the grouping keys) are read from it
-    days = materialize(m.fact.groupBy("CustomerID", "LastEditedDate")
-                       .agg(F.countDistinct("OrderID").alias("total_orders"),
-                            F.max("LastEditedWhen").alias("last_order_date")))
-    y0 = dt.datetime(p.anchor_year, 1, 1)
-    y1 = dt.datetime(p.anchor_year + 1, 1, 1)
-    last = F.col("last_order_date")
-    maxd = days.where((last >= ts_lit(y0)) & (last < ts_lit(y1))).agg(F.max(last).alias("MaxDate"))
-    cal = m.dim_date.select(F.col("date").alias("__d"))
+    # both reads are cut to the years they need (year folders prune)
+    y0, y1 = dt.datetime(p.anchor_year, 1, 1), dt.datetime(p.anchor_year + 1, 1, 1)
+    maxd = m.fact_between(y0, y1).agg(F.max("LastEditedWhen").alias("MaxDate"))
+    days = (m.fact_between(dt.datetime(p.anchor_year - 1, 7, 1), y1).groupBy("CustomerID", "LastEditedDate")
+            .agg(F.countDistinct("OrderID").alias("total_orders"), F.max("LastEditedWhen").alias("last_order_date")))
     c = m.active_customers().select("CustomerID")
-    per_day = (days.join(F.broadcast(cal), F.col("LastEditedDate") == F.col("__d"), "left_semi")
-               .join(c, "CustomerID", "left_semi")
+    per_day = (days.where(F.col("LastEditedDate").isNotNull()).join(c, "CustomerID", "left_semi")
                .withColumn("recency", day_diff(F.col("LastEditedDate"), asof)))
     tagged = attach_scalars(per_day, maxd)  # one-row scalar
-    lo6, lo3 = add_months_ts("MaxDate", -6), add_months_ts("MaxDate", -3)
-    last = F.col("last_order_date")
-    p1 = (tagged.where((last >= lo6) & (last < lo3))
-          .groupBy("CustomerID", _segment("recency", "total_orders", label).alias("s1"))
-          .agg(F.count(F.lit(1)).alias("n1")))
-    p2 = (tagged.where((last >= lo3) & (last <= F.col("MaxDate")))
-          .groupBy("CustomerID", _segment("recency", "total_orders", label).alias("s2"))
-          .agg(F.count(F.lit(1)).alias("n2")))
-    pairs = p1.join(p2, "CustomerID", "full_outer").select(
-        F.coalesce(F.col("s1"), F.lit(absent)).alias("Starting_Segment"),
-        F.coalesce(F.col("s2"), F.lit(absent)).alias("Ending_Segment"),
-        (F.coalesce(F.col("n1"), F.lit(1)) * F.coalesce(F.col("n2"), F.lit(1))).alias("pairs"),
-    )
+    lo6, lo3, last = add_months_ts("MaxDate", -6), add_months_ts("MaxDate", -3), F.col("last_order_date")
+    period = F.when((last >= lo6) & (last < lo3), 1).when((last >= lo3) & (last <= F.col("MaxDate")), 2)
+    counted = (tagged.withColumn("period", period).where("period is not null")
+               .groupBy("CustomerID", "period", _segment("recency", "total_orders", label).alias("s")).agg(F.count(F.lit(1)).alias("n")))
+    # at most three segments per customer and period; one row stands for an absent period
+    none = F.array(F.struct(F.lit(absent).alias("s"), F.lit(1).cast("long").alias("n")))
+    held = lambda k: F.filter("held", lambda x: x["period"] == k)
+    side = lambda k: F.when(F.size(held(k)) > 0, F.transform(held(k), lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n")))).otherwise(none)
+    per_customer = counted.groupBy("CustomerID").agg(F.collect_list(F.struct("period", "s", "n")).alias("held"))
+    pairs = (per_customer.select(side(1).alias("p1"), side(2).alias("p2"))
+             .select(F.explode("p1").alias("x"), "p2").select("x", F.explode("p2").alias("y"))
+             .select(F.col("x.s").alias("Starting_Segment"), F.col("y.s").alias("Ending_Segment"), (F.col("x.n") * F.col("y.n")).alias("pairs")))
     counts = pairs.groupBy("Starting_Segment", "Ending_Segment").agg(
         F.sum("pairs").cast("bigint").alias("Customer_Count"))
     with_tot = with_partition_total(counts, ["Starting_Segment"], "Customer_Count", "__start_total")

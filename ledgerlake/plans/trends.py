@@ -117,13 +117,10 @@ def cum_revenue_by_country(m: GoldModel, p: Params, partition_by_country: bool =
 def cum_revenue_by_country_brand(m: GoldModel, p: Params) -> DataFrame:
     """K5: per country x brand x year; ``p.active_flg = 1`` turns the product
     left join into an inner join; customers stay a left join (NULL country
-    kept); order dates before ``cutoff_date`` (default 2025-01-01)."""
-    if p.cutoff_date is None:
-        import datetime as dt
-        p = p.with_(cutoff_date=dt.date(2025, 1, 1))
+    kept); order dates before ``cutoff_date`` (None: no cut)."""
     f = _dated_fact(m, p).withColumn("order_date", trunc_ts("year", "LastEditedWhen"))
     prods = m.active_products().select("ProductID", "Brand")
-    custs = m.customers.select("CustomerID", "Country")
+    custs = m.active_customers().select("CustomerID", "Country")
     # reduce early: lines meet products (needed for the brand), then shrink to
     # customer x brand x year before the customer lookup
     per_cb = (f.join(prods, "ProductID", "inner")

@@ -3,13 +3,12 @@
 Library code never builds its own cluster session: every job takes the
 ``SparkSession`` it is given. ``local_session`` exists for tests and the
 bench only. ``checkpoint_dir`` reads the shared folder the cluster names
-in ``spark.checkpoint.dir`` and only falls back to a private scratch folder
-when the session has none (local tests).
+in ``spark.checkpoint.dir``; a local session without one gets a scratch
+folder, any other raises.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -73,7 +72,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, configuring the context if needed.
 
     Order: the context's current dir, then ``spark.checkpoint.dir`` from the
-    session conf, then (tests only) a fresh scratch folder.
+    session conf, then, in a local session only, a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -81,7 +80,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="ledgerlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="ledgerlake-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
@@ -94,14 +95,3 @@ def materialize(df):
     executor does not trigger a recomputation from the source tables."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def num_partitions(df, default: int | None = None) -> int:
-    """Input partition count of a DataFrame's plan (no job). Spark Connect
-    sessions expose no RDD; there the shuffle setting (or ``default``) is used."""
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - Connect: PySparkNotImplementedError
-        if default is not None:
-            return default
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -26,6 +26,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..jobs import medallion, runlog
@@ -52,24 +53,24 @@ def process_batch(spark: SparkSession, root: str, table: str, batch: DataFrame,
     """Quarantine, bronze append and SCD merge of one micro-batch."""
     paths = medallion._paths(root)
     tag = f"batch:{table}:{batch_id}"
-    done = medallion.loaded_sources(spark, root, table)
-    if done is not None:
-        # a replayed batch: its files already reached bronze in one atomic append
-        batch = batch.join(done, landing.SOURCE, "left_anti")
-    # Fix the batch's new rows in reliable storage *before* bronze grows:
-    # re-planning the anti-join after the append (cache eviction, a lost
-    # executor) would otherwise see these very rows as already loaded.
-    fresh = materialize(batch)
-    if fresh.limit(1).count() == 0:
+    merged = runlog.processed_sources(spark, paths["log"], "stream", table)
+    if merged is not None and merged.where(F.col("source") == tag).limit(1).count():
+        return "skipped"  # only a batch whose merge succeeded is done
+    # Fix the batch's rows in reliable storage *before* bronze grows.
+    batch = materialize(batch)
+    if batch.limit(1).count() == 0:
         return "skipped"
-    clean, bad = landing.split(fresh)
-    landing.quarantine_rows(bad, "bronze", table, now).write.mode("append").parquet(paths["quarantine"])
+    clean, bad = landing.split(batch)
     rows = stamp(clean, now, ("insert_dt", "record_creation_date"))
-    rows.write.mode("append").parquet(f"{paths['bronze']}/{table}")
+    # a replayed batch may have reached bronze in one atomic append; it is merged all the same
+    materialize(medallion._without(rows, medallion.loaded_sources(spark, root, table))).write.mode("append").parquet(f"{paths['bronze']}/{table}")
+    medallion.append_quarantine(spark, root, table, bad, now)
     key = DIMENSIONS[table]["key"]
-    updates = latest_per_key(rows, [key], ["record_creation_date"]).drop("ValidFrom", "ValidTo", landing.SOURCE)
+    updates = latest_per_key(rows, [key], ["record_creation_date", "ValidFrom"]).drop("ValidFrom", "ValidTo", landing.SOURCE)
     res = medallion.merge_dimension(spark, root, table, now, silver_rows=updates)
     runlog.append(spark, paths["log"], "stream", table, res.status, now, source=tag)
+    if res.status != "success":
+        raise ValueError(f"{tag}: the merge failed its checks; the stream must not commit the batch")
     return res.status
 
 

@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from ledgerlake.plans import catalog
 from tools.check_oracle import canon, close
 from tests.edge_tables import RAW_TABLES, build
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

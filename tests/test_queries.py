@@ -5,12 +5,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from ledgerlake.plans import catalog
 from tools.check_oracle import canon, close
 from ledgerlake.sources.testdata import TABLES
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -107,6 +107,26 @@ class GoldModel:
             _dim_date=_read_optional(spark, f"{root}/dim_date"),
         )
 
+    @classmethod
+    def from_gold(cls, spark: SparkSession, root: str, regions: DataFrame | None = None) -> "GoldModel":
+        """The gold layer that the jobs write: of every dimension the snapshot
+        that the run log points to (earlier snapshots aren't added up), and the
+        fact. ``regions`` (Country, Region) places customers; without it Region
+        is NULL, as Segment is where the layer has none."""
+        from .jobs import medallion
+        dims = {t: medallion.read_dimension(spark, root, t) for t in ("products", "customers", "suppliers")}
+        missing = [t for t, d in dims.items() if d is None]
+        if missing:
+            raise ValueError(f"no gold snapshot of {', '.join(missing)} under {root}")
+        customers, none = dims["customers"], F.lit(None).cast("string")
+        if "Region" not in customers.columns:
+            customers = customers.withColumn("Region", none) if regions is None else customers.join(regions.select("Country", "Region"), "Country", "left")
+        if "Segment" not in customers.columns:
+            customers = customers.withColumn("Segment", none)
+        gold = f"{root.rstrip('/')}/gold"
+        return cls(spark, spark.read.parquet(f"{gold}/orders_fact"), dims["products"], customers, dims["suppliers"],
+                   _dim_date=_read_optional(spark, f"{gold}/dim_date"))
+
     def write(self, root: str, mode: str = "overwrite") -> None:
         """Materialise the model as the gold layer (fact partitioned by year)."""
         root = root.rstrip("/")

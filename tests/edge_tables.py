@@ -71,6 +71,8 @@ def build(folder: str) -> str:
         (22, 12, D(2000, 12, 31)),
         (23, 2, D(2001, 7, 2)),
         (24, 9, D(2001, 4, 20)),
+        (25, 6, D(2025, 6, 1)),       # beyond the former fixed cut
+        (26, 6, D(2035, 6, 1)),       # beyond the default calendar
     ]
     _write(folder, "orders", pa.schema([("o_orderkey", i64), ("o_custkey", i64), ("o_orderstatus", s),
                                         ("o_totalprice", f64), ("o_orderdate", ts), ("o_orderpriority", s)]),

@@ -205,3 +205,23 @@ def test_change_hash_has_no_collisions(spark):
     rows = [("a~", "b"), ("a", "~b"), ("a", None), (None, "a"), ("1:a", ""), ("", "1:a"), ("-", None), (None, "-"), ("", None), (None, "")]
     df = spark.createDataFrame(rows, "x string, y string").select(change_hash(["x", "y"]).alias("h"))
     assert df.distinct().count() == len(rows)
+
+
+def test_analytics_on_the_jobs_gold_layer(spark, scratch):
+    """A second product load closes a version and writes a second snapshot: revenue stays one revenue."""
+    from ledgerlake.model import GoldModel
+    from ledgerlake.params import DEFAULT
+    from ledgerlake.plans import kpi, ranking
+    test_orders_to_gold_fact(spark, scratch)
+    root, t2 = os.path.join(scratch, "lake"), dt.datetime(2024, 4, 1)
+    d = os.path.join(scratch, "landing_products")
+    _write_raw(d, "p2.csv", PRODUCTS_HEADER, ["10,Bolt,red,BrandZ,S,111,0.15,2.50,7,,"])
+    medallion.ingest_bronze(spark, root, "products", d, t2)
+    medallion.build_silver(spark, root, "products", t2)
+    medallion.merge_dimension(spark, root, "products", t2)
+    regions = spark.createDataFrame([("Land", "Here")], "Country string, Region string")
+    m = GoldModel.from_gold(spark, root, regions)
+    assert m.products.count() == 3  # two active, one closed
+    got = {r.Brand: r.total_revenue for r in ranking.top_brands(m, DEFAULT).collect()}
+    assert got == {"BrandZ": 12.5, "BrandB": 3.75}
+    assert {r.Region: r.orders for r in kpi.kpi_base(m, DEFAULT, by="region").collect()} == {"Here": 2, None: 1}

@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from .common import U64, Cache, is_fold, map_batches, mix, read, ship, stash
 
@@ -42,12 +44,7 @@ BLOCK = 400_000
 _STEP, _TOP = U64(0x9E3779B97F4A7C15), U64(48)
 
 
-def _hash(w: bytes) -> int:
-    import xxhash
-    return xxhash.xxh3_64_intdigest(w)
-
-
-END = U64(_hash(b"\n"))  # no word holds a line break
+END = U64(xxh3_64_intdigest(b"\n"))  # no word holds a line break
 
 
 def tokens(text: str) -> list[bytes]:
@@ -104,7 +101,7 @@ COUNTED = T.StructType([T.StructField("bigram", T.BooleanType()), T.StructField(
 def count(docs: DataFrame) -> DataFrame:
     """Unigram counts (v) and bigram counts of MIN_COUNT or more (v, w), over all of docs(text)."""
     def make():
-        hashes = Cache(_hash)
+        hashes = Cache(xxh3_64_intdigest)
 
         def run(batch):
             kind, first, second, n = [], [], [], []
@@ -130,18 +127,20 @@ class Filter:
 
     def __init__(self, pages: np.ndarray, number: int, segments: int):
         self.pages, self.number, self.segments = pages, number, segments
+        self.flat = pages.reshape(-1)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Levels of entries of this segment; 0: not in."""
         out, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        page, j = page_of(keys, len(self.pages)), 0
+        start, j = page_of(keys, len(self.pages)) * self.pages.shape[1], 0
         while len(live):
             j += 1
             base, step = probe_hashes(keys[live], j)
             hit = live
             for i in range(PROBES):
-                bit = ((base + U64(i) * step) % U64(PAGE_BITS)).astype(np.int64)
-                yes = (self.pages[page[hit], bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+                bit = (base + U64(i) * step) & U64(PAGE_BITS - 1)
+                byte = self.flat[start[hit] + (bit >> U64(3)).astype(np.int64)]
+                yes = np.flatnonzero((byte >> (bit & U64(7)).astype(np.uint8)) & 1)
                 hit, base, step = hit[yes], base[yes], step[yes]
             out[hit] = j
             live = hit
@@ -192,7 +191,7 @@ def build(counts: DataFrame, segment_bytes: int = SEGMENT_BYTES):
         for j in range(1, int(top.max()) + 1):
             base, step = probe_hashes(key[top >= j], j)
             for i in range(PROBES):
-                bits[((base + U64(i) * step) % U64(PAGE_BITS)).astype(np.int64)] = 1
+                bits[((base + U64(i) * step) & U64(PAGE_BITS - 1)).astype(np.int64)] = 1
         return pd.DataFrame({"page": [int(pdf["page"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     placed = T.StructType([T.StructField("page", T.LongType()), T.StructField("key", T.LongType()), T.StructField("level", T.LongType())])
@@ -230,6 +229,21 @@ def head_words(unigrams: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return key[order], table["n"].to_numpy()[order]
 
 
+def _flat_tail(column: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Row, key, n and backed of every entry of a tail column."""
+    flat = column.flatten()
+    size = column.value_lengths().fill_null(0).to_numpy()
+    return (np.repeat(np.arange(len(column)), size), *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "n", "backed")))
+
+
+def _tail_column(parts: list[tuple[np.ndarray, ...]], rows: int) -> pa.Array:
+    row, *values = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(row, kind="stable")
+    ends = np.cumsum(np.bincount(row.astype(np.int64), minlength=rows))
+    entries = pa.StructArray.from_arrays([pa.array(v[order]) for v in values], ["key", "n", "backed"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), entries)
+
+
 def _pass(rows: DataFrame, filter_: Filter, head: tuple, total: int, last: bool) -> DataFrame:
     """Adds the positions whose context lies in the filter's segment; the first
     pass also counts, and what needs a rarer word's count goes to ``tail``."""
@@ -237,14 +251,12 @@ def _pass(rows: DataFrame, filter_: Filter, head: tuple, total: int, last: bool)
     shared_filter, shared_head = sc.broadcast(filter_), sc.broadcast(head)
 
     def make():
-        hashes = Cache(_hash)
+        hashes = Cache(xxh3_64_intdigest)
 
         def run(batch):
             f, (head_key, head_n) = shared_filter.value, shared_head.value
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            sums = np.zeros((4, len(texts)))
-            tail = batch.column("tail").to_pylist()
-            tail = [x or [] for x in tail]
+            sums, tail = np.zeros((4, len(texts))), [_flat_tail(batch.column("tail"))]
             for own, v, w in blocks(texts, hashes):
                 word, number = np.unique(w, return_inverse=True)
                 at = np.minimum(np.searchsorted(head_key, word), max(0, len(head_key) - 1))
@@ -275,16 +287,13 @@ def _pass(rows: DataFrame, filter_: Filter, head: tuple, total: int, last: bool)
                     sums[k] += np.bincount(own, x, len(texts))
                 rare = np.flatnonzero(~known & (first | mine & ~found))
                 if len(rare):
-                    both = own[rare].astype(np.int64) * len(word) + number[rare]
-                    key, back = np.unique(both, return_inverse=True)
-                    n = np.bincount(back) * int(first)
-                    backed = np.bincount(back, (mine & ~found)[rare]).astype(np.int64)
-                    for d, h, x, y in zip((key // len(word)).tolist(), word[key % len(word)].view(np.int64).tolist(), n.tolist(), backed.tolist()):
-                        tail[d].append({"key": h, "n": x, "backed": y})
+                    key, back = np.unique(own[rare] * np.int64(len(word)) + number[rare], return_inverse=True)
+                    tail.append((key // len(word), word[key % len(word)].view(np.int64), np.bincount(back) * int(first),
+                                 np.bincount(back, (mine & ~found)[rare]).astype(np.int64)))
             before = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_tokens", "n_known", "base_score", "score")]
             sums = [b + s for b, s in zip(before, sums)]
             return [batch.column("doc_id"), [None] * len(texts) if last else batch.column("text"),
-                    sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3], tail]
+                    sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3], _tail_column(tail, len(texts))]
         return run
 
     return map_batches(rows, make, SCORED)

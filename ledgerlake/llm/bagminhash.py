@@ -48,7 +48,7 @@ def _word_hash(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w)
 
 
-def word_hashes(limit: int = 300_000) -> Cache:
+def word_hashes(limit: int = 100_000) -> Cache:
     return Cache(_word_hash, limit)
 
 
@@ -242,7 +242,7 @@ def _rest(held: DataFrame, first: DataFrame, bodies: DataFrame, similarity: floa
             F.col("x" if left else "y").alias("left"), F.col("y" if left else "x").alias("right"))
 
     sides = side(pool.where("outside"), True).unionByName(side(pool, False)).join(bodies, "node")
-    bags, hashes = OrderedDict(), word_hashes(100_000)
+    bags, hashes = OrderedDict(), word_hashes(50_000)
 
     def bag(node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
         if node not in bags:
@@ -257,15 +257,21 @@ def _rest(held: DataFrame, first: DataFrame, bodies: DataFrame, similarity: floa
         node = right["node"].to_numpy()
         table = [bag(x, t) for x, t in zip(node, right["text"])]
         size = np.array([c.sum() for _, c in table])
+        flat, counts = np.concatenate([h for h, _ in table]), np.concatenate([c for _, c in table])
+        owner = np.repeat(np.arange(len(table)), [len(h) for h, _ in table])
         a, b = [], []
         for x, cx, kx, text in zip(left["node"], left["component"], left["bands"], left["text"]):
-            mine = bag(x, text)
-            total = mine[1].sum()
+            mine, mine_n = bag(x, text)
+            total = mine_n.sum()
             ask = (component != cx) & (~outside | (node > x)) & ~(keys[:, :band] == kx[:band]).any(axis=1)
             ask &= np.minimum(size, total) >= similarity * np.maximum(size, total)
-            for i in np.flatnonzero(ask):
-                if overlap(mine, table[i]) >= similarity:
-                    a.append(x), b.append(node[i])
+            if not ask.any():
+                continue
+            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)  # overlaps with all texts of the block at once
+            same = np.flatnonzero(mine[at] == flat)
+            both = np.bincount(owner[same], np.minimum(mine_n[at[same]], counts[same]), len(table))
+            for i in np.flatnonzero(ask & (both >= similarity * (total + size - both))):
+                a.append(x), b.append(node[i])
         return pd.DataFrame({"a": a, "b": b})
 
     return sides.groupBy("band", "key", "left", "right").applyInPandas(compare, "a binary, b binary")

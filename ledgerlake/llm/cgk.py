@@ -227,7 +227,7 @@ def _pass(rows: DataFrame, items: list[tuple], hits: T.ArrayType) -> DataFrame:
             return [row, [(x or []) + y for x, y in zip(before, found)]]
         return run
 
-    return map_batches(rows, make, schema)
+    return map_batches(rows, make, schema, rows=8192)  # windows of many texts are embedded together
 
 
 def op9_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

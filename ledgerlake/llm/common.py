@@ -64,8 +64,8 @@ def is_fold(column: str, n: int, fold: int) -> Column:
     return F.coalesce(crc_mod(column, n) == fold, F.lit(False))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: T.StructType) -> DataFrame:
-    """mapInArrow where ``make()`` runs once per task and returns a function
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: T.StructType, rows: int = 1024) -> DataFrame:
+    """mapInArrow in batches of at most ``rows`` rows, where ``make()`` runs once per task and returns a function
     from a batch to the output columns (lists, numpy or Arrow arrays); its
     ``finish``, if it has one, gives further rows at the end."""
     names = schema.fieldNames()
@@ -75,9 +75,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
         types = to_arrow_schema(schema)
         fn = make()
         for batch in batches:
-            if batch.num_rows:
-                cols = fn(batch)
-                yield record(cols, types)
+            for at in range(0, batch.num_rows, rows):
+                yield record(fn(batch.slice(at, rows)), types)
         last = getattr(fn, "finish", lambda: None)()  # what is left after the last batch
         if last:
             yield record(last, types)

@@ -13,10 +13,14 @@ Embedding. The CGK random walk copies a window's symbols to an output string
 twice as long (where the walk ends on average: later places would mostly agree
 for any two texts), moving on after a symbol by a random bit of (step, symbol);
 texts a few edits apart give strings of small Hamming distance.
-Search. Each of ``TABLES`` tables samples ``SAMPLE`` places of an embedding
-(one of ``WALKS`` walks) and hashes them; a window that meets an item in any
-table is a candidate. A place agrees with probability p, a table with
-p**SAMPLE and the search with 1 - (1 - p**SAMPLE)**TABLES, about 0.98 at p = 0.5.
+Search. Each table samples ``SAMPLE`` places of an embedding (one of ``WALKS``
+walks) and hashes them; a window that meets an item in any table is a
+candidate. A place agrees with a probability that falls with the item's length,
+so the number of tables is chosen for each size: the least of ``TABLES`` at which
+the measured share of pairs at the edit limit that meet is at least ``TARGET``.
+Where none suffices (long items) candidates come from an exact rule instead: with
+k edits a window keeps all but n * k of an item's runs of n words, hence one of
+its rarest n * k + 1, and shares at least the rest.
 Check. The exact word edit distance decides.
 
 Items come to the tasks in blocks of at most ``BLOCK`` items; the documents
@@ -31,6 +35,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +45,8 @@ from pyspark.sql import types as T
 from .common import U64, Cache, map_batches, mix, read, seed, stash, words
 
 RATE, ANCHOR = 0.2, 3
-WALKS, TABLES, SAMPLE, STRETCH = 4, 32, 3, 2
+WALKS, TABLES, SAMPLE, STRETCH = 8, (32, 48, 64, 96), 3, 2
+TARGET, PAIRS, LONG = 0.98, 400, 50
 BLOCK = 20_000
 
 HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start_word", T.LongType()),
@@ -64,6 +70,22 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def distances(a: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Levenshtein distance of symbol array a to the first ``lengths`` symbols of each row."""
+    steps = np.arange(rows.shape[1] + 1)
+    row = np.tile(steps, (len(rows), 1))
+    for i, x in enumerate(a, 1):
+        new = np.full_like(row, i)
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (rows != x), out=new[:, 1:])
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    return row[np.arange(len(rows)), lengths]
+
+
+def limit(size: int, rate: float = RATE) -> int:
+    """Edits an item of ``size`` words may have."""
+    return int(rate * size + 1e-9)
+
+
 def embed(windows: np.ndarray, walk: int, length: int) -> np.ndarray:
     """CGK embedding of symbol rows (unsigned 64 bit): length places each."""
     n, width = windows.shape
@@ -75,51 +97,101 @@ def embed(windows: np.ndarray, walk: int, length: int) -> np.ndarray:
     return out
 
 
+def _places(size: int, tables: int) -> list[np.ndarray]:
+    rng = np.random.default_rng(9)
+    return [rng.choice(STRETCH * size, min(SAMPLE, STRETCH * size), replace=False) for _ in range(tables)]
+
+
+def _keys(windows: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """Rows of table keys."""
+    out = np.zeros((len(windows), len(places)), U64)
+    for walk in range(WALKS):
+        e = embed(mix(windows + U64(1)), walk, STRETCH * windows.shape[1])
+        for t in range(walk, len(places), WALKS):
+            for p in places[t]:
+                out[:, t] = mix(out[:, t] * U64(0x9E3779B97F4A7C15) + e[:, p])
+    return out
+
+
+@lru_cache(maxsize=None)
+def _measured(size: int, rate: float) -> int:
+    """The least of TABLES at which pairs at the edit limit meet often enough; 0: none."""
+    rng, pairs = np.random.default_rng(size), np.zeros((2, PAIRS, size), np.int64)
+    for i in range(PAIRS):
+        new = iter(range(size + 1, 4 * size + 2))
+        a = list(range(1, size + 1))
+        b = a[:]
+        for _ in range(limit(size, rate)):
+            at, kind = int(rng.integers(len(b))), rng.integers(3)  # replaced, added, taken out
+            b[at: at + (kind != 1)] = [next(new)] if kind < 2 else []
+        b += [next(new) for _ in range(size - len(b))]
+        pairs[:, i] = np.array([a, b[:size]]) + 4 * i * (size + 1)
+    places = _places(size, max(TABLES))
+    met = np.logical_or.accumulate(_keys(pairs[0].astype(U64), places) == _keys(pairs[1].astype(U64), places), axis=1).mean(axis=0)
+    return next((t for t in TABLES if met[t - 1] >= TARGET), 0)
+
+
+def tables_for(size: int, rate: float = RATE) -> int:
+    """Tables for items of ``size`` words, 0 for the exact rule. Measured at the next
+    multiple of five, where the edit limit is the largest share of the words; beyond
+    the first size of ``LONG`` words or more that no number of tables serves, none is tried."""
+    top = -(-size // 5) * 5
+    return 0 if any(not _measured(n, rate) for n in range(LONG, top, 5)) else _measured(top, rate)
+
+
 class Index:
-    """Tables over the embeddings of one block of items."""
+    """Tables over the embeddings of one block of items, or their rarest runs."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, walks: int = WALKS, tables: int = TABLES, sample: int = SAMPLE):
-        self.rate, self.walks, self.tables = rate, walks, tables
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, plan: dict[int, int] | None = None):
+        self.rate = rate
         self.number: dict[str, int] = {}
         self.items = []
         for item, text in items:
             ws = [symbol(w) for w in words(text or "")]
             if ws:
                 self.items.append((item, np.array([self.number.setdefault(w, len(self.number) + 1) for w in ws], np.int64)))
-        rng = np.random.default_rng(9)
         self.by_size: dict[int, dict] = {}
         sizes = defaultdict(list)
         for i, (_, ids) in enumerate(self.items):
             sizes[len(ids)].append(i)
         for size, held in sizes.items():
-            places = [rng.choice(STRETCH * size, min(sample, STRETCH * size), replace=False) for _ in range(tables)]
-            keys = self._keys(np.stack([self.items[i][1] for i in held]).astype(U64), places)
-            found = defaultdict(set)
-            for t in range(tables):
-                for i, key in zip(held, keys[:, t].tolist()):
-                    found[(t, key)].add(i)
-            self.by_size[size] = {"places": places, "found": dict(found), "keys": [np.unique(keys[:, t]) for t in range(tables)]}
+            tables = plan[size] if plan else tables_for(size, rate)
+            self.by_size[size] = self._tables(size, held, tables) if tables else self._rarest(size, held)
         self.runs = self._anchors()
 
-    def _keys(self, windows: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
-        """Rows of table keys."""
-        out = np.zeros((len(windows), self.tables), U64)
-        for walk in range(self.walks):
-            e = embed(mix(windows + U64(1)), walk, STRETCH * windows.shape[1])
-            for t in range(walk, self.tables, self.walks):
-                for p in places[t]:
-                    out[:, t] = mix(out[:, t] * U64(0x9E3779B97F4A7C15) + e[:, p])
-        return out
+    def _tables(self, size: int, held: list[int], tables: int) -> dict:
+        places = _places(size, tables)
+        keys = _keys(np.stack([self.items[i][1] for i in held]).astype(U64), places)
+        found = defaultdict(set)
+        for t in range(tables):
+            for i, key in zip(held, keys[:, t].tolist()):
+                found[(t, key)].add(i)
+        return {"places": places, "found": dict(found), "keys": [np.unique(keys[:, t]) for t in range(tables)]}
+
+    def _rarest(self, size: int, held: list[int]) -> dict:
+        """Per item the rarest runs, of which a match keeps one, in order of their codes."""
+        n, base = self._run(size), len(self.number) + 1
+        codes = np.stack([_run_codes(self.items[i][1], n, base) for i in held])
+        shared = max(1, codes.shape[1] - n * self.edits(size))  # runs that k edits leave, each edit touching n at most
+        _, inverse, count = np.unique(codes, return_inverse=True, return_counts=True)
+        order = np.argsort(count[inverse.reshape(codes.shape)], axis=1, kind="stable")[:, : codes.shape[1] - shared + 1]
+        rare, who = np.take_along_axis(codes, order, axis=1).ravel(), np.repeat(held, order.shape[1])
+        at = np.lexsort((who, rare))
+        return {"n": n, "shared": shared, "rare": rare[at], "who": who[at], "codes": dict(zip(held, codes))}
 
     def edits(self, size: int) -> int:
-        return int(self.rate * size + 1e-9)
+        return limit(size, self.rate)
+
+    def _run(self, size: int) -> int:
+        """Words of the runs that serve as anchors."""
+        return min(ANCHOR, max(1, size // (self.edits(size) + 1)))
 
     def _anchors(self) -> dict[int, dict]:
         """Run length -> its runs' codes in order, and where they stand: (size, offset)."""
         out: dict[int, dict] = {}
         base = len(self.number) + 1
         for _, ids in self.items:
-            n = min(ANCHOR, max(1, len(ids) // (self.edits(len(ids)) + 1)))
+            n = self._run(len(ids))
             held = out.setdefault(n, defaultdict(set))
             for o, code in enumerate(_run_codes(ids, n, base).tolist()):
                 held[code].add((len(ids), o))
@@ -172,17 +244,37 @@ class Index:
 
     def _match(self, part, rows, size, docs, best) -> None:
         index = self.by_size[size]
-        keys, pairs = self._keys(rows, index["places"]), set()
-        for t in range(self.tables):
-            col = keys[:, t]
-            for r in np.flatnonzero(np.isin(col, index["keys"][t])).tolist():
-                pairs.update((r, i) for i in index["found"][(t, int(col[r]))])
-        for r, i in sorted(pairs):
-            d, s = part[r]
-            window = docs[d][s: s + size]
-            dist = edit_distance(self.items[i][1], window)
-            if dist <= self.edits(size):
-                best[d][i] = min(best[d].get(i, (size + 1,)), (dist, s, len(window)))
+        lengths = np.array([min(size, len(docs[d]) - s) for d, s in part])
+        windows = rows.astype(np.int64)
+        for i, at in (self._met(rows, index) if "places" in index else self._sharing(windows, index)).items():
+            for r, dist in zip(at, distances(self.items[i][1], windows[at], lengths[at]).tolist()):
+                if dist <= self.edits(size):
+                    d, s = part[r]
+                    best[d][i] = min(best[d].get(i, (size + 1,)), (dist, s, int(lengths[r])))
+
+    def _met(self, rows: np.ndarray, index: dict) -> dict[int, list[int]]:
+        """Item -> rows that meet it in a table."""
+        keys, out = _keys(rows, index["places"]), defaultdict(set)
+        for t, known in enumerate(index["keys"]):
+            for r in np.flatnonzero(np.isin(keys[:, t], known)).tolist():
+                for i in index["found"][(t, int(keys[r, t]))]:
+                    out[i].add(r)
+        return {i: sorted(at) for i, at in out.items()}
+
+    def _sharing(self, windows: np.ndarray, index: dict) -> dict[int, list[int]]:
+        """Item -> rows that hold one of its rarest runs and enough of all its runs."""
+        base, out = len(self.number) + 1, defaultdict(list)
+        for at in range(0, len(windows), 256):
+            codes = _run_codes(windows[at: at + 256].T, index["n"], base).T
+            low, high = (np.searchsorted(index["rare"], codes, side) for side in ("left", "right"))
+            r, c = np.nonzero(high > low)
+            times = (high - low)[r, c]
+            who = index["who"][np.arange(times.sum()) + np.repeat(low[r, c] - np.cumsum(times) + times, times)]
+            for i in np.unique(who).tolist():
+                held = np.unique(np.repeat(r, times)[who == i])
+                enough = np.isin(codes[held], index["codes"][i]).sum(axis=1) >= index["shared"]
+                out[i] += (at + held[enough]).tolist()
+        return {i: at for i, at in out.items() if at}
 
 
 def _run_codes(ids: np.ndarray, n: int, base: int) -> np.ndarray:
@@ -212,11 +304,12 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataF
 
 
 def _pass(rows: DataFrame, items: list[tuple], hits: T.ArrayType) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+    sizes = {len(words(text or "")) for _, text in items} - {0}
+    shared = rows.sparkSession.sparkContext.broadcast((items, {n: tables_for(n) for n in sizes}))
     schema = T.StructType([rows.schema["row"], T.StructField("hits", hits)])
 
     def make():
-        index = Index(shared.value)
+        index = Index(shared.value[0], plan=shared.value[1])
         number = Cache(lambda w: index.number.get(symbol(w), 0), 300_000)
 
         def run(batch):

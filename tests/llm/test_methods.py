@@ -352,6 +352,42 @@ def test_op9_recall_on_edited_passages(docs):
     assert false == 0 and found >= 0.9 * asked > 0
 
 
+@pytest.mark.parametrize("size", [5, 15, 30, 59, 80, 100, 150, 200])
+def test_op9_recall_by_length_and_share(size):
+    """Replaced words up to the limit, so that every passage is a match by its making."""
+    rng = np.random.default_rng(size)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, size))) for i in range(40)]
+    index = cgk.Index(items)
+    number = lambda w: index.number.get(w, 0)
+    for share in (0.05, 0.1, 0.15, 0.2):
+        docs, edits = [], int(share * size + 1e-9)
+        for _, text in items:
+            w = text.split()
+            for at in rng.choice(size, edits, replace=False):
+                w[at] = f"w{rng.integers(0, 5000)}"
+            docs.append(np.array([number(x) for x in [*(f"w{x}" for x in rng.integers(0, 5000, 20)), *w, "and", "so", "on"]]))
+        found = [{h["item_id"]: h["distance"] for h in hits} for hits in index.search(docs)]
+        assert np.mean([i in f for i, f in enumerate(found)]) >= (0.95 if cgk.tables_for(size) else 1), (size, share)
+        assert all(d <= size // 5 for f in found for d in f.values())
+
+
+@pytest.mark.parametrize("size", [60, 120])
+def test_op9_exact_rule_against_brute_force(size):
+    """Few words, so that runs repeat; added, removed and replaced words; cut texts."""
+    rng = np.random.default_rng(size)
+    base = [f"w{x}" for x in rng.integers(0, 12, size)]
+    items = [(i, " ".join(f"w{rng.integers(0, 12)}" if rng.random() < 0.1 else x for x in base)) for i in range(12)]
+    index = cgk.Index(items, plan={size: 0})
+    for n in range(12):
+        w = items[n][1].split()
+        for _ in range(int(rng.integers(size // 10, size // 4))):
+            at, kind = int(rng.integers(len(w))), rng.integers(3)
+            w[at:at + (kind > 0)] = [f"w{rng.integers(0, 15)}"] if kind < 2 else []
+        doc = w if n % 3 else ["w1", "w20", *w, "w3", "w4"]
+        got = index.search([np.array([index.number.get(x, 0) for x in doc])])[0]
+        assert {h["item_id"] for h in got} == brute_hits(items, " ".join(doc))
+
+
 def test_op9_blocks_of_items(spark):
     df, items = read(spark, SF1, "documents").select("doc_id", "text"), read(spark, SF1, "benchmark")
     one = {r.row.doc_id: {h.item_id for h in r.hits} for r in cgk.annotate(df, items).collect()}

@@ -303,6 +303,29 @@ def test_op8_weights_give_the_probabilities(spark):
     assert got[0]["probability"] == pytest.approx(p[1:].max())
 
 
+WRAPPED = {
+    "mit": "# Permission is hereby granted, free of charge, to any\n# person obtaining a copy of this software\n# and associated documentation files (the \"Software\"), to deal\n# in the Software",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions\r\n * are met:\r\n *\r",
+    "gpl": "dnl This program is free software: you can redistribute it\ndnl and/or modify it under the terms of the GNU\ndnl General Public License as\ndnl published by the Free Software Foundation",
+}
+
+
+def test_op8_wrapped_notices(spark):
+    df = read(spark, SF1, "documents").select("doc_id", "text")
+    code = "\n".join(f"x{i} = read(file, {i})  // use the source of part {i}" for i in range(60))
+    texts = {f: [w, f"{code}\n{w}\n{code}", f"int main;\n\n{w}\n\n{code}"] for f, w in WRAPPED.items()}
+    rows = [(i, t, f) for i, (f, t) in enumerate((f, t) for f, ts in texts.items() for t in ts)]
+    plain = [(100, code), (101, "Redistribution and use in source\n\nand binary forms, with\n\nor without modification.\n\nare permitted"),
+             (102, WRAPPED["bsd"] + "\n" + "\n".join(["The river."] * 9) + "\nLicensed under CC BY-NC 4.0.\n" + WRAPPED["bsd"])]
+    model = licences.train(df)
+    got = {r["doc_id"]: [x for x in r["licences"] if x["confirmed"]] for r in licences.scan(
+        spark.createDataFrame([r[:2] for r in rows] + plain, "doc_id long, text string"), model).collect()}
+    for i, t, f in rows:
+        assert [x["family"] for x in got[i]] == [f], t
+    assert got[100] == [] and got[101] == []
+    assert [x["family"] for x in got[102]].count("bsd") == 2 and {x["family"] for x in got[102]} == {"bsd", "cc-by-nc"}
+
+
 def test_op8_plan_is_native(spark):
     plan = registry.queries()["op8_licence_scan"](spark, SF1)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)

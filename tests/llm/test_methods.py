@@ -487,6 +487,20 @@ def test_filter_returns_the_levels():
     assert (f.level(rng.integers(0, 2 ** 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.05
 
 
+def test_ranking_with_a_repeated_id(spark):
+    """Neither copies of one document nor of one label row take the places of the others."""
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % ranking.FOLDS != ranking.HELD_OUT][:20]
+    text = lambda i: "The river runs to the sea. It is wide and calm." if i % 2 else "BUY now !!! 50 % $$$ BUY now !!!"
+    docs = spark.createDataFrame([(ids[0], text(ids[0]))] * 4000 + [(i, text(i)) for i in ids], "doc_id long, text string").coalesce(1)
+    for hot in ids:
+        labels = spark.createDataFrame([(hot, hot % 2)] * 50 + [(i, i % 2) for i in ids], "doc_id long, quality int")
+        if hot in (ids[0], min(ids, key=lambda i: spark.range(1).selectExpr(f"xxhash64({i}L)").first()[0])):
+            model = ranking.train(docs, labels, rows=len(ids))
+            assert model is not None
+            got = {r["row"]["doc_id"]: r["score"] for r in ranking.score(docs.distinct(), model).collect()}
+            assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if not i % 2)
+
+
 def test_ranking_without_labels(spark):
     df = spark.createDataFrame([(1, "a b c.")], "doc_id long, text string")
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, centroids, cgk, licences, lines, lm, packing, pii, ranking, separators
+from . import bagminhash, centroids, cgk, conversations, htmltext, licences, lines, lm, merkle, packing, pii, ranking, separators
 
 _ALL = {
     "op8_licence_scan": (licences.op8_licence_scan, None),
@@ -15,6 +15,9 @@ _ALL = {
     "op6_bagminhash": (bagminhash.op6_bagminhash, None),
     "op9_cgk_decontamination": (cgk.op9_cgk_decontamination, None),
     "op7_best_fit_packing": (packing.op7_best_fit_packing, None),
+    "op11_postorder_manifest": (merkle.op11_postorder_manifest, merkle.oracle()),
+    "op12_recurrent_html": (htmltext.op12_recurrent_html, None),
+    "op13_conversation_repair": (conversations.op13_conversation_repair, conversations.oracle()),
 }
 
 

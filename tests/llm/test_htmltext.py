@@ -124,4 +124,4 @@ def test_edges(spark, tmp_path, full):
     if full:
         by = {r["page_id"]: r for r in got}
         assert by[1]["text"] == by[2]["text"] == "" and by[None]["text"] == "" and by[3]["text"] == "One two three. Four."
-        assert by[4]["n_chars"] > 400_000 and by[7]["n_chars"] > 400_000
+        assert by[4]["n_chars"] == 20 * 20_000 - 1 and by[7]["n_chars"] == 500_001  # whole texts

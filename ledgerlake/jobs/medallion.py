@@ -1,33 +1,47 @@
-"""Bronze -> silver -> gold jobs for one dimension and for the order fact.
+"""Bronze -> silver -> gold jobs for dimensions and for the order fact.
+
+A load is a number per table: the new files of one ingest (or one batch of a
+stream). It keeps its number and its time stamp through all layers, and each
+layer takes, in load order, every load that the layer before has committed and
+it hasn't (``runlog.pending``). So the gold rows follow from the loads alone,
+however often a job is stopped, when it runs again and what its clock says.
 
 Layout under ``root``::
 
-    bronze/<table>/            append-only, stamped record_creation_date, each row
-                               keeps its source_file (files already loaded are skipped)
-    quarantine/                bad landing rows of every table
-    silver/<table>/            deduplicated latest version per key + audit columns
-    gold/<table>/v=<n>/        full dimension snapshot per merge (never
-                               overwriting the snapshot being read)
-    gold/orders_fact/          fact, partitioned by order_year
-    gold/dim_date/
-    log/                       run log (high-water marks, snapshot pointers)
+    bronze/<table>/load=<n>/bad=<0|1>   parsed rows of a load, each with its source_file
+    bronze/_files/<table>/load=<n>      the files of a load (replays, archive)
+    quarantine/Table_name=<table>/load=<n>   bad rows of all tables in one layout
+    silver/<table>/load=<n>             latest row per key of the load, with audit columns
+    gold/<table>/v=<n>/bucket=<b>       the key buckets that load n changed
+    gold/_buckets/<table>/v=<n>         per bucket the load that wrote it last
+    gold/orders_fact/order_year=<y>/load=<n>
+    gold/dim_date/                      whole years, extended when orders need more
+    log/                                run log; its entries commit the folders above
+
+One writer per table is assumed, as for the jobs of the layers themselves.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
+from collections.abc import Sequence
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import calendar, dq, scd
 from ..operators.dedupe import latest_per_key
-from ..schemas import DIMENSIONS, LANDING
+from ..schemas import DIMENSIONS, LANDING, REQUIRED, parsed
 from ..sources import landing
-from . import runlog
-from ..session import materialize
-from .stage import StageResult, run_stage, stamp
+from . import contracts, runlog
+from .stage import StageResult, ntz, run_stage, stamp
+
+BUCKETS = 16  # key buckets of a new dimension; a merge rewrites those that its load touches
+NOTHING = StageResult("nothing")
 
 
 def _paths(root: str) -> dict[str, str]:
@@ -35,156 +49,265 @@ def _paths(root: str) -> dict[str, str]:
     return {k: f"{root}/{k}" for k in ("bronze", "silver", "gold", "quarantine", "log")}
 
 
+def _committed(spark: SparkSession, root: str, layer: str, table: str, rows: DataFrame) -> DataFrame:
+    """Rows of committed loads (the list of loads is one short row each; Spark sizes the join)."""
+    return rows.join(runlog.committed(spark, _paths(root)["log"], layer, table), "load", "left_semi")
+
+
 # ---------------------------------------------------------------- bronze
 
-def loaded_sources(spark: SparkSession, root: str, table: str) -> DataFrame | None:
-    """Files already in bronze, with or without a clean row. Every bronze row keeps its ``source_file``,
-    so loading a file is a single atomic append and replays can be detected
-    from the data itself (no second ledger write that a crash could skip)."""
-    return _sources(spark, f"{_paths(root)['bronze']}/{table}")
+FILES = T.StructType([T.StructField(landing.SOURCE, T.StringType()), T.StructField(landing.CHANGED, T.TimestampType())])
 
 
-def _sources(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select(landing.SOURCE).distinct()
-    except AnalysisException:
-        return None
+def bronze_schema(table: str) -> T.StructType:
+    ts = T.TimestampNTZType()
+    return T.StructType([*(T.StructField(f.name, f.dataType) for f in parsed(*LANDING[table])), T.StructField(landing.SOURCE, T.StringType()),
+                         T.StructField(landing.CHANGED, T.TimestampType()), T.StructField("insert_dt", ts), T.StructField("record_creation_date", ts),
+                         T.StructField(landing.CORRUPT, T.StringType()), T.StructField("bad", T.IntegerType())])
 
 
-def _without(df: DataFrame, done: DataFrame | None) -> DataFrame:
-    """Rows of files not yet done (grows with every file ever loaded: no broadcast hint, AQE sizes it)."""
-    return df if done is None else df.join(done, landing.SOURCE, "left_anti")
+def read_bronze(spark: SparkSession, root: str, table: str, load: int | None = None) -> DataFrame:
+    """Clean rows of one load, or of all committed ones (with their ``load``)."""
+    base = f"{_paths(root)['bronze']}/{table}"
+    schema = bronze_schema(table)
+    if load is None:
+        rows = _committed(spark, root, "bronze", table, spark.read.schema(schema.add("load", T.IntegerType())).parquet(base))
+    else:
+        rows = spark.read.schema(schema).parquet(f"{base}/load={load}")
+    return rows.where(F.col("bad") == 0).drop("bad", landing.CORRUPT)
 
 
-def append_quarantine(spark: SparkSession, root: str, table: str, bad: DataFrame, now: dt.datetime) -> None:
-    """Bad rows of files that aren't in quarantine yet, so that a replay or a
-    file without any clean row brings none of them twice."""
-    path = _paths(root)["quarantine"]
-    rows = landing.quarantine_rows(bad, "bronze", table, now)
+def read_quarantine(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Bad rows of the committed loads of a table."""
+    path = f"{_paths(root)['quarantine']}/Table_name={table}"
+    schema = landing.QUARANTINE_SCHEMA + ", load int"
     try:
-        done = spark.read.parquet(path).where(F.col("Table_name") == table).select(landing.SOURCE).distinct()
+        return _committed(spark, root, "bronze", table, spark.read.schema(schema).parquet(path))
     except AnalysisException:
-        done = None
-    # written from a fixed table: the anti-join reads the folder that the append writes to
-    materialize(_without(rows, done)).write.mode("append").parquet(path)
+        return spark.createDataFrame([], schema)
 
 
-def ingest_bronze(spark: SparkSession, root: str, table: str, landing_path: str, now: dt.datetime,
-                  contract: dict | None = None) -> StageResult:
-    """Landing CSV -> quarantine bad rows -> validate clean rows -> append.
+def loaded_files(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Files of the committed loads, whether they held a clean row or not."""
+    try:
+        rows = spark.read.schema(T.StructType([*FILES, T.StructField("load", T.IntegerType())])).parquet(f"{_paths(root)['bronze']}/_files/{table}")
+    except AnalysisException:
+        return spark.createDataFrame([], T.StructType([*FILES, T.StructField("load", T.IntegerType())]))
+    return _committed(spark, root, "bronze", table, rows)
+
+
+def new_files(spark: SparkSession, root: str, table: str, landing_path: str | Sequence[str]) -> list[tuple]:
+    """(file, change time) of the landing files that no committed load holds.
+    Names only: the listing reads no file, a changed file is a new one."""
+    files = landing.list_files(spark, landing_path)
+    rows = files.join(loaded_files(spark, root, table), [landing.SOURCE, landing.CHANGED], "left_anti").orderBy(landing.SOURCE)
+    return [tuple(r) for r in rows.collect()]
+
+
+def ingest_bronze(spark: SparkSession, root: str, table: str, landing_path: str | Sequence[str], now: dt.datetime,
+                  checks: Sequence[dq.Check] | None = None) -> StageResult:
+    """New landing files -> parsed rows, bad ones marked -> quarantine -> commit.
+    Files of committed loads are skipped, so a replay loads nothing twice; a load
+    that failed or was cut off is written again from its start."""
+    files = new_files(spark, root, table, landing_path)
+    if not files:
+        return NOTHING
+    schema, stamps = LANDING[table]
+    names = [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(urlsplit(f).path)) for f, _ in files]
+    scheme = urlsplit(files[0][0])
+    prefix = f"{scheme.scheme}://{scheme.netloc}" if scheme.scheme else ""
+    rows = landing.read_csv(spark, [prefix + n for n in names], schema, stamps, required=REQUIRED[table])
+    return load_rows(spark, root, table, rows, now, spark.createDataFrame(files, FILES), checks=checks)
 
-    Files whose rows are already in bronze are skipped, so replaying a
-    landing folder (or re-running after a failure) appends nothing twice.
-    """
+
+def load_rows(spark: SparkSession, root: str, table: str, rows: DataFrame, now: dt.datetime, files: DataFrame | None = None,
+              checks: Sequence[dq.Check] | None = None, source: str | None = None) -> StageResult:
+    """Make one load of parsed landing rows: one write of all of them, the
+    quarantine and the list of files out of what was written, then the commit."""
     p = _paths(root)
-    schema, stamps = LANDING[table]
-    # parsed once: the clean and the bad rows, the checks and the write read the fixed result
-    df = materialize(_without(landing.read_csv(spark, landing_path, schema, stamps), loaded_sources(spark, root, table)))
-    clean, bad = landing.split(df)
-    out = stamp(clean, now, ("insert_dt", "record_creation_date"))
-    checks = dq.contract_checks(contract, check_ordered_columns=False) if contract else []
-    res = run_stage(out, checks, f"{p['bronze']}/{table}", p["log"], "bronze", table, now)
-    if res.status == "success":
-        append_quarantine(spark, root, table, bad, now)
-    return res
+    load = (runlog.current_version(spark, p["log"], "bronze", table) or 0) + 1
+    out = stamp(rows, now, ("insert_dt", "record_creation_date")).withColumn("bad", F.col(landing.CORRUPT).isNotNull().cast("int"))
+    out = out.select(*bronze_schema(table).fieldNames())
 
+    def beside(written: DataFrame, metrics: dict) -> None:
+        bad = written.where(F.col("bad") == 1)
+        landing.quarantine_rows(bad, "bronze", now).write.mode("overwrite").parquet(f"{p['quarantine']}/Table_name={table}/load={load}")
+        of = written.select(landing.SOURCE, landing.CHANGED).distinct() if files is None else files
+        of.write.mode("overwrite").parquet(f"{p['bronze']}/_files/{table}/load={load}")
 
-# ---------------------------------------------------------------- silver
+    return run_stage(out, contracts.bronze_checks(table) if checks is None else checks, f"{p['bronze']}/{table}/load={load}", p["log"], "bronze", table,
+                     now, load, partition_by=("bad",), source=source, judged=F.col("bad") == 0, before_commit=beside)
 
-def _fresh_bronze(spark: SparkSession, root: str, table: str) -> tuple[DataFrame, DataFrame]:
-    """Bronze rows of the files that silver hasn't consumed, and those files.
-    Files are compared, not load times: a load stamped before the last silver
-    run but written after it is not lost."""
-    p = _paths(root)
-    bronze = spark.read.parquet(f"{p['bronze']}/{table}")
-    files = materialize(_without(bronze.select(landing.SOURCE).distinct(), _sources(spark, f"{p['silver']}/_consumed/{table}")))
-    return bronze.join(files, landing.SOURCE, "left_semi"), files
+
+def skip_load(spark: SparkSession, root: str, layer: str, table: str, load: int, now: dt.datetime) -> None:
+    """Leave a load that can't pass a layer's checks out of that layer for good."""
+    runlog.append(spark, _paths(root)["log"], layer, table, "skipped", now, load)
 
 
-def build_silver(spark: SparkSession, root: str, table: str, now: dt.datetime,
-                 high_date: dt.datetime = scd.HIGH_DATE) -> StageResult:
-    """Rows of the bronze files not consumed yet, latest per key: by load, then
-    by the version start that the source states."""
+# ---------------------------------------------------------------- archive
+
+def archive_loaded(spark: SparkSession, root: str, table: str, archive_path: str, now: dt.datetime) -> int:
+    """Move the landing files of finished loads to ``<archive>/load=<n>/``, from
+    the list that was committed with each load. A file that is already there or
+    that someone took away is passed over, so the job may stop anywhere and run
+    again. Only names pass through the driver, a load at a time."""
     p = _paths(root)
-    key = DIMENSIONS[table]["key"]
-    src, files = _fresh_bronze(spark, root, table)
-    latest = latest_per_key(src, [key], ["record_creation_date", "ValidFrom"]).drop("ValidFrom", "ValidTo")
-    ts = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    out = latest.withColumns({
-        "effective_start_dt": ts,
-        "effective_end_dt": F.lit(high_date.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"),
-        "active_flg": F.lit(1), "insert_dt": ts, "update_dt": ts, "record_creation_date": ts,
-    })
-    checks = [dq.Check("not_null", key), dq.Check("unique", key)]
-    res = run_stage(out, checks, f"{p['silver']}/{table}", p["log"], "silver", table, now)
-    if res.status == "success":  # a crash before this line repeats rows that the merge takes without effect
-        files.write.mode("append").parquet(f"{p['silver']}/_consumed/{table}")
-    return res
-
-
-def build_silver_orders(spark: SparkSession, root: str, now: dt.datetime,
-                        high_date: dt.datetime = scd.HIGH_DATE) -> StageResult:
-    """Order lines of the bronze files not in silver yet, with the order date
-    and audit columns the fact needs (no dedupe: the grain is the order
-    line). Silver rows keep their file, so the append is its own record."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    moved = 0
+    for load, _ in runlog.pending(spark, p["log"], ("archive", table), ("bronze", table)):
+        folder = fs_path(f"{archive_path.rstrip('/')}/load={load}")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        files = loaded_files(spark, root, table).where(F.col("load") == load)
+        for name, changed in sorted((r[landing.SOURCE], r[landing.CHANGED]) for r in files.collect()):
+            src = fs_path(spark.sparkContext._jvm.java.net.URI(name))
+            # a file that was replaced since belongs to a later load
+            if fs.exists(src) and fs.getFileStatus(src).getModificationTime() == round(changed.timestamp() * 1000):
+                moved += bool(fs.rename(src, fs_path(folder, src.getName())))
+        runlog.append(spark, p["log"], "archive", table, "success", now, load)
+    return moved
+
+
+# ---------------------------------------------------------------- silver
+
+def _audit(rows: DataFrame, at: dt.datetime, high_date: dt.datetime) -> DataFrame:
+    ts = ntz(at)
+    return rows.withColumns({"effective_start_dt": ts, "effective_end_dt": ntz(high_date), "active_flg": F.lit(1),
+                             "insert_dt": ts, "update_dt": ts, "record_creation_date": ts})
+
+
+def read_silver(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Rows of the committed silver loads, with their ``load``."""
+    return _committed(spark, root, "silver", table, spark.read.parquet(f"{_paths(root)['silver']}/{table}"))
+
+
+def _each_pending(spark, root, taken: tuple[str, str], giver: tuple[str, str], run) -> StageResult:
+    """Run a layer's step for every waiting load in order, up to the first that fails."""
+    result = NOTHING
+    for load, at in runlog.pending(spark, _paths(root)["log"], taken, giver):
+        result = run(load, at)
+        if result.status != "success":
+            break
+    return result
+
+
+def build_silver(spark: SparkSession, root: str, table: str, now: dt.datetime, high_date: dt.datetime = scd.HIGH_DATE,
+                 checks: Sequence[dq.Check] | None = None) -> StageResult:
+    """Every bronze load not in silver yet: its latest row per key, by the version
+    start that the source states, stamped with the load's time."""
+    p, key = _paths(root), DIMENSIONS[table]["key"]
+
+    def one(load: int, at: dt.datetime) -> StageResult:
+        rows = latest_per_key(read_bronze(spark, root, table, load), [key], ["record_creation_date", "ValidFrom"])
+        out = _audit(rows.drop("ValidTo", landing.CHANGED), at, high_date)
+        return run_stage(out, contracts.silver_checks(table, at) if checks is None else checks, f"{p['silver']}/{table}/load={load}",
+                         p["log"], "silver", table, at, load)
+
+    return _each_pending(spark, root, ("silver", table), ("bronze", table), one)
+
+
+def build_silver_orders(spark: SparkSession, root: str, now: dt.datetime, high_date: dt.datetime = scd.HIGH_DATE,
+                        checks: Sequence[dq.Check] | None = None) -> StageResult:
+    """Order lines of the bronze loads not in silver yet, with the order date and
+    the audit columns of the fact (no dedupe: the grain is the order line)."""
     p = _paths(root)
-    src = _without(spark.read.parquet(f"{p['bronze']}/orders"), _sources(spark, f"{p['silver']}/orders"))
-    src = materialize(src)  # the append grows the table that the anti-join reads
-    ts = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    out = src.withColumns({
-        "LastEditedDate": F.to_date("LastEditedWhen"),
-        "effective_start_dt": ts,
-        "effective_end_dt": F.lit(high_date.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"),
-        "active_flg": F.lit(1), "insert_dt": ts, "update_dt": ts, "record_creation_date": ts,
-    })
-    checks = [dq.Check("not_null", "OrderID"), dq.Check("not_null", "ProductID"),
-              dq.Check("not_null", "CustomerID"), dq.Check("greater_than", "Quantity", {"value": 0})]
-    return run_stage(out, checks, f"{p['silver']}/orders", p["log"], "silver", "orders", now)
+
+    def one(load: int, at: dt.datetime) -> StageResult:
+        rows = read_bronze(spark, root, "orders", load).drop(landing.CHANGED).withColumn("LastEditedDate", F.to_date("LastEditedWhen"))
+        return run_stage(_audit(rows, at, high_date), contracts.silver_checks("orders", at) if checks is None else checks,
+                         f"{p['silver']}/orders/load={load}", p["log"], "silver", "orders", at, load)
+
+    return _each_pending(spark, root, ("silver", "orders"), ("bronze", "orders"), one)
 
 
 # ---------------------------------------------------------------- gold dimensions
 
-def read_dimension(spark: SparkSession, root: str, table: str) -> DataFrame | None:
-    p = _paths(root)
-    v = runlog.current_version(spark, p["log"], "gold", table)
-    return None if v is None else spark.read.parquet(f"{p['gold']}/{table}/v={v}")
+def bucket_of(key: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def merge_dimension(spark: SparkSession, root: str, table: str, now: dt.datetime,
-                    silver_rows: DataFrame | None = None, reactivate_inactive: bool = True) -> StageResult:
-    """Apply the latest silver batch to the current gold snapshot (SCD1+2)."""
-    p = _paths(root)
+def _bucket_map(spark: SparkSession, root: str, table: str, version: int) -> list[tuple[int, int, int]]:
+    """(bucket, the load that wrote it, bucket count): one row per bucket."""
+    rows = spark.read.parquet(f"{_paths(root)['gold']}/_buckets/{table}/v={version}")
+    return sorted((r["bucket"], r["written"], r["buckets"]) for r in rows.collect())
+
+
+def _dimension_schema(spark: SparkSession, root: str, table: str) -> T.StructType:
     spec = DIMENSIONS[table]
+    types = {f.name: f.dataType for f in bronze_schema(table)}
+    empty = spark.createDataFrame([], T.StructType([T.StructField(c, types[c]) for c in (spec["key"], *spec["t2"], *spec["t1"])]))
+    return scd.initial_load(empty, spec["key"], spec["t1"], spec["t2"], dt.datetime(1900, 1, 1)).schema
+
+
+def _read_buckets(spark, root, table, held: list[tuple[int, int, int]]) -> DataFrame:
+    schema, base = _dimension_schema(spark, root, table), f"{_paths(root)['gold']}/{table}"
+    if not held:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{base}/v={v}/bucket={b}" for b, v, _ in held])
+
+
+def read_dimension(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """The current versions and the history of a dimension: of every key bucket
+    the folder that the last committed merge points to."""
+    v = runlog.current_version(spark, _paths(root)["log"], "gold", table)
+    return None if v is None else _read_buckets(spark, root, table, _bucket_map(spark, root, table, v))
+
+
+def merge_dimension(spark: SparkSession, root: str, table: str, now: dt.datetime, reactivate_inactive: bool = True,
+                    checks: Sequence[dq.Check] | None = None, buckets: int = BUCKETS) -> StageResult:
+    """Merge every silver load not in gold yet into the dimension (SCD1+2), in load
+    order and with the load's time as version time. Only the key buckets that a
+    load touches are read and written again (copy on write)."""
+    p, spec = _paths(root), DIMENSIONS[table]
     key, t1, t2 = spec["key"], spec["t1"], spec["t2"]
-    if silver_rows is None:
-        silver_rows = spark.read.parquet(f"{p['silver']}/{table}").where(
-            F.col("record_creation_date") == F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"))
-    updates = latest_per_key(silver_rows, [key], ["record_creation_date"]) \
-        if "record_creation_date" in silver_rows.columns else silver_rows
-    current = read_dimension(spark, root, table)
-    version = 1 if current is None else runlog.current_version(spark, p["log"], "gold", table) + 1
-    if current is None:
-        snap = scd.initial_load(updates, key, t1, t2, now)
-    else:
-        snap = scd.merge(current, updates, key, t1, t2, now, reactivate_inactive=reactivate_inactive)
-    checks = [dq.Check("unique", "skey"), dq.Check("not_null", key)]
-    # at most one active version per key, checked before the log moves the pointer
-    snap = materialize(snap)
-    active = snap.where(F.col("active_flg") == 1).select(F.col(key).alias("__active_key"))
-    if not dq.all_passed(dq.run_checks(active, [dq.Check("unique", "__active_key")])):
-        raise ValueError(f"{table}: more than one active version for a key")
-    return run_stage(snap, checks, f"{p['gold']}/{table}/v={version}", p["log"], "gold", table, now, mode="overwrite", version=version)
+
+    def one(load: int, at: dt.datetime) -> StageResult:
+        updates = spark.read.parquet(f"{p['silver']}/{table}/load={load}").select(key, *t2, *t1)
+        before = runlog.current_version(spark, p["log"], "gold", table)
+        held = [] if before is None else _bucket_map(spark, root, table, before)
+        n = held[0][2] if held else buckets
+        touched = {r["bucket"] for r in updates.select(bucket_of(key, n)).distinct().collect()}  # at most n numbers
+        target = _read_buckets(spark, root, table, [h for h in held if h[0] in touched])
+        merged = scd.merge(target, updates, key, t1, t2, at, reactivate_inactive=reactivate_inactive)
+        out = merged.withColumn("bucket", bucket_of(key, n)).repartition("bucket")
+
+        def beside(written: DataFrame, metrics: dict) -> None:
+            rows = [h for h in held if h[0] not in touched] + [(b, load, n) for b in sorted(touched)]  # an update leaves rows in its bucket
+            spark.createDataFrame(rows, "bucket int, written int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{p['gold']}/_buckets/{table}/v={load}")
+
+        return run_stage(out, contracts.dimension_checks(table) if checks is None else checks, f"{p['gold']}/{table}/v={load}", p["log"], "gold", table,
+                         at, load, partition_by=("bucket",), before_commit=beside)
+
+    return _each_pending(spark, root, ("gold", table), ("silver", table), one)
 
 
 # ---------------------------------------------------------------- gold calendar and fact
 
 def build_dim_date(spark: SparkSession, root: str, now: dt.datetime,
                    start: dt.date = calendar.DEFAULT_START, end: dt.date = calendar.DEFAULT_END) -> StageResult:
+    """Write the calendar anew."""
     p = _paths(root)
-    df = calendar.dim_date(spark, start, end, run_date=now.strftime("%Y%m%d"))
-    df = stamp(df, now, ("insert_dt", "update_dt"))
-    checks = [dq.Check("unique", "DateKey"), dq.Check("not_null", "date")]
-    return run_stage(df, checks, f"{p['gold']}/dim_date", p["log"], "gold", "dim_date", now, mode="overwrite")
+    df = stamp(calendar.dim_date(spark, start, end, run_date=now.strftime("%Y%m%d")), now, ("insert_dt", "update_dt"))
+    return run_stage(df, [dq.Check("unique", "DateKey"), dq.Check("not_null", "date")], f"{p['gold']}/dim_date", p["log"], "gold", "dim_date", now, 1)
+
+
+def extend_dim_date(spark: SparkSession, root: str, low: dt.date | None, high: dt.date | None, now: dt.datetime) -> int:
+    """Append the whole years that lie between these days and the calendar and
+    that it doesn't hold; returns how many. A calendar is written if there is none."""
+    if low is None:
+        return 0
+    path = f"{_paths(root)['gold']}/dim_date"
+    try:
+        lo, hi = spark.read.parquet(path).agg(F.min("year"), F.max("year")).first()
+    except AnalysisException:
+        lo = hi = None
+    years = set(range(min(low.year, lo or low.year), max(high.year, hi or high.year) + 1)) - set(range(lo or 1, (hi or 0) + 1))
+    if years:
+        first, last = dt.date(min(years), 1, 1), dt.date(max(years), 12, 31)
+        days = calendar.dim_date(spark, first, last, run_date=now.strftime("%Y%m%d")).where(F.col("year").isin(*sorted(years)))
+        stamp(days, now, ("insert_dt", "update_dt")).coalesce(1).write.mode("append").parquet(path)
+        runlog.append(spark, _paths(root)["log"], "gold", "dim_date", "success", now, 1)
+    return len(years)
 
 
 def assemble_fact(orders: DataFrame, products: DataFrame, customers: DataFrame, suppliers: DataFrame,
@@ -206,24 +329,34 @@ def assemble_fact(orders: DataFrame, products: DataFrame, customers: DataFrame,
             .join(F.broadcast(dates), "LastEditedDate", "left"))
 
 
-def build_fact(spark: SparkSession, root: str, orders: DataFrame, now: dt.datetime,
-               contract: dict | None = None) -> StageResult:
-    """Gold fact: surrogate keys from the current dimension snapshots,
-    appended per order year. Lines keep their landing file, and files already
-    in the fact are left out, so a re-run appends nothing twice. Raises if a
-    dimension holds two active versions of a key (lines would multiply)."""
+def read_fact(spark: SparkSession, root: str) -> DataFrame:
+    """Order lines of the committed loads."""
+    return _committed(spark, root, "gold", "orders_fact", spark.read.parquet(f"{_paths(root)['gold']}/orders_fact"))
+
+
+def build_fact(spark: SparkSession, root: str, orders: DataFrame | None = None, now: dt.datetime | None = None,
+               checks: Sequence[dq.Check] | None = None) -> StageResult:
+    """Gold fact of the silver order loads that aren't in it: surrogate keys from
+    the current dimensions, the calendar extended to the orders' years, written
+    once into the partitions of the load. A load whose keys a dimension doesn't
+    hold yet fails the contract and waits for the next run. ``orders`` may narrow
+    silver's rows. A dimension with two active versions of a key would multiply
+    lines; the row count finds it."""
     p = _paths(root)
-    if landing.SOURCE not in orders.columns:
-        raise ValueError(f"order lines need {landing.SOURCE}: a re-run is told by it")
-    orders = materialize(_without(orders, _sources(spark, f"{p['gold']}/orders_fact")))
+    silver = read_silver(spark, root, "orders") if orders is None else orders
     dims = {t: read_dimension(spark, root, t) for t in ("products", "customers", "suppliers")}
-    dd = spark.read.parquet(f"{p['gold']}/dim_date")
-    fact = assemble_fact(orders, dims["products"], dims["customers"], dims["suppliers"], dd)
-    fact = materialize(fact)  # counted, checked and written
-    if fact.count() != orders.count():
-        raise ValueError("orders_fact: a dimension lookup multiplied order lines")
-    fact = stamp(fact, now, ("insert_dt", "update_dt", "record_creation_date")) \
-        .withColumn("order_year", F.year("LastEditedWhen"))
-    checks = dq.contract_checks(contract, check_ordered_columns=False) if contract else []
-    return run_stage(fact.repartitionByRange("order_year", "OrderID"), checks, f"{p['gold']}/orders_fact",
-                     p["log"], "gold", "orders_fact", now, partition_by=("order_year",))
+    absent = [t for t, d in dims.items() if d is None]
+    if absent:
+        raise ValueError(f"no gold snapshot of {', '.join(absent)}")
+
+    def one(load: int, at: dt.datetime) -> StageResult:
+        lines = silver.where(F.col("load") == load)
+        low, high, n = lines.agg(F.min("LastEditedDate"), F.max("LastEditedDate"), F.count("*")).first()  # one row, off the written load
+        extend_dim_date(spark, root, low, high, now or at)
+        fact = assemble_fact(lines, dims["products"], dims["customers"], dims["suppliers"], spark.read.parquet(f"{p['gold']}/dim_date")) \
+            if low else assemble_fact(lines, dims["products"], dims["customers"], dims["suppliers"], calendar.dim_date(spark, end=calendar.DEFAULT_START))
+        fact = stamp(fact, at, ("insert_dt", "update_dt", "record_creation_date")).withColumn("order_year", F.year("LastEditedWhen"))
+        return run_stage(fact.repartitionByRange("order_year", "OrderID"), [*(contracts.fact_checks() if checks is None else checks), dq.Check("row_count", None, {"value": n})],
+                         f"{p['gold']}/orders_fact", p["log"], "gold", "orders_fact", at, load, partition_by=("order_year", "load"), dynamic=True)
+
+    return _each_pending(spark, root, ("gold", "orders_fact"), ("silver", "orders"), one)

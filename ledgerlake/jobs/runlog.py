@@ -1,13 +1,15 @@
 """Append-only run log: ``(Schema, Table_name, Status, Created_at, version, source)``.
 
-Doubles as the incremental high-water mark (only *successful* runs advance
-it - the reference also advanced it on failures) and as the pointer to the
-current snapshot version of a dimension table.
+A load is a number per table. Every layer writes a load into a folder of its own
+and then appends one entry here, which commits it: a folder without an entry
+doesn't count and is written over by the next attempt. What a layer has yet to
+take is the anti-join of two layers' entries.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,8 @@ LOG_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
 ])
 
-EPOCH = dt.datetime(1900, 1, 1)
+#: Entries after which a load is done: a skipped load is left out on purpose.
+DONE = ("success", "skipped")
 
 
 def append(spark: SparkSession, log_path: str, schema: str, table: str, status: str,
@@ -32,37 +35,37 @@ def append(spark: SparkSession, log_path: str, schema: str, table: str, status:
     spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(log_path)
 
 
-def read(spark: SparkSession, log_path: str) -> DataFrame | None:
+def read(spark: SparkSession, log_path: str) -> DataFrame:
     try:
         return spark.read.schema(LOG_SCHEMA).parquet(log_path)
-    except AnalysisException:
-        return None
+    except AnalysisException:  # no run yet
+        return spark.createDataFrame([], LOG_SCHEMA)
 
 
-def _entries(spark, log_path, schema, table) -> DataFrame | None:
+def entries(spark: SparkSession, log_path: str, schema: str, table: str, statuses: Sequence[str] = ("success",)) -> DataFrame:
     log = read(spark, log_path)
-    if log is None:
-        return None
-    return log.where((F.col("Schema") == schema) & (F.col("Table_name") == table) & (F.col("Status") == "success"))
+    return log.where((F.col("Schema") == schema) & (F.col("Table_name") == table) & F.col("Status").isin(*statuses))
 
 
-def high_water_mark(spark: SparkSession, log_path: str, schema: str, table: str) -> dt.datetime:
-    """Latest successful load time of a table, 1900-01-01 when none."""
-    e = _entries(spark, log_path, schema, table)
-    if e is None:
-        return EPOCH
-    v = e.agg(F.max("Created_at")).first()[0]  # one-row aggregate
-    return v or EPOCH
+def current_version(spark: SparkSession, log_path: str, schema: str, table: str) -> int | None:
+    """The last committed load of a table in a layer."""
+    return entries(spark, log_path, schema, table).agg(F.max("version")).first()[0]  # one row
 
 
-def current_version(spark: SparkSession, log_path: str, schema: str, table: str) -> int | None:
-    e = _entries(spark, log_path, schema, table)
-    if e is None:
-        return None
-    return e.agg(F.max("version")).first()[0]
+def committed(spark: SparkSession, log_path: str, schema: str, table: str) -> DataFrame:
+    """Numbers of the committed loads, as column ``load``."""
+    return entries(spark, log_path, schema, table).select(F.col("version").alias("load")).distinct()
+
+
+def pending(spark: SparkSession, log_path: str, taken: tuple[str, str], giver: tuple[str, str]) -> list[tuple[int, dt.datetime]]:
+    """Loads that the layer ``giver`` has committed and ``taken`` hasn't, in load
+    order, with the time stamp of the load."""
+    done = entries(spark, log_path, *taken, statuses=DONE).select("version")
+    rows = (entries(spark, log_path, *giver).join(done, "version", "left_anti")
+            .groupBy("version").agg(F.min("Created_at").alias("at")).orderBy("version"))
+    return [(r["version"], r["at"]) for r in rows.collect()]  # one row per load that waits
 
 
-def processed_sources(spark: SparkSession, log_path: str, schema: str, table: str) -> DataFrame | None:
-    """``source`` values logged by successful runs (e.g. stream batch ids)."""
-    e = _entries(spark, log_path, schema, table)
-    return None if e is None else e.where(F.col("source").isNotNull()).select("source").distinct()
+def load_of(spark: SparkSession, log_path: str, schema: str, table: str, source: str) -> int | None:
+    """The committed load that a source (a stream's batch) became."""
+    return entries(spark, log_path, schema, table).where(F.col("source") == source).agg(F.min("version")).first()[0]

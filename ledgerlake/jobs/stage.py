@@ -1,43 +1,73 @@
-"""Validate -> write -> log, the outcome handling shared by every layer."""
+"""Write -> judge -> commit, the outcome handling shared by every layer.
+
+The checks of a stage are read off its write: row checks are observed while the
+rows pass to the staging folder, uniqueness is counted on the written columns.
+The input is evaluated once. The folder becomes part of the layer with the run
+log's entry, which is appended only if every check passed.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..operators.dq import Check, all_passed, run_checks
+from ..operators import dq
 from . import runlog
 
 
 @dataclass
 class StageResult:
-    status: str
-    dq: DataFrame | None
+    status: str  # success | failure | nothing
+    dq: list[tuple] | None = None  # as dq.RESULT_SCHEMA
     version: int | None = None
+    metrics: dict | None = None
+
+
+def ntz(now: dt.datetime) -> Column:
+    return F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
 
 
 def stamp(df: DataFrame, now: dt.datetime, cols: Sequence[str] = ("record_creation_date",)) -> DataFrame:
     """Audit timestamps: one literal per run (overwrites existing columns)."""
-    ts = F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    return df.withColumns({c: ts for c in cols})
+    return df.withColumns({c: ntz(now) for c in cols})
+
 
+def checked_write(df: DataFrame, checks: Sequence[dq.Check], write: Callable[[DataFrame], None], written: Callable[[], DataFrame],
+                  judged: Column | None = None) -> tuple[list[tuple], dict]:
+    """Write ``df`` once and judge it: (results as of ``dq.run_checks``, observed
+    metrics). ``judged`` restricts the checks to the rows that it holds for."""
+    observation = Observation()
+    write(df.observe(observation, *dq.row_metrics(checks, df.columns, judged)))
+    metrics = observation.get
+    return dq.from_metrics(df, checks, metrics, written, judged), metrics
 
-def run_stage(df: DataFrame, checks: Sequence[Check], out_path: str, log_path: str, schema: str,
-              table: str, now: dt.datetime, mode: str = "append", partition_by: Sequence[str] = (),
-              version: int | None = None, source: str | None = None) -> StageResult:
-    """Write ``df`` only when every check passes; log success or failure."""
+
+def run_stage(df: DataFrame, checks: Sequence[dq.Check], out_path: str, log_path: str, schema: str, table: str, now: dt.datetime,
+              version: int, partition_by: Sequence[str] = (), source: str | None = None, judged: Column | None = None,
+              dynamic: bool = False, before_commit: Callable[[DataFrame, dict], None] | None = None) -> StageResult:
+    """Write a load's folder (or, with ``dynamic``, its own partitions of the table),
+    then log its success, which commits it, or its failure."""
     spark = df.sparkSession
-    dq = run_checks(df, checks) if checks else None
-    if dq is not None and not all_passed(dq):
-        runlog.append(spark, log_path, schema, table, "failure", now, version, source)
-        return StageResult("failure", dq, version)
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(out_path)
-    runlog.append(spark, log_path, schema, table, "success", now, version, source)
-    return StageResult("success", dq, version)
+
+    def write(rows: DataFrame) -> None:
+        w = rows.write.mode("overwrite")
+        if dynamic:
+            w = w.option("partitionOverwriteMode", "dynamic")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(out_path)
+
+    def written() -> DataFrame:
+        rows = spark.read.schema(df.schema).parquet(out_path)
+        return rows.where(F.col("load") == version) if dynamic else rows
+
+    result, metrics = checked_write(df, checks, write, written, judged)
+    ok = all(success for *_, success in result)
+    if ok and before_commit is not None:
+        before_commit(written(), metrics)
+    runlog.append(spark, log_path, schema, table, "success" if ok else "failure", now, version, source)
+    return StageResult("success" if ok else "failure", result, version, metrics)

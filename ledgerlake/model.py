@@ -124,7 +124,7 @@ class GoldModel:
         if "Segment" not in customers.columns:
             customers = customers.withColumn("Segment", none)
         gold = f"{root.rstrip('/')}/gold"
-        return cls(spark, spark.read.parquet(f"{gold}/orders_fact"), dims["products"], customers, dims["suppliers"],
+        return cls(spark, medallion.read_fact(spark, root), dims["products"], customers, dims["suppliers"],
                    _dim_date=_read_optional(spark, f"{gold}/dim_date"))
 
     def write(self, root: str, mode: str = "overwrite") -> None:

@@ -79,12 +79,14 @@ def merge(target: DataFrame, updates: DataFrame, key: str, t1: Sequence[str], t2
         open_keys = target.where(F.col("active_flg") == 1).select(key)
         only_closed = closed_keys.join(open_keys, key, "left_anti")
         u = u.join(only_closed, key, "left_anti")
-    active = target.where(F.col("active_flg") == 1).select(*cols)
+    # each side is told by a flag of its own: a null key is no sign of a missing side
+    u = u.withColumn("__here", F.lit(True))
+    active = target.where(F.col("active_flg") == 1).select(*cols, F.lit(True).alias("__here"))
     history = target.where(F.col("active_flg") != 1).select(*cols)
 
-    j = active.alias("t").join(u.alias("u"), F.col(f"t.{key}") == F.col(f"u.{key}"), "full_outer")
-    t_missing = F.col(f"t.{key}").isNull()
-    u_missing = F.col(f"u.{key}").isNull()
+    j = active.alias("t").join(u.alias("u"), F.col(f"t.{key}").eqNullSafe(F.col(f"u.{key}")), "full_outer")
+    t_missing = F.col("t.__here").isNull()
+    u_missing = F.col("u.__here").isNull()
     t2_changed = ~F.col("t.hash2").eqNullSafe(F.col("u.hash2"))
     t1_changed = ~F.col("t.hash1").eqNullSafe(F.col("u.hash1"))
 

@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from ..schemas import LANDING_TIMESTAMP_FORMAT
 
 CORRUPT = "corrupt_record"
-SOURCE = "source_file"
-QUARANTINE_SCHEMA = "raw_line string, Schema string, Table_name string, source_file string, record_creation_date timestamp_ntz"
+SOURCE, CHANGED = "source_file", "source_changed"
+QUARANTINE_SCHEMA = "raw_line string, Schema string, source_file string, record_creation_date timestamp_ntz"
 
 
 def csv_read_schema(schema: T.StructType) -> T.StructType:
@@ -37,10 +37,13 @@ def csv_options() -> dict[str, str]:
 
 def parse_landing(df: DataFrame, schema: T.StructType,
                   timestamp_cols: Sequence[str] = ("ValidFrom", "ValidTo"),
-                  fmt: str = LANDING_TIMESTAMP_FORMAT) -> DataFrame:
-    """Add ``source_file``; parse text stamps, quarantining unparsable ones."""
-    df = df.withColumn(SOURCE, F.col("_metadata.file_path"))
+                  fmt: str = LANDING_TIMESTAMP_FORMAT, required: Sequence[str] = ()) -> DataFrame:
+    """Add ``source_file`` and its change time; parse text stamps. Rows with an
+    unparsable stamp or without a required column are bad rows too."""
+    df = df.withColumns({SOURCE: F.col("_metadata.file_path"), CHANGED: F.col("_metadata.file_modification_time")})
     bad_stamp = None
+    for c in required:
+        bad_stamp = F.col(c).isNull() if bad_stamp is None else (bad_stamp | F.col(c).isNull())
     present = [c for c in timestamp_cols if c in df.columns]
     for c in present:
         parsed = F.try_to_timestamp(F.col(c), F.lit(fmt)).cast("timestamp_ntz")
@@ -58,11 +61,11 @@ def parse_landing(df: DataFrame, schema: T.StructType,
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
              timestamp_cols: Sequence[str] = ("ValidFrom", "ValidTo"),
-             fmt: str = LANDING_TIMESTAMP_FORMAT) -> DataFrame:
+             fmt: str = LANDING_TIMESTAMP_FORMAT, required: Sequence[str] = ()) -> DataFrame:
     """Typed CSV scan; adds ``corrupt_record`` (NULL for good rows) and ``source_file``."""
     df = (spark.read.format("csv").options(**csv_options()).schema(csv_read_schema(schema))
           .load(path if isinstance(path, str) else list(path)))
-    return parse_landing(df, schema, timestamp_cols, fmt)
+    return parse_landing(df, schema, timestamp_cols, fmt, required)
 
 
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,10 +79,17 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clean, bad
 
 
-def quarantine_rows(bad: DataFrame, schema: str, table: str, now: dt.datetime) -> DataFrame:
-    """Rows for the shared quarantine table: raw line + origin, one layout for all tables."""
+def list_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Names and change times of the files under a path, without reading them."""
+    files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
+    return files.select(F.col("_metadata.file_path").alias(SOURCE), F.col("_metadata.file_modification_time").alias(CHANGED))
+
+
+def quarantine_rows(bad: DataFrame, schema: str, now: dt.datetime) -> DataFrame:
+    """Rows for the shared quarantine table: raw line + origin, one layout for
+    all tables (the table's name is the partition they are written to)."""
     return bad.select(
-        F.col(CORRUPT).alias("raw_line"), F.lit(schema).alias("Schema"), F.lit(table).alias("Table_name"),
+        F.col(CORRUPT).alias("raw_line"), F.lit(schema).alias("Schema"),
         F.col(SOURCE).alias("source_file"),
         F.lit(now.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz").alias("record_creation_date"),
     )

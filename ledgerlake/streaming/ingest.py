@@ -10,11 +10,12 @@ Structured Streaming job:
   (Spark does this lazily, a file may stay until a later batch);
 * ``trigger(availableNow=True)``: each run drains what has arrived, then
   stops - a scheduled batch job with streaming bookkeeping;
-* ``foreachBatch``: quarantine -> bronze append -> latest per key ->
-  SCD1+2 merge into a new gold snapshot. Bronze rows carry their source
-  file, so rows of files already in bronze are dropped from a replayed
-  batch (a batch re-run after a failure appends nothing twice; the merge
-  itself is also a no-op on replay). The batch id is logged for audit.
+* ``foreachBatch``: each micro-batch becomes a load of its own, named by the
+  stream's id (kept in its checkpoint) and the batch id, and goes through the
+  same layers as a batch load. A batch that is run again finds its load in the
+  run log and goes on from the layer that hasn't taken it; a new checkpoint is
+  a new stream, whose files count unless bronze holds them already. Rows that
+  no merge can take (bad lines, no key) are split off to quarantine first.
 
 Checkpoint and archive folders must be on the shared file system the
 cluster uses (the caller passes them; tests use scratch folders).
@@ -23,17 +24,14 @@ cluster uses (the caller passes them; tests use scratch folders).
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..jobs import medallion, runlog
-from ..jobs.stage import stamp
-from ..operators.dedupe import latest_per_key
-from ..schemas import DIMENSIONS
-from ..session import materialize
+from ..schemas import DIMENSIONS, REQUIRED
 from ..sources import landing
 
 
@@ -45,33 +43,33 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, archive_di
         r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return landing.parse_landing(r.load(landing_dir), schema)
+    return landing.parse_landing(r.load(landing_dir), schema, required=REQUIRED[table])
 
 
 def process_batch(spark: SparkSession, root: str, table: str, batch: DataFrame, batch_id: int,
-                  now: dt.datetime) -> str:
-    """Quarantine, bronze append and SCD merge of one micro-batch."""
-    paths = medallion._paths(root)
-    tag = f"batch:{table}:{batch_id}"
-    merged = runlog.processed_sources(spark, paths["log"], "stream", table)
-    if merged is not None and merged.where(F.col("source") == tag).limit(1).count():
+                  now: dt.datetime, stream: str = "") -> str:
+    """Bronze, silver and gold of one micro-batch of a stream."""
+    log = medallion._paths(root)["log"]
+    tag = f"stream:{stream}:{table}:{batch_id}"
+    if runlog.load_of(spark, log, "stream", table, tag) is not None:
         return "skipped"  # only a batch whose merge succeeded is done
-    # Fix the batch's rows in reliable storage *before* bronze grows.
-    batch = materialize(batch)
-    if batch.limit(1).count() == 0:
-        return "skipped"
-    clean, bad = landing.split(batch)
-    rows = stamp(clean, now, ("insert_dt", "record_creation_date"))
-    # a replayed batch may have reached bronze in one atomic append; it is merged all the same
-    materialize(medallion._without(rows, medallion.loaded_sources(spark, root, table))).write.mode("append").parquet(f"{paths['bronze']}/{table}")
-    medallion.append_quarantine(spark, root, table, bad, now)
-    key = DIMENSIONS[table]["key"]
-    updates = latest_per_key(rows, [key], ["record_creation_date", "ValidFrom"]).drop("ValidFrom", "ValidTo", landing.SOURCE)
-    res = medallion.merge_dimension(spark, root, table, now, silver_rows=updates)
-    runlog.append(spark, paths["log"], "stream", table, res.status, now, source=tag)
-    if res.status != "success":
-        raise ValueError(f"{tag}: the merge failed its checks; the stream must not commit the batch")
-    return res.status
+    if runlog.load_of(spark, log, "bronze", table, tag) is None:
+        held = medallion.loaded_files(spark, root, table).select(landing.SOURCE, landing.CHANGED)
+        rows = batch.join(held, [landing.SOURCE, landing.CHANGED], "left_anti")
+        loaded = medallion.load_rows(spark, root, table, rows, now, source=tag)
+        if loaded.status != "success":
+            raise ValueError(f"{tag}: bronze checks failed; the stream must not commit the batch")
+    for step in (medallion.build_silver, medallion.merge_dimension):
+        if step(spark, root, table, now).status == "failure":
+            raise ValueError(f"{tag}: {step.__name__} failed its checks; the stream must not commit the batch")
+    load = runlog.load_of(spark, log, "bronze", table, tag)
+    runlog.append(spark, log, "stream", table, "success", now, load, source=tag)
+    return "success"
+
+
+def stream_id(spark: SparkSession, checkpoint_location: str) -> str:
+    """The id that a stream keeps in its checkpoint across restarts."""
+    return json.loads(spark.read.text(f"{checkpoint_location.rstrip('/')}/metadata").first()[0])["id"]
 
 
 def start_dimension_stream(spark: SparkSession, root: str, table: str, landing_dir: str,
@@ -82,7 +80,7 @@ def start_dimension_stream(spark: SparkSession, root: str, table: str, landing_d
     stream = landing_stream(spark, landing_dir, table, archive_dir)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        process_batch(spark, root, table, batch, batch_id, clock())
+        process_batch(spark, root, table, batch, batch_id, clock(), stream_id(spark, checkpoint_location))
 
     w = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

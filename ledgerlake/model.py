@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from .operators.calendar import DEFAULT_END, DEFAULT_START, dim_date, dim_date_covering
+from .operators.calendar import dim_date_covering
 from .sources import testdata
 
 
@@ -26,14 +26,13 @@ class GoldModel:
     products: DataFrame
     customers: DataFrame
     suppliers: DataFrame
-    calendar_start: dt.date = DEFAULT_START
-    calendar_end: dt.date = DEFAULT_END
     _dim_date: DataFrame | None = None
 
     @property
     def dim_date(self) -> DataFrame:
+        """The calendar of the layer, or one of whole years covering the orders."""
         if self._dim_date is None:
-            self._dim_date = dim_date(self.spark, self.calendar_start, self.calendar_end)
+            self._dim_date = dim_date_covering(self.fact)
         return self._dim_date
 
     def active_products(self) -> DataFrame:
@@ -59,12 +58,22 @@ class GoldModel:
                 f = f.where(F.col("order_year") <= last_year)
         return f
 
-    def fact_in_calendar(self) -> DataFrame:
-        """``dim_date JOIN orders_fact ON LastEditedDate = date`` (C6), for a
-        calendar that covers the fact: the inner join then drops the rows
-        without a date and no others, whatever years the orders lie in.
-        """
-        return self.fact.where(F.col("LastEditedDate").isNotNull())
+    def fact_in_calendar(self, fact: DataFrame | None = None) -> DataFrame:
+        """``dim_date JOIN orders_fact ON LastEditedDate = date`` (C6): order lines
+        of the days that the calendar holds. Over a fact partitioned by
+        ``order_year`` the join also states the year, so Spark prunes year
+        folders by the calendar's rows at run time (the lower bound, which every
+        date keeps, marks the calendar as a side worth pruning by)."""
+        days = self.dim_date.where(F.expr("date >= DATE'0001-01-01'")).select(F.col("date").alias("__day"), F.year("date").alias("__year"))
+        fact = self.fact if fact is None else fact
+        on = fact["LastEditedDate"] == days["__day"]
+        if "order_year" in fact.columns:
+            on = on & (fact["order_year"] == days["__year"])
+        return fact.join(F.broadcast(days), on, "inner").drop("__day", "__year")  # a row per day of its years
+
+    def on_days(self, keep) -> "GoldModel":
+        """The same model over a calendar that holds only the days for which ``keep`` (a column) is true."""
+        return GoldModel(self.spark, self.fact, self.products, self.customers, self.suppliers, self.dim_date.where(keep))
 
     def with_closed_versions(self) -> "GoldModel":
         """The same model with a closed earlier version of every dimension row
@@ -74,7 +83,7 @@ class GoldModel:
                 "active_flg": F.lit(0), changed: F.concat(F.lit("closed "), F.col(changed)), "skey": F.sha2(F.concat(F.col("skey"), F.lit("~closed")), 256)})
             return dim.unionByName(closed)
         return GoldModel(self.spark, self.fact, add(self.products, "ProductID", "Brand"), add(self.customers, "CustomerID", "Country"),
-                         add(self.suppliers, "SupplierId", "SupplierName"), self.calendar_start, self.calendar_end)
+                         add(self.suppliers, "SupplierId", "SupplierName"), self._dim_date)
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, cached: bool = True) -> "GoldModel":
@@ -90,6 +99,7 @@ class GoldModel:
             products=testdata.products(spark, sf_dir),
             customers=testdata.customers(spark, sf_dir),
             suppliers=testdata.suppliers(spark, sf_dir),
+            _dim_date=dim_date_covering(testdata.order_days(spark, sf_dir)),
         )
         if cached:
             _MODELS[key] = model
@@ -138,7 +148,7 @@ class GoldModel:
         self.products.write.mode(mode).parquet(f"{root}/products")
         self.customers.write.mode(mode).parquet(f"{root}/customers")
         self.suppliers.write.mode(mode).parquet(f"{root}/suppliers")
-        dim_date_covering(self.fact, at_least=(self.calendar_start, self.calendar_end)).write.mode(mode).parquet(f"{root}/dim_date")
+        self.dim_date.write.mode(mode).parquet(f"{root}/dim_date")
 
 
 _MODELS: dict[tuple[str, str], GoldModel] = {}

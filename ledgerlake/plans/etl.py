@@ -28,7 +28,7 @@ FACT_COLUMNS = ["OrderID", "LineNumber", "ProductID", "SupplierId", "CustomerID"
 
 def dim_date(m: GoldModel, p: Params) -> DataFrame:
     """Calendar dimension over whole years covering the orders."""
-    return calendar.dim_date_covering(m.fact)
+    return m.dim_date
 
 
 def report_calendar(m: GoldModel, p: Params) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from . import oracle as O
 from . import trends
 from .catalog import REGISTRY, register
@@ -96,6 +98,25 @@ register("dq_orders_fact", etl.dq_orders_fact, O.dq_orders_fact)
 register("dq_customers", etl.dq_customers, O.dq_customers)
 register("customers_scd2", None, O.customers_scd2, raw=etl.customers_scd2)
 
+# A calendar without weekends drops the orders of those days and no others
+register("customer_report_business_days", lambda m, p: reports.customer_report(m.on_days("not IsWeekend"), p),
+         lambda p: O.customer_report(p, days="(SELECT * FROM dim_date WHERE isodow(date) < 6)"))
+# Lines from the cut-off on are dropped before the windows
+_CUT = DEFAULT.with_(cutoff_date=dt.date(1999, 1, 1))
+register("yoy_brand_revenue_until_1998", ranking.yoy_brand_revenue, lambda p: O.before(O.yoy_brand_revenue(p), "1999-01-01"), _CUT)
+register("cum_revenue_monthly_until_1998", trends.cum_revenue_monthly, lambda p: O.before(O.cum_revenue_monthly(p), "1999-01-01"), _CUT)
+
+from . import etl_jobs  # noqa: E402
+
+# The jobs from landing files of the given tables to gold
+register("etl_customers_gold", None, O.etl_customers_gold, raw=etl_jobs.etl_customers_gold)
+register("etl_late_customers_gold", None, O.etl_customers_gold, raw=etl_jobs.etl_late_customers_gold)
+register("stream_customers_gold", None, O.etl_customers_gold, raw=etl_jobs.stream_customers_gold)
+register("etl_quarantine", None, O.etl_quarantine, raw=etl_jobs.etl_quarantine)
+register("etl_run_log", None, O.etl_run_log, raw=etl_jobs.etl_run_log)
+register("etl_orders_gold", None, O.etl_orders_gold, raw=etl_jobs.etl_orders_gold)
+register("dq_landing_customers", None, O.dq_landing_customers, raw=etl_jobs.dq_landing_customers)
+
 # The same analytics over dimensions that also hold closed versions: one revenue, not one per version
 _HISTORY = ("cum_revenue_by_country_brand", "yoy_brand_revenue", "top_5_brands", "top_10_customers", "brands_part_to_whole",
             "country_part_to_whole", "product_part_to_whole", "kpi_base_by_brand", "kpi_base_by_region", "kpi_yoy_pct_by_brand",

@@ -206,10 +206,10 @@ def migration_rates(m: GoldModel, p: Params) -> DataFrame:
     # both reads are cut to the years they need (year folders prune)
     y0, y1 = dt.datetime(p.anchor_year, 1, 1), dt.datetime(p.anchor_year + 1, 1, 1)
     maxd = m.fact_between(y0, y1).agg(F.max("LastEditedWhen").alias("MaxDate"))
-    days = (m.fact_between(dt.datetime(p.anchor_year - 1, 7, 1), y1).groupBy("CustomerID", "LastEditedDate")
+    days = (m.fact_in_calendar(m.fact_between(dt.datetime(p.anchor_year - 1, 7, 1), y1)).groupBy("CustomerID", "LastEditedDate")
             .agg(F.countDistinct("OrderID").alias("total_orders"), F.max("LastEditedWhen").alias("last_order_date")))
     c = m.active_customers().select("CustomerID")
-    per_day = (days.where(F.col("LastEditedDate").isNotNull()).join(c, "CustomerID", "left_semi")
+    per_day = (days.join(c, "CustomerID", "left_semi")
                .withColumn("recency", day_diff(F.col("LastEditedDate"), asof)))
     tagged = attach_scalars(per_day, maxd)  # one-row scalar
     lo6, lo3, last = add_months_ts("MaxDate", -6), add_months_ts("MaxDate", -3), F.col("last_order_date")

@@ -65,6 +65,11 @@ def orders_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of the orders: one column of the order heads, which covers the fact."""
+    return read_table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("LastEditedDate"))
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part")
     return p.select(

@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from ..functions.money import exact_avg
-from ..session import materialize
 
 
 def _finish_avgs(df: DataFrame, src_types: dict, avgs: Mapping[str, str]) -> DataFrame:
@@ -79,10 +78,6 @@ def running_by_order(
             cols += [F.sum(src).over(w).alias(f"__rs_{out}"), F.count(src).over(w).alias(f"__rn_{out}")]
         types = {src: df.schema[src].dataType for src in avgs.values()}
         return _finish_avgs(df.select(*df.columns, *cols), types, avgs)
-    if not partition_cols:
-        # ``df`` feeds both the rollup and the join back; fix it once in
-        # reliable storage so the upstream plan is not evaluated twice.
-        df = materialize(df)
     aggs = []
     for out, src in sums.items():
         aggs.append(F.sum(src).alias(f"__s_{out}"))

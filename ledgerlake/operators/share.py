@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
@@ -30,8 +28,8 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def with_grand_total(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Add ``SUM(value) OVER ()`` as column ``out``."""
-    df = materialize(df)  # read by the total and by the rows
+    """Add ``SUM(value) OVER ()`` as column ``out``: a scalar subquery over the same
+    aggregate, whose exchange Spark reuses."""
     total = df.agg(F.sum(value).alias(out))
     return attach_scalars(df, total)
 
@@ -50,7 +48,6 @@ def with_partition_total(df: DataFrame, keys: Sequence[str], value: str, out: st
     aggregate is partial on the map side and skew-tolerant, where the window
     would sort every row of a hot key in one task."""
     fn = {"sum": F.sum, "avg": F.avg}[how]
-    df = materialize(df)  # read by the totals and by the rows
     agg = df.groupBy(*keys).agg(fn(value).alias(out))
     agg = agg.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], out)
     cond = None

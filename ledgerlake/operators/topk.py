@@ -1,17 +1,18 @@
 """Top-k *with ties* (``RANK() OVER (ORDER BY v DESC) <= k``) without a global window.
 
 RANK <= k holds exactly for rows whose value is >= the k-th largest value
-(counting duplicates). So:
-
-1. threshold = min of ``orderBy(v desc).limit(k)`` - Spark plans this as
-   TakeOrderedAndProject: each task keeps its local top k, only k rows per
-   task reach the final merge;
-2. filter ``v >= threshold`` (broadcast 1-row threshold);
-3. rank of a survivor = 1 + number of rows with a strictly larger value.
-   The survivors hold at most k distinct values above the threshold, so
-   the rank table (distinct value -> rank) has at most k + 1 rows and is
-   broadcast back; however many rows tie at the threshold, none of them
-   is ever gathered into one task.
+(counting duplicates), and a row's rank is 1 + the number of rows with a larger
+value. Both follow from the k largest values alone: every value larger than a
+surviving one is among them. So:
+
+1. the k largest values, as one array: ``orderBy(v desc).limit(k)`` is planned as
+   TakeOrderedAndProject (each task keeps k values), read as a scalar subquery;
+2. a row stays if its value is >= the least of them, and its rank is one more
+   than how many of them are larger. However many rows tie at the k-th value,
+   none of them moves.
+
+Nothing runs while the plan is built. The subquery and the rows read the same
+aggregate; its exchange is planned once and reused.
 
 NULL values sort last in ``DESC`` (Spark and SQL agree) and only reach the
 result when fewer than k non-null rows exist.
@@ -19,29 +20,17 @@ result when fewer than k non-null rows exist.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .share import attach_scalars
 
 
 def top_k_with_ties(df: DataFrame, value: str, k: int, rank_col: str) -> DataFrame:
-    """Rows of ``df`` whose ``RANK() OVER (ORDER BY value DESC)`` is <= k.
-
-    ``df`` (an aggregate: one row per ranked entity) is read three times -
-    threshold, candidates, rank table - so it is materialised once.
-    """
-    df = materialize(df)
-    kth = df.select(value).orderBy(F.col(value).desc_nulls_last()).limit(k)
-    thr = kth.agg(F.min(value).alias("__thr"), F.count(value).alias("__nonnull"))
-    cand = attach_scalars(df, thr).where(
-        (F.col(value) >= F.col("__thr"))
-        # fewer than k non-null rows: every row ranks within k, NULLs included
-        | (F.col("__nonnull") < k)
-    ).drop("__thr", "__nonnull")
-    # distinct survivor values (<= k + NULL) with their multiplicity
-    counts = cand.groupBy(value).agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.orderBy(F.col(value).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(value, (F.coalesce(F.sum("__cnt").over(w), F.lit(0)) + 1).cast("int").alias(rank_col))
-    return cand.join(F.broadcast(ranks), cand[value].eqNullSafe(ranks[value]), "inner").drop(ranks[value])
+    """Rows of ``df`` whose ``RANK() OVER (ORDER BY value DESC)`` is <= k."""
+    largest = df.select(value).orderBy(F.col(value).desc_nulls_last()).limit(k).agg(F.collect_list(value).alias("__top"))  # at most k values
+    top, v = F.col("__top"), F.col(value)
+    # a NULL stands behind all values; with fewer than k of them every row ranks within k
+    larger = F.when(v.isNull(), F.size(top)).otherwise(F.size(F.filter(top, lambda x: x > v)))
+    ranked = attach_scalars(df, largest).where((v >= F.array_min(top)) | (F.size(top) < k))
+    return ranked.withColumn(rank_col, (larger + 1).cast("int")).drop("__top")

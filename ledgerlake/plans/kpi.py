@@ -20,7 +20,6 @@ from ..model import GoldModel
 from ..operators.topk import top_k_with_ties
 from ..params import Params
 from ..operators.share import attach_scalars
-from ..session import materialize
 
 # The three indicator glyphs of the month-over-month measure
 # (UNICHAR 9610, 9650, 9660).
@@ -83,10 +82,10 @@ def kpi_base(m: GoldModel, p: Params, by: str = "year") -> DataFrame:
 
 def _cy_ly(per_year: DataFrame, keys: list[str]) -> DataFrame:
     """Current (last) year vs the calendar year before, from a per-(slice,
-    year) aggregate: one fact pass; the small aggregate is materialised
-    because the last year and the pick both read it."""
-    per_year = materialize(per_year)
-    last = per_year.agg(F.max("__y").alias("current_year"))
+    year) aggregate. The last year is a scalar subquery that reads every column
+    of the aggregate, so that it is the same exchange as the rows' and reused."""
+    rest = [c for c in per_year.columns if c not in (*keys, "__y")]
+    last = per_year.agg(F.max("__y").alias("current_year"), *[F.count(c).alias(f"__n_{c}") for c in rest])
     j = attach_scalars(per_year, last)
     cy = F.col("__y") == F.col("current_year")
     ly = F.col("__y") == F.col("current_year") - 1
@@ -128,12 +127,12 @@ def kpi_yoy_pct_by_brand(m: GoldModel, p: Params) -> DataFrame:
 
 def mom_indicator(m: GoldModel, p: Params) -> DataFrame:
     """L4: revenue vs the previous *calendar* month (blank if that month has
-    no sales) with the DAX glyphs. The previous month is found by a join on
-    ``month - 1`` over the monthly aggregate (one row per month)."""
-    monthly = materialize(m.fact.groupBy(trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(
-        sum_revenue().alias("revenue")))  # read as current and as previous month
-    prev = monthly.select(F.col("order_month").alias("__pm"), F.col("revenue").alias("prev_month_revenue"))
-    j = monthly.join(prev, F.col("__pm") == F.timestamp_add("MONTH", F.lit(-1), F.col("order_month")), "left")
+    no sales) with the DAX glyphs. One row per month: the row before it counts
+    if it is the month before."""
+    monthly = m.fact.groupBy(trunc_ts("month", "LastEditedWhen").alias("order_month")).agg(sum_revenue().alias("revenue"))
+    w = Window.orderBy("order_month")  # the window spans the calendar's months, not the data
+    adjacent = F.lag("order_month").over(w) == F.timestamp_add("MONTH", F.lit(-1), F.col("order_month"))
+    j = monthly.withColumn("prev_month_revenue", F.when(adjacent, F.lag("revenue").over(w)))
     cur, pm = F.col("revenue"), F.col("prev_month_revenue")
     ind = (F.when(pm.isNull(), MOM_NEUTRAL).when(cur > pm, MOM_UP).when(cur < pm, MOM_DOWN).otherwise(MOM_NEUTRAL))
     return j.select("order_month", cur.cast("double").alias("revenue"),
@@ -257,7 +256,6 @@ def decline_drivers(m: GoldModel, p: Params) -> DataFrame:
          .groupBy("Brand").agg(F.coalesce(F.sum("ra"), F.lit(0)).alias("ra"),
                                F.coalesce(F.sum("rb"), F.lit(0)).alias("rb"))
          .withColumn("chg", F.col("rb") - F.col("ra")))
-    g = materialize(g)  # read by the total change and by the rows
     total = g.agg(F.sum("chg").alias("__tot"))
     return attach_scalars(g, total).select(
         "Brand",

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_diff, ts_lit
-from ..functions.money import exact_avg, half_up_div, sum_revenue, units
+from ..functions.money import exact_avg, half_up_div, money_from_cents, revenue_cents, sum_revenue, units
 from ..model import GoldModel
+from ..operators.distinct import MERGE, two_distinct_counts
 from ..operators.share import share_pct
 from ..params import Params
 
@@ -23,9 +24,19 @@ CUSTOMER_SEGMENTS = ("Loyal", "Regular", "New")
 PRODUCT_SEGMENTS = ("High-Performer", "Mid-Range", "Low-Performer")
 
 
-def _distinct(col: str, p: Params) -> Column:
-    """COUNT(DISTINCT col), or its HyperLogLog++ estimate when ``p.approx_distinct``."""
-    return F.approx_count_distinct(col) if p.approx_distinct else F.countDistinct(col)
+def _measures(fact: DataFrame, keys: list[str], second: tuple[str, str], p: Params, **more: Column) -> DataFrame:
+    """Orders, distinct values of ``second``, revenue, quantity, first and last
+    order date and the sums ``more`` per keys; the two distinct counts are exact,
+    or HyperLogLog++ estimates when ``p.approx_distinct``."""
+    aggs = {"__cents": ("sum", revenue_cents()), "total_quantity": ("sum", F.col("Quantity").cast("bigint")),
+            "last_order_date": ("max", F.col("LastEditedWhen")), "first_order_date": ("min", F.col("LastEditedWhen")),
+            **{name: ("sum", c) for name, c in more.items()}}
+    if p.approx_distinct:
+        per = fact.groupBy(*keys).agg(F.approx_count_distinct("OrderID").alias("total_orders"), F.approx_count_distinct(second[0]).alias(second[1]),
+                                      *[MERGE[how](c).alias(name) for name, (how, c) in aggs.items()])
+    else:
+        per = two_distinct_counts(fact, keys, ("OrderID", "total_orders"), second, aggs)
+    return per.withColumn("total_revenue", money_from_cents(F.col("__cents")))
 
 
 def _money(c: str) -> Column:
@@ -42,14 +53,7 @@ def _ratio_round2(num: str, den: str) -> Column:
 def customer_base(m: GoldModel, p: Params) -> DataFrame:
     """Per customer metrics over calendar-matched orders of active customers."""
     f = m.fact_in_calendar()
-    per = f.groupBy("CustomerID").agg(
-        _distinct("OrderID", p).alias("total_orders"),
-        sum_revenue().alias("total_revenue"),
-        F.sum("Quantity").cast("bigint").alias("total_quantity"),
-        _distinct("ProductID", p).alias("total_products"),
-        F.max("LastEditedWhen").alias("last_order_date"),
-        F.min("LastEditedWhen").alias("first_order_date"),
-    )
+    per = _measures(f, ["CustomerID"], ("ProductID", "total_products"), p)
     c = m.active_customers().select(
         F.col("skey").alias("customer_key"), "CustomerID",
         F.concat(F.col("CustomerFirstName"), F.lit(" "), F.col("CustomerLastName")).alias("customer_name"))
@@ -98,15 +102,7 @@ def segment_part_to_whole(m: GoldModel, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------------ K17 / K18 products
 
-def _product_aggs(p: Params) -> list:
-    return [
-        _distinct("OrderID", p).alias("total_orders"),
-        _distinct("CustomerID", p).alias("total_customers"),
-        sum_revenue().alias("total_revenue"),
-        F.sum("Quantity").cast("bigint").alias("total_quantity"),
-        F.max("LastEditedWhen").alias("last_order_date"),
-        F.min("LastEditedWhen").alias("first_order_date"),
-    ]
+BUYERS = ("CustomerID", "total_customers")
 
 
 def product_report(m: GoldModel, p: Params) -> DataFrame:
@@ -116,10 +112,7 @@ def product_report(m: GoldModel, p: Params) -> DataFrame:
     # round(q * p, 2) / q is p itself, so its cents are summed (long) over the
     # lines with a non-zero quantity and averaged exactly
     line_sp = F.when(F.col("Quantity") != 0, units("UnitPrice"))
-    per = f.withColumn("__sp", line_sp).groupBy("ProductID").agg(
-        *_product_aggs(p),
-        F.sum("__sp").alias("__sp_sum"), F.count("__sp").alias("__sp_n"),
-    )
+    per = _measures(f, ["ProductID"], BUYERS, p, __sp_sum=line_sp, __sp_n=line_sp.isNotNull().cast("long"))
     prods = m.active_products().select("ProductID", "ProductName", "UnitPrice")
     b = per.join(prods, "ProductID", "inner").withColumn(
         "lifespan", month_diff("first_order_date", "last_order_date"))
@@ -143,10 +136,7 @@ def product_report(m: GoldModel, p: Params) -> DataFrame:
 
 def product_metrics_base(m: GoldModel, p: Params) -> DataFrame:
     """Per (active product, *fact* unit price) aggregates (K18 grain)."""
-    per = m.fact.groupBy("ProductID", "UnitPrice").agg(
-        *_product_aggs(p),
-        F.sum(units("UnitPrice")).alias("__pu"), F.count("UnitPrice").alias("__pn"),
-    )
+    per = _measures(m.fact, ["ProductID", "UnitPrice"], BUYERS, p, __pu=units("UnitPrice"), __pn=F.col("UnitPrice").isNotNull().cast("long"))
     prods = m.active_products().select("ProductID", "ProductName", "Brand")
     return per.join(prods, "ProductID", "inner").withColumns({
         "life_span": month_diff("first_order_date", "last_order_date"),

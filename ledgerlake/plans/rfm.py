@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import add_months_ts, day_diff, ts_lit
 from ..functions.money import exact_avg, half_up_div, revenue_cents, sum_revenue
 from ..model import GoldModel
 from ..operators.ntile import global_ntile
-from ..operators.share import attach_scalars, with_partition_total
+from ..operators.share import attach_scalars
 from ..params import Params
 from ..session import materialize
 
@@ -169,11 +169,12 @@ def customers_by_risk_and_status(m: GoldModel, p: Params) -> DataFrame:
     """M8: customers and expected orders per risk category x health status,
     with the share of all customers."""
     a = clv_risk(m, p).where(F.col("CustomerID").isNotNull())
-    g = materialize(a.groupBy("risk_category", "health_status").agg(
+    g = a.groupBy("risk_category", "health_status").agg(
         F.count(F.lit(1)).alias("customer_count"),
         F.sum(F.round("expected_orders_raw")).alias("expected_orders"),
-    ))
-    total = g.agg(F.sum("customer_count").alias("__all"))
+    )
+    # both columns, so that the subquery reads the exchange of the rows
+    total = g.agg(F.sum("customer_count").alias("__all"), F.count("expected_orders").alias("__cells"))
     return attach_scalars(g, total).select(
         "risk_category", "health_status", "customer_count",
         F.col("expected_orders").cast("double").alias("expected_orders"),
@@ -226,7 +227,8 @@ def migration_rates(m: GoldModel, p: Params) -> DataFrame:
              .select(F.col("x.s").alias("Starting_Segment"), F.col("y.s").alias("Ending_Segment"), (F.col("x.n") * F.col("y.n")).alias("pairs")))
     counts = pairs.groupBy("Starting_Segment", "Ending_Segment").agg(
         F.sum("pairs").cast("bigint").alias("Customer_Count"))
-    with_tot = with_partition_total(counts, ["Starting_Segment"], "Customer_Count", "__start_total")
+    # at most nine rows: pairs of three labels
+    with_tot = counts.withColumn("__start_total", F.sum("Customer_Count").over(Window.partitionBy("Starting_Segment")))
     return with_tot.select(
         "Starting_Segment", "Ending_Segment", "Customer_Count",
         (F.col("Customer_Count").cast("double") / F.col("__start_total").cast("double") * 100)

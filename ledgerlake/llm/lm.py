@@ -3,16 +3,18 @@
 Counts. Tokens are the words of a text, lower-cased A-Z, and one end token; a
 text's first word follows the end token. Unigram counts are exact, by 64-bit
 hash; of bigrams those seen ``MIN_COUNT`` times or more enter the model.
+A task numbers its words as they come and counts pairs of numbers in one table,
+which it hands on by size.
 Filter. A count n of at least m has level 1 + floor(2 log2(n / m)); its n-gram
 enters the filter once per level up to its own, so repeated membership probes
 (level 1, 2, ... until a miss) give the quantised count back. It holds the
 bigrams, and for every context v that begins one its count c(v) and its escape
-count e(v) = c(v) - sum of (c(vw) - 1) over its bigrams. The filter consists of
+count e(v) = c(v) - sum of (c(vw) - ``DISCOUNT``) over its bigrams. The filter consists of
 pages; tasks build the pages, and segments of at most ``SEGMENT_BYTES`` of them
 are broadcast one at a time: all n-grams of a context lie in one segment, each
 position of a text is scored in the pass of its context's segment, and the
 number of passes grows with the corpus.
-Probability. A bigram in the filter has (c(vw) - 1) / (c(v) + MU), any other
+Probability. A bigram in the filter has (c(vw) - DISCOUNT) / (c(v) + MU), any other
 word (e(v) + MU) / (c(v) + MU) times its smoothed unigram probability
 (c + 1) / (N + V + 1), that alone if v begins no bigram. c(v) is rounded up
 within its level and the others down, so together they are at most one.
@@ -33,13 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import U64, Cache, is_fold, map_batches, mix, read, ship, stash
+from .common import U64, is_fold, map_batches, mix, read, ship, stash
 
 FOLDS, HELD_OUT = 7, 2
-MIN_COUNT, MU, HEAD = 2, 2.0, 1 << 19
+MIN_COUNT, DISCOUNT, MU, HEAD = 2, 1.0, 2.0, 1 << 19
 PROBES, BITS_PER_ENTRY, PAGE_BITS, SEGMENT_BYTES = 7, 10, 1 << 19, 64 << 20
-#: Tokens handled at a time within a task.
-BLOCK = 400_000
+#: Tokens handled at a time within a task, words numbered by one, and pairs in its count table.
+BLOCK, WORDS, PAIRS = 400_000, 1 << 19, 3_000_000
 
 _STEP, _TOP = U64(0x9E3779B97F4A7C15), U64(48)
 
@@ -75,49 +77,104 @@ def floor_of(level: np.ndarray, least: int = 1) -> np.ndarray:
     return np.ceil(least * 2.0 ** ((level - 1) / 2) - 1e-9)
 
 
-def blocks(texts: list[str], hashes: Cache):
-    """(first text, text of each token, context and token hashes) for runs of
+class Words(dict):
+    """Word -> its number within a task, in order of appearance; the end token is
+    number 0. Its owner empties it (``restart``) at ``WORDS`` words."""
+
+    def __init__(self):
+        super().__init__()
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.hashes = [int(END)]
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.hashes)
+        self.hashes.append(xxh3_64_intdigest(word))
+        return n
+
+
+def blocks(texts: list[str], words: Words):
+    """(text of each token, number of its context, its own number) for runs of
     whole texts of about BLOCK tokens."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
         ws = tokens(text)
-        h = np.empty(len(ws) + 1, U64)
-        h[:-1] = np.fromiter(map(hashes.__getitem__, ws), U64, len(ws))
-        h[-1] = END
-        held.append(h)
-        size += len(h)
+        ids = np.zeros(len(ws) + 1, np.int64)  # the end token is number 0
+        ids[:-1] = np.fromiter(map(words.__getitem__, ws), np.int64, len(ws))
+        held.append(ids)
+        size += len(ids)
         if size >= BLOCK or i + 1 == len(texts):
             w = np.concatenate(held)
             own = np.repeat(np.arange(first, i + 1), [len(x) for x in held])
-            yield own, np.concatenate([[END], w[:-1]]), w  # every text ends in END, so the next one's first word follows it
+            yield own, np.concatenate([[0], w[:-1]]), w  # every text ends in the end token, so the next one's first word follows it
             first, held, size = i + 1, [], 0
 
 
+def pairs_of(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct of each position, distinct pairs as v << 32 | w), by hashing."""
+    return pd.factorize(v << 32 | w)
+
+
 # ---- counts --------------------------------------------------------------------
 
+class PairTable:
+    """Counts of pairs of word numbers, merged whenever it has doubled."""
+
+    def __init__(self):
+        self.take()
+
+    def add(self, v: np.ndarray, w: np.ndarray) -> None:
+        of, pair = pairs_of(v, w)
+        self.parts.append((pair, np.bincount(of)))
+        self.size += len(pair)
+        if self.size > 2 * self.merged + BLOCK:
+            self.merge()
+
+    def merge(self) -> None:
+        of, pair = pd.factorize(np.concatenate([p for p, _ in self.parts]))
+        n = np.bincount(of, np.concatenate([c for _, c in self.parts])).astype(np.int64)
+        self.parts, self.size, self.merged = [(pair, n)], len(pair), len(pair)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words, second words, counts; the table is empty then."""
+        none = np.zeros(0, np.int64)
+        pair, n = none, none
+        if getattr(self, "parts", None):
+            self.merge()
+            pair, n = self.parts[0]
+        self.parts, self.size, self.merged = [], 0, 0
+        return pair >> 32, pair & 0xFFFFFFFF, n
+
+
 COUNTED = T.StructType([T.StructField("bigram", T.BooleanType()), T.StructField("v", T.LongType()), T.StructField("w", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """Unigram counts (v) and bigram counts of MIN_COUNT or more (v, w), over all of docs(text)."""
+def count(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """Unigram counts (v) and bigram counts of min_count or more (v, w), over all of docs(text)."""
     def make():
-        hashes = Cache(xxh3_64_intdigest)
+        words, table = Words(), PairTable()
+
+        def emit():
+            v, w, n = table.take()
+            h = np.array(words.hashes, U64)
+            words.restart()
+            own = np.bincount(w, n).astype(np.int64) if len(w) else np.zeros(0, np.int64)  # a token is the second of one pair
+            word = np.flatnonzero(own)
+            return [np.concatenate([np.zeros(len(word), bool), np.ones(len(v), bool)]), np.concatenate([h[word], h[v]]).view(np.int64),
+                    np.concatenate([np.zeros(len(word), np.uint32), short(h[w])]).view(np.int32), np.concatenate([own[word], n])]
 
         def run(batch):
-            kind, first, second, n = [], [], [], []
-            for _, v, w in blocks([t or "" for t in batch.column("text").to_pylist()], hashes):
-                word, number, c = np.unique(w, return_inverse=True, return_counts=True)
-                before = np.searchsorted(word, v)  # a context is a token of the block or the end token, which is one
-                pair, p = np.unique(before * len(word) + number, return_counts=True)
-                kind += [np.zeros(len(word), bool), np.ones(len(pair), bool)]
-                first += [word, word[pair // len(word)]]
-                second += [np.zeros(len(word), np.uint32), short(word[pair % len(word)])]
-                n += [c, p]
-            return [np.concatenate(kind), np.concatenate(first).view(np.int64), np.concatenate(second).view(np.int32), np.concatenate(n)]
+            for _, v, w in blocks([t or "" for t in batch.column("text").to_pylist()], words):
+                table.add(v, w)
+            return emit() if len(words) >= WORDS or table.size >= PAIRS else [[], [], [], []]
+
+        run.finish = emit
         return run
 
     counted = map_batches(docs.select("text"), make, COUNTED).groupBy("bigram", "v", "w").agg(F.sum("n").alias("n"))
-    return stash(counted.where(~F.col("bigram") | (F.col("n") >= MIN_COUNT)), "counts")
+    return stash(counted.where(~F.col("bigram") | (F.col("n") >= min_count)), "counts")
 
 
 # ---- filter --------------------------------------------------------------------
@@ -156,21 +213,21 @@ def probe_hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return h >> U64(32), (h & U64(0xFFFFFFFF)) | U64(1)
 
 
-def entries(counts: DataFrame) -> DataFrame:
+def entries(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     """kind, v, w, n of everything that the filter holds."""
     unigrams, bigrams = counts.where(~F.col("bigram")).select("v", "n"), counts.where("bigram")
-    begun = bigrams.groupBy("v").agg(F.sum(F.col("n") - 1).alias("used")).join(unigrams, "v")
+    begun = bigrams.groupBy("v").agg(F.sum(F.col("n") - F.lit(float(discount))).alias("used")).join(unigrams, "v")
     none = F.lit(0).alias("w")
     return (bigrams.select(F.lit(BIGRAM).alias("kind"), "v", "w", "n")
             .unionByName(begun.select(F.lit(CONTEXT).alias("kind"), "v", none, "n"))
-            .unionByName(begun.select(F.lit(ESCAPE).alias("kind"), "v", none, F.greatest(F.col("n") - F.col("used"), F.lit(1)).alias("n"))))
+            .unionByName(begun.select(F.lit(ESCAPE).alias("kind"), "v", none, F.greatest(F.floor(F.col("n") - F.col("used")), F.lit(1)).alias("n"))))
 
 
-def build(counts: DataFrame, segment_bytes: int = SEGMENT_BYTES):
+def build(counts: DataFrame, segment_bytes: int = SEGMENT_BYTES, min_count: int = MIN_COUNT, discount: float = DISCOUNT):
     """Yields the segments of the filter, each collected once and bounded by segment_bytes."""
     ship(counts.sparkSession)
-    rows = stash(entries(counts), "entries")
-    least = F.when(F.col("kind") == BIGRAM, MIN_COUNT).otherwise(1)
+    rows = stash(entries(counts, discount), "entries")
+    least = F.when(F.col("kind") == BIGRAM, min_count).otherwise(1)
     size = rows.agg(F.sum(F.floor(2 * F.log2(F.col("n") / least) + 1e-9) + 1)).first()[0] or 0
     wanted = max(1, -(-int(size) * BITS_PER_ENTRY // PAGE_BITS))
     segments = max(1, -(-wanted * PAGE_BITS // 8 // segment_bytes))
@@ -183,7 +240,7 @@ def build(counts: DataFrame, segment_bytes: int = SEGMENT_BYTES):
         for k in (BIGRAM, CONTEXT, ESCAPE):
             of = kind == k
             key[of] = entry_keys(k, v[of], w[of])
-            level[of] = levels(n[of], MIN_COUNT if k == BIGRAM else 1)
+            level[of] = levels(n[of], min_count if k == BIGRAM else 1)
         return [page_of(key, pages), key.view(np.int64), level]
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -244,51 +301,75 @@ def _tail_column(parts: list[tuple[np.ndarray, ...]], rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), entries)
 
 
-def _pass(rows: DataFrame, filter_: Filter, head: tuple, total: int, last: bool) -> DataFrame:
+class Known:
+    """What a task has looked up of its words, by their numbers: unigram share, and
+    for contexts of the filter's segment the weight of leaving them and their count."""
+
+    def __init__(self, filter_: Filter, head: tuple, total: int):
+        self.filter, (self.head_key, self.head_n), self.total = filter_, head, total
+        self.restart()
+
+    def restart(self) -> None:
+        self.hash = np.zeros(0, U64)
+        self.unigram = self.away = self.count = np.zeros(0)
+        self.known = self.mine = self.begins = np.zeros(0, bool)
+
+    def extend(self, words: Words) -> None:
+        """Look the words up that have come since the last time."""
+        f, word = self.filter, np.array(words.hashes[len(self.hash):], U64)
+        if not len(word):
+            return
+        key = self.head_key
+        at = np.minimum(np.searchsorted(key, word), max(0, len(key) - 1))
+        c = np.where(key[at] == word, self.head_n[at], 0) if len(key) else np.zeros(len(word), np.int64)
+        mine = (word >> _TOP) % U64(f.segments) == U64(f.number)
+        level = np.zeros(len(word), np.int64)
+        level[mine] = f.level(entry_keys(CONTEXT, word[mine]))
+        begins = np.flatnonzero(level)
+        count, away = floor_of(level + 1) - 1, np.zeros(len(word))
+        escape = f.level(entry_keys(ESCAPE, word[begins]))
+        away[begins] = np.minimum(0.0, np.log10((floor_of(np.maximum(1, escape)) + MU) / (count[begins] + MU)))
+        for name, new in (("hash", word), ("unigram", np.log10((c + 1) / self.total)), ("away", away), ("count", count),
+                          ("known", c > 0), ("mine", mine), ("begins", level > 0)):
+            setattr(self, name, np.concatenate([getattr(self, name), new]))
+
+
+def _pass(rows: DataFrame, filter_: Filter, head: tuple, total: int, last: bool, min_count: int, discount: float) -> DataFrame:
     """Adds the positions whose context lies in the filter's segment; the first
     pass also counts, and what needs a rarer word's count goes to ``tail``."""
     sc = rows.sparkSession.sparkContext
     shared_filter, shared_head = sc.broadcast(filter_), sc.broadcast(head)
 
     def make():
-        hashes = Cache(xxh3_64_intdigest)
+        words, f = Words(), shared_filter.value
+        know, first = Known(f, shared_head.value, total), f.number == 0
 
         def run(batch):
-            f, (head_key, head_n) = shared_filter.value, shared_head.value
+            if len(words) >= WORDS:
+                words.restart()
+                know.restart()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             sums, tail = np.zeros((4, len(texts))), [_flat_tail(batch.column("tail"))]
-            for own, v, w in blocks(texts, hashes):
-                word, number = np.unique(w, return_inverse=True)
-                at = np.minimum(np.searchsorted(head_key, word), max(0, len(head_key) - 1))
-                c = np.where(head_key[at] == word, head_n[at], 0) if len(head_key) else np.zeros(len(word), np.int64)
-                unigram = np.log10((c + 1) / total)[number]
-                known = (c > 0)[number]
-                mine = ((v >> _TOP) % U64(f.segments) == U64(f.number))
-                here = np.flatnonzero(mine)
-                context, back = np.unique(v[here], return_inverse=True)
-                c_up = f.level(entry_keys(CONTEXT, context))
-                begins = np.flatnonzero(c_up)
-                c_up, escape = floor_of(c_up + 1) - 1, f.level(entry_keys(ESCAPE, context[begins]))
-                away = np.zeros(len(context))
-                away[begins] = np.log10((floor_of(np.maximum(1, escape)) + MU) / (c_up[begins] + MU))
-                away = np.minimum(0.0, away)
-                held = np.zeros(len(context), bool)
-                held[begins] = True
-                tried = np.flatnonzero(held[back])  # positions whose context begins a bigram
-                pair = f.level(entry_keys(BIGRAM, v[here[tried]], short(w[here[tried]])))
-                seen, pair = tried[pair > 0], pair[pair > 0]
+            for own, v, w in blocks(texts, words):
+                know.extend(words)
+                known, mine = know.known[w], know.mine[v]
+                base = np.where(known, know.unigram[w], 0.0)
+                score = np.where(mine, know.away[v] + base, 0.0)
+                tried = np.flatnonzero(know.begins[v])  # positions whose context begins a bigram
+                of, pair = pairs_of(v[tried], w[tried])
+                context, word = pair >> 32, pair & 0xFFFFFFFF
+                level = f.level(entry_keys(BIGRAM, know.hash[context], short(know.hash[word])))
+                share = np.log10(np.clip((floor_of(np.maximum(1, level), min_count) - discount) / (know.count[context] + MU), 1e-300, 1.0))
+                seen = level[of] > 0
+                score[tried[seen]] = share[of[seen]]
                 found = np.zeros(len(w), bool)
-                found[here[seen]] = True
-                score = np.zeros(len(w))
-                score[here] = away[back] + np.where(known[here], unigram[here], 0.0)
-                score[here[seen]] = np.log10(np.minimum(1.0, (floor_of(pair, MIN_COUNT) - 1) / (c_up[back[seen]] + MU)))
-                first = f.number == 0
-                for k, x in enumerate((np.ones(len(w)) * first, known * first, np.where(known, unigram, 0.0) * first, score)):
-                    sums[k] += np.bincount(own, x, len(texts))
+                found[tried[seen]] = True
+                for k, x in enumerate((None, known, base, score) if first else (score,)):
+                    sums[k if first else 3] += np.bincount(own, x, len(texts))
                 rare = np.flatnonzero(~known & (first | mine & ~found))
                 if len(rare):
-                    key, back = np.unique(own[rare] * np.int64(len(word)) + number[rare], return_inverse=True)
-                    tail.append((key // len(word), word[key % len(word)].view(np.int64), np.bincount(back) * int(first),
+                    back, key = pairs_of(own[rare], w[rare])
+                    tail.append((key >> 32, know.hash[key & 0xFFFFFFFF].view(np.int64), np.bincount(back) * int(first),
                                  np.bincount(back, (mine & ~found)[rare]).astype(np.int64)))
             before = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_tokens", "n_known", "base_score", "score")]
             sums = [b + s for b, s in zip(before, sums)]
@@ -299,18 +380,19 @@ def _pass(rows: DataFrame, filter_: Filter, head: tuple, total: int, last: bool)
     return map_batches(rows, make, SCORED)
 
 
-def score(docs: DataFrame, train: Column, head: int = HEAD, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, head: int = HEAD, segment_bytes: int = SEGMENT_BYTES, min_count: int = MIN_COUNT,
+          discount: float = DISCOUNT) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of docs(doc_id, text), learnt from the rows of ``train``."""
-    counts = count(docs.where(train))
+    counts = count(docs.where(train), min_count)
     unigrams = counts.where(~F.col("bigram"))
     n, v = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top, total = head_words(unigrams, head), n + v + 1
     rows = docs.select("doc_id", "text", *(F.lit(0).cast(f.dataType).alias(f.name) for f in SCORED[2:6]), F.array().cast(TAIL).alias("tail"))
-    segments = iter(build(counts, segment_bytes))
+    segments = iter(build(counts, segment_bytes, min_count, discount))
     part = next(segments)
     while part is not None:
         following = next(segments, None)
-        rows = _pass(rows, part, top, total, following is None)
+        rows = _pass(rows, part, top, total, following is None, min_count, discount)
         if following is not None:
             rows = stash(rows, "scored")
         part = following
@@ -330,4 +412,5 @@ def score(docs: DataFrame, train: Column, head: int = HEAD, segment_bytes: int =
 def op10_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = is_fold("doc_id", FOLDS, HELD_OUT)
-    return score(docs, ~held).withColumn("held_out", held)
+    out = score(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), *out.columns[1:])

@@ -27,6 +27,8 @@ probability is one; an empty table gives no rows."""
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,7 +43,7 @@ FOLDS, HELD_OUT = 7, 2
 MIN_COUNT, DISCOUNT, MU, HEAD = 2, 1.0, 2.0, 1 << 19
 PROBES, BITS_PER_ENTRY, PAGE_BITS, SEGMENT_BYTES = 7, 10, 1 << 19, 64 << 20
 #: Tokens handled at a time within a task, words numbered by one, and pairs in its count table.
-BLOCK, WORDS, PAIRS = 400_000, 1 << 19, 3_000_000
+BLOCK, WORDS, PAIRS = 400_000, 1 << 19, 2_000_000
 
 _STEP, _TOP = U64(0x9E3779B97F4A7C15), U64(48)
 
@@ -87,7 +89,7 @@ class Words(dict):
 
     def restart(self) -> None:
         self.clear()
-        self.hashes = [int(END)]
+        self.hashes = array("Q", [int(END)])
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.hashes)
@@ -173,7 +175,8 @@ def count(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
         run.finish = emit
         return run
 
-    counted = map_batches(docs.select("text"), make, COUNTED).groupBy("bigram", "v", "w").agg(F.sum("n").alias("n"))
+    # a task's table holds a pair once, so a second partial count before the shuffle would find nothing
+    counted = map_batches(docs.select("text"), make, COUNTED).repartition("v", "w").groupBy("bigram", "v", "w").agg(F.sum("n").alias("n"))
     return stash(counted.where(~F.col("bigram") | (F.col("n") >= min_count)), "counts")
 
 

@@ -40,7 +40,7 @@ from xxhash import xxh3_64_intdigest
 from .common import U64, is_fold, map_batches, mix, read, ship, stash
 
 FOLDS, HELD_OUT = 7, 2
-MIN_COUNT, DISCOUNT, MU, HEAD = 2, 1.0, 2.0, 1 << 19
+MIN_COUNT, DISCOUNT, MU, HEAD = 2, 1.0, 2.0, 1 << 20
 PROBES, BITS_PER_ENTRY, PAGE_BITS, SEGMENT_BYTES = 7, 10, 1 << 19, 64 << 20
 #: Tokens handled at a time within a task, words numbered by one, and pairs in its count table.
 BLOCK, WORDS, PAIRS = 400_000, 1 << 19, 2_000_000

@@ -15,18 +15,11 @@ MONEY = "decimal(12,2)"
 RATE = "decimal(10,2)"
 
 
-def revenue(qty: str = "Quantity", price: str = "UnitPrice") -> Column:
-    """Line revenue ``Quantity * UnitPrice`` (exact decimal).
-
-    ``int x decimal(12,2)`` is ``decimal(23,2)``, beyond the 18 digits Spark
-    keeps in a long, so per-row arithmetic on it runs on BigDecimal.
-    Aggregations use ``revenue_cents`` / ``sum_revenue`` instead.
-    """
-    return F.col(qty) * F.col(price)
-
-
 def revenue_cents(qty: str = "Quantity", price: str = "UnitPrice") -> Column:
-    """Line revenue in integer cents (long arithmetic, exact)."""
+    """Line revenue ``Quantity * UnitPrice`` in integer cents (long arithmetic, exact).
+
+    ``int x decimal(12,2)`` would be ``decimal(23,2)``, beyond the 18 digits that
+    Spark keeps in a long, so arithmetic per row would run on BigDecimal."""
     return F.col(qty).cast("long") * units(price)
 
 

@@ -88,12 +88,3 @@ def global_ntile(df: DataFrame, n: int, order: Sequence[Column | str], out: str,
     """Add ``NTILE(n) OVER (ORDER BY order)`` computed without a global window."""
     numbered = global_row_number(df, order, out="__i", partitions=partitions, total="__N")
     return numbered.withColumn(out, ntile_from_index("__i", "__N", n)).drop("__i", "__N")
-
-
-def global_ntiles(df: DataFrame, n: int, specs: dict[str, Sequence[Column | str]],
-                  partitions: int | None = None) -> DataFrame:
-    """Several NTILE columns over different orders (each is its own sort)."""
-    out = df
-    for name, order in specs.items():
-        out = global_ntile(out, n, order, name, partitions=partitions)
-    return out

@@ -90,8 +90,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df):
     """Write an intermediate that several branches of one plan consume to
     reliable storage once (``checkpoint``), instead of letting each branch
-    re-run its upstream plan. Used for *aggregates* (one row per key or
-    period), never for raw fact rows; also cuts the lineage, so a lost
+    re-run its upstream plan. Used for the per-customer aggregate behind the
+    RFM scores, never for raw fact rows; also cuts the lineage, so a lost
     executor does not trigger a recomputation from the source tables."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -59,8 +59,8 @@ def test_rows_of_the_clean_run(clean):
 
 @pytest.mark.parametrize("at", ["write", "log"])
 def test_a_crash_at_any_step_ends_in_the_same_tables(spark, scratch, monkeypatch, clean, at):
-    """The k-th write (or log entry) of the whole flow fails, for every k; the flow
-    is then run again, a day later, until nothing fails."""
+    """Every second write (or log entry) of the whole flow fails, so that each layer
+    is hit; the flow is run again, days later, until nothing fails."""
     root, d = os.path.join(scratch, "lake"), os.path.join(scratch, "landing")
     target = (stage, "checked_write") if at == "write" else (runlog, "append")
     real, calls = getattr(*target), {"n": 0, "fail": 1}

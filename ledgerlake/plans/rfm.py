@@ -1,8 +1,8 @@
 """RFM scoring, churn health, CLV and segment migration.
 
-One per-customer aggregate feeds everything; the three quintile scores use
-``operators.ntile.global_ntile`` (range-partitioned sort + offsets) rather
-than ``NTILE() OVER (ORDER BY ...)``, which would sort every customer in
+One per-customer aggregate feeds everything; the three quintile scores come
+from the exact keys at which the tiles begin (``operators.cuts``) rather
+than from ``NTILE() OVER (ORDER BY ...)``, which would sort every customer in
 one task. CustomerID breaks ties so the scores are deterministic.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import add_months_ts, day_diff, ts_lit
 from ..functions.money import exact_avg, half_up_div, revenue_cents, sum_revenue
 from ..model import GoldModel
-from ..operators.ntile import global_ntile
+from ..operators.cuts import ntiles
 from ..operators.share import attach_scalars
 from ..params import Params
 from ..session import materialize
@@ -46,15 +46,9 @@ def customer_activity(m: GoldModel, p: Params) -> DataFrame:
 
 def scored(m: GoldModel, p: Params) -> DataFrame:
     """Customer activity with R/F/M quintile scores."""
-    # one row per customer; fixed once in reliable storage so the three
-    # range-partitioned sorts (and their sampling passes) read it, not the fact
+    # one row per customer; written once, as the jobs that look for the cuts read it several times
     a = materialize(customer_activity(m, p))
-    n = p.rfm_tiles
-    tie = F.col("CustomerID").asc()
-    a = global_ntile(a, n, [F.col("Recency").desc(), tie], "R_Score")
-    a = global_ntile(a, n, [F.col("Frequency").asc(), tie], "F_Score")
-    a = global_ntile(a, n, [F.col("Monetary").asc(), tie], "M_Score")
-    return a
+    return ntiles(a, p.rfm_tiles, {"R_Score": ("Recency", True), "F_Score": ("Frequency", False), "M_Score": ("Monetary", False)}, tie="CustomerID")
 
 
 def _rfm_segment(r: Column, f: Column, m: Column) -> Column:

@@ -13,13 +13,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..jobs import medallion, runlog
+from ..jobs import medallion, runlog, tables
+from ..model import GoldModel
 from ..operators import dq
 from ..params import Params
 from ..schemas import CUSTOMERS_CSV, ORDERS_CSV, PRODUCTS_CSV, SUPPLIERS_CSV
 from ..session import checkpoint_dir
 from ..sources.testdata import orders_fact, read_table
 from ..streaming.ingest import start_dimension_stream
+from . import ranking, reports
 
 # Fixed values of the derived landing files: load times, the stamps that the
 # files state, and which rows of the second file change or break.
@@ -155,6 +157,29 @@ def etl_orders_gold(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
                     "order_year", "date_skey", "product_skey", "supplier_skey", "customer_skey", "load", "insert_dt")
 
 
+# ---------------------------------------------------------------- catalog tables
+
+def _tables(spark: SparkSession, sf_dir: str) -> GoldModel:
+    """The gold layer as catalog tables of a new database, read back by name."""
+    root = lake(spark)
+    database = "gold_" + root.rsplit("-", 1)[1]
+    tables.publish(GoldModel.from_testdata(spark, sf_dir), database, root)
+    return tables.open_model(spark, database)
+
+
+def etl_tables_customer_report(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """K16 over bucketed tables: customers' lines are added up where they lie."""
+    return reports.customer_report(_tables(spark, sf_dir), p)
+
+
+def etl_tables_top_10_customers(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """K11 over bucketed tables, through a view read back by name."""
+    m = _tables(spark, sf_dir)
+    view = "top_" + uuid.uuid4().hex
+    ranking.top_customers(m, p).createOrReplaceTempView(view)
+    return spark.table(view)
+
+
 # ---------------------------------------------------------------- checks
 
 def dq_landing_customers(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:

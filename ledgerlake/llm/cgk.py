@@ -23,12 +23,12 @@ k edits a window keeps all but n * k of an item's runs of n words, hence one of
 its rarest n * k + 1, and shares at least the rest.
 Check. The exact word edit distance decides.
 
-Items come to the tasks in blocks of at most ``BLOCK`` items; the documents
-pass once per block. Items without a word are never found.
+Items come to the tasks in blocks of at most ``BLOCK`` items, each an index that the
+driver builds once and broadcasts as arrays; the documents pass once per block. Items without a word are never found.
 
 Defined results: null and empty texts hold nothing; repeated rows are searched
-row by row; equal items are reported each; an empty benchmark or table gives
-no hits; of an item's overlapping windows in a document the closest, then
+row by row; items of equal text but other ids are reported each, a repeated row of the
+benchmark once; an empty benchmark or table gives no hits; of an item's overlapping windows in a document the closest, then
 first, is reported once."""
 
 from __future__ import annotations
@@ -162,11 +162,8 @@ class Index:
     def _tables(self, size: int, held: list[int], tables: int) -> dict:
         places = _places(size, tables)
         keys = _keys(np.stack([self.items[i][1] for i in held]).astype(U64), places)
-        found = defaultdict(set)
-        for t in range(tables):
-            for i, key in zip(held, keys[:, t].tolist()):
-                found[(t, key)].add(i)
-        return {"places": places, "found": dict(found), "keys": [np.unique(keys[:, t]) for t in range(tables)]}
+        order = np.argsort(keys, axis=0, kind="stable")
+        return {"places": places, "keys": np.take_along_axis(keys, order, axis=0), "who": np.array(held)[order]}
 
     def _rarest(self, size: int, held: list[int]) -> dict:
         """Per item the rarest runs, of which a match keeps one, in order of their codes."""
@@ -187,15 +184,18 @@ class Index:
         return min(ANCHOR, max(1, size // (self.edits(size) + 1)))
 
     def _anchors(self) -> dict[int, dict]:
-        """Run length -> its runs' codes in order, and where they stand: (size, offset)."""
-        out: dict[int, dict] = {}
+        """Run length -> its runs' codes in order, and where they stand: from ``first`` on, (size, offset) rows."""
+        held: dict[int, set] = {}
         base = len(self.number) + 1
         for _, ids in self.items:
             n = self._run(len(ids))
-            held = out.setdefault(n, defaultdict(set))
-            for o, code in enumerate(_run_codes(ids, n, base).tolist()):
-                held[code].add((len(ids), o))
-        return {n: {"codes": np.array(sorted(h), np.int64), "at": h} for n, h in out.items()}
+            held.setdefault(n, set()).update((code, len(ids), o) for o, code in enumerate(_run_codes(ids, n, base).tolist()))
+        out = {}
+        for n, runs in held.items():
+            rows = np.array(sorted(runs), np.int64)
+            codes, first = np.unique(rows[:, 0], return_index=True)
+            out[n] = {"codes": codes, "first": np.append(first, len(rows)), "at": rows[:, 1:]}
+        return out
 
     def windows(self, ids: np.ndarray) -> set[tuple[int, int]]:
         """(start, size) of the windows that anchors admit; ids 0: not a word of any item."""
@@ -214,7 +214,9 @@ class Index:
             codes = _run_codes(ids, n, base)[at]
             near = np.searchsorted(runs["codes"], codes)
             hit = runs["codes"][np.minimum(near, len(runs["codes"]) - 1)] == codes
-            starts = {(p - o, size) for p, code in zip(at[hit].tolist(), codes[hit].tolist()) for size, o in runs["at"][code]}
+            low, high = runs["first"][near[hit]], runs["first"][near[hit] + 1]
+            where = runs["at"][_spans(low, high)]
+            starts = set(zip((np.repeat(at[hit], high - low) - where[:, 1]).tolist(), where[:, 0].tolist()))
             foreign = np.concatenate([[0], np.cumsum(~known)])
             for start, size in starts:
                 k = self.edits(size)
@@ -254,12 +256,13 @@ class Index:
 
     def _met(self, rows: np.ndarray, index: dict) -> dict[int, list[int]]:
         """Item -> rows that meet it in a table."""
-        keys, out = _keys(rows, index["places"]), defaultdict(set)
-        for t, known in enumerate(index["keys"]):
-            for r in np.flatnonzero(np.isin(keys[:, t], known)).tolist():
-                for i in index["found"][(t, int(keys[r, t]))]:
-                    out[i].add(r)
-        return {i: sorted(at) for i, at in out.items()}
+        keys, met = _keys(rows, index["places"]), []
+        for t in range(keys.shape[1]):
+            low, high = (np.searchsorted(index["keys"][:, t], keys[:, t], side) for side in ("left", "right"))
+            met.append(index["who"][_spans(low, high), t] * len(rows) + np.repeat(np.arange(len(rows)), high - low))
+        who, at = np.divmod(np.unique(np.concatenate(met)), len(rows))
+        items, first = np.unique(who, return_index=True)
+        return {i: x.tolist() for i, x in zip(items.tolist(), np.split(at, first[1:]))}
 
     def _sharing(self, windows: np.ndarray, index: dict) -> dict[int, list[int]]:
         """Item -> rows that hold one of its rarest runs and enough of all its runs."""
@@ -269,7 +272,7 @@ class Index:
             low, high = (np.searchsorted(index["rare"], codes, side) for side in ("left", "right"))
             r, c = np.nonzero(high > low)
             times = (high - low)[r, c]
-            who = index["who"][np.arange(times.sum()) + np.repeat(low[r, c] - np.cumsum(times) + times, times)]
+            who = index["who"][_spans(low[r, c], high[r, c])]
             for i in np.unique(who).tolist():
                 held = np.unique(np.repeat(r, times)[who == i])
                 enough = np.isin(codes[held], index["codes"][i]).sum(axis=1) >= index["shared"]
@@ -277,6 +280,12 @@ class Index:
         return {i: at for i, at in out.items() if at}
 
 
+def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers from each low up to its high (exclusive), one after the other."""
+    times = high - low
+    return np.arange(times.sum()) + np.repeat(low - np.cumsum(times) + times, times)
+
+
 def _run_codes(ids: np.ndarray, n: int, base: int) -> np.ndarray:
     if len(ids) < n:
         return np.zeros(0, np.int64)
@@ -287,8 +296,8 @@ def _run_codes(ids: np.ndarray, n: int, base: int) -> np.ndarray:
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK):
-    """Items in blocks of at most ``size``, by the hash of their row."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    """Distinct items in blocks of at most ``size``, by the hash of their row."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     n = max(1, -(-items.count() // max(1, size * 9 // 10)))
     for b in range(n):
         yield sorted((tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()), key=str)
@@ -305,11 +314,12 @@ def annotate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataF
 
 def _pass(rows: DataFrame, items: list[tuple], hits: T.ArrayType) -> DataFrame:
     sizes = {len(words(text or "")) for _, text in items} - {0}
-    shared = rows.sparkSession.sparkContext.broadcast((items, {n: tables_for(n) for n in sizes}))
+    # built once; a worker process reads it once, whatever the number of its tasks
+    shared = rows.sparkSession.sparkContext.broadcast(Index(items, plan={n: tables_for(n) for n in sizes}))
     schema = T.StructType([rows.schema["row"], T.StructField("hits", hits)])
 
     def make():
-        index = Index(shared.value[0], plan=shared.value[1])
+        index = shared.value
         number = Cache(lambda w: index.number.get(symbol(w), 0), 300_000)
 
         def run(batch):

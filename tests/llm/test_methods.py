@@ -339,7 +339,10 @@ def brute_hits(items, text, rate=cgk.RATE):
         target = [cgk.symbol(w) for w in t.encode().split()]
         number = {w: i for i, w in enumerate([*target, *ws])}
         a, b = np.array([number[w] for w in target]), np.array([number[w] for w in ws])
-        if set(target) & set(ws) and min(cgk.edit_distance(a, b[i:i + len(a)]) for i in range(max(1, len(b) - len(a) + 1))) <= int(rate * len(a) + 1e-9):
+        n = len(a)
+        windows = [b[i:i + n] for i in range(max(1, len(b) - n + 1))]
+        rows = np.array([np.append(w, np.full(n - len(w), -1)) for w in windows])
+        if set(target) & set(ws) and cgk.distances(a, rows, np.array([len(w) for w in windows])).min() <= int(rate * n + 1e-9):
             out.add(item)
     return out
 
@@ -354,6 +357,7 @@ def test_edit_distance():
             for j in range(1, len(b) + 1):
                 d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
         assert cgk.edit_distance(a, b) == d[-1, -1]
+        assert cgk.distances(a, np.append(b, 9)[None], np.array([len(b)])).tolist() == [d[-1, -1]]
 
 
 def test_op9_recall_on_edited_passages(docs):
@@ -362,7 +366,7 @@ def test_op9_recall_on_edited_passages(docs):
     number = Cache(lambda w: index.number.get(cgk.symbol(w), 0))
     pool = [w.decode() for t in list(docs.values())[:50] for w in t.encode().split()]
     found = asked = false = 0
-    for _ in range(40):
+    for _ in range(250):
         item, text = items[rng.integers(len(items))]
         w = text.split()
         for _ in range(int(rng.integers(0, int(0.2 * len(w)) + 1))):
@@ -372,7 +376,7 @@ def test_op9_recall_on_edited_passages(docs):
         want = brute_hits(items, doc)
         got = {h["item_id"] for h in index.search([np.array([number[x] for x in doc.encode().split()])])[0]}
         found, asked, false = found + len(got & want), asked + len(want), false + len(got - want)
-    assert false == 0 and found >= 0.9 * asked > 0
+    assert false == 0 and found >= 0.95 * asked > 0
 
 
 @pytest.mark.parametrize("size", [5, 15, 30, 59, 80, 100, 150, 200])
@@ -416,6 +420,8 @@ def test_op9_blocks_of_items(spark):
     one = {r.row.doc_id: {h.item_id for h in r.hits} for r in cgk.annotate(df, items).collect()}
     many = {r.row.doc_id: {h.item_id for h in r.hits} for r in cgk.annotate(df, items, block=15).collect()}
     texts = dict(duckdb.sql(f"SELECT item_id, text FROM '{SF1}/benchmark.parquet'").fetchall())
+    twice = {r.row.doc_id: [h.item_id for h in r.hits] for r in cgk.annotate(df, items.unionByName(items)).collect()}
+    assert {d: sorted(x) for d, x in twice.items()} == {d: sorted(x) for d, x in one.items()}  # a repeated item counts once
     assert one == many and any(one.values())
     for d, t in ((r.doc_id, r.text) for r in df.collect()):
         assert {i for i, x in texts.items() if x in t} <= one[d]

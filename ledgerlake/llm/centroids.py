@@ -4,12 +4,14 @@ A text's vector holds hashed character n-grams (one to three lower-case
 letters and word edges) as log term frequency times inverse document
 frequency, of length one. Document frequencies count all training documents;
 a language's centroids come from spherical k-means over a bounded sample
-(about ``SAMPLE`` documents per language, by hash of the id). The language of
+(about ``SAMPLE`` ids per language, by hash of the id, and one text an id however
+often it is repeated; of the ``LANGUAGES`` with most ids). The language of
 the centroid with the greatest cosine wins; a text whose cosine lies below
 nearly all of that centroid's training texts is rejected (``accepted`` false).
 
 Defined results: null texts and texts without a letter are ``und`` with score
-0 and not accepted; without any training row every text is ``und``; repeated
+0 and not accepted; of equal cosines the language first in order wins; texts are
+read whole, however long; without any training row every text is ``und``; repeated
 rows are judged row by row; an empty table gives no rows."""
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 from .common import crc_mod, is_fold, map_batches, read, ship
 
 FOLDS, HELD_OUT = 4, 2
-SIZE, SAMPLE, CENTROIDS, ROUNDS = 4096, 400, 3, 12
+SIZE, SAMPLE, LANGUAGES, CENTROIDS, ROUNDS = 4096, 400, 1000, 3, 12
 #: Share of a centroid's training texts that rejection may lose.
 LOSS = 0.002
 
@@ -87,13 +89,15 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.nda
 def train(docs: DataFrame) -> dict | None:
     """Model from docs(doc_id, text, lang), outside the held-out fold and with a language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT)).where("text is not null")
-    per = rows.groupBy("lang").count().toPandas()  # one row per language
+    per = (rows.groupBy("lang", "doc_id").count().groupBy("lang").agg(F.count("*").alias("count"))
+           .orderBy(F.desc("count"), "lang").limit(LANGUAGES).toPandas())
     if not len(per):
         return None
     df, total = _frequencies(rows)
     idf = np.log((total + 1) / (df + 1)) + 1
     share = F.create_map(*[F.lit(v) for lang, n in zip(per["lang"], per["count"]) for v in (lang, min(1.0, SAMPLE / n))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    sample = (rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+              .groupBy("lang", "doc_id").agg(F.min("text").alias("text")))  # collapses within each task
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("v", T.BinaryType())])
 
     def make():

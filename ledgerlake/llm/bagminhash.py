@@ -193,7 +193,8 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
     """doc_id, node, member (the class's least text; null without a word),
-    class_id, n_links (verified links of the text) for every row of docs."""
+    class_id, n_verified (the text's links that the search had to verify, which is no
+    count of all its partners) for every row of docs."""
     docs = prepared(docs)
     signed = stash(sign(docs, bands, rows, n), "signed")
     nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("rep"))
@@ -211,15 +212,15 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similarity: f
     final = components(first.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest), "final")
     links = stars.select("a", "b").unionByName(rest)
     links = links.select(*_ordered("a", "b")).distinct()
-    count = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    count = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_verified"))
     linked = stash(final.join(count, "node"), "linked")
 
     rows_ = signed.select("doc_id", "node", "n_shingles").join(linked, "node", "left")
     member = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))
-    rows_ = rows_.select("doc_id", "node", member.alias("member"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows_ = rows_.select("doc_id", "node", member.alias("member"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
     named = rows_.where("member is not null").groupBy("member").agg(F.min("doc_id").alias("class_id"))
     return (rows_.join(named, "member", "left")
-            .select("doc_id", "node", "member", F.when(F.col("member").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links"))
+            .select("doc_id", "node", "member", F.when(F.col("member").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_verified"))
 
 
 def _rest(held: DataFrame, first: DataFrame, bodies: DataFrame, similarity: float, n: int) -> DataFrame:
@@ -278,7 +279,7 @@ def _rest(held: DataFrame, first: DataFrame, bodies: DataFrame, similarity: floa
 
 
 def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_verified")
 
 
 def row_key(doc_id: str, node: str) -> Column:
@@ -287,7 +288,8 @@ def row_key(doc_id: str, node: str) -> Column:
 
 def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of docs with the least id of each class in rows = classes(docs)
-    (of equal rows one), and all rows without a word."""
+    (of rows equal in id and text the one with the least digest of all its columns), and
+    all rows without a word."""
     least = rows.where("member is not null").groupBy("member").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("r"))
     kept = least.select(row_key("r.doc_id", "r.node").alias("key"))
@@ -295,9 +297,11 @@ def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct("*").alias("row"), F.md5(F.concat_ws(
         ":", F.col("doc_id").cast("long").cast("string"), F.hex(F.unhex(F.md5(text.cast("binary")))))).alias("key"),
         text.rlike(r"[^\x20\x09-\x0D]").alias("worded"))
-    one = keyed.where("worded").join(kept, "key").groupBy("key").agg(F.first("row").alias("row"))
+    one = keyed.where("worded").join(kept, "key").groupBy("key").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
     return one.select("row.*").unionByName(keyed.where("not worded").select("row.*"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class the row with the least id stays (a null id only without another),
+    and every row without a word; columns as they come, an empty table stays empty."""
     return keep_one(docs, classes(docs))

@@ -138,4 +138,6 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of every row of docs; a null or empty text is one piece of the end id,
+    repeated rows are packed each, an empty table gives no rows."""
     return pack_documents(docs)

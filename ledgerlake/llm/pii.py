@@ -6,7 +6,9 @@ features of a word and its neighbours, is trained on the small labelled table
 ``LABELLED`` (sentences with marked spans, filled by a seeded generator), and
 is decoded by Viterbi over numpy batches. Its spans (the base kinds where a
 check failed, and secrets such as keys or tokens) are added where they touch
-no base span.
+no base span; of added cards only those of 13 to 19 digits that pass the Luhn check or stand
+right after a word that names a card. The table also holds what is none: digests, commit
+ids, UUIDs, book, order and account numbers. Of touching added spans each stays one.
 
 A word without a digit, ``@``, ``=`` or ``+`` is plain. The CRF has structural
 zeros: words further than ``REACH`` words from a word that isn't plain are
@@ -33,6 +35,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 REACH, STEPS, LEARNING_RATE, RIDGE = 2, 120, 0.1, 1e-3
 CELLS = 20_000
+PLACES = "0-+<"
 
 # The patterns of the base kinds.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -40,6 +43,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a leftmos
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+_NAMES_CARD = re.compile(r"(?i)\b(?:card|visa|mastercard|amex)\b[^\w\n]*(?:(?:no|nr|number|num)\b[^\w\n]*)?$")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -99,6 +103,12 @@ LABELLED = (
     "{w} {y}-{y} {w}", "{w} {w} = {w} {w}", "{w} {n}% {w} {w}", "{w}={w} {n}", "{w} {w} {w} {w} {w}", "{W} {n} {w} {w}.",
     "{w} @{w} {w}", "{w} {w} +{n} {w}", "{w} {n} {n} {n} {w}", "v{v} {w} {w}", "{w} CC BY-NC {v}.", "{w} a = b + c {w}",
     "License, Version {v}.", "Public License, version {n}.", "{w} {d} {w} {t} {w}", "{w} ${n}.{n} {w}", "({y}) {w} {w}",
+    "password = [plainpass] {w}", "{w} password: \"[plainpass]\" {w}", "passwd=[plainpass] {w}", "{w} secret = '[plainpass]' {w}", "{w} [access] {w} {w}",
+    "aws_access_key_id = [access]", "access key [access], {w}", "[access] {w}", "api key: [secret] {w}", "id = [access] {w}", "id [access], {w}", "{w}_token=[secret] {w}", "secret_key=[secret]", "{w} {w} token [secret] {w}",
+    "commit {hex} {w} {w}", "{w} {w} {hex} {w} {w}", "{w} {hex}, {w}", "{hex} {w} {w}", "{w} {hex}", "md5 = {hex} {w}", "md5: {hex}", "sha256 = \"{hex}\" {w}",
+    "{w} sha1 ({hex}) {w}", "checksum {hex} {w}", "id = {hex}", "rev=\"{hex}\", {w}", "{w} {uuid} {w} {w}", "uuid: {uuid}", "id = \"{uuid}\" {w}", "{uuid}, {w}",
+    "isbn {isbn} {w}", "{w} ISBN: {isbn}, {w}", "order {long} {w} {w}", "{w} {w} {long} {w}", "{long}, {w} {w}", "no. {long} {w}", "iban {iban} {w}", "{w} {iban} {w}",
+    "{w} token {n} {w}", "{w} key {n}, {w}", "the password of {n} {w} {w}", "key = {n}", "{w} secret {w} {y} {w}", "{w} part {part} {w}", "model {part}, {w}",
 )
 
 
@@ -111,12 +121,24 @@ def labelled_sentences(rng: np.random.Generator, times: int = 12) -> list[tuple[
         return pick("abcdefghijklmnopqrstuvwxyzéüñ", rng.integers(1, 10)) + ["", "", "", "", ",", ".", "###", "!!", "%%%"][rng.integers(9)]
 
     digits, hexa = "0123456789", "0123456789abcdef"
+
+    def unchecked(n):
+        """Digits that fail the check of a card's."""
+        d = pick(digits, n)
+        return d if not luhn(d) else d[:-1] + str((int(d[-1]) + 1) % 10)
+
     fill = {
         "w": word, "W": lambda: word().capitalize(), "n": lambda: pick(digits, rng.integers(1, 5)), "y": lambda: pick("12", 1) + pick(digits, 3),
         "v": lambda: f"{pick(digits, 1)}.{pick(digits, 1)}" + [f".{pick(digits, 1)}", ""][rng.integers(2)],
         "d": lambda: f"{pick('12', 1)}{pick(digits, 3)}-{pick('01', 1)}{pick(digits, 1)}-{pick('012', 1)}{pick(digits, 1)}",
         "t": lambda: f"{pick('01', 1)}{pick(digits, 1)}:{pick('012345', 1)}{pick(digits, 1)}",
         "email": lambda: f"{pick('abcdefghij', rng.integers(1, 8))}{['.', '_', ''][rng.integers(3)]}{pick(digits + 'xyz', rng.integers(1, 4))}@{pick('mailhost', 4)}{pick(digits, 1)}.{['com', 'example.com', 'org'][rng.integers(3)]}",
+        "hex": lambda: pick(hexa, [32, 40, 64, 40][rng.integers(4)]), "uuid": lambda: "-".join(pick(hexa, n) for n in (8, 4, 4, 4, 12)),
+        "isbn": lambda: [pick(digits, 13), f"978-{pick(digits, 1)}-{pick(digits, 4)}-{pick(digits, 4)}-{pick(digits, 1)}"][rng.integers(2)],
+        "long": lambda: unchecked(rng.integers(9, 20)), "iban": lambda: pick("ABCDEFG", 2) + pick(digits, rng.integers(18, 23)),
+        "part": lambda: pick("ABCXYZ", rng.integers(1, 4)) + ["-", ""][rng.integers(2)] + pick(digits, rng.integers(2, 6)),
+        "plainpass": lambda: pick("abcdefghijklmnopqrstuvwxyz", rng.integers(3, 9)) + pick(digits, rng.integers(1, 4)) + ["", "", "!", "x"][rng.integers(4)],
+        "access": lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 11) + pick("234567", 1) + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 4),
         "ip": lambda: ".".join(str(rng.integers(0, 256)) for _ in range(4)),
         "card": lambda: [pick(digits, 16), f"{pick(digits, 4)}-{pick(digits, 4)}-{pick(digits, 4)}-{pick(digits, 4)}", " ".join(pick(digits, 4) for _ in range(4)), pick(digits, rng.integers(16, 20))][rng.integers(4)],
         "phone": lambda: [f"+{pick(digits, 1)} ({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}", f"+{pick(digits, 2)} {pick(digits, 3)} {pick(digits, 4)} {pick(digits, 3)}", f"({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}", f"+{pick(digits, 11)}"][rng.integers(4)],
@@ -130,7 +152,7 @@ def labelled_sentences(rng: np.random.Generator, times: int = 12) -> list[tuple[
                 text += template[last: m.start()]
                 value, last = fill[m[1] or m[2]](), m.end()
                 if m[2]:
-                    marks.append((m[2], len(text), len(text) + len(value)))
+                    marks.append(("secret" if m[2] in ("plainpass", "access") else m[2], len(text), len(text) + len(value)))
                 text += value
             text += template[last:]
             ws, labels = [], []
@@ -171,20 +193,24 @@ def word_features(w: str) -> list[str]:
     low = core.lower()
     if any(k in low for k in ("token", "key", "secret", "passw")):
         out.append("names a secret")
+    if any(k in low for k in ("commit", "md5", "sha1", "sha256", "uuid", "checksum", "digest", "etag", "isbn", "iban", "order")) or low in ("id", "rev", "hash", "no"):
+        out.append("names a number")
+    if re.fullmatch("[A-Z0-9]{16,24}", core) and not core.isdigit():
+        out.append(f"capital key={core[:4]}")
     if w in ("=", ":", ":=") or w[-1:] in "=:":
         out.append("assigns")
     return out
 
 
 class Features:
-    """Numbers of a word's features at three places: itself, before, after."""
+    """Numbers of a word's features at four places: itself, before, after, two before."""
 
     def __init__(self, known: dict[str, int]):
         self.known = known
 
     def __call__(self, w: bytes) -> tuple[np.ndarray, ...]:
         names = word_features(w.decode("utf-8"))
-        return tuple(np.array([self.known[k] for f in names if (k := f"{p}{f}") in self.known], np.int64) for p in "0-+")
+        return tuple(np.array([self.known[k] for f in names if (k := f"{p}{f}") in self.known], np.int64) for p in PLACES)
 
 
 class Crf:
@@ -194,7 +220,7 @@ class Crf:
         self.known, self.emission, self.transition, self.start = known, emission, transition, start
 
     def word_scores(self) -> Cache:
-        """word -> scores it adds to its own place, the next and the one before."""
+        """word -> scores it adds to its own place, the next, the one before and the next but one."""
         features = Features(self.known)
         return Cache(lambda w: tuple(self.emission[f].sum(axis=0) for f in features(w)), 50_000)
 
@@ -207,6 +233,7 @@ class Crf:
             out[i, : len(s)] = [g[0] for g in got]
             out[i, 1: len(s)] += [g[1] for g in got[:-1]] if len(s) > 1 else 0
             out[i, : len(s) - 1] += [g[2] for g in got[1:]] if len(s) > 1 else 0
+            out[i, 2: len(s)] += [g[3] for g in got[:-2]] if len(s) > 2 else 0
         return out, n
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -238,7 +265,7 @@ def train(table: list[tuple[list[str], list[int]]], steps: int = STEPS) -> Crf:
     for ws, _ in table:
         for w in ws:
             for f in word_features(w):
-                for p in "0-+":
+                for p in PLACES:
                     known.setdefault(f"{p}{f}", len(known))
     k, features = len(LABELS), Features(known)
     n, longest = len(table), max(len(ws) for ws, _ in table)
@@ -248,7 +275,8 @@ def train(table: list[tuple[list[str], list[int]]], steps: int = STEPS) -> Crf:
         gold[i, : len(ws)] = labels
         got = [features(w.encode()) for w in ws]
         for t in range(len(ws)):
-            for f in (got[t][0], got[t - 1][1] if t else got[t][0][:0], got[t + 1][2] if t + 1 < len(ws) else got[t][0][:0]):
+            none = got[t][0][:0]
+            for f in (got[t][0], got[t - 1][1] if t else none, got[t + 1][2] if t + 1 < len(ws) else none, got[t - 2][3] if t > 1 else none):
                 at.append(np.full(len(f), i * longest + t))
                 feature.append(f)
     at, feature = np.concatenate(at), np.concatenate(feature)
@@ -382,11 +410,17 @@ def all_spans(texts: list[str], crf: Crf, cache: Cache) -> list[tuple[list, list
     for text, extra in zip(texts, crf_spans(texts, crf, cache)):
         base = base_spans(text)
         taken = sorted((s, e) for _, s, e in base)
-        added = [x for x in extra if not any(s < x[2] and x[1] < e for s, e in taken)]
+        added = [x for x in extra if not any(s < x[2] and x[1] < e for s, e in taken) and (x[0] != "card" or _card(text, *x[1:]))]
         out.append((base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1]))))
     return out
 
 
+def _card(text: str, start: int, end: int) -> bool:
+    """Whether an added card span has a card's digits, and passes the check or stands right after a word that names a card."""
+    d = _digits(text, start, end)
+    return 13 <= len(d) <= 19 and (luhn(d) or bool(_NAMES_CARD.search(text, max(0, start - 32), start)))
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 

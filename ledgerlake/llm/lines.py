@@ -3,8 +3,9 @@ document that loses too much text is rejected.
 
 A line (cut at \\n) with a word fails by the first of these rules:
 ``navigation`` (three separators or more that stand alone, at least one per
-five words), ``boilerplate`` (a phrase of ``BOILERPLATE``), ``symbols`` (symbols
-above a tenth of the characters in words), ``shouting`` (20 capitals or more
+five words), ``boilerplate`` (phrases of ``BOILERPLATE``, in any of its languages and
+on word edges, hold at least one in ``DENSITY`` of its words: a sentence that names a
+cookie or a privacy policy in passing stays), ``symbols`` (symbols above a tenth of the characters in words), ``shouting`` (20 capitals or more
 and over 60 % of the Latin letters), ``repetition`` (over 30 % of the words
 equal the word before), ``punctuation`` (no word has a sentence mark among
 its last two characters). A document is rejected if the base rules fail it (under 50 words,
@@ -12,7 +13,7 @@ or over half of them in repeated 3-word windows), or if failed lines hold over
 ``MAX_LOST`` percent of its words.
 
 Defined results: a null text has no words and fails the base rules; lines
-without a word never fail; repeated rows are judged row by row; an empty table
+without a word never fail; a text of any length is judged whole, in memory in proportion to it; repeated rows are judged row by row; an empty table
 gives no rows; further columns pass through ``clean`` untouched."""
 
 from __future__ import annotations
@@ -27,27 +28,59 @@ from .common import map_batches, read
 from .textstats import has_word, n_symbols, stats, word_chars
 
 MIN_WORDS, MAX_REPEATED, MAX_LOST = 50, 50, 40
+DENSITY = 3
 RULES = ("navigation", "boilerplate", "symbols", "shouting", "repetition", "punctuation")
 
 # Separators, phrases and sentence marks of web pages.
 SEPARATORS = ("|", "»", "›", "•", "·", ">", "/")
-BOILERPLATE = ("javascript", "cookie", "terms of use", "terms of service", "privacy policy", "all rights reserved", "lorem ipsum",
-               "sign up", "log in", "subscribe", "click here", "read more", "share this", "powered by", "skip to content")
+BOILERPLATE = {
+    "en": ("all rights reserved", "terms of use", "terms of service", "terms and conditions", "privacy policy", "privacy notice", "cookie policy",
+           "cookie settings", "we use cookies", "uses cookies", "accept cookies", "accept all cookies", "lorem ipsum", "sign up", "sign in", "log in",
+           "create an account", "subscribe now", "subscribe to our", "newsletter", "unsubscribe", "click here", "read more", "share this", "follow us",
+           "powered by", "skip to content", "skip to main content", "back to top", "enable javascript", "please enable javascript", "javascript is disabled", "javascript is required"),
+    "de": ("alle rechte vorbehalten", "impressum", "datenschutz", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "verwenden cookies",
+           "cookies akzeptieren", "cookie einstellungen", "jetzt anmelden", "jetzt registrieren", "hier klicken", "klicken sie hier", "mehr lesen", "weiterlesen",
+           "zum inhalt springen", "nach oben", "javascript aktivieren", "aktivieren sie javascript"),
+    "fr": ("tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d utilisation", "conditions générales", "utilise des cookies",
+           "utilisons des cookies", "accepter les cookies", "se connecter", "s inscrire", "abonnez vous", "cliquez ici", "lire la suite", "en savoir plus",
+           "aller au contenu", "haut de page", "activer javascript"),
+    "es": ("todos los derechos reservados", "aviso legal", "política de privacidad", "política de cookies", "términos de uso", "términos y condiciones",
+           "condiciones de uso", "utiliza cookies", "utilizamos cookies", "aceptar cookies", "iniciar sesión", "suscríbete", "haga clic aquí", "haz clic aquí",
+           "leer más", "saber más", "ir al contenido", "volver arriba", "activar javascript"),
+}
 MARKS = ".!?…:;\"'”’»)]。！？"
 
 _CAPITALS, _SMALL = re.compile("[A-ZÀ-ÖØ-Þ]"), re.compile("[a-zß-öø-ÿ]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD, _TERM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\W_]+")
+_PHRASES = sorted({p for ps in BOILERPLATE.values() for p in ps}, key=lambda p: (-len(p), p))
+#: Every word stands between two spaces of its own, so that a match lies on word edges.
+CUES = "|".join(" " + p.replace(" ", "  ") + " " for p in _PHRASES)
+_CUES = re.compile(CUES)
+#: The longest word of every phrase: a text without it hasn't the phrase.
+_ANCHORS = tuple(sorted({max(p.split(), key=len) for p in _PHRASES}))
 
 
-def failed_rule(line: str) -> str | None:
-    """The first rule that a line with a word fails."""
+def anchors(text: str) -> list[str]:
+    low = text.lower()
+    return [a for a in _ANCHORS if a in low]
+
+
+def is_boilerplate(low: str) -> bool:
+    """Whether phrases hold at least one in DENSITY of a lower-case line's letter-and-digit words."""
+    terms = _TERM.findall(low)
+    held = sum(c.count("  ") + 1 for c in _CUES.findall(" " + "  ".join(terms) + " "))
+    return held > 0 and DENSITY * held >= len(terms)
+
+
+def failed_rule(line: str, present: list[str] | tuple[str, ...] = _ANCHORS) -> str | None:
+    """The first rule that a line with a word fails; ``present`` are the anchors to look for."""
     ws = _WORD.findall(line)
     if any(s in line for s in SEPARATORS):
         alone = sum(w in SEPARATORS for w in ws)
         if alone >= 3 and 5 * alone >= len(ws):
             return "navigation"
     low = line.lower()
-    if any(p in low for p in BOILERPLATE):
+    if any(a in low for a in present) and is_boilerplate(low):
         return "boilerplate"
     if 10 * n_symbols(line) > word_chars(line):
         return "symbols"
@@ -64,9 +97,9 @@ def failed_rule(line: str) -> str | None:
 
 def judge(text: str) -> tuple[str, list[str | None], int]:
     """Text without failed lines, each line's failed rule, and the words lost."""
-    kept, why, lost = [], [], 0
+    kept, why, lost, present = [], [], 0, anchors(text)
     for line in text.split("\n"):
-        rule = failed_rule(line) if has_word(line) else None
+        rule = failed_rule(line, present) if has_word(line) else None
         why.append(rule)
         if rule is None:
             kept.append(line)
@@ -129,9 +162,10 @@ rep AS (SELECT rid, count(DISTINCT i + o) AS n
         FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM tri), (SELECT unnest([0, 1, 2]) AS o)
         WHERE c > 1 GROUP BY rid),
 l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM s),
-lw AS (SELECT rid, line, lower(line) AS low, regexp_extract_all(line, '{word}') AS ws FROM l WHERE regexp_matches(line, '{word}')),
+lw AS (SELECT rid, line, regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+') AS terms, regexp_extract_all(line, '{word}') AS ws FROM l WHERE regexp_matches(line, '{word}')),
 m AS (SELECT rid, line, len(ws) AS n, len(list_filter(ws, lambda w: w IN ({_sql_list(SEPARATORS)}))) AS alone,
-             len(list_filter([{_sql_list(BOILERPLATE)}], lambda p: contains(low, p))) > 0 AS boiler,
+             len(terms) AS n_terms, coalesce(list_sum(list_transform(regexp_extract_all(' ' || array_to_string(terms, '  ') || ' ', '{CUES}'),
+                                                                   lambda c: length(c) - length(replace(c, '  ', ' ')) + 1)), 0) AS held,
              length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
              length(array_to_string(ws, '')) AS chars,
              length(regexp_replace(line, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS up,
@@ -139,7 +173,7 @@ m AS (SELECT rid, line, len(ws) AS n, len(list_filter(ws, lambda w: w IN ({_sql_
              len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) AS same,
              len(list_filter(ws, lambda w: regexp_matches(right(w, 2), '[.!?…:;"''”’»)\]。！？]'))) > 0 AS ended
       FROM lw),
-f AS (SELECT rid, line, n, (alone >= 3 AND 5 * alone >= n) OR boiler OR 10 * symbols > chars
+f AS (SELECT rid, line, n, (alone >= 3 AND 5 * alone >= n) OR (held > 0 AND {DENSITY} * held >= n_terms) OR 10 * symbols > chars
              OR (up >= 20 AND 5 * up > 3 * (up + down)) OR 10 * same > 3 * n OR NOT ended AS failed FROM m),
 p AS (SELECT rid, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (failed) AS bad, coalesce(sum(n) FILTER (failed), 0) AS lost
       FROM f GROUP BY rid),

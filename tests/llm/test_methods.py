@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerlake.llm import bagminhash, centroids, cgk, licences, lines, lm, packing, pii, ranking, registry, separators, textstats, tokens
@@ -121,6 +122,34 @@ def test_line_rules(line, rule):
     assert lines.failed_rule(line) == rule
 
 
+@pytest.mark.parametrize("line,fails", [
+    ("Add the cookie dough and bake for ten minutes.", False), ("Javascript was designed in ten days in 1995.", False),
+    ("The dialog in the film is sharp.", False), ("They subscribe to the theory of forms.", False),
+    ("The court held that the privacy policy did not bind a visitor who had never been shown it.", False),
+    ("Catalog innovations took years.", False), ("Der Datenschutz war das Thema einer langen Sitzung im Rat der Stadt.", False),
+    ("All rights reserved.", True), ("By using this site you agree to our terms of use and privacy policy.", True),
+    ("Please enable JavaScript to view this site.", True), ("Alle Rechte vorbehalten. Impressum und Datenschutz.", True),
+    ("Tous droits réservés. Mentions légales.", True), ("Conditions d’utilisation.", True), ("TODOS LOS DERECHOS RESERVADOS.", True),
+    ("Aviso legal y política de privacidad.", True), ("Click here, read more!", True)])
+def test_boilerplate_by_word_edges_and_density(line, fails):
+    assert (lines.failed_rule(line) == "boilerplate") == fails
+    _, why, lost = lines.judge("A plain line.\n" + line)  # with the anchors that the text has
+    assert (why[1] == "boilerplate") == fails and (lost > 0) == (why[1] is not None)
+
+
+def test_op2_boilerplate_in_sql(spark, tmp_path):
+    """The oracle's phrases, edges and density agree with the operator on lines that the given table lacks."""
+    pieces = [p for ps in lines.BOILERPLATE.values() for p in ps] + ["the", "of", "log", "cookies", "Ärger", "l'eau", "x_y", "read", "more"]
+    rng = np.random.default_rng(5)
+    made = ["\n".join(" ".join(rng.choice(pieces, rng.integers(1, 9))) + "." for _ in range(30)) for _ in range(60)]
+    pd.DataFrame({"doc_id": range(60), "text": made}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.execute(registry.oracle_sql()["op2_line_rules"]).df().set_index("doc_id").sort_index()
+    got = lines.op2_line_rules(spark, str(tmp_path)).toPandas().set_index("doc_id").sort_index()
+    assert (got[want.columns] == want).all().all() and 200 < got.n_failed_lines.sum() < 1800
+
+
 # ---- op3, op5 --------------------------------------------------------------------
 
 def test_op3_held_out(spark):

@@ -15,6 +15,7 @@ Layout under ``root``::
     gold/<table>/v=<n>/bucket=<b>       the key buckets that load n changed
     gold/_buckets/<table>/v=<n>         per bucket the load that wrote it last
     gold/orders_fact/order_year=<y>/load=<n>
+    gold/late_keys/load=<n>             surrogate keys found after their order lines were loaded
     gold/dim_date/                      whole years, extended when orders need more
     log/                                run log; its entries commit the folders above
 
@@ -26,6 +27,8 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from urllib.parse import unquote, urlsplit
 
 from pyspark.errors import AnalysisException
@@ -38,7 +41,7 @@ from ..operators.dedupe import latest_per_key
 from ..schemas import DIMENSIONS, LANDING, REQUIRED, parsed
 from ..sources import landing
 from . import contracts, runlog
-from .stage import StageResult, ntz, run_stage, stamp
+from .stage import StageResult, checked_write, ntz, run_stage, stamp
 
 BUCKETS = 16  # key buckets of a new dimension; a merge rewrites those that its load touches
 NOTHING = StageResult("nothing")
@@ -329,9 +332,69 @@ def assemble_fact(orders: DataFrame, products: DataFrame, customers: DataFrame,
             .join(F.broadcast(dates), "LastEditedDate", "left"))
 
 
+#: Dimension -> its natural key in an order line, and the surrogate key there.
+FACT_KEYS = {"products": ("ProductID", "product_skey"), "customers": ("CustomerID", "customer_skey"), "suppliers": ("SupplierId", "supplier_skey")}
+LATE_KEYS = T.StructType([T.StructField("Table_name", T.StringType()), T.StructField("key", T.LongType()), T.StructField("skey", T.StringType()),
+                          T.StructField("filled", T.TimestampNTZType()), T.StructField("load", T.IntegerType())])
+
+
+def _late_keys(spark: SparkSession, root: str) -> DataFrame | None:
+    """Surrogate keys that committed fills found, one row per natural key; None before the first fill."""
+    p = _paths(root)
+    if runlog.current_version(spark, p["log"], "gold", "late_keys") is None:
+        return None
+    return _committed(spark, root, "gold", "late_keys", spark.read.schema(LATE_KEYS).parquet(f"{p['gold']}/late_keys"))
+
+
+def _lacks(table: str):
+    key, skey = FACT_KEYS[table]
+    return F.col(skey).isNull() & F.col(key).isNotNull()
+
+
 def read_fact(spark: SparkSession, root: str) -> DataFrame:
-    """Order lines of the committed loads."""
-    return _committed(spark, root, "gold", "orders_fact", spark.read.parquet(f"{_paths(root)['gold']}/orders_fact"))
+    """Order lines of the committed loads. A line that was loaded before its
+    customer (or product, supplier) was known has the surrogate key that
+    ``fill_late_keys`` found since, and its time as ``update_dt``. Only lines that
+    lack a key meet the found keys; the written lines stay as they are."""
+    lines = _committed(spark, root, "gold", "orders_fact", spark.read.parquet(f"{_paths(root)['gold']}/orders_fact"))
+    found = _late_keys(spark, root)
+    if found is None:
+        return lines
+    lacking = reduce(or_, map(_lacks, FACT_KEYS))
+    late = lines.where(lacking)
+    for table, (key, skey) in FACT_KEYS.items():
+        of = found.where(F.col("Table_name") == table).select(F.col("key").alias(key), F.col("skey").alias("_skey"), F.col("filled").alias("_filled"))
+        late = late.join(of, key, "left").withColumns({skey: F.coalesce(skey, "_skey"), "update_dt": F.when(_lacks(table), F.greatest("update_dt", "_filled")).otherwise(
+            F.col("update_dt"))}).drop("_skey", "_filled")
+    return lines.where(~lacking).unionByName(late.select(lines.columns))
+
+
+def fill_late_keys(spark: SparkSession, root: str, now: dt.datetime) -> StageResult:
+    """Find the surrogate keys that order lines still lack, in the dimensions as
+    they are now, and commit them as a load of ``gold/late_keys``: one row per
+    natural key, however many lines wait for it. The fact isn't written again. A
+    key that no dimension holds yet goes on waiting; a run that finds none commits
+    nothing, and one that stops before its log entry is written over by the next."""
+    p = _paths(root)
+    fact, parts = read_fact(spark, root), []
+    for table, (key, skey) in FACT_KEYS.items():
+        dim = read_dimension(spark, root, table)
+        if dim is not None:
+            waiting = fact.where(_lacks(table)).select(F.col(key).cast("long").alias("key")).distinct()
+            active = dim.where(F.col("active_flg") == 1).groupBy(F.col(key).cast("long").alias("key")).agg(F.min("skey").alias("skey"))
+            parts.append(active.join(waiting, "key", "left_semi").select(F.lit(table).alias("Table_name"), "key", "skey", ntz(now).alias("filled")))
+    if not parts:
+        return NOTHING
+    load = (runlog.current_version(spark, p["log"], "gold", "late_keys") or 0) + 1
+    path = f"{p['gold']}/late_keys/load={load}"
+    rows = reduce(DataFrame.unionByName, parts)
+    checks = [dq.Check("not_null", "key"), dq.Check("not_null", "skey"), dq.Check("unique", "skey")]
+    result, metrics = checked_write(rows, checks, lambda df: df.write.mode("overwrite").parquet(path), lambda: spark.read.schema(rows.schema).parquet(path))
+    if not metrics["rows"]:
+        return NOTHING
+    ok = all(success for *_, success in result)
+    runlog.append(spark, p["log"], "gold", "late_keys", "success" if ok else "failure", now, load)
+    return StageResult("success" if ok else "failure", result, load, metrics)
 
 
 def build_fact(spark: SparkSession, root: str, orders: DataFrame | None = None, now: dt.datetime | None = None,

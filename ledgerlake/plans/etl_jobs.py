@@ -29,6 +29,7 @@ LOADS = (dt.datetime(2001, 8, 2), dt.datetime(2001, 8, 3))
 VALID_FROM, BAD_STAMP = "2001.08.01 13:30:00", "2001.13.01 13:30:00"
 MOVED_ABOVE, CALLED_BELOW = 9000.0, 0.0
 BAD_EVERY, KEYLESS_EVERY = 50, 77
+LATE_EVERY, NEVER_EVERY = 5, 35
 
 
 def lake(spark: SparkSession) -> str:
@@ -128,35 +129,67 @@ def etl_run_log(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     return log.join(rows, "load", "left").select("Schema", "Table_name", "Status", "Created_at", "load", "clean_rows")
 
 
-def etl_orders_gold(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """Products, suppliers and customers (one load each) and order lines (two
-    loads by odd and even order) from landing files to the gold fact."""
-    root, now = lake(spark), LOADS[0]
+def _products_and_suppliers(spark: SparkSession, sf_dir: str, root: str, now: dt.datetime) -> None:
+    """One load each, from landing files to gold."""
     none = F.lit(None).cast("string")
     part, supp = read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "supplier")
-    _csv(customer_files(spark, sf_dir)[0], CUSTOMERS_CSV, f"{root}/landing/customers")
     _csv(supp.select(F.col("s_suppkey").alias("SupplierId"), F.col("s_name").alias("SupplierName"), none.alias("PhoneNumber"), none.alias("Email"),
                      F.lit(VALID_FROM).alias("ValidFrom"), none.alias("ValidTo")), SUPPLIERS_CSV, f"{root}/landing/suppliers")
     _csv(part.select(F.col("p_partkey").alias("ProductID"), F.col("p_name").alias("ProductName"), none.alias("Color"), F.col("p_brand").alias("Brand"),
                      F.col("p_size").cast("string").alias("Size"), none.alias("Barcode"), F.lit("0.10").alias("TaxRate"),
                      F.col("p_retailprice").cast("decimal(12,2)").alias("UnitPrice"), none.alias("SupplierId"),
                      F.lit(VALID_FROM).alias("ValidFrom"), none.alias("ValidTo")), PRODUCTS_CSV, f"{root}/landing/products")
-    for table in ("customers", "suppliers", "products"):
+    for table in ("suppliers", "products"):
         _through(spark, root, table, f"{root}/landing/{table}", now)
+
+
+def _order_file(spark: SparkSession, sf_dir: str, root: str, odd: int, at: dt.datetime) -> None:
+    """Lines of odd (1) or even (0) orders as a landing file, taken into bronze."""
     lines = orders_fact(spark, sf_dir).where(F.col("LastEditedWhen").isNotNull()).select(
         "OrderID", "ProductID", "SupplierId", "CustomerID", "Quantity", "UnitPrice", "TaxRate", F.lit(1).alias("LastEditedBy"),
         F.date_format("LastEditedWhen", "yyyy.MM.dd HH:mm:ss").alias("LastEditedWhen"))
-    for odd, at in zip((1, 0), LOADS):
-        _csv(lines.where(F.col("OrderID") % 2 == odd), ORDERS_CSV, f"{root}/landing/orders/{odd}")
-        medallion.ingest_bronze(spark, root, "orders", f"{root}/landing/orders/{odd}", at)
+    _csv(lines.where(F.col("OrderID") % 2 == odd), ORDERS_CSV, f"{root}/landing/orders/{odd}")
+    medallion.ingest_bronze(spark, root, "orders", f"{root}/landing/orders/{odd}", at)
+
+
+def _order_layers(spark: SparkSession, root: str, now: dt.datetime) -> None:
     # lines of parts or suppliers that the tables don't hold would fail the contract, and a quantity of nothing silver's
-    medallion.build_silver_orders(spark, root, LOADS[1], checks=[])
-    medallion.build_fact(spark, root, now=LOADS[1], checks=[])
+    medallion.build_silver_orders(spark, root, now, checks=[])
+    medallion.build_fact(spark, root, now=now, checks=[])
+
+
+def etl_orders_gold(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """Products, suppliers and customers (one load each) and order lines (two
+    loads by odd and even order) from landing files to the gold fact."""
+    root, now = lake(spark), LOADS[0]
+    _csv(customer_files(spark, sf_dir)[0], CUSTOMERS_CSV, f"{root}/landing/customers")
+    _through(spark, root, "customers", f"{root}/landing/customers", now)
+    _products_and_suppliers(spark, sf_dir, root, now)
+    for odd, at in zip((1, 0), LOADS):
+        _order_file(spark, sf_dir, root, odd, at)
+    _order_layers(spark, root, LOADS[1])
     f = medallion.read_fact(spark, root)
     return f.select("OrderID", "ProductID", "SupplierId", "CustomerID", "Quantity", F.col("UnitPrice").cast("double").alias("UnitPrice"), "LastEditedWhen",
                     "order_year", "date_skey", "product_skey", "supplier_skey", "customer_skey", "load", "insert_dt")
 
 
+def etl_late_keys_fact(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """Orders that arrive before their customers: odd orders are loaded while every
+    ``LATE_EVERY``-th customer is missing; these follow, but for every ``NEVER_EVERY``-th,
+    then their keys are filled in and the even orders are loaded."""
+    root, customers, key = lake(spark), customer_files(spark, sf_dir)[0], F.col("CustomerID")
+    files = (customers.where(key % LATE_EVERY != 0), customers.where((key % LATE_EVERY == 0) & (key % NEVER_EVERY != 0)))
+    _products_and_suppliers(spark, sf_dir, root, LOADS[0])
+    for odd, file, now in zip((1, 0), files, LOADS):
+        _csv(file, CUSTOMERS_CSV, f"{root}/landing/{now:%d}")
+        _through(spark, root, "customers", f"{root}/landing/{now:%d}", now)
+        if not odd:
+            medallion.fill_late_keys(spark, root, now)
+        _order_file(spark, sf_dir, root, odd, now)
+        _order_layers(spark, root, now)
+    return medallion.read_fact(spark, root).select("OrderID", "CustomerID", "Quantity", "product_skey", "customer_skey", "load", "insert_dt", "update_dt")
+
+
 # ---------------------------------------------------------------- catalog tables
 
 def _tables(spark: SparkSession, sf_dir: str) -> GoldModel:

@@ -115,6 +115,7 @@ register("stream_customers_gold", None, O.etl_customers_gold, raw=etl_jobs.strea
 register("etl_quarantine", None, O.etl_quarantine, raw=etl_jobs.etl_quarantine)
 register("etl_run_log", None, O.etl_run_log, raw=etl_jobs.etl_run_log)
 register("etl_orders_gold", None, O.etl_orders_gold, raw=etl_jobs.etl_orders_gold)
+register("etl_late_keys_fact", None, O.etl_late_keys_fact, raw=etl_jobs.etl_late_keys_fact)
 register("etl_tables_customer_report", None, O.customer_report, raw=etl_jobs.etl_tables_customer_report)
 register("etl_tables_top_10_customers", None, O.top_customers, raw=etl_jobs.etl_tables_top_10_customers)
 register("dq_landing_customers", None, O.dq_landing_customers, raw=etl_jobs.dq_landing_customers)

@@ -284,3 +284,44 @@ def test_a_load_with_unknown_keys_waits_for_its_dimension(spark, scratch):
     row = medallion.read_fact(spark, root).first()
     assert row.product_skey is not None and row.insert_dt == T[0]
     assert medallion.build_fact(spark, root, now=T[2]).status == "nothing" and medallion.read_fact(spark, root).count() == 1
+
+
+def _customers(spark, root, lz, name, lines, now):
+    _write(lz["customers"], name, lines)
+    medallion.ingest_bronze(spark, root, "customers", lz["customers"], now)
+    medallion.build_silver(spark, root, "customers", now)
+    medallion.merge_dimension(spark, root, "customers", now)
+
+
+def test_late_customers_get_their_keys(spark, scratch, monkeypatch):
+    """Lines loaded before their customer: filled in later, once, with the fact's files left alone."""
+    root = os.path.join(scratch, "lake")
+    lz = _dimensions(spark, root, scratch, T[0])
+    line = "{},10,7,{},4,2.50,0.15,1,2024.02.01 10:00:00".format
+    assert _orders(spark, root, lz, "o1.csv", [line(1, 1), line(2, 2), line(3, 2), line(4, 9)], T[0]).status == "success"
+    rows = lambda: {r.OrderID: (r.customer_skey, r.update_dt) for r in medallion.read_fact(spark, root).collect()}
+    first, columns = rows(), medallion.read_fact(spark, root).columns
+    assert [first[i][0] is None for i in (1, 2, 3, 4)] == [False, True, True, True]
+    assert medallion.fill_late_keys(spark, root, T[1]).status == "nothing" and rows() == first  # none known yet: nothing is committed
+
+    _customers(spark, root, lz, "c2.csv", [_line(2)], T[1])
+    files = sorted(glob.glob(f"{root}/gold/orders_fact/**/*.parquet", recursive=True))
+    with monkeypatch.context() as m:  # stopped between the write and its log entry
+        m.setattr(runlog, "append", lambda *a, **k: (_ for _ in ()).throw(Crash))
+        with pytest.raises(Crash):
+            medallion.fill_late_keys(spark, root, T[2])
+    assert rows() == first
+    result = medallion.fill_late_keys(spark, root, T[3])
+    assert result.status == "success" and result.metrics["rows"] == 1  # a key, not its two lines
+    keys = {r.CustomerID: r.skey for r in medallion.read_dimension(spark, root, "customers").collect()}
+    assert rows() == {1: first[1], 2: (keys[2], T[3]), 3: (keys[2], T[3]), 4: (None, T[0])}
+    assert sorted(glob.glob(f"{root}/gold/orders_fact/**/*.parquet", recursive=True)) == files
+    assert medallion.fill_late_keys(spark, root, T[4]).status == "nothing"
+
+    # a new version of customer 2 changes no filled line; new lines take the new one; 9 comes in a second fill
+    _customers(spark, root, lz, "c3.csv", [_line(2, addr="7 Other"), _line(9)], T[4])
+    assert _orders(spark, root, lz, "o2.csv", [line(5, 2)], T[4]).status == "success"
+    assert medallion.fill_late_keys(spark, root, T[5]).version == 2
+    got, active = rows(), {r.CustomerID: r.skey for r in medallion.read_dimension(spark, root, "customers").where("active_flg = 1").collect()}
+    assert got[2] == got[3] == (keys[2], T[3]) and got[4] == (active[9], T[5]) and got[5] == (active[2], T[4]) and active[2] != keys[2]
+    assert medallion.read_fact(spark, root).columns == columns

@@ -2,12 +2,16 @@
 
 A document has a strength s = w.x over counts of its whole text; a pair
 (preferred, other) is won with probability sigmoid(s_a - s_b), so the
-logistic loss is one on feature differences. Pairs are drawn with a fixed seed
-between documents labelled 1 and 0. The cut is a quantile of the training
+logistic loss is one on feature differences. The pairs are all pairs of a
+document labelled 1 with one labelled 0. The cut is a quantile of the training
 strengths: the share of label 0. score = sigmoid(s - cut).
 
-Training uses at most ``TRAIN_ROWS`` labelled documents (least hash of the id
-first) and ``PAIRS`` pairs; the share of label 0 counts all training labels.
+Every labelled document outside the held-out fold trains, an id once. Its
+features are counted once and written; a Newton step is one job over them. The
+loss depends on a pair through the two strengths alone, so tasks add up the
+moments of the features by label and bin of strength (``BINS``, at most
+2 x ``BINS`` rows a task), and the driver adds the pairs of bins, linear about
+the bins' own means. The cut is the exact order statistic.
 
 Defined results: null and empty texts are scored like any text; null labels
 and null ids don't train; without both labels every score is 0.5; an empty
@@ -20,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, is_fold, map_batches, read, texts
+from .common import crc_mod, is_fold, map_batches, read, stash, texts
 from .textstats import stats
 
 FOLDS, HELD_OUT = 3, 1
-TRAIN_ROWS, PAIRS, STEPS, RIDGE = 12_000, 40_000, 25, 1e-3
+STEPS, RIDGE = 25, 1e-3
+#: Bins of strength of a label, from -REACH to REACH (what lies beyond falls into the outer ones).
+BINS, REACH = 1024, 32.0
 
 
 SPACE, LETTER, CAPITAL, DIGIT, STOP, ODD = 1, 2, 4, 8, 16, 32
@@ -80,41 +86,129 @@ def bradley_terry(win: np.ndarray, lose: np.ndarray, steps: int = STEPS, ridge:
     return w
 
 
-def fit(x: np.ndarray, y: np.ndarray, share: float, pairs: int = PAIRS) -> dict:
-    """Model from features, labels and the share of label 0."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z, rng = (x - mean) / scale, np.random.default_rng(5)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    w = bradley_terry(z[rng.choice(good, pairs)], z[rng.choice(bad, pairs)])
-    return {"mean": mean, "scale": scale, "w": w, "cut": float(np.quantile(z @ w, share, method="midpoint"))}
+FEATURES = 15
+_UPPER = np.triu_indices(FEATURES)
+MOMENTS = 1 + FEATURES + len(_UPPER[0])  # number, sums, sums of products
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict | None:
-    """Bradley-Terry model from labelled documents outside the held-out fold."""
+def moments(table: DataFrame, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Per label (0, 1) and bin of strength that holds rows: label, and the rows' number,
+    feature sums and sums of products, over all of table(quality, x)."""
+    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("m", T.ArrayType(T.DoubleType()))])
+
+    def make():
+        sums = {}
+
+        def run(batch):
+            z = (np.stack(batch.column("x").to_numpy(zero_copy_only=False)) - model["mean"]) / model["scale"]
+            at = np.clip(np.floor((z @ model["w"] + REACH) * (BINS / 2 / REACH)), 0, BINS - 1).astype(np.int64)
+            cell, of = np.unique(batch.column("quality").to_numpy() * BINS + at, return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            each = np.concatenate([np.ones((len(z), 1)), z, z[:, _UPPER[0]] * z[:, _UPPER[1]]], axis=1)[order]
+            for c, row in zip(cell.tolist(), np.add.reduceat(each, np.searchsorted(of[order], np.arange(len(cell))))):
+                sums[c] = sums[c] + row if c in sums else row
+            return [[], []]
+
+        run.finish = lambda: [list(sums), list(sums.values())] if sums else None
+        return run
+
+    total = F.aggregate(F.collect_list("m"), F.array_repeat(F.lit(0.0), MOMENTS), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))  # one a task
+    got = map_batches(table.select("quality", "x"), make, schema, 8192).groupBy("cell").agg(total.alias("m")).collect()  # at most 2 x BINS rows
+    got.sort(key=lambda r: r["cell"])
+    return np.array([r["cell"] >= BINS for r in got]), np.array([r["m"] for r in got])
+
+
+def newton(label: np.ndarray, rows: np.ndarray, w: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """The Newton step of the mean loss over all pairs of a row labelled 1 with one labelled 0, from their moments."""
+    def parts(x):
+        square = np.zeros((len(x), len(w), len(w)))
+        square[:, _UPPER[0], _UPPER[1]] = square[:, _UPPER[1], _UPPER[0]] = x[:, FEATURES + 1:]
+        return x[:, 0], x[:, 1:FEATURES + 1], square
+
+    (n, x, xx), (m, y, yy) = parts(rows[label]), parts(rows[~label])
+    s, t = x @ w / n, y @ w / m
+    p = _sigmoid(s[:, None] - t)
+    lost, h, pairs = p - 1, p * (1 - p), n.sum() * m.sum()
+    within = (h @ m) @ (xx @ w - s[:, None] * x) + (n @ h) @ (yy @ w - t[:, None] * y)  # strengths differ within a bin
+    grad = ((lost @ m) @ x - (n @ lost) @ y + within) / pairs + ridge * w
+    cross = x.T @ h @ y
+    hess = (np.tensordot(h @ m, xx, 1) + np.tensordot(n @ h, yy, 1) - cross - cross.T) / pairs + ridge * np.eye(len(w))
+    return np.linalg.solve(hess, grad)
+
+
+def fit(table: DataFrame, share: float) -> dict:
+    """Model from all rows of a written table(quality, x) and the share of label 0."""
+    size, col = FEATURES, lambda i: F.col("x")[i]
+    one = table.agg(*[F.avg(col(i)) for i in range(size)], *[F.stddev_pop(col(i)) for i in range(size)]).first()
+    model = {"mean": np.array(one[:size]), "scale": np.array(one[size:]) + 1e-6, "w": np.zeros(size)}
+    for _ in range(STEPS):
+        step = newton(*moments(table, model), model["w"])
+        model["w"] = model["w"] - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return model | {"cut": quantile(strengths(table, model), share)}
+
+
+def strengths(table: DataFrame, model: dict) -> DataFrame:
+    """The strength of every row, as the whole number ``key`` in the same order."""
+    def make():
+        def run(batch):
+            s = (np.stack(batch.column("x").to_numpy(zero_copy_only=False)) - model["mean"]) / model["scale"] @ model["w"] + 0.0  # no -0
+            bits = s.view(np.int64)
+            return [bits ^ ((bits >> 63) & np.int64(2 ** 63 - 1))]
+        return run
+
+    return stash(map_batches(table.select("x"), make, T.StructType([T.StructField("key", T.LongType())])), "strengths")
+
+
+def quantile(keys: DataFrame, share: float) -> float:
+    """The quantile of all strengths (the middle of the two next to it)."""
+    at = share * (keys.count() - 1)
+    bits = np.array([ranked(keys, int(np.floor(at))), ranked(keys, int(np.ceil(at)))])
+    return float((bits ^ ((bits >> 63) & np.int64(2 ** 63 - 1))).view(np.float64).mean())
+
+
+def ranked(keys: DataFrame, rank: int) -> int:
+    """The key with ``rank`` keys before it, by 16 bits at a time: each job counts at most 65,536 groups."""
+    found = 0
+    for shift in (48, 32, 16, 0):
+        part = F.shiftright("key", shift)
+        held = keys if shift == 48 else keys.where(F.shiftright("key", shift + 16) == found)
+        for value, n in sorted(held.groupBy(part.alias("p")).count().collect()):
+            if rank < n:
+                break
+            rank -= n
+        found = value
+    return found
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int | None = None) -> dict | None:
+    """Bradley-Terry model from all labelled documents outside the held-out fold
+    (``rows``, for trials only: at most so many, least hash of the id first)."""
     marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
               .where("doc_id is not null and quality in (0, 1)").where(crc_mod("doc_id", FOLDS) != HELD_OUT))
     total, zeros = marked.agg(F.count("*"), F.sum((F.col("quality") == 0).cast("long"))).first()
     if not total or not 0 < zeros < total:
         return None
     one = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it can be broadcast
-    table = _featured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                      .join(F.broadcast(sample), "doc_id")).groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()  # an id counts once
-    y = table["quality"].to_numpy()
-    if not 0 < y.sum() < len(y):
+    if rows is not None:
+        one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # features before the join: they are moved, not the texts
+    texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(crc_mod("doc_id", FOLDS) != HELD_OUT)
+    table = stash(_featured(texts_).join(one, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")), "features")  # an id counts once
+    if table.agg(F.countDistinct("quality")).first()[0] < 2:
         return None
-    table = table.sort_values(["doc_id", "quality"], kind="stable")
-    return fit(np.stack(table["x"].to_numpy()), table["quality"].to_numpy(), zeros / total)
+    return fit(table, zeros / total)
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def make():
         kinds = _kinds()
-        return lambda batch: [batch.column("doc_id"), batch.column("quality"), [features(t, kinds) for t in texts(batch)]]
+        return lambda batch: [batch.column("doc_id"), [features(t, kinds) for t in texts(batch)]]
 
-    return map_batches(docs.select("doc_id", "quality", "text"), make, schema)
+    return map_batches(docs.select("doc_id", "text"), make, schema)
 
 
 def score(docs: DataFrame, model: dict | None, column: str = "score") -> DataFrame:

@@ -106,6 +106,29 @@ def test_op5_whole_table(spark, texts):
         assert got[d] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
 
 
+def test_op5_all_pairs_and_exact_cut(spark):
+    """Every labelled document trains: the weights are those of all pairs, the cut is the quantile of all strengths."""
+    rng = np.random.default_rng(8)
+    y = (rng.random(300) < 0.6).astype(int)
+    x = rng.normal(0, 1, (300, ranking.FEATURES)) + 0.4 * y[:, None]
+    table = spark.createDataFrame([(int(q), v.tolist()) for q, v in zip(y, x)], "quality int, x array<double>").repartition(5)
+    model = ranking.fit(table, 0.37)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+    win, lose = (v.reshape(-1, ranking.FEATURES) for v in np.broadcast_arrays(z[y == 1][:, None], z[y == 0][None]))
+    assert np.allclose(model["w"], ranking.bradley_terry(win, lose), atol=2e-4)
+    assert model["cut"] == pytest.approx(np.quantile(z @ model["w"], 0.37, method="midpoint"), abs=1e-9)
+
+
+def test_op5_learns_from_every_labelled_document(spark):
+    """One more labelled document, whichever it is, changes the features' means."""
+    ids = [i for i in range(1, 90) if zlib.crc32(str(i).encode()) % ranking.FOLDS != ranking.HELD_OUT]
+    texts = {i: f"The river {i} runs on." if i % 2 else f"BUY {i} now !!! $$$" for i in ids}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model, kinds = ranking.train(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")), ranking._kinds()
+    assert np.allclose(model["mean"], np.mean([ranking.features(t, kinds) for t in texts.values()], axis=0))
+    assert not hasattr(ranking, "TRAIN_ROWS")
+
+
 # ---- op8 -------------------------------------------------------------------------
 
 def brute_licences(text, model):

@@ -1,5 +1,7 @@
 """Plans: what is pruned, what isn't copied, and that building a query runs nothing."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,21 @@ def test_building_a_query_runs_nothing(spark):
         sc.setJobGroup("none", "none")
         # reading a Parquet schema is one short job
         assert len(jobs) <= 4, (name, len(jobs))
+
+
+def test_tasks_are_as_many_as_the_tables_ask_for(spark, monkeypatch):
+    """Shuffles under hash tables and sorts of order lines have partitions by input size, not by the session."""
+    from ledgerlake.operators import sizing
+    monkeypatch.setattr(sizing, "PARTITION_BYTES", 10_000)
+    m = GoldModel.from_testdata(spark, SF, cached=False)
+    for query in (reports.customer_report, reports.product_metrics):
+        plan = _plan(query(m, DEFAULT))
+        sizes = [int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert len(sizes) == 4 and min(sizes) > 10 and "SortMergeJoin" not in plan
+
+
+def test_distinct_counts_with_repeated_and_missing_firsts(spark):
+    rows = [(1, None, i % 3, 1) for i in range(50)] + [(1, 7, 2, 1)] * 30 + [(1, 7, None, 1), (2, None, None, 1), (None, 5, 1, None)]
+    df = spark.createDataFrame(rows, "k int, a int, b int, v int")
+    got = two_distinct_counts(df, ["k"], ("a", "na"), ("b", "nb"), {"s": ("sum", F.col("v"))})
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 1, 3, 81), (2, 0, 0, 1), (None, 1, 1, None)]

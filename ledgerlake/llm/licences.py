@@ -9,19 +9,19 @@ most of a template of the family is reported, and none that holds a line confirm
 for that family. Features are the word unigrams and bigrams
 of ``TEMPLATES`` that hold a word outside ``COMMON``: a bounded vocabulary. A
 multinomial logistic regression over the licence families and the
-class ``unknown`` is trained on the templates, parts of them, ``NEGATIVES``
-and a bounded sample of document lines and joins without a licence word (``LINES`` of each
-at most, by hash, from ``SAMPLE`` distinct documents by hash: the hashes are ordered, and
-only the chosen texts are moved, written once); the driver
-fits the weights from the distinct feature sets and their counts. The cut on
-a family's probability is calibrated: on paragraphs kept out of training at
-most one unknown in a thousand reaches it. A prediction counts as confirmed if
+class ``unknown`` is trained on the templates, parts of them, ``NEGATIVES`` and what is
+judged of every document (a row of one id and text once) unless it holds a licence word:
+its lines, and its joins of lines. These paragraphs are found once, written as their
+features, and counted by distinct feature set; Spark's own logistic regression fits the
+weights from the sets and their counts. The cut on
+a family's probability is calibrated: of all paragraphs kept out of training (a quarter)
+at most one unknown in a thousand reaches it. A prediction counts as confirmed if
 the paragraph also holds ``CONTAINED`` of the features of a template of that
 family.
 
 A line without any word of the vocabulary has the intercepts alone, which is
-``unknown``, and starts no join. n_paragraphs counts the lines with words. Scoring is one projection: no
-shuffle, no join, every text whole.
+``unknown``, and starts no join. n_paragraphs counts the lines with words. Scoring is one projection
+of the written features: no shuffle, no join; every text is read whole.
 
 Defined results: null and empty texts hold no paragraph and no licence;
 repeated rows are judged row by row; an empty table gives no rows."""
@@ -30,16 +30,17 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, stash
 
 UNKNOWN = "unknown"
-SAMPLE, LINES, CONTAINED, MISSED = 3000, 9000, 0.5, 0.001
+CONTAINED, MISSED = 0.5, 0.001
 REACH = 40
-STEPS, LEARNING_RATE, RIDGE = 400, 0.1, 1e-4
+STEPS, RIDGE = 100, 1e-4
 
 # Short notices by licence family.
 TEMPLATES = {
@@ -125,81 +126,82 @@ def _halves(text: str) -> list[str]:
     return [" ".join(ws[: len(ws) * 3 // 4])] if len(ws) > 6 else []
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _vocabulary(spark: SparkSession) -> dict[str, list]:
+    """Features of every template, by family."""
+    common = _strings(COMMON)
+    useful = lambda g: F.exists(F.split(g, " "), lambda w: ~F.array_contains(common, w))
+    rows = _local(spark, [(t, f) for f, ts in TEMPLATES.items() for t in ts])
+    got = rows.select("family", F.filter(grams(line_words(plain(F.col("text")))), useful).alias("grams")).collect()  # of the templates
+    return {f: [r["grams"] for r in got if r["family"] == f] for f in TEMPLATES}
 
 
-def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and intercepts of a multinomial logistic regression (Adam); each
-    family weighs as much as the unknown class."""
-    share = np.bincount(y, n, classes)
-    n = n / share[y] / classes
-    gold, params = np.eye(classes)[y], [np.zeros((x.shape[1], classes)), np.zeros(classes)]
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    for step in range(1, STEPS + 1):
-        diff = (softmax(x @ params[0] + params[1]) - gold) * n[:, None]
-        for p, g, m in zip(params, (x.T @ diff + RIDGE * params[0], diff.sum(axis=0)), moments):
-            m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.999 * m[1] + 0.001 * g * g
-            p -= LEARNING_RATE * (m[0] / (1 - 0.9 ** step)) / (np.sqrt(m[1] / (1 - 0.999 ** step)) + 1e-8)
-    return params[0], params[1]
+def _singles(templates: dict[str, list]) -> list[str]:
+    return sorted({g for ts in templates.values() for t in ts for g in t if " " not in g})
 
 
-def train(docs: DataFrame) -> dict:
-    """Vocabulary, weights, cut and template features; docs(doc_id, text) give unknown paragraphs."""
+def paragraphs(docs: DataFrame, templates: dict[str, list]) -> DataFrame:
+    """Of every document what is judged: n_paragraphs (lines with words), p (line, last,
+    grams, free of licence words, held out of training) for lines and joins with a word of
+    the vocabulary, and the number of the other lines, held out or not; h names id and text."""
+    single = _strings(_singles(templates))
+    known = _literal({g: 1 for ts in templates.values() for t in ts for g in t}, "map<string,int>")
+    held = lambda ws: F.pmod(F.xxhash64(ws), F.lit(4)) == 0
+    step1 = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), numbered(F.col("text")).alias("p"))
+    alone = lambda x: F.struct(x["line"].alias("line"), x["line"].alias("last"), x["words"].alias("words"))
+    has = lambda x: F.arrays_overlap(x["words"], single)
+    pieces = F.transform(F.filter("p", has), lambda x: F.array(alone(x), joined(F.col("p"), x)))
+    others = F.filter("p", lambda x: (F.size(x["words"]) > 0) & ~has(x))
+    keeps = lambda k: lambda x: x == F.lit(k)
+    step2 = step1.select("doc_id", "h", F.size(F.filter("p", lambda x: F.size(x["words"]) > 0)).cast("long").alias("n_paragraphs"), F.filter(F.flatten(pieces), lambda x: x.isNotNull()).alias("p"),
+                         F.transform(others, lambda x: held(x["words"])).alias("bare"))
+    return step2.select("doc_id", "h", "n_paragraphs", *[F.size(F.filter("bare", keeps(k))).cast("long").alias(c)
+                                                         for c, k in (("bare_trained", False), ("bare_held", True))], F.transform("p", lambda p: F.struct(
+        p["line"].alias("line"), p["last"].alias("last"), F.filter(grams(p["words"]), lambda g: F.map_contains_key(known, g)).alias("grams"),
+        (~F.array_join(p["words"], " ").rlike("licen[sc]e|copyright|rights reserved|public domain|permission|spdx")).alias("free"), held(p["words"]).alias("held"))).alias("p"))
+
+
+def train(docs: DataFrame, found: DataFrame | None = None) -> dict:
+    """Vocabulary, weights, cut and template features; docs(doc_id, text), or what
+    ``paragraphs`` found in them, give unknown paragraphs."""
     spark = docs.sparkSession
-    known = _local(spark, [(t, f) for f, ts in TEMPLATES.items() for x in ts for t in (x, *_halves(x))])
-    common = _strings(COMMON)
-    useful = lambda g: F.exists(F.split(g, " "), lambda w: ~F.array_contains(common, w))
-    # the words as a lambda's variable: computed once, not for every bigram
-    with_grams = lambda df: df.withColumn("grams", F.transform(
-        F.array(line_words(plain(F.col("text")))), lambda ws: F.filter(grams(ws), useful))[0])
-    vocabulary = sorted(r[0] for r in with_grams(known).select(F.explode("grams").alias("g")).distinct().collect())  # of the templates
-
-    every = docs.where(F.length("text") > 0).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    chosen = every.select("h").distinct().orderBy("h").limit(SAMPLE)  # numbers only
-    hashed = stash(every.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"]), "licence-sample")
-    free = ~F.lower("text").rlike("licen[sc]e|copyright|rights reserved|public domain|permission|spdx")
-    some = lambda df: df.orderBy(F.xxhash64("text"), "text").limit(LINES)
-    line = hashed.select(F.explode(F.split("text", "\n")).alias("text")).where(free).transform(some)
-    p = hashed.select(numbered(F.col("text")).alias("p"))
-    join = p.select(F.explode(F.transform(F.filter("p", lambda x: F.size(x["words"]) > 0), lambda x: joined(F.col("p"), x)["words"])).alias("w"))
-    join = join.select(F.array_join("w", " ").alias("text")).where(free).transform(some)
-    unknown = line.unionByName(join).unionByName(_local(spark, [(t, UNKNOWN) for t in NEGATIVES for _ in range(10)]).select("text")).withColumn("family", F.lit(UNKNOWN))
-    table = with_grams(known.unionByName(unknown.select("text", "family"))).withColumn("held", F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
-    table = table.withColumn("grams", F.array_sort(F.array_intersect("grams", _strings(vocabulary))))
-    sets = table.groupBy("grams", "family", "held").count().collect()  # of a bounded sample; most hold no feature
-    sets.sort(key=str)
-    families, number = [UNKNOWN, *sorted(TEMPLATES)], {g: i for i, g in enumerate(vocabulary)}
-    x, y, n = np.zeros((len(sets), len(vocabulary))), np.array([families.index(r["family"]) for r in sets]), np.array([float(r["count"]) for r in sets])
-    for i, r in enumerate(sets):
-        x[i, [number[g] for g in r["grams"] if g in number]] = 1
-    held = np.array([r["held"] for r in sets]) & (y == 0)
-    weights, intercept = fit(x[~held], y[~held], n[~held], len(families))
-    best = np.repeat(softmax(x[held] @ weights + intercept)[:, 1:].max(axis=1), n[held].astype(int))
-    cut = float(np.quantile(best, 1 - MISSED)) if len(best) else 0.0
-    templates = {f: [r[0] for r in with_grams(_local(spark, [(t, f) for t in ts])).select("grams").collect()] for f, ts in TEMPLATES.items()}
-    return {"families": families, "weights": {g: weights[i].tolist() for i, g in enumerate(vocabulary)}, "intercept": intercept.tolist(),
-            "cut": max(0.5, cut), "templates": templates}
-
-
-def scan(docs: DataFrame, model: dict) -> DataFrame:
+    templates = _vocabulary(spark)
+    if found is None:
+        found = stash(paragraphs(docs, templates), "licence-paragraphs")
+    vocabulary = sorted({g for ts in templates.values() for t in ts for g in t})
+    families, words = [UNKNOWN, *sorted(TEMPLATES)], _strings(vocabulary)
+    own = _local(spark, [(t, f) for f, ts in TEMPLATES.items() for x in ts for t in (x, *_halves(x))] + [(t, UNKNOWN) for t in NEGATIVES for _ in range(10)])
+    own = own.select(F.array_position(_strings(families), F.col("family")).cast("double").alias("y"), F.lit(False).alias("held"),
+                     F.array_intersect(grams(line_words(plain(F.col("text")))), words).alias("grams"), F.lit(1).cast("long").alias("n"))
+    each = found.dropDuplicates(["h"])  # a row of one id and text once
+    empty = F.array().cast("array<string>")
+    unknown = each.select(F.explode("p").alias("p")).where("p.free").select("p.held", "p.grams", F.lit(1).cast("long").alias("n"))
+    bare = each.agg(F.array(F.struct(F.lit(False).alias("held"), empty.alias("grams"), F.coalesce(F.sum("bare_trained"), F.lit(0)).alias("n")),
+                            F.struct(F.lit(True).alias("held"), empty.alias("grams"), F.coalesce(F.sum("bare_held"), F.lit(0)).alias("n"))).alias("b")).select(F.inline("b"))
+    rows = own.withColumn("y", F.col("y") - 1).unionByName(unknown.unionByName(bare).withColumn("y", F.lit(0.0)))
+    sets = stash(rows.withColumn("grams", F.array_sort("grams")).groupBy("y", "held", "grams").agg(F.sum("n").alias("n")).where("n > 0"), "licence-sets")
+    vector = array_to_vector(F.transform(words, lambda g: F.array_contains("grams", g).cast("double")))
+    sets = sets.withColumn("x", vector)
+    taught = sets.where("not held")
+    share = {r["y"]: r["n"] for r in taught.groupBy("y").agg(F.sum("n").alias("n")).collect()}  # a row a family
+    of = F.element_at(F.array(*[F.lit(float(share[k])) for k in range(len(families))]), (F.col("y") + 1).cast("int"))
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", family="multinomial", regParam=RIDGE, elasticNetParam=0.0, standardization=False,
+                               maxIter=STEPS, tol=1e-7).fit(taught.withColumn("weight", F.col("n") / of))
+    best = F.array_max(F.slice(vector_to_array("probability"), 2, len(families) - 1))
+    cut = model.transform(sets.where("held")).agg(F.percentile(best, F.lit(1 - MISSED), F.col("n"))).first()[0]
+    weights = model.coefficientMatrix.toArray()
+    return {"families": families, "weights": {g: weights[:, i].tolist() for i, g in enumerate(vocabulary)}, "intercept": model.interceptVector.toArray().tolist(),
+            "cut": max(0.5, cut or 0.0), "templates": templates}
+
+
+def scan(docs: DataFrame, model: dict, found: DataFrame | None = None) -> DataFrame:
     """doc_id, n_paragraphs and licences (line, family, probability, contained,
-    confirmed) of docs(doc_id, text): every line whose family reaches the cut, and
-    the confirmed joins from a line on."""
+    confirmed) of docs(doc_id, text), or of what ``paragraphs`` found in them: every
+    line whose family reaches the cut, and the confirmed joins from a line on."""
     families, k = model["families"], len(model["families"])
     weights = _literal(model["weights"], "map<string,array<double>>")
     templates = _literal(model["templates"], "map<string,array<array<string>>>")
-    single = _strings(sorted(g for g in model["weights"] if " " not in g))
     none = F.array(*[F.lit(0.0)] * k)
-
-    step1 = docs.select("doc_id", numbered(F.col("text")).alias("p"))
-    alone = lambda x: F.struct(x["line"].alias("line"), x["line"].alias("last"), x["words"].alias("words"))
-    pieces = F.transform(F.filter("p", lambda x: F.arrays_overlap(x["words"], single)), lambda x: F.array(alone(x), joined(F.col("p"), x)))
-    step2 = step1.select("doc_id", F.size(F.filter("p", lambda p: F.size(p["words"]) > 0)).cast("long").alias("n_paragraphs"),
-                         F.filter(F.flatten(pieces), lambda x: x.isNotNull()).alias("p"))
-    held = F.transform("p", lambda p: F.struct(p["line"].alias("line"), p["last"].alias("last"), F.filter(grams(p["words"]), lambda g: F.map_contains_key(weights, g)).alias("grams")))
-    step3 = step2.select("doc_id", "n_paragraphs", held.alias("p"))
+    step3 = paragraphs(docs, model["templates"]) if found is None else found
     margins = lambda gs: F.aggregate(gs, F.array(*map(F.lit, model["intercept"])),
                                      lambda acc, g: F.zip_with(acc, F.coalesce(F.element_at(weights, g), none), lambda x, y: x + y))
     step4 = step3.select("doc_id", "n_paragraphs", F.transform("p", lambda p: F.struct(
@@ -215,8 +217,7 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
         return F.struct(p["line"].cast("long").alias("line"), p["last"].cast("long").alias("last"), family.alias("family"), (F.array_max(of) / total).alias("probability"),
                         contained.alias("contained"), (contained >= CONTAINED).alias("confirmed"))
 
-    found = F.filter(F.transform("p", judged), lambda x: x["probability"] >= model["cut"])
-    step5 = step4.select("doc_id", "n_paragraphs", found.alias("found"))
+    step5 = step4.select("doc_id", "n_paragraphs", F.filter(F.transform("p", judged), lambda x: x["probability"] >= model["cut"]).alias("found"))
 
     def reported(x: Column) -> Column:
         """A line, or a confirmed join that no confirmed line within and no better join over it stands for."""
@@ -234,7 +235,8 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = scan(docs, train(docs))
+    held = stash(paragraphs(docs, _vocabulary(spark)), "licence-paragraphs")  # found once, for training and scan
+    found = scan(docs, train(docs, held), held)
     sure = F.filter("licences", lambda x: x["confirmed"])
     return found.select("doc_id", "n_paragraphs", F.size(sure).cast("long").alias("n_licences"),
                         F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))).alias("families"), "licences")

@@ -190,6 +190,15 @@ def test_op8_copies_take_no_more_than_a_row(spark):
     assert one["cut"] == many["cut"] and one["weights"] == many["weights"]
 
 
+def test_op8_learns_from_every_document(spark):
+    """4,000 documents, beyond any former sample: each one's lines are counted, so the last rows change the weights."""
+    rows = [(i, f"The river number {i} runs to the sea.") for i in range(4000)]
+    odd = [(5000 + i, f"The apache copy of the software file {i}.") for i in range(400)]
+    one, many = (licences.train(spark.createDataFrame(x, "doc_id long, text string")) for x in (rows, rows + odd))
+    assert many["weights"]["apache"][0] > one["weights"]["apache"][0] + 0.1
+    assert not hasattr(licences, "SAMPLE") and not hasattr(licences, "LINES")
+
+
 # ---- pipeline --------------------------------------------------------------------
 
 def near_classes(texts):

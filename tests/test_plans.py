@@ -96,3 +96,15 @@ def test_distinct_counts_with_repeated_and_missing_firsts(spark):
     df = spark.createDataFrame(rows, "k int, a int, b int, v int")
     got = two_distinct_counts(df, ["k"], ("a", "na"), ("b", "nb"), {"s": ("sum", F.col("v"))})
     assert sorted(map(tuple, got.collect()), key=str) == [(1, 1, 3, 81), (2, 0, 0, 1), (None, 1, 1, None)]
+
+
+@pytest.mark.parametrize("name", ["kpi_base_by_brand", "kpi_yoy_pct_by_brand", "orders_aov_by_month_top_brands"])
+def test_lines_pass_by_hashed_products_unsorted(spark, name):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(catalog.REGISTRY[name].build(GoldModel.from_testdata(spark, SF, cached=False), catalog.REGISTRY[name].params))
+        joins = [line for line in plan.split("\n") if "SortMergeJoin" in line]
+        assert "ShuffledHashJoin" in plan and not any("ProductID" in line or "OrderID" in line for line in joins)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

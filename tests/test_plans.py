@@ -103,7 +103,7 @@ def test_lines_pass_by_hashed_products_unsorted(spark, name):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = _plan(catalog.REGISTRY[name].build(GoldModel.from_testdata(spark, SF, cached=False), catalog.REGISTRY[name].params))
+        plan = _plan(catalog.queries()[name](spark, SF))
         joins = [line for line in plan.split("\n") if "SortMergeJoin" in line]
         assert "ShuffledHashJoin" in plan and not any("ProductID" in line or "OrderID" in line for line in joins)
     finally:

@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.dates import add_months_ts, day_diff, month_diff
-from ledgerlake.functions.hashing import change_hash
+from ledgerlake.functions.hashing import change_hash, pack_key, unpack_key
 from ledgerlake.functions.money import exact_avg, half_up_div, unit_price_from_extended
 
 
@@ -56,3 +56,11 @@ def test_publish_views_read_back(spark):
     names = publish_views(spark, m, ["revenue_by_month", "top_5_brands"], prefix="gold_")
     assert names == ["gold_revenue_by_month", "gold_top_5_brands"]
     assert spark.table("gold_top_5_brands").count() >= 5
+
+
+def test_packed_keys_read_back(spark):
+    """Half as long for a digest, and every other text comes back as it was."""
+    keys = ["0123456789abcdef" * 4, "0123456789ABCDEF" * 4, "0123456789abcdef" * 4 + "\n", "x" * 32, "", "\u00e9\u4e2d", None]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").select("k", pack_key("k").alias("b"))
+    rows = df.select("k", F.octet_length("b").alias("n"), unpack_key("b").alias("back")).collect()
+    assert [r["back"] for r in rows] == keys and rows[0]["n"] == 32

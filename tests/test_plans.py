@@ -108,3 +108,29 @@ def test_lines_pass_by_hashed_products_unsorted(spark, name):
         assert "ShuffledHashJoin" in plan and not any("ProductID" in line or "OrderID" in line for line in joins)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_lines_meet_dimensions_unsorted_with_packed_keys(spark):
+    """The joins of the fact sort no lines, and shuffles carry keys as bytes."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.queries()["orders_fact"](spark, SF)
+        plan = _plan(df)
+        assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == 3  # orders, products, customers
+        fields = {a.name() + a.dataType().typeName() for n in _exchanges(df) for a in n}
+        assert "product_skeybinary" in fields and not any(f.endswith("_skeystring") for f in fields)
+        assert df.where("product_skey IS NULL OR length(product_skey) <> 64").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _exchanges(df):
+    """Output columns of every exchange of a plan that hasn't run."""
+    nodes, found = [df._jdf.queryExecution().executedPlan().initialPlan()], []
+    while nodes:
+        n = nodes.pop()
+        if n.nodeName() == "Exchange":
+            found.append([n.output().apply(i) for i in range(n.output().size())])
+        nodes += [n.children().apply(i) for i in range(n.children().size())]
+    return found

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators import dq, scd
 from ledgerlake.operators.dedupe import latest_per_key
+from ledgerlake.plans import catalog
 
 T1 = ["PhoneNumber", "Email"]
 T2 = ["Address", "City"]
@@ -145,3 +146,13 @@ def test_dq_job_count_is_bounded(spark):
                   dq.Check("regex", "s", {"pattern": "^[0-9]$"}), dq.Check("not_null", "s"),
                   dq.Check("between", "id", {"min": 0, "max": 999})]
     assert jobs(many, "dq_many") == jobs(few, "dq_few")
+
+
+def test_gold_lines_lie_by_customer_in_zstd_files(spark):
+    """Without a range shuffle before the write, a file still holds a customer's lines together."""
+    df = catalog.queries()["etl_orders_gold"](spark, "/root/testdata/sf0.001")
+    files = [f for f in df.inputFiles() if "orders_fact" in f]
+    assert files and all(".zstd." in f for f in files)
+    for f in files:
+        ids = [r[0] or 0 for r in spark.read.parquet(f).select("CustomerID").collect()]
+        assert ids == sorted(ids)

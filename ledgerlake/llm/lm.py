@@ -3,8 +3,8 @@
 Counts. Tokens are the words of a text, lower-cased A-Z, and one end token; a
 text's first word follows the end token. Unigram counts are exact, by 64-bit
 hash; of bigrams those seen ``MIN_COUNT`` times or more enter the model.
-A task numbers its words as they come and counts pairs of numbers in one table,
-which it hands on by size.
+A task cuts and numbers the words of a run of texts at a time with Arrow, sorts the
+run's pairs of numbers and hands their counts on.
 Filter. A count n of at least m has level 1 + floor(2 log2(n / m)); its n-gram
 enters the filter once per level up to its own, so repeated membership probes
 (level 1, 2, ... until a miss) give the quantised count back. It holds the
@@ -27,11 +27,10 @@ probability is one; an empty table gives no rows."""
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,20 +41,12 @@ from .common import U64, is_fold, map_batches, mix, read, ship, stash
 FOLDS, HELD_OUT = 7, 2
 MIN_COUNT, DISCOUNT, MU, HEAD = 2, 1.0, 2.0, 1 << 19
 PROBES, BITS_PER_ENTRY, PAGE_BITS, SEGMENT_BYTES = 7, 10, 1 << 19, 64 << 20
-#: Tokens handled at a time within a task, words numbered by one, and pairs in its count table.
-BLOCK, WORDS, PAIRS = 400_000, 1 << 19, 2_000_000
+#: Bytes of text that a task counts at a time and scores at a time, and positions whose pairs it looks up at a time.
+COUNTED_BYTES, SCORED_BYTES, PART = 24 << 20, 12 << 20, 400_000
 
 _STEP, _TOP = U64(0x9E3779B97F4A7C15), U64(48)
 
 
-END = U64(xxh3_64_intdigest(b"\n"))  # no word holds a line break
-
-
-def tokens(text: str) -> list[bytes]:
-    """Words with A-Z lower-cased (bytes.lower knows no other letters)."""
-    return text.encode("utf-8").lower().split()
-
-
 #: What an entry of the filter counts.
 BIGRAM, CONTEXT, ESCAPE = 0, 1, 2
 
@@ -79,103 +70,75 @@ def floor_of(level: np.ndarray, least: int = 1) -> np.ndarray:
     return np.ceil(least * 2.0 ** ((level - 1) / 2) - 1e-9)
 
 
-class Words(dict):
-    """Word -> its number within a task, in order of appearance; the end token is
-    number 0. Its owner empties it (``restart``) at ``WORDS`` words."""
-
-    def __init__(self):
-        super().__init__()
-        self.restart()
-
-    def restart(self) -> None:
-        self.clear()
-        self.hashes = array("Q", [int(END)])
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.hashes)
-        self.hashes.append(xxh3_64_intdigest(word))
-        return n
+class Tokens:
+    """The tokens of a run of texts, A-Z lower-cased: the text of each (``own``), its
+    number (``w``), its context's (``v``), and the numbers' hashes. Number 0 is the end
+    token. Arrow cuts the words; its ASCII functions leave all other letters."""
 
+    def __init__(self, texts: pa.Array):
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        found = pc.dictionary_encode(cut.flatten())
+        words = found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.hash = np.fromiter(map(xxh3_64_intdigest, (b"\n", *words)), U64, len(words) + 1)
+        number = found.indices.to_numpy() + np.int32(1)
+        own = np.repeat(np.arange(len(texts), dtype=np.int32), cut.value_lengths().to_numpy())
+        if b"" in words:  # white space at a text's edge leaves an empty piece
+            whole = number != words.index(b"") + 1
+            own, number = own[whole], number[whole]
+        size = np.bincount(own, minlength=len(texts)) + 1
+        self.own, self.w = np.repeat(np.arange(len(texts), dtype=np.int32), size), np.zeros(size.sum(), np.int32)
+        self.w[np.arange(len(number)) + own] = number  # after its text's earlier words and an end token for each text before
+        self.v = np.concatenate([self.w[-1:], self.w[:-1]])  # every text ends in the end token, so the next one's first word follows it
 
-def blocks(texts: list[str], words: Words):
-    """(text of each token, number of its context, its own number) for runs of
-    whole texts of about BLOCK tokens."""
-    first, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        ws = tokens(text)
-        ids = np.zeros(len(ws) + 1, np.int64)  # the end token is number 0
-        ids[:-1] = np.fromiter(map(words.__getitem__, ws), np.int64, len(ws))
-        held.append(ids)
-        size += len(ids)
-        if size >= BLOCK or i + 1 == len(texts):
-            w = np.concatenate(held)
-            own = np.repeat(np.arange(first, i + 1), [len(x) for x in held])
-            yield own, np.concatenate([[0], w[:-1]]), w  # every text ends in the end token, so the next one's first word follows it
-            first, held, size = i + 1, [], 0
+    def pairs(self, at: np.ndarray | slice) -> np.ndarray:
+        return self.v[at].astype(np.int64) << 32 | self.w[at]
 
 
-def pairs_of(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct of each position, distinct pairs as v << 32 | w), by hashing."""
-    return pd.factorize(v << 32 | w)
+def runs(texts: pa.Array, size: int):
+    """(first, Tokens) of runs of whole texts of about ``size`` bytes."""
+    if len(texts):
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // size
+        ends = [*(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
+        for first, end in zip([0, *ends], ends):
+            yield first, Tokens(texts.slice(first, end - first))
 
 
 # ---- counts --------------------------------------------------------------------
 
-class PairTable:
-    """Counts of pairs of word numbers, merged whenever it has doubled."""
-
-    def __init__(self):
-        self.take()
-
-    def add(self, v: np.ndarray, w: np.ndarray) -> None:
-        of, pair = pairs_of(v, w)
-        self.parts.append((pair, np.bincount(of)))
-        self.size += len(pair)
-        if self.size > 2 * self.merged + BLOCK:
-            self.merge()
-
-    def merge(self) -> None:
-        of, pair = pd.factorize(np.concatenate([p for p, _ in self.parts]))
-        n = np.bincount(of, np.concatenate([c for _, c in self.parts])).astype(np.int64)
-        self.parts, self.size, self.merged = [(pair, n)], len(pair), len(pair)
-
-    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First words, second words, counts; the table is empty then."""
-        none = np.zeros(0, np.int64)
-        pair, n = none, none
-        if getattr(self, "parts", None):
-            self.merge()
-            pair, n = self.parts[0]
-        self.parts, self.size, self.merged = [], 0, 0
-        return pair >> 32, pair & 0xFFFFFFFF, n
-
-
 COUNTED = T.StructType([T.StructField("bigram", T.BooleanType()), T.StructField("v", T.LongType()), T.StructField("w", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
 def count(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """Unigram counts (v) and bigram counts of min_count or more (v, w), over all of docs(text)."""
     def make():
-        words, table = Words(), PairTable()
+        held, size = [], 0
 
         def emit():
-            v, w, n = table.take()
-            h = np.array(words.hashes, U64)
-            words.restart()
-            own = np.bincount(w, n).astype(np.int64) if len(w) else np.zeros(0, np.int64)  # a token is the second of one pair
-            word = np.flatnonzero(own)
-            return [np.concatenate([np.zeros(len(word), bool), np.ones(len(v), bool)]), np.concatenate([h[word], h[v]]).view(np.int64),
-                    np.concatenate([np.zeros(len(word), np.uint32), short(h[w])]).view(np.int32), np.concatenate([own[word], n])]
+            nonlocal held, size
+            texts, held, size = pa.concat_arrays(held) if held else pa.array([], pa.string()), [], 0
+            out = [[np.zeros(0, kind)] for kind in (bool, np.int64, np.int32, np.int64)]
+            for _, t in runs(texts, 2 * COUNTED_BYTES):  # one, but of long texts
+                own = np.bincount(t.w, minlength=len(t.hash))
+                word = np.flatnonzero(own)
+                pair = np.sort(t.pairs(slice(None)))
+                first = np.flatnonzero(np.diff(pair, prepend=-1))
+                n, pair = np.diff(first, append=len(pair)), pair[first]
+                v, w = t.hash[pair >> 32], short(t.hash[pair & 0xFFFFFFFF])
+                for column, new in zip(out, ((np.zeros(len(word), bool), np.ones(len(v), bool)), (t.hash[word].view(np.int64), v.view(np.int64)),
+                                             (np.zeros(len(word), np.int32), w.view(np.int32)), (own[word], n))):
+                    column.extend(new)
+            return [np.concatenate(column) for column in out]
 
         def run(batch):
-            for _, v, w in blocks([t or "" for t in batch.column("text").to_pylist()], words):
-                table.add(v, w)
-            return emit() if len(words) >= WORDS or table.size >= PAIRS else [[], [], [], []]
+            nonlocal size
+            held.append(batch.column("text"))
+            size += batch.column("text").nbytes
+            return emit() if size >= COUNTED_BYTES else [[], [], [], []]
 
         run.finish = emit
         return run
 
-    # a task's table holds a pair once, so a second partial count before the shuffle would find nothing
+    # a run's rows hold a pair once, so a second partial count before the shuffle would find little
     counted = map_batches(docs.select("text"), make, COUNTED).repartition("v", "w").groupBy("bigram", "v", "w").agg(F.sum("n").alias("n"))
     return stash(counted.where(~F.col("bigram") | (F.col("n") >= min_count)), "counts")
 
@@ -196,12 +159,13 @@ class Filter:
         while len(live):
             j += 1
             base, step = probe_hashes(keys[live], j)
-            hit = live
-            for i in range(PROBES):
-                bit = (base + U64(i) * step) & U64(PAGE_BITS - 1)
-                byte = self.flat[start[hit] + (bit >> U64(3)).astype(np.int64)]
-                yes = np.flatnonzero((byte >> (bit & U64(7)).astype(np.uint8)) & 1)
-                hit, base, step = hit[yes], base[yes], step[yes]
+            # a page has 2**k bits, so 32 bits of the running sum name them as 64 do
+            hit, at, bit, step = live, start[live], base.astype(np.uint32), step.astype(np.uint32)
+            for _ in range(PROBES):
+                byte = self.flat[at + ((bit & np.uint32(PAGE_BITS - 1)) >> np.uint32(3))]
+                yes = np.flatnonzero((byte >> (bit & np.uint32(7)).astype(np.uint8)) & 1)
+                hit, at, step = hit[yes], at[yes], step[yes]
+                bit = bit[yes] + step
             out[hit] = j
             live = hit
         return out
@@ -305,36 +269,20 @@ def _tail_column(parts: list[tuple[np.ndarray, ...]], rows: int) -> pa.Array:
 
 
 class Known:
-    """What a task has looked up of its words, by their numbers: unigram share, and
-    for contexts of the filter's segment the weight of leaving them and their count."""
-
-    def __init__(self, filter_: Filter, head: tuple, total: int):
-        self.filter, (self.head_key, self.head_n), self.total = filter_, head, total
-        self.restart()
-
-    def restart(self) -> None:
-        self.hash = np.zeros(0, U64)
-        self.unigram = self.away = self.count = np.zeros(0)
-        self.known = self.mine = self.begins = np.zeros(0, bool)
-
-    def extend(self, words: Words) -> None:
-        """Look the words up that have come since the last time."""
-        f, word = self.filter, np.array(words.hashes[len(self.hash):], U64)
-        if not len(word):
-            return
-        key = self.head_key
+    """What is known of words given by their hashes: unigram share, and for contexts
+    of the filter's segment the weight of leaving them and their count."""
+
+    def __init__(self, word: np.ndarray, f: Filter, head: tuple, total: int):
+        key, n = head
         at = np.minimum(np.searchsorted(key, word), max(0, len(key) - 1))
-        c = np.where(key[at] == word, self.head_n[at], 0) if len(key) else np.zeros(len(word), np.int64)
-        mine = (word >> _TOP) % U64(f.segments) == U64(f.number)
+        c = np.where(key[at] == word, n[at], 0) if len(key) else np.zeros(len(word), np.int64)
+        self.known, self.unigram = c > 0, np.log10((c + 1) / total)
+        self.mine = (word >> _TOP) % U64(f.segments) == U64(f.number)
         level = np.zeros(len(word), np.int64)
-        level[mine] = f.level(entry_keys(CONTEXT, word[mine]))
-        begins = np.flatnonzero(level)
-        count, away = floor_of(level + 1) - 1, np.zeros(len(word))
-        escape = f.level(entry_keys(ESCAPE, word[begins]))
-        away[begins] = np.minimum(0.0, np.log10((floor_of(np.maximum(1, escape)) + MU) / (count[begins] + MU)))
-        for name, new in (("hash", word), ("unigram", np.log10((c + 1) / self.total)), ("away", away), ("count", count),
-                          ("known", c > 0), ("mine", mine), ("begins", level > 0)):
-            setattr(self, name, np.concatenate([getattr(self, name), new]))
+        level[self.mine] = f.level(entry_keys(CONTEXT, word[self.mine]))
+        self.begins, self.count, self.away = level > 0, floor_of(level + 1) - 1, np.zeros(len(word))
+        escape = f.level(entry_keys(ESCAPE, word[self.begins]))
+        self.away[self.begins] = np.minimum(0.0, np.log10((floor_of(np.maximum(1, escape)) + MU) / (self.count[self.begins] + MU)))
 
 
 def _pass(rows: DataFrame, filter_: Filter, head: tuple, total: int, last: bool, min_count: int, discount: float) -> DataFrame:
@@ -344,43 +292,42 @@ def _pass(rows: DataFrame, filter_: Filter, head: tuple, total: int, last: bool,
     shared_filter, shared_head = sc.broadcast(filter_), sc.broadcast(head)
 
     def make():
-        words, f = Words(), shared_filter.value
-        know, first = Known(f, shared_head.value, total), f.number == 0
+        f = shared_filter.value
+        first = f.number == 0
 
         def run(batch):
-            if len(words) >= WORDS:
-                words.restart()
-                know.restart()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = batch.column("text")
             sums, tail = np.zeros((4, len(texts))), [_flat_tail(batch.column("tail"))]
-            for own, v, w in blocks(texts, words):
-                know.extend(words)
-                known, mine = know.known[w], know.mine[v]
-                base = np.where(known, know.unigram[w], 0.0)
-                score = np.where(mine, know.away[v] + base, 0.0)
-                tried = np.flatnonzero(know.begins[v])  # positions whose context begins a bigram
-                of, pair = pairs_of(v[tried], w[tried])
-                context, word = pair >> 32, pair & 0xFFFFFFFF
-                level = f.level(entry_keys(BIGRAM, know.hash[context], short(know.hash[word])))
-                share = np.log10(np.clip((floor_of(np.maximum(1, level), min_count) - discount) / (know.count[context] + MU), 1e-300, 1.0))
-                seen = level[of] > 0
-                score[tried[seen]] = share[of[seen]]
-                found = np.zeros(len(w), bool)
-                found[tried[seen]] = True
+            for start, t in runs(texts, SCORED_BYTES):
+                know = Known(t.hash, f, shared_head.value, total)
+                known, mine = know.known[t.w], know.mine[t.v]
+                base = np.where(known, know.unigram[t.w], 0.0)
+                score = np.where(mine, know.away[t.v] + base, 0.0)
+                tried, found = np.flatnonzero(know.begins[t.v]), np.zeros(len(t.w), bool)  # positions whose context begins a bigram
+                for i in range(0, len(tried), PART):
+                    at = tried[i:i + PART]
+                    of, pair = pd.factorize(t.pairs(at))
+                    context, word = pair >> 32, pair & 0xFFFFFFFF
+                    level = f.level(entry_keys(BIGRAM, t.hash[context], short(t.hash[word])))
+                    share = np.log10(np.clip((floor_of(np.maximum(1, level), min_count) - discount) / (know.count[context] + MU), 1e-300, 1.0))
+                    seen = level[of] > 0
+                    score[at[seen]] = share[of[seen]]
+                    found[at[seen]] = True
+                own = t.own + np.int32(start)
                 for k, x in enumerate((None, known, base, score) if first else (score,)):
                     sums[k if first else 3] += np.bincount(own, x, len(texts))
                 rare = np.flatnonzero(~known & (first | mine & ~found))
                 if len(rare):
-                    back, key = pairs_of(own[rare], w[rare])
-                    tail.append((key >> 32, know.hash[key & 0xFFFFFFFF].view(np.int64), np.bincount(back) * int(first),
+                    back, key = pd.factorize(own[rare].astype(np.int64) << 32 | t.w[rare])
+                    tail.append((key >> 32, t.hash[key & 0xFFFFFFFF].view(np.int64), np.bincount(back) * int(first),
                                  np.bincount(back, (mine & ~found)[rare]).astype(np.int64)))
             before = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_tokens", "n_known", "base_score", "score")]
             sums = [b + s for b, s in zip(before, sums)]
-            return [batch.column("doc_id"), [None] * len(texts) if last else batch.column("text"),
+            return [batch.column("doc_id"), [None] * len(texts) if last else texts,
                     sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3], _tail_column(tail, len(texts))]
         return run
 
-    return map_batches(rows, make, SCORED)
+    return map_batches(rows, make, SCORED, rows=8192)  # a run of texts is cut by size, so it may span many rows
 
 
 def score(docs: DataFrame, train: Column, head: int = HEAD, segment_bytes: int = SEGMENT_BYTES, min_count: int = MIN_COUNT,

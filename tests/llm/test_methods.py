@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from ledgerlake.llm import bagminhash, centroids, cgk, licences, lines, lm, packing, pii, ranking, registry, separators, textstats, tokens
@@ -539,6 +540,21 @@ def test_op10_segments_and_rare_words(spark):
     assert np.allclose(one.base_score, many.base_score) and (abs(one.score - many.score) / one.n_tokens).mean() < 0.02
 
 
+def test_op10_tokens_of_runs():
+    """Words cut by Arrow are those of bytes.split, each hashed once a run, whatever the runs."""
+    rng = np.random.default_rng(1)
+    letters = [*map(chr, (0, 9, 10, 11, 12, 13, 28, 31, 32, 32, 32, 65, 90, 97, 0x85, 0xA0, 0xC0, 0xE0, 0x130, 0x2028, 0x3000, 0x1F600))]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(2000)] + [None, "", " ", "a A  b\n"]
+    for size in (1, 500, 1 << 30):
+        got = [[] for _ in texts]
+        for first, t in lm.runs(pa.array(texts), size):
+            assert t.v[0] == 0 and (t.v[1:] == t.w[:-1]).all() and len(set(t.hash.tolist())) == len(t.hash)
+            for text, word in zip(t.own.tolist(), t.hash[t.w].tolist()):
+                got[first + text].append(word)
+        assert got == [[lm.xxh3_64_intdigest(w) for w in (*(x or "").encode().lower().split(), b"\n")] for x in texts]
+    assert list(lm.runs(pa.array([], pa.string()), 500)) == []
+
+
 def test_filter_returns_the_levels():
     rng = np.random.default_rng(12)
     keys, n = rng.integers(0, 2 ** 63, 20_000, dtype=np.uint64), rng.integers(1, 500, 20_000)

@@ -9,7 +9,7 @@ from ledgerlake.model import GoldModel
 from ledgerlake.operators.distinct import two_distinct_counts
 from ledgerlake.operators.topk import top_k_with_ties
 from ledgerlake.params import DEFAULT
-from ledgerlake.plans import catalog, reports
+from ledgerlake.plans import catalog, kpi, reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,6 +91,19 @@ def test_tasks_are_as_many_as_the_tables_ask_for(spark, monkeypatch):
         assert len(sizes) == 4 and min(sizes) > 10 and "SortMergeJoin" not in plan
 
 
+def test_orders_by_brand_are_hashed_in_tasks_by_size(spark, monkeypatch):
+    """No distinct count hashes orders in the session's number of tasks: only rows per brand are left for those."""
+    from ledgerlake.operators import sizing
+    monkeypatch.setattr(sizing, "PARTITION_BYTES", 10_000)
+    m = GoldModel.from_testdata(spark, SF, cached=False)
+    for query in (lambda m, p: kpi.kpi_base(m, p, "brand"), kpi.kpi_yoy_pct_by_brand, kpi.orders_aov_by_month_top_brands):
+        plan = _plan(query(m, DEFAULT))
+        shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+        free = [line for line in shuffles if "REPARTITION_BY_NUM" not in line]
+        assert len(shuffles) - len(free) >= 5 and not any("OrderID" in line or "ProductID" in line for line in free)
+        assert min(int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan)) > 10
+
+
 def test_distinct_counts_with_repeated_and_missing_firsts(spark):
     rows = [(1, None, i % 3, 1) for i in range(50)] + [(1, 7, 2, 1)] * 30 + [(1, 7, None, 1), (2, None, None, 1), (None, 5, 1, None)]
     df = spark.createDataFrame(rows, "k int, a int, b int, v int")

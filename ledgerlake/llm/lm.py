@@ -42,7 +42,7 @@ FOLDS, HELD_OUT = 7, 2
 MIN_COUNT, DISCOUNT, MU, HEAD = 2, 1.0, 2.0, 1 << 19
 PROBES, BITS_PER_ENTRY, PAGE_BITS, SEGMENT_BYTES = 7, 10, 1 << 19, 64 << 20
 #: Bytes of text that a task counts at a time and scores at a time, and positions whose pairs it looks up at a time.
-COUNTED_BYTES, SCORED_BYTES, PART = 24 << 20, 12 << 20, 400_000
+COUNTED_BYTES, SCORED_BYTES, PART = 16 << 20, 6 << 20, 400_000
 
 _STEP, _TOP = U64(0x9E3779B97F4A7C15), U64(48)
 

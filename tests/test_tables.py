@@ -74,6 +74,13 @@ def test_equal_keys_share_a_bucket_and_nothing_is_lost(spark, gold, scratch):
     assert counts(tables.open_model(spark, database).fact) == counts(hot)
 
 
+def test_the_fact_is_written_by_as_many_tasks_as_its_size_asks_for(spark, scratch, monkeypatch):
+    monkeypatch.setattr(tables, "partitions", lambda *inputs: 23)
+    database = "sized_" + uuid.uuid4().hex
+    tables.publish(GoldModel.from_testdata(spark, SF, cached=False), database, f"{scratch}/{database}")
+    assert len({f.rsplit("/", 1)[1][:10] for f in spark.table(f"{database}.orders_fact").inputFiles()}) == 23
+
+
 def test_an_empty_model(spark, scratch):
     raw = GoldModel.from_testdata(spark, SF)
     none = GoldModel(spark, raw.fact.limit(0), raw.products.limit(0), raw.customers.limit(0), raw.suppliers.limit(0), raw.dim_date)

@@ -19,7 +19,8 @@ word (e(v) + MU) / (c(v) + MU) times its smoothed unigram probability
 (c + 1) / (N + V + 1), that alone if v begins no bigram. c(v) is rounded up
 within its level and the others down, so together they are at most one.
 Unigrams. Words above a count that at most ``HEAD`` words reach are broadcast
-(12 bytes each at most); occurrences of the others join the count table.
+(16 bytes each); occurrences of the others join the count table. The levels of a
+broadcast word's context and escape counts are probed once a segment, not by every task.
 
 Defined results: a null or empty text is the end token alone; rows without an
 id train; repeated rows are scored row by row; without training rows every
@@ -152,6 +153,13 @@ class Filter:
         self.pages, self.number, self.segments = pages, number, segments
         self.flat = pages.reshape(-1)
 
+    def __reduce__(self):  # the pages travel once
+        return Filter, (self.pages, self.number, self.segments)
+
+    def has(self, word: np.ndarray) -> np.ndarray:
+        """Whether the words are contexts of this segment."""
+        return (word >> _TOP) % U64(self.segments) == U64(self.number)
+
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Levels of entries of this segment; 0: not in."""
         out, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
@@ -160,12 +168,18 @@ class Filter:
             j += 1
             base, step = probe_hashes(keys[live], j)
             # a page has 2**k bits, so 32 bits of the running sum name them as 64 do
-            hit, at, bit, step = live, start[live], base.astype(np.uint32), step.astype(np.uint32)
-            for _ in range(PROBES):
-                byte = self.flat[at + ((bit & np.uint32(PAGE_BITS - 1)) >> np.uint32(3))]
-                yes = np.flatnonzero((byte >> (bit & np.uint32(7)).astype(np.uint8)) & 1)
-                hit, at, step = hit[yes], at[yes], step[yes]
-                bit = bit[yes] + step
+            hit, at, bit, step, every = live, start[live], base.astype(np.uint32), step.astype(np.uint32), None
+            for i in range(PROBES):
+                byte = self.flat.take(at + ((bit & np.uint32(PAGE_BITS - 1)) >> np.uint32(3)))
+                one = (byte >> (bit & np.uint32(7)).astype(np.uint8)) & np.uint8(1)
+                every = one if every is None else every & one
+                # the arrays are cut only where that drops a quarter of them: most entries of the first levels are in
+                if i + 1 == PROBES:
+                    hit = hit[np.flatnonzero(every)]
+                elif np.count_nonzero(every) < 0.75 * len(every):
+                    yes = np.flatnonzero(every)
+                    hit, at, bit, step, every = hit[yes], at[yes], bit[yes], step[yes], None
+                bit = bit + step
             out[hit] = j
             live = hit
         return out
@@ -268,28 +282,39 @@ def _tail_column(parts: list[tuple[np.ndarray, ...]], rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), entries)
 
 
+def context_levels(word: np.ndarray, f: Filter) -> np.ndarray:
+    """Levels (2, n) of the context and escape counts of words; 0 of those that begin no bigram of the filter's segment."""
+    out, mine = np.zeros((2, len(word)), np.int16), np.flatnonzero(f.has(word))
+    out[0, mine] = f.level(entry_keys(CONTEXT, word[mine]))
+    begins = mine[out[0, mine] > 0]
+    out[1, begins] = f.level(entry_keys(ESCAPE, word[begins]))
+    return out
+
+
 class Known:
     """What is known of words given by their hashes: unigram share, and for contexts
-    of the filter's segment the weight of leaving them and their count."""
+    of the filter's segment the weight of leaving them and their count. The levels of
+    ``head``'s words (``begun``) were probed once for all tasks, those of others are here."""
 
-    def __init__(self, word: np.ndarray, f: Filter, head: tuple, total: int):
+    def __init__(self, word: np.ndarray, f: Filter, head: tuple, begun: np.ndarray, total: int):
         key, n = head
         at = np.minimum(np.searchsorted(key, word), max(0, len(key) - 1))
-        c = np.where(key[at] == word, n[at], 0) if len(key) else np.zeros(len(word), np.int64)
+        frequent = key[at] == word if len(key) else np.zeros(len(word), bool)
+        c, level = np.zeros(len(word), np.int64), np.zeros((2, len(word)), np.int16)
+        c[frequent], level[:, frequent] = n[at[frequent]], begun[:, at[frequent]]
+        level[:, ~frequent] = context_levels(word[~frequent], f)
         self.known, self.unigram = c > 0, np.log10((c + 1) / total)
-        self.mine = (word >> _TOP) % U64(f.segments) == U64(f.number)
-        level = np.zeros(len(word), np.int64)
-        level[self.mine] = f.level(entry_keys(CONTEXT, word[self.mine]))
+        self.mine = f.has(word)
+        level, escape = level.astype(np.int64)
         self.begins, self.count, self.away = level > 0, floor_of(level + 1) - 1, np.zeros(len(word))
-        escape = f.level(entry_keys(ESCAPE, word[self.begins]))
-        self.away[self.begins] = np.minimum(0.0, np.log10((floor_of(np.maximum(1, escape)) + MU) / (self.count[self.begins] + MU)))
+        self.away[self.begins] = np.minimum(0.0, np.log10((floor_of(np.maximum(1, escape[self.begins])) + MU) / (self.count[self.begins] + MU)))
 
 
 def _pass(rows: DataFrame, filter_: Filter, head: tuple, total: int, last: bool, min_count: int, discount: float) -> DataFrame:
     """Adds the positions whose context lies in the filter's segment; the first
     pass also counts, and what needs a rarer word's count goes to ``tail``."""
     sc = rows.sparkSession.sparkContext
-    shared_filter, shared_head = sc.broadcast(filter_), sc.broadcast(head)
+    shared_filter, shared_head = sc.broadcast(filter_), sc.broadcast((head, context_levels(head[0], filter_)))
 
     def make():
         f = shared_filter.value
@@ -299,7 +324,7 @@ def _pass(rows: DataFrame, filter_: Filter, head: tuple, total: int, last: bool,
             texts = batch.column("text")
             sums, tail = np.zeros((4, len(texts))), [_flat_tail(batch.column("tail"))]
             for start, t in runs(texts, SCORED_BYTES):
-                know = Known(t.hash, f, shared_head.value, total)
+                know = Known(t.hash, f, *shared_head.value, total)
                 known, mine = know.known[t.w], know.mine[t.v]
                 base = np.where(known, know.unigram[t.w], 0.0)
                 score = np.where(mine, know.away[t.v] + base, 0.0)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import re
 import zlib
 
@@ -572,6 +573,39 @@ def test_filter_returns_the_levels():
     assert (f.level(rng.integers(0, 2 ** 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.05
 
 
+def test_op10_broadcast_words_are_probed_once_for_all_tasks(monkeypatch):
+    """The levels that come with the broadcast words are those that a task would probe, and tasks probe none of them."""
+    rng = np.random.default_rng(5)
+    word, n = np.unique(rng.integers(0, 2 ** 64, 3000, dtype=np.uint64)), rng.integers(1, 5000, 3000)
+    begins = rng.random(3000) < 0.7
+    table = np.zeros((2, lm.PAGE_BITS), np.uint8)
+    for kind, count in ((lm.CONTEXT, n), (lm.ESCAPE, np.maximum(1, n // 3))):
+        keys, top = lm.entry_keys(kind, word[begins]), lm.levels(count[begins])
+        page = lm.page_of(keys, 2)
+        for j in range(1, top.max() + 1):
+            base, step = lm.probe_hashes(keys[top >= j], j)
+            for i in range(lm.PROBES):
+                table[page[top >= j], ((base + np.uint64(i) * step) % np.uint64(lm.PAGE_BITS)).astype(np.int64)] = 1
+    probed, level = [], lm.Filter.level
+    monkeypatch.setattr(lm.Filter, "level", lambda self, keys: (probed.append(len(keys)), level(self, keys))[1])
+    for number in range(2):
+        f = pickle.loads(pickle.dumps(lm.Filter(np.packbits(table, axis=1, bitorder="little"), number, 2)))
+        none, half, every = word[:0], word[::2], word
+        seen = []
+        for head in (none, half, every):
+            at = np.searchsorted(word, head)
+            begun = lm.context_levels(head, f)
+            probed.clear()
+            seen.append(lm.Known(word, f, (head, n[at]), begun, 10 ** 7))
+            seen[-1].probed = sum(probed)
+        for known in seen[1:]:
+            for what in ("mine", "begins", "count", "away"):
+                assert np.array_equal(getattr(known, what), getattr(seen[0], what)), what
+        assert np.array_equal(seen[2].known, np.ones(3000, bool)) and not seen[0].known.any()
+        assert (seen[0].begins == (begins & seen[0].mine)).mean() > 0.99 and seen[0].mine.sum() > 1000
+        assert seen[0].probed > seen[1].probed > 0 == seen[2].probed
+
+
 def test_ranking_with_a_repeated_id(spark):
     """Neither copies of one document nor of one label row take the places of the others."""
     ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % ranking.FOLDS != ranking.HELD_OUT][:20]

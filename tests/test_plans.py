@@ -104,6 +104,17 @@ def test_orders_by_brand_are_hashed_in_tasks_by_size(spark, monkeypatch):
         assert min(int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan)) > 10
 
 
+def test_products_of_a_segment_are_hashed_in_tasks_by_size(spark, monkeypatch):
+    """The distinct products per segment are not hashed in the session's number of tasks."""
+    from ledgerlake.operators import sizing
+    monkeypatch.setattr(sizing, "PARTITION_BYTES", 10_000)
+    m = GoldModel.from_testdata(spark, SF, cached=False)
+    plan = _plan(reports.revenue_by_product_segment(m, DEFAULT))
+    joins = [line for line in plan.split("\n") if re.search(r"Exchange hashpartitioning\(ProductID#\d+L?, \d+\)", line)]
+    assert len(joins) == 2 and all("REPARTITION_BY_NUM" in line for line in joins)
+    assert min(int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan)) > 10
+
+
 def test_distinct_counts_with_repeated_and_missing_firsts(spark):
     rows = [(1, None, i % 3, 1) for i in range(50)] + [(1, 7, 2, 1)] * 30 + [(1, 7, None, 1), (2, None, None, 1), (None, 5, 1, None)]
     df = spark.createDataFrame(rows, "k int, a int, b int, v int")

@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.dates import add_months_ts, day_diff, month_diff
-from ledgerlake.functions.hashing import change_hash, pack_key, unpack_key
+from ledgerlake.functions.hashing import change_hash, pack_key, surrogate_key, unpack_key
 from ledgerlake.functions.money import exact_avg, half_up_div, unit_price_from_extended
 
 
@@ -64,3 +64,14 @@ def test_packed_keys_read_back(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k string").select("k", pack_key("k").alias("b"))
     rows = df.select("k", F.octet_length("b").alias("n"), unpack_key("b").alias("back")).collect()
     assert [r["back"] for r in rows] == keys and rows[0]["n"] == 32
+
+
+def test_a_key_that_hashes_its_version_travels_as_the_start(spark):
+    """Any other key, also one of another number or another start, comes back as it was."""
+    at, other = dt.datetime(2024, 3, 1, 13, 30), dt.datetime(2024, 3, 2)
+    rows = [(1, at, 1, at), (2, at, 1, at), (3, at, 3, other), (4, None, 4, at), (5, None, 5, None), (None, at, 6, at), (-7, at, -7, at)]
+    df = spark.createDataFrame(rows, "k int, start timestamp_ntz, of long, hashed timestamp_ntz").withColumn("skey", surrogate_key("of", "hashed"))
+    df = df.unionByName(spark.createDataFrame([(8, at, 8, at, "S-8"), (9, at, 9, at, None), (10, at, 10, at, "")], df.schema))
+    got = df.withColumn("b", pack_key("skey", "k", "start")).select("k", "skey", F.octet_length("b").alias("n"), unpack_key("b", "k").alias("back")).collect()
+    assert [r["back"] for r in got] == [r["skey"] for r in got]
+    assert [r["n"] for r in got] == [19, 32, 32, 32, 32, 32, 19, 36, None, 33]

@@ -1,10 +1,13 @@
 """Plans: what is pruned, what isn't copied, and that building a query runs nothing."""
 
+import glob
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlake.jobs.medallion import assemble_fact
+from ledgerlake.functions.hashing import surrogate_key
 from ledgerlake.model import GoldModel
 from ledgerlake.operators.distinct import two_distinct_counts
 from ledgerlake.operators.topk import top_k_with_ties
@@ -158,3 +161,47 @@ def _exchanges(df):
             found.append([n.output().apply(i) for i in range(n.output().size())])
         nodes += [n.children().apply(i) for i in range(n.children().size())]
     return found
+
+
+def test_lines_cross_two_shuffles_and_come_out_by_customer(spark, scratch):
+    """Customers are looked up once an order; a customer's lines lie together in a file."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.queries()["orders_fact"](spark, SF)
+        of_lines = [e for e in _exchanges(df) if "LineNumber" in {a.name() for a in e}]
+        assert len(of_lines) == 2
+        df.write.parquet(f"{scratch}/fact")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    files = glob.glob(f"{scratch}/fact/*.parquet")
+    assert files
+    for f in files:
+        ids = [r[0] or 0 for r in spark.read.parquet(f).select("CustomerID").collect()]
+        assert ids == sorted(ids)
+
+
+def test_keys_are_the_dimensions_own_with_heads_or_without(spark):
+    """Null and repeated keys, closed versions, keys that hash nothing: heads apart give the rows of heads joined before."""
+    lines = spark.createDataFrame([(1, 1, 10, 7), (1, 2, 11, 7), (2, 1, 10, None), (2, 1, 10, None), (3, 1, None, 8), (4, 1, 12, 9), (None, 1, 10, 7), (9, 1, 10, 7)],
+                                  "OrderID long, LineNumber int, ProductID long, SupplierId long")
+    heads = spark.createDataFrame([(1, 100, "2024-03-01"), (2, None, "2024-03-02"), (3, 101, None), (3, 102, "2024-03-03"), (4, 103, "2024-03-04"), (None, 100, "2024-03-01"), (5, 100, "2024-03-01")],
+                                  "OrderID long, CustomerID long, day string").select("OrderID", "CustomerID", F.col("day").cast("timestamp_ntz").alias("LastEditedWhen"))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    own = lambda ids, key, odd: spark.createDataFrame(ids, f"{key} long, active_flg int").withColumn("effective_start_dt", start).withColumn(
+        "skey", F.when(F.col(key) % 2 == odd, F.concat(F.lit("key of "), F.col(key).cast("string"))).otherwise(surrogate_key(key, "effective_start_dt")))
+    products, suppliers = own([(10, 1), (11, 1), (12, 0), (None, 1)], "ProductID", 1), own([(7, 1), (8, 1)], "SupplierId", 0)
+    customers = own([(100, 1), (101, 1), (101, 0), (102, 1), (103, 0)], "CustomerID", 1)
+    days = spark.sql("SELECT explode(sequence(DATE'2024-03-01', DATE'2024-03-03')) AS date").withColumn("DateKey", F.date_format("date", "yyyyMMdd"))
+    joined = lines.join(heads, "OrderID").withColumn("LastEditedDate", F.to_date("LastEditedWhen"))
+    columns = ["OrderID", "LineNumber", "ProductID", "SupplierId", "CustomerID", "LastEditedWhen", "LastEditedDate", "date_skey", "product_skey", "customer_skey", "supplier_skey"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()), key=str)
+    apart = rows(assemble_fact(lines, products, customers, suppliers, days, heads=heads))
+    assert apart == rows(assemble_fact(joined, products, customers, suppliers, days)) == rows(
+        assemble_fact(joined, products.drop("effective_start_dt"), customers.drop("effective_start_dt"), suppliers.drop("effective_start_dt"), days))
+    want = joined
+    for dim, key, skey in ((products, "ProductID", "product_skey"), (customers, "CustomerID", "customer_skey"), (suppliers, "SupplierId", "supplier_skey")):
+        want = want.join(dim.where("active_flg = 1").select(key, F.col("skey").alias(skey)), key, "left")
+    want = want.join(days.select(F.col("date").alias("LastEditedDate"), F.col("DateKey").alias("date_skey")), "LastEditedDate", "left")
+    assert len(apart) == 7 and apart == rows(want)
+    assert {r[8] for r in apart} >= {"key of 11", None} and {r[9] for r in apart} >= {"key of 101", None}

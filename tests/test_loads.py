@@ -325,3 +325,20 @@ def test_late_customers_get_their_keys(spark, scratch, monkeypatch):
     got, active = rows(), {r.CustomerID: r.skey for r in medallion.read_dimension(spark, root, "customers").where("active_flg = 1").collect()}
     assert got[2] == got[3] == (keys[2], T[3]) and got[4] == (active[9], T[5]) and got[5] == (active[2], T[4]) and active[2] != keys[2]
     assert medallion.read_fact(spark, root).columns == columns
+
+
+def test_a_stage_leaves_no_shuffle_files(spark, scratch):
+    """What a write and its checks shuffled is removed when they end, also while their plans are still held; the setting is put back."""
+    files = lambda: {f.getName() for f in _list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, held = files(), spark.range(1000).selectExpr("id % 7 AS k", "id").repartition(3, "id").groupBy("k").agg(F.max("id").alias("top"))
+    setting = spark.conf.get(stage.CLEANUP, None)
+    result = stage.run_stage(held, [stage.dq.Check("unique", "top")], f"{scratch}/out", f"{scratch}/log", "silver", "t", T[0], 1)
+    left = files() - before
+    assert result.status == "success" and result.metrics["rows"] == 7 and not left, left
+    with pytest.raises(Crash), stage.freed(spark):
+        raise Crash
+    assert spark.conf.get(stage.CLEANUP, None) == setting
+
+
+def _list(seq):
+    return [seq.apply(i) for i in range(seq.size())]

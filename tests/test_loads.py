@@ -342,3 +342,16 @@ def test_a_stage_leaves_no_shuffle_files(spark, scratch):
 
 def _list(seq):
     return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_lines_meet_found_keys_of_their_dimension_only(spark, scratch):
+    """Late customers: no line passes a join with products or suppliers, of which no key was found."""
+    root = os.path.join(scratch, "lake")
+    lz = _dimensions(spark, root, scratch, T[0])
+    assert _orders(spark, root, lz, "o1.csv", ["1,10,7,2,4,2.50,0.15,1,2024.02.01 10:00:00"], T[0]).status == "success"
+    _customers(spark, root, lz, "c2.csv", [_line(2)], T[1])
+    assert medallion.fill_late_keys(spark, root, T[2]).status == "success"
+    fact = medallion.read_fact(spark, root)
+    assert fact._jdf.queryExecution().analyzed().toString().count("Join LeftOuter") == 1
+    row = fact.first()
+    assert row.customer_skey and len(row.product_skey) == len(row.supplier_skey) == 64 and row.update_dt == T[2]
